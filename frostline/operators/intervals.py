@@ -65,7 +65,9 @@ def history_stats(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS),
     pumps = list(pumps)
     thr = F.lit(float(threshold))
     on_cols = [is_on(p).alias(f"_on{i}") for i, p in enumerate(pumps)]
-    base = _bucketed(readings, k, [*on_cols, F.col(cold_column).cast("double").alias("_cv")], bucket_us)
+    cv_col = (F.col(cold_column).cast("double") if cold_column and cold_column in readings.columns
+              else F.lit(None).cast("double"))
+    base = _bucketed(readings, k, [*on_cols, cv_col.alias("_cv")], bucket_us)
 
     w = Window.partitionBy(*k, "_b").orderBy("_us")
     rows = base.select("*", F.lag("_us").over(w).alias("_prev"), F.lead("_us").over(w).alias("_next"))
@@ -120,7 +122,7 @@ def runtime_hours(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS),
                   bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
     """Integrated on-time per pump in hours (``total_hours_<pump>``)."""
     k = keys_list(keys)
-    return history_stats(readings, keys=k, pumps=pumps, bucket_us=bucket_us) \
+    return history_stats(readings, keys=k, pumps=pumps, cold_column=None, bucket_us=bucket_us) \
         .select(*k, *[f"total_hours_{p}" for p in pumps])
 
 

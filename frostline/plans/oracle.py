@@ -374,7 +374,7 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
             snap_sel.append("COALESCE(m.ts_eastern, lt.hts, h.lts) AS ts_eastern")
         else:
             snap_sel.append(f"m.{c}")
-    metrics_body = _metrics(False).split("\nSELECT ", 1)
+    metrics_body = _metrics(False).rsplit("\nSELECT ", 1)
     q["snapshot"] = (
         f"{metrics_body[0]}, m AS (SELECT {metrics_body[1]}), hist AS (SELECT * FROM "
         f"{_unpivot(DASHBOARD_KEYS, _in_window(24))}), lv AS ("
