@@ -229,6 +229,24 @@ def q_formatted_metrics(spark, sf):
     )
 
 
+ROUNDTRIP_COLUMNS = ["P1", "P2", "P3", "P4", "P5", "P6", "T_50K", "T_4K", "T_Still", "T_MXC", "Flow",
+                     "scroll_1", "scroll_2", "turbo_1", "pulse_tube"]
+
+
+def q_ingest_roundtrip(spark, sf):
+    """Render every event as raw log lines (one file per day and kind), ingest
+    them with the incremental pass, and read the store back."""
+    from frostline.session import scratch_path
+    from frostline.sources.render import write_logs
+    from frostline.sources.store import readings as store_readings
+    from frostline.sources.store import sync_once
+    root = scratch_path(spark, "roundtrip")
+    logs = write_logs(spark, _r(spark, sf), root)
+    sync_once(spark, logs, f"{root}/store")
+    out = store_readings(spark, f"{root}/store")
+    return out.select(TS, *ROUNDTRIP_COLUMNS, F.regexp_extract("source_file", r"([^/]+)$", 1).alias("source_day"))
+
+
 QUERIES = {
     "runtime_hours": q_runtime_hours,
     "runtime_hours_by_device": q_runtime_hours_by_device,
@@ -268,4 +286,5 @@ QUERIES = {
     "cold_summary": q_cold_summary,
     "snapshot": q_snapshot,
     "formatted_metrics": q_formatted_metrics,
+    "ingest_roundtrip": q_ingest_roundtrip,
 }

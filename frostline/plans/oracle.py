@@ -381,6 +381,14 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
         + _pivot("(SELECT key, arg_max(value, ts_eastern) AS value FROM hist GROUP BY key)", DASHBOARD_KEYS, False)
         + "), lt AS (SELECT max(ts_eastern) AS hts FROM hist), h AS (SELECT max(ts_eastern) AS lts FROM readings)\n"
         f"SELECT {', '.join(snap_sel)} FROM m, lv, lt, h")
+    simple = ["T_50K", "T_4K", "T_Still", "T_MXC", "Flow"]
+    every = ["P1", "P2", "P3", "P4", "P5", "P6", "scroll_1", "scroll_2", "turbo_1", "pulse_tube"]
+    q["ingest_roundtrip"] = (
+        f"{R}, r AS (SELECT *, date_trunc('second', ts_eastern) AS sec FROM readings)\n"
+        "SELECT sec AS ts_eastern, "
+        + ", ".join(f"arg_max({c}, ts_eastern) AS {c}" for c in simple) + ", "
+        + ", ".join(f"arg_max_null({c}, ts_eastern) AS {c}" for c in every)
+        + ", strftime(sec, '%y-%m-%d') AS source_day FROM r GROUP BY sec")
     return q
 
 
