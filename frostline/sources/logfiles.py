@@ -1,9 +1,8 @@
 """Log-file discovery, source signatures and change detection.
 
-The listing is the ``binaryFile`` reader with ``content`` pruned, so no file
-bytes are read; everything after it is DataFrame work.  Only the list of
-changed source folders ever reaches the driver (it is the input list of the
-next read).
+The listing is file-system metadata (no file bytes are read); everything
+after it is DataFrame work.  Only the list of changed source folders is
+collected (it is the input path list of the next read).
 """
 
 from __future__ import annotations
@@ -62,25 +61,33 @@ def qualify(spark: SparkSession, path: str) -> str:
 
 
 def list_log_files(spark: SparkSession, root: str) -> DataFrame:
-    """S2 over a whole tree: ``(path, name, parent, depth, size_bytes, mtime_ms, known)``.
+    """S2 over the root and its child folders: ``(path, name, parent, depth, size_bytes, mtime_ms, known)``.
 
-    ``depth`` is 0 for files directly in ``root`` and 1 for day folders; deeper
-    files are dropped (the layout is one level deep).
+    Listed with the Hadoop FileSystem API (the same metadata calls Spark's own
+    file index makes): Spark scans skip zero-length files, but a log rewritten
+    to empty must still change its folder's signature.  ``depth`` is 0 for files
+    directly in ``root`` and 1 for day folders; the layout is one level deep.
     """
-    schema = "path string, name string, parent string, depth int, size_bytes bigint, mtime_ms bigint, known boolean"
-    if not path_exists(spark, root):
-        return spark.createDataFrame([], schema)
-    qroot = qualify(spark, root)
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-          .option("pathGlobFilter", "*.log").load(root).drop("content"))
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    parent = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
-    rel = F.substring(parent, len(qroot) + 1, 1 << 20)
-    depth = F.when(rel == "", 0).otherwise(F.size(F.split(F.regexp_replace(rel, "^/", ""), "/")))
-    out = df.select("path", name.alias("name"), parent.alias("parent"), depth.cast("int").alias("depth"),
-                    F.col("length").alias("size_bytes"),
-                    F.unix_millis(F.col("modificationTime")).alias("mtime_ms"))
-    return out.filter(F.col("depth") <= 1).withColumn("known", is_known_log(F.col("name")))
+    schema = "path string, name string, parent string, depth int, size_bytes bigint, mtime_ms bigint"
+    rows = []
+    if path_exists(spark, root):
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        top = jvm.org.apache.hadoop.fs.Path(root)
+        fs = top.getFileSystem(conf)
+        top = fs.makeQualified(top)
+        dirs = [(top, 0)]
+        for st in fs.listStatus(top):
+            if st.isDirectory():
+                dirs.append((st.getPath(), 1))
+        for d, depth in dirs:
+            for st in fs.listStatus(d):
+                name = st.getPath().getName()
+                if st.isFile() and name.endswith(".log"):
+                    rows.append((str(st.getPath().toString()), name, str(d.toString()).rstrip("/"), depth,
+                                 int(st.getLen()), int(st.getModificationTime())))
+    df = spark.createDataFrame(rows, schema)
+    return df.withColumn("known", is_known_log(F.col("name")))
 
 
 def source_folders(files: DataFrame, root: str) -> DataFrame:

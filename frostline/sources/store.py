@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.schema import MANIFEST_SCHEMA, READING_COLUMNS, TS, readings_schema
-from frostline.sources.logfiles import changed_sources, current_manifest, list_log_files, path_exists, source_folders
+from frostline.sources.logfiles import (
+    changed_sources, current_manifest, list_log_files, path_exists, qualify, source_folders,
+)
 from frostline.sources.logparse import build_readings
 
 
@@ -74,6 +76,7 @@ def ingest_sources(spark: SparkSession, store_root: str, sources: list[tuple[str
                    *, batch_id: str | None = None) -> str:
     """Rebuild the given ``(path, size_bytes, mtime_ns)`` sources as one batch and commit."""
     batch_id = batch_id or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
+    sources = [(qualify(spark, p), s, m) for p, s, m in sources]
     paths = [p for p, _, _ in sources]
     wide = build_readings(spark, paths).withColumn("batch_id", F.lit(batch_id)) \
         .withColumn("day", F.to_date(TS))
