@@ -247,6 +247,29 @@ def q_ingest_roundtrip(spark, sf):
     return out.select(TS, *ROUNDTRIP_COLUMNS, F.regexp_extract("source_file", r"([^/]+)$", 1).alias("source_day"))
 
 
+def _drain(spark, name, df, mode="append"):
+    from frostline.session import scratch_path
+    from frostline.streaming.streams import run_available_now
+    root = scratch_path(spark, name)
+    return run_available_now(df, f"{root}/out", f"{root}/checkpoint", mode=mode)
+
+
+def q_stream_minutes(spark, sf):
+    from frostline.streaming import streams as T
+    return _drain(spark, "stream-minutes", T.minute_last_values(T.events_stream(spark, sf)))
+
+
+def q_stream_counters(spark, sf):
+    from frostline.streaming import streams as T
+    rows = _drain(spark, "stream-counters", T.runtime_counters(T.events_stream(spark, sf)))
+    return T.latest_counters(rows)
+
+
+def q_stream_minmax(spark, sf):
+    from frostline.streaming import streams as T
+    return _drain(spark, "stream-minmax", T.sliding_minmax(T.events_stream(spark, sf)))
+
+
 QUERIES = {
     "runtime_hours": q_runtime_hours,
     "runtime_hours_by_device": q_runtime_hours_by_device,
@@ -287,4 +310,7 @@ QUERIES = {
     "snapshot": q_snapshot,
     "formatted_metrics": q_formatted_metrics,
     "ingest_roundtrip": q_ingest_roundtrip,
+    "stream_minutes": q_stream_minutes,
+    "stream_counters": q_stream_counters,
+    "stream_minmax": q_stream_minmax,
 }

@@ -389,6 +389,24 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
         + ", ".join(f"arg_max({c}, ts_eastern) AS {c}" for c in simple) + ", "
         + ", ".join(f"arg_max_null({c}, ts_eastern) AS {c}" for c in every)
         + ", strftime(sec, '%y-%m-%d') AS source_day FROM r GROUP BY sec")
+    q["stream_minutes"] = (
+        f"{R}\nSELECT key, m AS ts_eastern, value FROM (SELECT key, date_trunc('minute', ts_eastern) AS m, "
+        f"arg_max(value, ts_eastern) AS value FROM {_unpivot(DASHBOARD_KEYS)} GROUP BY key, m) "
+        f"WHERE m + INTERVAL 1 MINUTE <= {AS_OF}")
+    starts_all = ", ".join(
+        f"CAST(SUM(CASE WHEN COALESCE(pv_{p}, 0) < 0.5 AND COALESCE({p}, 0) >= 0.5 THEN 1 ELSE 0 END) AS BIGINT)"
+        f" AS {p}_starts" for p in RUNTIME_PUMPS)
+    lag_all = ", ".join(f"LAG({p}) OVER (PARTITION BY device_id ORDER BY ts_eastern) AS pv_{p}" for p in RUNTIME_PUMPS)
+    q["stream_counters"] = (
+        f"{R}, rh AS ({_runtime(True)}), st AS (SELECT device_id, {starts_all} FROM (SELECT device_id, "
+        f"{', '.join(RUNTIME_PUMPS)}, {lag_all} FROM readings) GROUP BY device_id)\n"
+        f"SELECT rh.*, {', '.join('st.' + p + '_starts' for p in RUNTIME_PUMPS)}, CAST(0 AS BIGINT) AS late_rows "
+        f"FROM rh JOIN st USING (device_id)")
+    mm24 = ", ".join(f"{f}({c}) AS {c}_{f}_24h" for c in MINMAX_24H_COLUMNS for f in ("min", "max"))
+    q["stream_minmax"] = (
+        f"{R}, w AS (SELECT r.*, date_trunc('hour', ts_eastern) - to_hours(k) AS ws FROM readings r, "
+        f"range(0, 24) t(k))\nSELECT ws + INTERVAL 24 HOUR AS window_end, {mm24} FROM w GROUP BY ws "
+        f"HAVING ws + INTERVAL 24 HOUR <= {AS_OF}")
     return q
 
 
