@@ -21,7 +21,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.schema import MANIFEST_SCHEMA, READING_COLUMNS, TS, readings_schema
+from frostline.functions.columns import bucket_of, micros
+from frostline.schema import HOUR_US, MANIFEST_SCHEMA, READING_COLUMNS, TS, readings_schema
 from frostline.sources.logfiles import (
     changed_sources, current_manifest, list_log_files, path_exists, qualify, source_folders,
 )
@@ -54,22 +55,31 @@ def readings(spark: SparkSession, store_root: str, *, dedupe: bool = True) -> Da
     """S8 + S10: the current readings table.
 
     Rows of the current batch of each source (semi-join with the latest
-    manifest row per source; the manifest is one row per source folder) and,
-    with ``dedupe``, one row per timestamp: the later-ingested source wins the
-    whole row.  The ``day`` partition column stays available for pruning.
+    manifest row per source; one manifest row per source folder) and, with
+    ``dedupe``, one row per timestamp: the later-ingested source wins the whole
+    row.  Only rows of hours touched by more than one live source can collide,
+    so only those are shuffled by timestamp; a distinct ``(hour, source)``
+    aggregate (one row per hour and source) finds them.  All other rows pass
+    through without a shuffle.  The ``day`` partition column stays available
+    for pruning.
     """
     raw, man = read_raw(spark, store_root), read_manifest(spark, store_root)
     if raw is None or man is None:
-        return spark.createDataFrame([], readings_schema())
+        return spark.createDataFrame([], readings_schema()).withColumn("day", F.lit(None).cast("date"))
     cur = current_manifest(man).select(F.col("path").alias("source_file"), "batch_id",
                                        F.col("ingested_at").alias("_ing"))
-    live = raw.join(cur, ["source_file", "batch_id"], "inner")
+    live = raw.join(cur, ["source_file", "batch_id"], "inner") \
+        .withColumn("_h", bucket_of(micros(TS), HOUR_US))
     if not dedupe:
         return live.select(*READING_COLUMNS, "day")
+    shared = live.select("_h", "source_file").distinct().groupBy("_h").agg(F.count(F.lit(1)).alias("_ns")) \
+        .filter(F.col("_ns") > 1).select("_h")
+    single = live.join(shared, "_h", "left_anti")
+    multi = live.join(shared, "_h", "left_semi")
     cols = [c for c in READING_COLUMNS if c != TS] + ["day"]
     win = F.struct("_ing", "source_file")
-    best = live.groupBy(TS).agg(*[F.max_by(c, win).alias(c) for c in cols])
-    return best.select(*READING_COLUMNS, "day")
+    best = multi.groupBy(TS).agg(*[F.max_by(c, win).alias(c) for c in cols])
+    return single.select(*READING_COLUMNS, "day").unionByName(best.select(*READING_COLUMNS, "day"))
 
 
 def ingest_sources(spark: SparkSession, store_root: str, sources: list[tuple[str, int, int]],
