@@ -16,7 +16,7 @@ STAGES = ["T_50K", "T_4K", "T_Still", "T_MXC"]
 
 @pytest.mark.parametrize("temps,attens,expected", CHAIN)
 def test_em_chain_anchors(spark, temps, attens, expected):
-    df = spark.createDataFrame([temps], ", ".join(f"{s} double" for s in STAGES))
+    df = spark.createDataFrame([tuple(float(t) for t in temps)], ", ".join(f"{s} double" for s in STAGES))
     out = E.em_chain(df, attens_db=dict(zip(STAGES, attens))).first()
     for s, e in zip(STAGES, expected):
         assert out[f"teff_{s}"] == pytest.approx(e, rel=1e-8)
