@@ -52,14 +52,16 @@ def _hours(us_col) -> F.Column:
 
 def history_stats(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS),
                   cold_column: str = "T_MXC", threshold: float = COLD_THRESHOLD_K,
-                  bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+                  bucket_us: int = DEFAULT_BUCKET_US, latest_columns=()) -> DataFrame:
     """One scan, one shuffle on ``(keys, bucket)``: every full-history statistic.
 
     Columns: ``total_hours_<pump>`` (W1, backward attribution: the gap before
     a row counts when that row is on), ``hours_below_20mK_total`` (W2, forward
     attribution: the gap after a row counts when that row is below the
     threshold), ``hours_below_20mK_current`` (W3), ``rows``, ``latest_ts``,
-    ``first_ts``.  Unused outputs are pruned by Catalyst.
+    ``first_ts``, and the values of the latest row for ``latest_columns`` (R1
+    fused into the same pass: ``max_by`` per bucket, then over buckets).
+    Unused outputs are pruned by Catalyst.
     """
     k = keys_list(keys)
     pumps = list(pumps)
@@ -67,7 +69,9 @@ def history_stats(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS),
     on_cols = [is_on(p).alias(f"_on{i}") for i, p in enumerate(pumps)]
     cv_col = (F.col(cold_column).cast("double") if cold_column and cold_column in readings.columns
               else F.lit(None).cast("double"))
-    base = _bucketed(readings, k, [*on_cols, cv_col.alias("_cv")], bucket_us)
+    lcols = [c for c in latest_columns if c != TS]
+    base = _bucketed(readings, k, [*on_cols, cv_col.alias("_cv"),
+                                   *[F.col(c).alias(f"_lc{j}") for j, c in enumerate(lcols)]], bucket_us)
 
     w = Window.partitionBy(*k, "_b").orderBy("_us")
     rows = base.select("*", F.lag("_us").over(w).alias("_prev"), F.lead("_us").over(w).alias("_next"))
@@ -87,6 +91,7 @@ def history_stats(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS),
         F.max(F.when(warm, us)).alias("_warm"),
         # first row after the bucket's last warm row (NULL when that row ends the bucket)
         F.max_by(nxt, F.when(warm, us)).alias("_after"),
+        *[F.max_by(f"_lc{j}", us).alias(f"_lc{j}") for j in range(len(lcols))],
     ]
     part = rows.groupBy(*k, "_b").agg(*aggs)
 
@@ -106,6 +111,7 @@ def history_stats(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS),
         F.min(first).alias("_min_us"),
         F.max_by(F.when(warm_b, F.coalesce(F.col("_after"), nf)), F.when(warm_b, F.col("_b"))).alias("_start"),
         F.sum("_n").alias("rows"),
+        *[F.max_by(f"_lc{j}", "_b").alias(c) for j, c in enumerate(lcols)],
     ]
     res = st.groupBy(*k).agg(*out)
     streak = F.when(F.col("_latest_v") < thr,
@@ -114,7 +120,7 @@ def history_stats(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS),
     return res.select(
         *k, *[f"total_hours_{p}" for p in pumps], "hours_below_20mK_total",
         streak.alias("hours_below_20mK_current"), "rows",
-        from_micros("_latest_us").alias("latest_ts"), from_micros("_min_us").alias("first_ts"),
+        from_micros("_latest_us").alias("latest_ts"), from_micros("_min_us").alias("first_ts"), *lcols,
     )
 
 
