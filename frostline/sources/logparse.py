@@ -53,82 +53,95 @@ def parse_ts(d: Column, t: Column) -> Column:
 
 
 def split_csv(line: Column) -> Column:
-    """Quote-aware field split; surrounding quotes removed, ``""`` -> ``"``."""
-    fields = F.split(line, _CSV_SPLIT, -1)
-    return F.transform(fields, lambda f: F.when(f.rlike(r'^".*"$') & (F.length(f) >= 2),
-                                                F.regexp_replace(F.substring(f, 2, F.length(f) - 2), '""', '"'))
-                       .otherwise(f))
+    """Quote-aware field split; surrounding quotes removed, ``""`` -> ``"``.
 
+    Lines without a quote (the normal case) take a plain split.
+    """
+    quoted = F.transform(F.split(line, _CSV_SPLIT, -1),
+                         lambda f: F.when(f.rlike(r'^".*"$') & (F.length(f) >= 2),
+                                          F.regexp_replace(F.substring(f, 2, F.length(f) - 2), '""', '"'))
+                         .otherwise(f))
+    return F.when(F.instr(line, '"') == 0, F.split(line, ",", -1)).otherwise(quoted)
 
-def _pairs(payload: Column) -> Column:
-    n = F.size(payload)
-    idx = F.when(n >= 2, F.sequence(F.lit(0), (n / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(idx, lambda i: F.struct(F.lower(F.trim(F.element_at(payload, i * 2 + 1))).alias("k"),
-                                                F.element_at(payload, i * 2 + 2).alias("v")))
 
+def _fold_last(idx: Column, key_of, val_of, wanted: dict[str, str]) -> Column:
+    """One pass over the pair/chunk indices: for each wanted key the raw value
+    of its last occurrence (later pairs overwrite earlier ones); NULL if absent."""
+    init = F.struct(*[F.lit(None).cast("string").alias(name) for name in wanted])
 
-def _last_value(pairs: Column, key: str) -> Column:
-    """Raw text of the last pair with this key (NULL if absent): duplicate keys, last wins."""
-    hit = F.filter(pairs, lambda p: p["k"] == F.lit(key))
-    return F.try_element_at(hit, F.lit(-1))["v"]
+    def merge(acc, i):
+        k, v = key_of(i), val_of(i)
+        return F.struct(*[F.when(k == F.lit(key), v).otherwise(acc[name]).alias(name)
+                          for name, key in wanted.items()])
+
+    return F.aggregate(idx, init, merge)
+
+
+def _pairs_last(payload: Column, wanted: dict[str, str]) -> Column:
+    n = F.size(payload)
+    idx = F.when(n >= 2, F.sequence(F.lit(0), (n / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return _fold_last(idx, lambda i: F.lower(F.trim(F.element_at(payload, i * 2 + 1))),
+                      lambda i: F.element_at(payload, i * 2 + 2), wanted)
 
 
 def file_lines(files: DataFrame) -> DataFrame:
     """``(path, name, parent, kind, line_no, fields)`` from decoded file content.
 
-    A leading BOM is stripped; blank lines give one empty field and are later
-    removed by the width filters.
+    A leading BOM is stripped; blank lines are skipped (lines of spaces give one
+    field and are removed by the width filters).
     """
     text = F.regexp_replace(F.decode(F.col("content"), "UTF-8"), "^\ufeff", "")
-    lines = files.select("path", "name", "parent", "kind", F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
+    lines = files.select("path", "name", "parent", "kind",
+                         F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
     return lines.filter(F.col("line") != "").select("path", "name", "parent", "kind", "line_no",
                                                    split_csv(F.col("line")).alias("f"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """One output row per accepted line with every value column (NULL
-    where the kind has no such channel) and a presence flag per column."""
+    where the kind has no such channel).
+
+    Each line is folded once (``aggregate``) into the raw texts of the keys it
+    needs, only for its own kind, in its own projection; the texts are then
+    parsed with L2.
+    """
     f, kind = F.col("f"), F.col("kind")
     n = F.size(f)
-    ts = parse_ts(F.element_at(f, 1), F.element_at(f, 2))
-    payload = F.slice(f, 3, F.greatest(n - 2, F.lit(0)))
     simple_cols = list(SIMPLE_PREFIXES.values())
-
+    payload = F.slice(f, 3, F.greatest(n - 2, F.lit(0)))
+    np_ = F.size(payload)
     # L4 channels: odd payload drops its first item
-    ch_payload = F.when(F.size(payload) % 2 == 1, F.slice(payload, 2, F.greatest(F.size(payload) - 1, F.lit(0)))) \
-        .otherwise(payload)
-    ch_pairs = _pairs(ch_payload)
-    # L5 status: pairs of an even payload (odd payload rows are dropped below)
-    st_pairs = _pairs(payload)
-    # L6 gauge: chunks of 6 starting at 0; chunks shorter than 4 are ignored
-    starts = F.when(F.size(payload) > 0, F.sequence(F.lit(0), F.size(payload) - 1, F.lit(6))) \
-        .otherwise(F.array().cast("array<int>"))
-    chunks = F.transform(starts, lambda i: F.slice(payload, i + 1, 6))
-    chunks = F.filter(chunks, lambda c: F.size(c) >= 4)
-    gauges = F.transform(chunks, lambda c: F.struct(F.upper(F.trim(F.element_at(c, 1))).alias("k"),
-                                                    F.element_at(c, 4).alias("v")))
-
-    values: dict[str, Column] = {}
-    for c in VALUE_COLUMNS:
-        values[c] = F.lit(None).cast("double")
-    for c in simple_cols:
-        values[c] = F.when(kind == c, lenient_float(F.element_at(f, 3)))
-    for c, key in CHANNEL_KEYS.items():
-        raw = lenient_float(_last_value(ch_pairs, key))
-        if c == "pulse_tube":
-            # the fallback is decided on the parsed value before NaN -> NULL
-            raw = F.coalesce(raw, lenient_float(_last_value(ch_pairs, PULSE_TUBE_FALLBACK_KEY)))
-        values[c] = F.when(kind == "channels", raw)
-    for c, ch in GAUGE_CHANNELS.items():
-        values[c] = F.when(kind == "maxigauge", lenient_float(_last_value(gauges, ch)))
-    turbo_status = F.when(kind == "status", lenient_float(_last_value(st_pairs, STATUS_TURBO_KEY)))
-
+    ch_payload = F.when(np_ % 2 == 1, F.slice(payload, 2, F.greatest(np_ - 1, F.lit(0)))).otherwise(payload)
+    ch_wanted = {**CHANNEL_KEYS, "_compressor": PULSE_TUBE_FALLBACK_KEY}
+    # L6 gauge: chunks of 6 starting at 0; chunks with fewer than 4 items are ignored
+    starts = F.when(np_ >= 4, F.sequence(F.lit(0), np_ - 4, F.lit(6))).otherwise(F.array().cast("array<int>"))
+    gauges = _fold_last(starts, lambda i: F.upper(F.trim(F.element_at(payload, i + 1))),
+                        lambda i: F.element_at(payload, i + 4), GAUGE_CHANNELS)
     min_width = (F.when(kind.isin(simple_cols), 3).when(kind == "channels", 4).when(kind == "status", 4)
                  .when(kind == "maxigauge", 8))
-    accepted = (n >= min_width) & ts.isNotNull() & ((kind != "status") | (F.size(payload) % 2 == 0))
-    out = lines.select("path", "name", "parent", "kind", "line_no", ts.alias(TS),
-                       *[values[c].alias(c) for c in VALUE_COLUMNS], turbo_status.alias("turbo_1_status"))
-    return out.filter(F.coalesce(accepted, F.lit(False)))
+    ts = parse_ts(F.element_at(f, 1), F.element_at(f, 2))
+    accepted = (n >= min_width) & ts.isNotNull() & ((kind != "status") | (np_ % 2 == 0))
+    staged = lines.select(
+        "path", "name", "parent", "kind", "line_no", ts.alias(TS),
+        F.when(kind.isin(simple_cols), F.element_at(f, 3)).alias("_v"),
+        F.when(kind == "channels", _pairs_last(ch_payload, ch_wanted)).alias("_ch"),
+        F.when(kind == "status", _pairs_last(payload, {"turbo_1_status": STATUS_TURBO_KEY})).alias("_st"),
+        F.when(kind == "maxigauge", gauges).alias("_ga"),
+        F.coalesce(accepted, F.lit(False)).alias("_ok"),
+    ).filter("_ok")
+
+    values: dict[str, Column] = {c: F.lit(None).cast("double") for c in VALUE_COLUMNS}
+    for c in simple_cols:
+        values[c] = F.when(kind == c, lenient_float(F.col("_v")))
+    for c in CHANNEL_KEYS:
+        values[c] = lenient_float(F.col("_ch")[c])
+    # the fallback is decided on the parsed value before NaN -> NULL
+    values["pulse_tube"] = F.coalesce(values["pulse_tube"], lenient_float(F.col("_ch")["_compressor"]))
+    for c in GAUGE_CHANNELS:
+        values[c] = lenient_float(F.col("_ga")[c])
+    turbo_status = lenient_float(F.col("_st")["turbo_1_status"])
+    return staged.select("path", "name", "parent", "kind", "line_no", TS,
+                         *[values[c].alias(c) for c in VALUE_COLUMNS], turbo_status.alias("turbo_1_status"))
 
 
 def _present(c: str) -> Column:
