@@ -64,24 +64,26 @@ def split_csv(line: Column) -> Column:
     return F.when(F.instr(line, '"') == 0, F.split(line, ",", -1)).otherwise(quoted)
 
 
-def _fold_last(idx: Column, key_of, val_of, wanted: dict[str, str]) -> Column:
-    """One pass over the pair/chunk indices: for each wanted key the raw value
-    of its last occurrence (later pairs overwrite earlier ones); NULL if absent."""
-    init = F.struct(*[F.lit(None).cast("string").alias(name) for name in wanted])
+# NUL never occurs inside an accepted line (the source system's CSV reader
+# rejects it), so it is a safe separator for re-joined fields.
+_SEP = "\u0000"
+# one match = one (key, value) pair, consumed from the start: alignment is kept
+_PAIR = r"\s*([^\x00]*?)\s*\x00([^\x00]*)(?:\x00|$)"
+# one match = one gauge chunk of 4 to 6 items: channel (item 0) and value (item 3)
+_CHUNK = (r"\s*([^\x00]*?)\s*\x00[^\x00]*\x00[^\x00]*\x00([^\x00]*)"
+          r"(?:\x00[^\x00]*)?(?:\x00[^\x00]*)?(?:\x00|$)")
 
-    def merge(acc, i):
-        k, v = key_of(i), val_of(i)
-        return F.struct(*[F.when(k == F.lit(key), v).otherwise(acc[name]).alias(name)
-                          for name, key in wanted.items()])
 
-    return F.aggregate(idx, init, merge)
+def _kv(items: Column, pattern: str, case) -> tuple[Column, Column]:
+    """Keys and values of a field array as two aligned arrays (built-in regex, codegen)."""
+    text = case(F.array_join(items, _SEP))
+    return F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 2)
 
 
-def _pairs_last(payload: Column, wanted: dict[str, str]) -> Column:
-    n = F.size(payload)
-    idx = F.when(n >= 2, F.sequence(F.lit(0), (n / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    return _fold_last(idx, lambda i: F.lower(F.trim(F.element_at(payload, i * 2 + 1))),
-                      lambda i: F.element_at(payload, i * 2 + 2), wanted)
+def _last_of(keys: Column, vals: Column, key: str) -> Column:
+    """Raw value of the last occurrence of ``key`` (duplicate keys: last wins); NULL if absent."""
+    pos = F.array_position(F.reverse(keys), F.lit(key)).cast("int")
+    return F.when(pos > 0, F.element_at(F.reverse(vals), pos))
 
 
 def file_lines(files: DataFrame) -> DataFrame:
@@ -101,9 +103,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """One output row per accepted line with every value column (NULL
     where the kind has no such channel).
 
-    Each line is folded once (``aggregate``) into the raw texts of the keys it
-    needs, only for its own kind, in its own projection; the texts are then
-    parsed with L2.
+    Per line, only for its own kind, the key and value arrays are extracted
+    once (own projection), then each wanted key is looked up; no
+    higher-order functions, so the whole stage stays in generated code.
     """
     f, kind = F.col("f"), F.col("kind")
     n = F.size(f)
@@ -112,34 +114,35 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     np_ = F.size(payload)
     # L4 channels: odd payload drops its first item
     ch_payload = F.when(np_ % 2 == 1, F.slice(payload, 2, F.greatest(np_ - 1, F.lit(0)))).otherwise(payload)
-    ch_wanted = {**CHANNEL_KEYS, "_compressor": PULSE_TUBE_FALLBACK_KEY}
-    # L6 gauge: chunks of 6 starting at 0; chunks with fewer than 4 items are ignored
-    starts = F.when(np_ >= 4, F.sequence(F.lit(0), np_ - 4, F.lit(6))).otherwise(F.array().cast("array<int>"))
-    gauges = _fold_last(starts, lambda i: F.upper(F.trim(F.element_at(payload, i + 1))),
-                        lambda i: F.element_at(payload, i + 4), GAUGE_CHANNELS)
+    ch_k, ch_v = _kv(ch_payload, _PAIR, F.lower)
+    st_k, st_v = _kv(payload, _PAIR, F.lower)
+    ga_k, ga_v = _kv(payload, _CHUNK, F.upper)
     min_width = (F.when(kind.isin(simple_cols), 3).when(kind == "channels", 4).when(kind == "status", 4)
                  .when(kind == "maxigauge", 8))
     ts = parse_ts(F.element_at(f, 1), F.element_at(f, 2))
     accepted = (n >= min_width) & ts.isNotNull() & ((kind != "status") | (np_ % 2 == 0))
+    is_ch, is_st, is_ga = kind == "channels", kind == "status", kind == "maxigauge"
     staged = lines.select(
         "path", "name", "parent", "kind", "line_no", ts.alias(TS),
         F.when(kind.isin(simple_cols), F.element_at(f, 3)).alias("_v"),
-        F.when(kind == "channels", _pairs_last(ch_payload, ch_wanted)).alias("_ch"),
-        F.when(kind == "status", _pairs_last(payload, {"turbo_1_status": STATUS_TURBO_KEY})).alias("_st"),
-        F.when(kind == "maxigauge", gauges).alias("_ga"),
+        F.when(is_ch, ch_k).when(is_st, st_k).when(is_ga, ga_k).alias("_k"),
+        F.when(is_ch, ch_v).when(is_st, st_v).when(is_ga, ga_v).alias("_kv"),
         F.coalesce(accepted, F.lit(False)).alias("_ok"),
     ).filter("_ok")
 
+    keys, vals = F.col("_k"), F.col("_kv")
     values: dict[str, Column] = {c: F.lit(None).cast("double") for c in VALUE_COLUMNS}
     for c in simple_cols:
         values[c] = F.when(kind == c, lenient_float(F.col("_v")))
-    for c in CHANNEL_KEYS:
-        values[c] = lenient_float(F.col("_ch")[c])
+    for c, key in CHANNEL_KEYS.items():
+        values[c] = F.when(kind == "channels", lenient_float(_last_of(keys, vals, key)))
     # the fallback is decided on the parsed value before NaN -> NULL
-    values["pulse_tube"] = F.coalesce(values["pulse_tube"], lenient_float(F.col("_ch")["_compressor"]))
-    for c in GAUGE_CHANNELS:
-        values[c] = lenient_float(F.col("_ga")[c])
-    turbo_status = lenient_float(F.col("_st")["turbo_1_status"])
+    values["pulse_tube"] = F.when(kind == "channels", F.coalesce(
+        lenient_float(_last_of(keys, vals, CHANNEL_KEYS["pulse_tube"])),
+        lenient_float(_last_of(keys, vals, PULSE_TUBE_FALLBACK_KEY))))
+    for c, ch in GAUGE_CHANNELS.items():
+        values[c] = F.when(kind == "maxigauge", lenient_float(_last_of(keys, vals, ch)))
+    turbo_status = F.when(kind == "status", lenient_float(_last_of(keys, vals, STATUS_TURBO_KEY)))
     return staged.select("path", "name", "parent", "kind", "line_no", TS,
                          *[values[c].alias(c) for c in VALUE_COLUMNS], turbo_status.alias("turbo_1_status"))
 
