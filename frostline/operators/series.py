@@ -104,6 +104,20 @@ def dashboard_series(readings: DataFrame, *, hours: int = 24, max_points: int =
     return long.select(*k, "key", TS, scrub("value").alias("value")).filter(F.col("value").isNotNull())
 
 
+def coerce_points(points: DataFrame, *, keys=(), ts_col: str = TS, value_col: str = "value") -> DataFrame:
+    """text/loosely typed points -> ``(keys, ts_eastern, value)``.
+
+    Unparsable timestamps drop the point; unparsable values become NULL (the
+    point stays).  ISO text with ``T`` or space separators is accepted.
+    Ordering is left to the caller (R5: sort at the output edge).
+    """
+    k = keys_list(keys)
+    ts_text = F.regexp_replace(F.col(ts_col).cast("string"), "T", " ")
+    ts = ts_text.try_cast("timestamp_ntz")
+    val = F.col(value_col).cast("string").try_cast("double")
+    return points.select(*k, ts.alias(TS), val.alias("value")).filter(F.col(TS).isNotNull())
+
+
 def window_series(series: DataFrame, *, hours: int, as_of=None) -> DataFrame:
     """P3 on a long series."""
     start = window_start(resolve_as_of(series, as_of), hours)

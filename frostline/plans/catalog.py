@@ -100,6 +100,15 @@ def q_dashboard_series(spark, sf):
     return S.dashboard_series(_r(spark, sf), hours=168, max_points=100)
 
 
+def q_history_payload(spark, sf):
+    """History as API text (ISO time, value text), coerced back (P8) and sampled for a plot (R3, m=1200)."""
+    from frostline.functions.columns import iso_text
+    h = S.history(_r(spark, sf), "T_MXC", hours=720)
+    text = h.select(iso_text(TS).alias("ts_text"), F.col("value").cast("string").alias("value_text"))
+    pts = S.coerce_points(text, ts_col="ts_text", value_col="value_text")
+    return S.downsample(pts, 1200)
+
+
 def _series(spark, sf, keys=(), series_keys=tuple(DASHBOARD_KEYS)):
     return S.to_series(_r(spark, sf), keys=keys, series_keys=series_keys)
 
@@ -288,6 +297,7 @@ QUERIES = {
     "history_mxc": q_history_mxc,
     "history_sampled": q_history_sampled,
     "dashboard_series": q_dashboard_series,
+    "history_payload": q_history_payload,
     "duty_cycle": q_duty_cycle,
     "series_starts": q_series_starts,
     "series_starts_by_device": q_series_starts_by_device,

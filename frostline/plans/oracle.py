@@ -292,6 +292,10 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
         f"{R}, w AS (SELECT ts_eastern, T_MXC AS value, row_number() OVER (ORDER BY ts_eastern) - 1 AS p, "
         f"count(*) OVER () AS n FROM readings {_in_window(720)})\n"
         f"SELECT ts_eastern, value FROM w WHERE n <= 100 OR p % CAST(ceil(n / 100.0) AS BIGINT) = 0 OR p = n - 1")
+    q["history_payload"] = (
+        f"{R}, w AS (SELECT ts_eastern, T_MXC AS value, row_number() OVER (ORDER BY ts_eastern) - 1 AS p, "
+        f"count(*) OVER () AS n FROM readings {_in_window(720)})\n"
+        f"SELECT ts_eastern, value FROM w WHERE n <= 1200 OR p % CAST(ceil(n / 1200.0) AS BIGINT) = 0 OR p = n - 1")
     dk = ", ".join(DASHBOARD_KEYS)
     q["dashboard_series"] = (
         f"{R}, w AS (SELECT ts_eastern, {dk}, row_number() OVER (ORDER BY ts_eastern) - 1 AS p, "
