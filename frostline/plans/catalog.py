@@ -145,6 +145,15 @@ def q_last_valid_point(spark, sf):
     return S.last_valid_point(_series(spark, sf))
 
 
+def q_labeled_last_values(spark, sf):
+    """W8 per series labelled through the channel dimension (F13); the dimension
+    has a fixed 19 rows, so broadcasting it is size-bounded by construction."""
+    from frostline.schema import channels_dimension
+    lv = S.last_valid_point(_series(spark, sf))
+    return lv.join(F.broadcast(channels_dimension(spark)), "key", "left") \
+        .select("key", "label", "grp", "unit", "value", TS)
+
+
 def q_freshest_values(spark, sf):
     r = _r(spark, sf)
     a = resolve_as_of(r)
@@ -307,6 +316,7 @@ QUERIES = {
     "mxc_slope_by_device": q_mxc_slope_by_device,
     "last_valid_point": q_last_valid_point,
     "freshest_values": q_freshest_values,
+    "labeled_last_values": q_labeled_last_values,
     "overlay_records": q_overlay_records,
     "overlay_series": q_overlay_series,
     "stage_minutes": q_stage_minutes,

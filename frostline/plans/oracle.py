@@ -314,6 +314,16 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
     q["mxc_slope_by_device"] = f"{R}, mx AS (SELECT * FROM {_unpivot(['T_MXC'], dev=True)})\n{_slope('mx', True)}"
     q["last_valid_point"] = (f"{R}\nSELECT key, arg_max(value, ts_eastern) AS value, max(ts_eastern) AS ts_eastern "
                              f"FROM {_unpivot(DASHBOARD_KEYS)} GROUP BY key")
+    from frostline.schema import FLOW_KEYS, PRESSURE_KEYS, TEMPERATURE_KEYS
+    dim = ([(k, "temperature", "'K'") for k in TEMPERATURE_KEYS] + [(k, "pressure", "'mbar'") for k in PRESSURE_KEYS]
+           + [(k, "flow", "NULL") for k in FLOW_KEYS] + [(k, "state", "NULL") for k in STATE_KEYS]
+           + [(f"total_hours_{p}", "runtime", "'h'") for p in RUNTIME_PUMPS])
+    dim_sql = " UNION ALL ".join(f"SELECT '{k}' AS key, '{PRETTY_NAMES.get(k, k)}' AS label, '{g}' AS grp, "
+                                 f"CAST({u} AS VARCHAR) AS unit" for k, g, u in dim)
+    q["labeled_last_values"] = (
+        f"{R}, lv AS (SELECT key, arg_max(value, ts_eastern) AS value, max(ts_eastern) AS ts_eastern "
+        f"FROM {_unpivot(DASHBOARD_KEYS)} GROUP BY key), dim AS ({dim_sql})\n"
+        f"SELECT lv.key, dim.label, dim.grp, dim.unit, lv.value, lv.ts_eastern FROM lv LEFT JOIN dim USING (key)")
     q["freshest_values"] = (
         f"{R}, snap AS ({_latest(False, ['ts_eastern', *DASHBOARD_KEYS])}), "
         f"hist AS (SELECT * FROM {_unpivot(DASHBOARD_KEYS, _in_window(24))})\n"
