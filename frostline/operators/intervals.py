@@ -26,7 +26,7 @@ from frostline.functions.columns import (
     US_PER_HOUR, bucket_of, from_micros, is_on, keys_list, micros, resolve_as_of, window_start,
 )
 from frostline.schema import (
-    COLD_THRESHOLD_K, DEFAULT_BUCKET_US, METRICS_LATEST_COLUMNS, MINMAX_24H_COLUMNS,
+    COLD_THRESHOLD_K, DEFAULT_BUCKET_US, MINMAX_24H_COLUMNS,
     RUNTIME_PUMPS, TS,
 )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline.functions.columns import (
-    bucket_of, from_micros, keys_list, micros, missing, nan_to_null,
+    bucket_of, from_micros, keys_list, micros, nan_to_null,
 )
 from frostline.functions.fmt import fmt_temp
 from frostline.operators.series import (
@@ -184,4 +184,4 @@ def state_hours(readings: DataFrame, *, keys=(), bucket_us: int = DEFAULT_BUCKET
     return tl.groupBy(*k, "label").agg(hours.alias("hours"), F.count(F.lit(1)).alias("buckets"))
 
 
-__all__ = ["classify", "fridge_state", "state_timeline", "state_hours", "missing"]
+__all__ = ["classify", "fridge_state", "state_timeline", "state_hours"]

@@ -147,4 +147,4 @@ def cold_summary(readings: DataFrame, *, hours: int = 24, as_of=None, keys=(),
 
 
 __all__ = ["metrics", "latest", "dashboard", "health", "synthesize_snapshot", "ops_summary",
-           "cold_summary", "resolve_as_of", "MINMAX_24H_COLUMNS"]
+           "cold_summary"]
