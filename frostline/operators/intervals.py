@@ -27,7 +27,7 @@ from frostline.functions.columns import (
 )
 from frostline.schema import (
     COLD_THRESHOLD_K, DEFAULT_BUCKET_US, MINMAX_24H_COLUMNS,
-    RUNTIME_PUMPS, TS,
+    HOUR_US, MINUTE_US, RUNTIME_PUMPS, TS,
 )
 
 STARTS_PUMPS = ["pulse_tube", "turbo_1", "scroll_1", "scroll_2"]
@@ -252,3 +252,21 @@ def latest_row(readings: DataFrame, *, keys=(), columns=None) -> DataFrame:
     res = readings.groupBy(*k).agg(*aggs)
     # an empty table has no latest row (a global aggregate would give a NULL row)
     return res.filter(F.col(TS if TS in cols else "_ts").isNotNull()).select(*k, *cols)
+
+
+def suggest_bucket_us(readings: DataFrame, *, keys=(), target_rows: int = 2_000_000) -> int:
+    """Pick the largest bucket (1 day ... 1 minute) whose densest ``(keys, bucket)``
+    cell stays under ``target_rows`` rows, from the densest hour of the data.
+
+    One aggregate job (partial aggregation; one row per key and hour leaves the
+    tasks) and a single scalar to the driver.  The bucket bounds the rows one
+    window task sorts, so a device holding a large share of all rows is still
+    split into many small tasks.
+    """
+    k = keys_list(keys)
+    per_hour = readings.groupBy(*k, bucket_of(micros(TS), HOUR_US).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    densest = per_hour.agg(F.max("_n")).first()[0] or 0
+    for size in (24 * HOUR_US, 6 * HOUR_US, HOUR_US, 10 * MINUTE_US):
+        if densest * size / HOUR_US <= target_rows:
+            return size
+    return MINUTE_US
