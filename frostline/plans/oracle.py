@@ -395,6 +395,29 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
         + _pivot("(SELECT key, arg_max(value, ts_eastern) AS value FROM hist GROUP BY key)", DASHBOARD_KEYS, False)
         + "), lt AS (SELECT max(ts_eastern) AS hts FROM hist), h AS (SELECT max(ts_eastern) AS lts FROM readings)\n"
         f"SELECT {', '.join(snap_sel)} FROM m, lv, lt, h")
+    def miss(x, body):
+        return f"CASE WHEN {x} IS NULL OR isnan({x}) THEN '—' ELSE {body} END"
+
+    def ftemp(x, always_mk):
+        arm = f"WHEN abs({x}) < 1.0 THEN format('{{:,.1f}} mK', {x} * 1000.0) " if always_mk else ""
+        return miss(x, f"CASE {arm}WHEN abs({x}) < 0.1 THEN printf('%.1f mK', {x} * 1000.0) "
+                       f"WHEN abs({x}) < 10 THEN printf('%.3f K', {x}) ELSE printf('%.2f K', {x}) END")
+
+    fp = miss("P1", "CASE WHEN P1 = 0 THEN '0 mbar' WHEN abs(P1) < 0.01 OR abs(P1) >= 1000 THEN printf('%.2e mbar', P1) "
+                    "WHEN abs(P1) < 1 THEN printf('%.4f mbar', P1) WHEN abs(P1) < 100 THEN printf('%.3f mbar', P1) "
+                    "ELSE printf('%.1f mbar', P1) END")
+    fem = miss("T_Still", "CASE WHEN abs(T_Still) < 0.5 THEN format('{:,.1f} mK', T_Still * 1000.0) "
+                          "WHEN abs(T_Still) < 10 THEN printf('%.3f K', T_Still) ELSE printf('%.2f K', T_Still) END")
+    flow = miss("Flow", "printf('%.4f', Flow)")
+    hours = miss("total_hours_pulse_tube", "format('{:,.1f} h', total_hours_pulse_tube)")
+    count = miss("pulse_tube_starts_24h", "CAST(CAST(round_even(pulse_tube_starts_24h, 0) AS BIGINT) AS VARCHAR)")
+    state = ("CASE WHEN pulse_tube IS NULL OR isnan(pulse_tube) THEN 'Unknown' "
+             "WHEN pulse_tube >= 0.5 THEN 'On' ELSE 'Off' END")
+    mb = _metrics(True).rsplit("\nSELECT ", 1)
+    q["formatted_metrics"] = (
+        f"{mb[0]}, m AS (SELECT {mb[1]})\nSELECT device_id, {ftemp('T_MXC', True)} AS mxc, "
+        f"{ftemp('T_50K', False)} AS t50k, {fp} AS p1, {flow} AS flow, {hours} AS pt_hours, {count} AS pt_starts, "
+        f"{state} AS pt_state, {fem} AS still_em FROM m")
     simple = ["T_50K", "T_4K", "T_Still", "T_MXC", "Flow"]
     every = ["P1", "P2", "P3", "P4", "P5", "P6", "scroll_1", "scroll_2", "turbo_1", "pulse_tube"]
     q["ingest_roundtrip"] = (
