@@ -104,3 +104,13 @@ def test_no_single_partition_exchange_on_raw_rows(spark):
     # the exchange right above the scan is hash-partitioned by the bucket
     assert "hashpartitioning(_b" in plan
     assert raw.count("SinglePartition") <= 1
+
+
+def test_per_device_metrics_plan_has_no_single_partition(spark):
+    from frostline.plans import queries as Q
+    r = readings_from_events(spark, SF01)
+    plan = Q.metrics(r, as_of="2024-01-30 23:57:12", keys=["device_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert "hashpartitioning(device_id" in plan and "_b" in plan
+    assert plan.count("FileScan parquet") == 2          # full history once, pruned 24 h window once
+    assert "GreaterThanOrEqual(ts,2024-01-29T23:57:12)" in plan
