@@ -96,14 +96,21 @@ def test_window_filter_reaches_parquet_scan(spark):
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in plan
 
 
-def test_no_single_partition_exchange_on_raw_rows(spark):
-    """The only global exchange of the global (one device) plan is above the bucket partials."""
+def test_single_partition_only_above_bucket_partials(spark):
+    """Single device: the only SinglePartition exchange carries the bucket table
+    (above the per-bucket aggregate), never raw rows."""
     r = readings_from_events(spark, SF01)
-    plan = I.history_stats(r)._jdf.queryExecution().executedPlan().toString()
-    raw = plan.split("Scan parquet")[0]
-    # the exchange right above the scan is hash-partitioned by the bucket
-    assert "hashpartitioning(_b" in plan
-    assert raw.count("SinglePartition") <= 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = I.history_stats(r)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    single = [i for i, line in enumerate(plan) if "Exchange SinglePartition" in line]
+    raw = [i for i, line in enumerate(plan) if "Exchange hashpartitioning(_b" in line]
+    agg = [i for i, line in enumerate(plan) if "HashAggregate(keys=[_b" in line]
+    assert len(single) == 1 and len(raw) == 1 and agg
+    # tree printed top-down: SinglePartition, then the bucket aggregate, then the raw-row exchange
+    assert single[0] < min(agg) < raw[0]
 
 
 def test_per_device_metrics_plan_has_no_single_partition(spark):
