@@ -237,7 +237,7 @@ def slope(series: DataFrame, *, lookback_hours: int = 3, tail_rows: int = 12, ke
                 F.min_by("_v", t).alias(f"{prefix}v0"), F.max_by("_v", t).alias(f"{prefix}v1"),
                 F.min(t).alias(f"{prefix}t0"), F.max(t).alias(f"{prefix}t1")]
 
-    win = tagged.groupBy(*g).agg(F.first("_n").alias("_n"), *endpoint_aggs("w_", F.col("_in")))
+    win = tagged.groupBy(*g).agg(F.max("_n").alias("_n"), *endpoint_aggs("w_", F.col("_in")))
     tl = tail.groupBy(*g).agg(*endpoint_aggs("t_", F.lit(True)))
     both = win.join(tl, g, "left")
     use_w = F.col("w_rows") >= 2
