@@ -1,11 +1,13 @@
 """Parse raw log text into wide readings rows as Spark column expressions.
 
-One input row per file (``binaryFile`` content decoded as UTF-8; one file is
-one record, so line order is known).  Lines are exploded with their position,
-split into CSV fields (quote aware), parsed per file kind with array
-higher-order functions, and assembled per ``(source, timestamp)`` with one
-conditional ``max_by`` per column: the outer merge of per-file frames becomes
-a single shuffle on ``(source_file, ts_eastern)``; no join, no Python UDF.
+Logs are read in line mode (``spark.read.text``), so a large file is split
+across tasks like any text input.  Line order inside a file is recovered from
+``(_metadata.file_block_start, monotonically_increasing_id())``: a file split
+is read by one task, in order.  Lines are split into CSV fields (quote aware),
+parsed per file kind with built-in regex/array functions, and assembled per
+``(source, timestamp)`` with one conditional ``max_by`` per column: the outer
+merge of per-file frames becomes a single shuffle on ``(source_file,
+ts_eastern)``; no join, no Python UDF.
 """
 
 from __future__ import annotations
@@ -86,16 +88,10 @@ def _last_of(keys: Column, vals: Column, key: str) -> Column:
     return F.when(pos > 0, F.element_at(F.reverse(vals), pos))
 
 
-def file_lines(files: DataFrame) -> DataFrame:
-    """``(path, name, parent, kind, line_no, fields)`` from decoded file content.
-
-    A leading BOM is stripped; blank lines are skipped (lines of spaces give one
-    field and are removed by the width filters).
-    """
-    text = F.regexp_replace(F.decode(F.col("content"), "UTF-8"), "^\ufeff", "")
-    lines = files.select("path", "name", "parent", "kind",
-                         F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
-    return lines.filter(F.col("line") != "").select("path", "name", "parent", "kind", "line_no",
+def file_lines(lines: DataFrame) -> DataFrame:
+    """``(path, name, parent, kind, _blk, line_no, f)``: blank lines dropped,
+    fields split (the text reader already strips a leading BOM and CR/LF)."""
+    return lines.filter(F.col("line") != "").select("path", "name", "parent", "kind", "_blk", "line_no",
                                                    split_csv(F.col("line")).alias("f"))
 
 
@@ -123,7 +119,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     accepted = (n >= min_width) & ts.isNotNull() & ((kind != "status") | (np_ % 2 == 0))
     is_ch, is_st, is_ga = kind == "channels", kind == "status", kind == "maxigauge"
     staged = lines.select(
-        "path", "name", "parent", "kind", "line_no", ts.alias(TS),
+        "path", "name", "parent", "kind", "_blk", "line_no", ts.alias(TS),
         F.when(kind.isin(simple_cols), F.element_at(f, 3)).alias("_v"),
         F.when(is_ch, ch_k).when(is_st, st_k).when(is_ga, ga_k).alias("_k"),
         F.when(is_ch, ch_v).when(is_st, st_v).when(is_ga, ga_v).alias("_kv"),
@@ -143,7 +139,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     for c, ch in GAUGE_CHANNELS.items():
         values[c] = F.when(kind == "maxigauge", lenient_float(_last_of(keys, vals, ch)))
     turbo_status = F.when(kind == "status", lenient_float(_last_of(keys, vals, STATUS_TURBO_KEY)))
-    return staged.select("path", "name", "parent", "kind", "line_no", TS,
+    return staged.select("path", "name", "parent", "kind", "_blk", "line_no", TS,
                          *[values[c].alias(c) for c in VALUE_COLUMNS], turbo_status.alias("turbo_1_status"))
 
 
@@ -163,7 +159,7 @@ def assemble(parsed: DataFrame) -> DataFrame:
     column (NULL values included, files in name order, then line order);
     ``turbo_1`` falls back to the status log; NaN -> NULL; fixed column order.
     """
-    order = F.struct("name", "line_no")
+    order = F.struct("name", "_blk", "line_no")
     aggs = [F.max_by(F.col(c), F.when(_present(c), order)).alias(c) for c in VALUE_COLUMNS]
     aggs.append(F.max_by(F.col("turbo_1_status"), F.when(F.col("kind") == "status", order)).alias("turbo_1_status"))
     wide = parsed.groupBy(F.col("parent").alias("source_file"), TS).agg(*aggs)
@@ -185,16 +181,23 @@ def assemble(parsed: DataFrame) -> DataFrame:
     return wide.select(*cols)
 
 
-def read_sources(spark: SparkSession, source_paths: list[str]) -> DataFrame:
-    """Read the ``*.log`` files directly inside each source folder (content included)."""
-    df = (spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(source_paths))
+def read_source_lines(spark: SparkSession, source_paths: list[str]) -> DataFrame:
+    """Lines of the ``*.log`` files directly inside each source folder.
+
+    ``_metadata.file_path`` is percent-encoded; ``+`` is protected before
+    decoding so that it does not turn into a space.
+    """
+    df = spark.read.option("pathGlobFilter", "*.log").text(source_paths)
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    lines = df.select(path.alias("path"), F.col("_metadata.file_block_start").alias("_blk"),
+                      F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     parent = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
-    return df.select("path", name.alias("name"), parent.alias("parent"), "content") \
+    return lines.select("path", name.alias("name"), parent.alias("parent"), "_blk", "line_no", "line") \
         .withColumn("kind", log_kind(F.col("name")))
 
 
 def build_readings(spark: SparkSession, source_paths: list[str]) -> DataFrame:
-    """L7 for many sources in one job: files -> lines -> parsed -> wide rows."""
-    files = read_sources(spark, source_paths).filter(F.col("kind").isNotNull())
-    return assemble(parse_lines(file_lines(files)))
+    """L7 for many sources in one job: lines -> parsed -> wide rows."""
+    lines = read_source_lines(spark, source_paths).filter(F.col("kind").isNotNull())
+    return assemble(parse_lines(file_lines(lines)))
