@@ -115,6 +115,15 @@ def resolve_as_of(df: DataFrame, as_of=None, ts: str = TS):
     return ts_literal(as_of)
 
 
+def since(df: DataFrame, start: Column, ts: str = TS) -> DataFrame:
+    """``ts >= start`` plus, when the frame has a ``day`` partition column, the
+    matching ``day >= to_date(start)`` predicate so whole partitions are pruned."""
+    out = df.filter(F.col(ts) >= start)
+    if "day" in df.columns:
+        out = out.filter(F.col("day") >= F.to_date(start))
+    return out
+
+
 def window_start(as_of_col: Column, hours: int) -> Column:
     return as_of_col - F.expr(f"INTERVAL {int(hours)} HOURS")
 

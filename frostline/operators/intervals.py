@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline.functions.columns import (
-    US_PER_HOUR, bucket_of, from_micros, is_on, keys_list, micros, resolve_as_of, window_start,
+    US_PER_HOUR, bucket_of, from_micros, is_on, keys_list, micros, resolve_as_of, since, ts_literal,
+    window_start,
 )
 from frostline.schema import (
     COLD_THRESHOLD_K, DEFAULT_BUCKET_US, MINMAX_24H_COLUMNS,
@@ -185,7 +186,7 @@ def window_stats(readings: DataFrame, *, as_of=None, hours: int = 24, keys=(),
     k = keys_list(keys)
     pumps, minmax = list(pumps), list(minmax)
     start = window_start(resolve_as_of(readings, as_of), hours)
-    recent = readings.filter(F.col(TS) >= start)
+    recent = since(readings, start)
     base = _bucketed(recent, k, [*[is_on(p).alias(f"_on{i}") for i, p in enumerate(pumps)],
                                  *[F.col(c).alias(f"_m{j}") for j, c in enumerate(minmax)]], bucket_us)
     w = Window.partitionBy(*k, "_b").orderBy("_us")
@@ -231,25 +232,31 @@ def window_minmax(readings: DataFrame, *, as_of=None, hours: int = 24, keys=(),
     k = keys_list(keys)
     start = window_start(resolve_as_of(readings, as_of), hours)
     aggs = [f(c).alias(f"{c}_{n}_24h") for c in columns for f, n in ((F.min, "min"), (F.max, "max"))]
-    return readings.filter(F.col(TS) >= start).groupBy(*k).agg(*aggs)
+    return since(readings, start).groupBy(*k).agg(*aggs)
 
 
 # ---------------------------------------------------------------------------
 # Latest row
 # ---------------------------------------------------------------------------
 
-def latest_row(readings: DataFrame, *, keys=(), columns=None) -> DataFrame:
+def latest_row(readings: DataFrame, *, keys=(), columns=None, floor=None) -> DataFrame:
     """The row with the greatest timestamp, per key (NULLs kept as stored).
 
-    ``max_by`` per column is a partial (map-side) aggregate: no sort, no
-    window; each task ships one row per key.
+    Two phases: the per-key latest time reads only ``(keys, ts)``; the smallest
+    of those (``floor``, one scalar) is a literal lower bound that every key's
+    latest row satisfies, so the value columns are read only from row groups
+    and ``day`` partitions at or after it.  Then ``max_by`` per column: a
+    partial (map-side) aggregate, no sort, no window.
     """
     k = keys_list(keys)
     cols = list(columns) if columns is not None else [c for c in readings.columns if c not in k]
+    if floor is None:
+        floor = readings.groupBy(*k).agg(F.max(TS).alias("_mx")).agg(F.min("_mx")).first()[0]
+    recent = readings if floor is None else since(readings, ts_literal(floor))
     aggs = [F.max(TS).alias(TS) if c == TS else F.max_by(F.col(c), F.col(TS)).alias(c) for c in cols]
     if TS not in cols:
         aggs.append(F.max(TS).alias("_ts"))
-    res = readings.groupBy(*k).agg(*aggs)
+    res = recent.groupBy(*k).agg(*aggs)
     # an empty table has no latest row (a global aggregate would give a NULL row)
     return res.filter(F.col(TS if TS in cols else "_ts").isNotNull()).select(*k, *cols)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from frostline.functions.columns import (
     bucket_of, check_hours, check_points, is_on, keys_list, micros, missing, nan_to_null,
-    resolve_as_of, scrub, window_start,
+    resolve_as_of, scrub, since, window_start,
 )
 from frostline.operators import intervals as I
 from frostline.schema import (
@@ -85,7 +85,7 @@ def history(readings: DataFrame, key: str, *, hours: int = 24, max_points: int |
     check_points(max_points)
     k = keys_list(keys)
     start = window_start(resolve_as_of(readings, as_of), hours)
-    win = readings.filter(F.col(TS) >= start).select(*k, TS, F.col(key).cast("double").alias("value"))
+    win = since(readings, start).select(*k, TS, F.col(key).cast("double").alias("value"))
     win = downsample(win, max_points, keys=k, bucket_us=bucket_us)
     return win.select(*k, TS, scrub("value").alias("value")).orderBy(*k, TS)
 
@@ -98,7 +98,7 @@ def dashboard_series(readings: DataFrame, *, hours: int = 24, max_points: int =
     check_points(max_points, optional=False)
     k = keys_list(keys)
     start = window_start(resolve_as_of(readings, as_of), hours)
-    win = readings.filter(F.col(TS) >= start).select(*k, TS, *series_keys)
+    win = since(readings, start).select(*k, TS, *series_keys)
     win = downsample(win, max_points, keys=k, bucket_us=bucket_us)
     long = to_series(win, keys=k, series_keys=series_keys, drop_nulls=False)
     return long.select(*k, "key", TS, scrub("value").alias("value")).filter(F.col("value").isNotNull())
@@ -121,7 +121,7 @@ def coerce_points(points: DataFrame, *, keys=(), ts_col: str = TS, value_col: st
 def window_series(series: DataFrame, *, hours: int, as_of=None) -> DataFrame:
     """P3 on a long series."""
     start = window_start(resolve_as_of(series, as_of), hours)
-    return series.filter(F.col(TS) >= start)
+    return since(series, start)
 
 
 # ---------------------------------------------------------------------------

@@ -32,19 +32,19 @@ def metrics(readings: DataFrame, *, as_of=None, keys=(), bucket_us: int = DEFAUL
     """Q3: latest row + 24 h min/max + cold hours + cold streak + starts + runtime hours.
 
     34 columns in the source system's order; the runtime counters replace the
-    stored (NULL) ``total_hours_*`` in place.  Two scans: the full history
-    (one bucket-partial pass for W1-W3 and the latest row) and the pushed-down
-    24 h window.
+    stored (NULL) ``total_hours_*`` in place.  Scans: the full history of the
+    six columns W1-W3 need (one bucket-partial pass), the latest row (R1, value
+    columns read only from recent row groups) and the pushed-down 24 h window.
     """
     k = keys_list(keys)
     a = resolve_as_of(readings, as_of)
-    lcols = [c for c in METRICS_LATEST_COLUMNS if c not in RUNTIME_COLUMNS and c != TS]
+    latest = I.latest_row(readings, keys=k,
+                          columns=[c for c in METRICS_LATEST_COLUMNS if c not in RUNTIME_COLUMNS])
     win = I.window_stats(readings, as_of=a, hours=24, keys=k, bucket_us=bucket_us).drop("rows_in_window")
-    # one full-history pass: W1-W3 partials and the latest row (R1) together
-    hist = I.history_stats(readings, keys=k, bucket_us=bucket_us, latest_columns=lcols) \
-        .select(*k, F.col("latest_ts").alias(TS), *lcols, *RUNTIME_COLUMNS,
-                "hours_below_20mK_total", "hours_below_20mK_current")
-    out = S.combine([hist, win], keys=k).filter(F.col(TS).isNotNull())
+    # the full-history pass reads only ts, the pump states and T_MXC
+    hist = I.history_stats(readings, keys=k, bucket_us=bucket_us) \
+        .select(*k, *RUNTIME_COLUMNS, "hours_below_20mK_total", "hours_below_20mK_current")
+    out = S.combine([latest, win, hist], keys=k).filter(F.col(TS).isNotNull())
     return scrub_frame(out.select(*k, *METRICS_COLUMNS))
 
 
