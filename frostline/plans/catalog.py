@@ -265,6 +265,25 @@ def q_ingest_roundtrip(spark, sf):
     return out.select(TS, *ROUNDTRIP_COLUMNS, F.regexp_extract("source_file", r"([^/]+)$", 1).alias("source_day"))
 
 
+def q_changed_sources(spark, sf):
+    """Render every event to raw logs, list them, sign each day folder and diff
+    against an empty manifest (every folder is new)."""
+    from frostline.session import scratch_path
+    from frostline.sources.logfiles import changed_sources, list_log_files, source_folders
+    from frostline.sources.render import write_logs
+    logs = write_logs(spark, _r(spark, sf), scratch_path(spark, "changed"))
+    src = changed_sources(source_folders(list_log_files(spark, logs), logs), None)
+    return src.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source_day"), "n_files",
+                      (F.col("size_bytes") > 0).alias("has_bytes"), (F.col("mtime_ns") > 0).alias("has_mtime"))
+
+
+def q_em_latest_by_device(spark, sf):
+    r = _r(spark, sf)
+    snap = I.latest_row(r, keys=DEV, columns=[TS, *DASHBOARD_KEYS])
+    out = E.em_latest(snap, S.to_series(r, keys=DEV), keys=DEV)
+    return out.select(*[F.round(c, 6).alias(c) if c.startswith("teff_") else F.col(c) for c in out.columns])
+
+
 def _drain(spark, name, df, mode="append"):
     from frostline.session import scratch_path
     from frostline.streaming.streams import run_available_now
@@ -322,6 +341,7 @@ QUERIES = {
     "stage_minutes": q_stage_minutes,
     "em_history": q_em_history,
     "em_latest": q_em_latest,
+    "em_latest_by_device": q_em_latest_by_device,
     "fridge_state": q_fridge_state,
     "fridge_state_by_device": q_fridge_state_by_device,
     "state_hours": q_state_hours,
@@ -330,6 +350,7 @@ QUERIES = {
     "snapshot": q_snapshot,
     "formatted_metrics": q_formatted_metrics,
     "ingest_roundtrip": q_ingest_roundtrip,
+    "changed_sources": q_changed_sources,
     "stream_minutes": q_stream_minutes,
     "stream_counters": q_stream_counters,
     "stream_minmax": q_stream_minmax,

@@ -350,12 +350,17 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
     missing = "NULLIF(concat_ws(', ', " + ", ".join(
         f"CASE WHEN {s} IS NULL THEN '{PRETTY_NAMES[s]}' END" for s in EM_STAGE_KEYS) + "), '')"
     complete = " AND ".join(f"{s} IS NOT NULL" for s in EM_STAGE_KEYS)
-    q["em_latest"] = (
-        f"{R}, snap AS ({_latest(False, ['ts_eastern', *DASHBOARD_KEYS])}), ser AS (SELECT * FROM "
-        f"{_unpivot(DASHBOARD_KEYS)}), fr AS ({_pivot('(' + _fresh('snap', 'ser', EM_STAGE_KEYS, False) + ')', EM_STAGE_KEYS, False)})\n"
-        f"SELECT {', '.join(EM_STAGE_KEYS)}, {missing} AS missing_stages, "
-        + ", ".join(f"CASE WHEN {complete} THEN round({ch[s]}, 6) END AS teff_{s}" for s in EM_STAGE_KEYS)
-        + " FROM fr")
+    def em_latest(dev: bool) -> str:
+        g = "device_id, " if dev else ""
+        ser = _unpivot(DASHBOARD_KEYS, dev=dev)
+        fr = _pivot("(" + _fresh("snap", "ser", EM_STAGE_KEYS, dev) + ")", EM_STAGE_KEYS, dev)
+        return (f"{R}, snap AS ({_latest(dev, ['ts_eastern', *DASHBOARD_KEYS])}), ser AS (SELECT * FROM {ser}), "
+                f"fr AS ({fr})\nSELECT {g}{', '.join(EM_STAGE_KEYS)}, {missing} AS missing_stages, "
+                + ", ".join(f"CASE WHEN {complete} THEN round({ch[s]}, 6) END AS teff_{s}" for s in EM_STAGE_KEYS)
+                + " FROM fr")
+
+    q["em_latest"] = em_latest(False)
+    q["em_latest_by_device"] = em_latest(True)
     q["fridge_state"] = _fridge(False, 24)
     q["fridge_state_by_device"] = _fridge(True, 72)
     q["state_hours"] = _state_hours()
@@ -418,6 +423,13 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
         f"{mb[0]}, m AS (SELECT {mb[1]})\nSELECT device_id, {ftemp('T_MXC', True)} AS mxc, "
         f"{ftemp('T_50K', False)} AS t50k, {fp} AS p1, {flow} AS flow, {hours} AS pt_hours, {count} AS pt_starts, "
         f"{state} AS pt_state, {fem} AS still_em FROM m")
+    kinds = " UNION ALL ".join(
+        [f"SELECT DISTINCT CAST(ts_eastern AS DATE) AS d, '{c}' AS kind FROM readings WHERE {c} IS NOT NULL"
+         for c in ("T_50K", "T_4K", "T_Still", "T_MXC", "Flow")]
+        + [f"SELECT DISTINCT CAST(ts_eastern AS DATE) AS d, '{k}' AS kind FROM readings" for k in ("channels", "maxigauge")])
+    q["changed_sources"] = (
+        f"{R}, k AS ({kinds})\nSELECT strftime(d, '%y-%m-%d') AS source_day, count(*) AS n_files, "
+        f"true AS has_bytes, true AS has_mtime FROM k GROUP BY d")
     simple = ["T_50K", "T_4K", "T_Still", "T_MXC", "Flow"]
     every = ["P1", "P2", "P3", "P4", "P5", "P6", "scroll_1", "scroll_2", "turbo_1", "pulse_tube"]
     q["ingest_roundtrip"] = (
