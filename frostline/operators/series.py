@@ -93,7 +93,8 @@ def history(readings: DataFrame, key: str, *, hours: int = 24, max_points: int |
 def dashboard_series(readings: DataFrame, *, hours: int = 24, max_points: int = 1200,
                      as_of=None, keys=(), series_keys=tuple(DASHBOARD_KEYS),
                      bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
-    """Q4 series part: window, downsample the *wide* rows, then P6 (drop NULLs)."""
+    """Q4 series part: window, downsample the *wide* rows, then P6 (drop missing
+    points), then P7 (an infinite value becomes a NULL value, the point stays)."""
     check_hours(hours)
     check_points(max_points, optional=False)
     k = keys_list(keys)
@@ -101,7 +102,8 @@ def dashboard_series(readings: DataFrame, *, hours: int = 24, max_points: int =
     win = since(readings, start).select(*k, TS, *series_keys)
     win = downsample(win, max_points, keys=k, bucket_us=bucket_us)
     long = to_series(win, keys=k, series_keys=series_keys, drop_nulls=False)
-    return long.select(*k, "key", TS, scrub("value").alias("value")).filter(F.col("value").isNotNull())
+    # missing points (NULL/NaN) are dropped first; +-inf points stay, with a NULL value
+    return long.filter(~missing("value")).select(*k, "key", TS, scrub("value").alias("value"))
 
 
 def coerce_points(points: DataFrame, *, keys=(), ts_col: str = TS, value_col: str = "value") -> DataFrame:

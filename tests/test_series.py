@@ -88,3 +88,11 @@ def test_freshest_values(spark):
     out = {r.key: r.value for r in S.freshest_values(snap, hist, series_keys=["T_MXC", "T_4K"]).collect()}
     # history older than the snapshot -> snapshot value; snapshot missing -> history
     assert out == {"T_MXC": 1.0, "T_4K": 3.0}
+
+
+def test_dashboard_series_keeps_infinite_points_as_null(spark):
+    df = rows_df(spark, [("2024-01-01 00:00:00", float("inf"), None), ("2024-01-01 00:01:00", float("nan"), 2.0)],
+                 ["T_MXC", "T_4K"])
+    out = sorted((r.key, str(r.ts_eastern), r.value) for r in
+                 S.dashboard_series(df, hours=1, max_points=100, series_keys=["T_MXC", "T_4K"]).collect())
+    assert out == [("T_4K", "2024-01-01 00:01:00", 2.0), ("T_MXC", "2024-01-01 00:00:00", None)]
