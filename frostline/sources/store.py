@@ -4,6 +4,7 @@ Layout below ``store_root`` (any Hadoop path, normally under the shared
 ``spark.checkpoint.dir`` or a warehouse folder)::
 
     raw/batch_id=<id>/day=<yyyy-mm-dd>/part-*.parquet   parsed wide rows
+    hours/part-*.parquet                                 (source_file, day, _h, batch_id): hours each batch covers
     manifest/part-*.parquet                              (path, size, mtime, ingested_at, batch_id)
 
 A pass writes the rebuilt sources as a new batch, then appends one manifest row
@@ -37,6 +38,10 @@ def _manifest_path(root: str) -> str:
     return f"{root.rstrip('/')}/manifest"
 
 
+def _hours_path(root: str) -> str:
+    return f"{root.rstrip('/')}/hours"
+
+
 def read_manifest(spark: SparkSession, store_root: str) -> DataFrame | None:
     p = _manifest_path(store_root)
     if not path_exists(spark, p):
@@ -54,14 +59,13 @@ def read_raw(spark: SparkSession, store_root: str) -> DataFrame | None:
 def readings(spark: SparkSession, store_root: str, *, dedupe: bool = True) -> DataFrame:
     """S8 + S10: the current readings table.
 
-    Rows of the current batch of each source (semi-join with the latest
-    manifest row per source; one manifest row per source folder) and, with
-    ``dedupe``, one row per timestamp: the later-ingested source wins the whole
-    row.  Only rows of hours touched by more than one live source can collide,
-    so only those are shuffled by timestamp; a distinct ``(hour, source)``
-    aggregate (one row per hour and source) finds them.  All other rows pass
-    through without a shuffle.  The ``day`` partition column stays available
-    for pruning.
+    Rows of the current batch of each source (join with the latest manifest
+    row per source; one manifest row per source folder) and, with ``dedupe``,
+    one row per timestamp: the later-ingested source wins the whole row.  Only
+    hours covered by more than one live source can collide; they come from the
+    small hour index written at ingest, so the raw table is scanned once for
+    the pass-through rows and only the ``day`` partitions with overlaps are
+    read again and shuffled by timestamp.  ``day`` stays available for pruning.
     """
     raw, man = read_raw(spark, store_root), read_manifest(spark, store_root)
     if raw is None or man is None:
@@ -72,14 +76,24 @@ def readings(spark: SparkSession, store_root: str, *, dedupe: bool = True) -> Da
         .withColumn("_h", bucket_of(micros(TS), HOUR_US))
     if not dedupe:
         return live.select(*READING_COLUMNS, "day")
-    shared = live.select("_h", "source_file").distinct().groupBy("_h").agg(F.count(F.lit(1)).alias("_ns")) \
-        .filter(F.col("_ns") > 1).select("_h")
-    single = live.join(shared, "_h", "left_anti")
-    multi = live.join(shared, "_h", "left_semi")
+    hp = _hours_path(store_root)
+    if path_exists(spark, hp):
+        covered = spark.read.parquet(hp).join(cur.select("source_file", "batch_id"), ["source_file", "batch_id"])
+    else:  # stores written before the index existed
+        covered = live.select("source_file", "day", "_h").distinct()
+    shared = covered.groupBy("day", "_h").agg(F.count_distinct("source_file").alias("_ns")) \
+        .filter(F.col("_ns") > 1).select("day", "_h")
+    # days with overlaps: one row per day at most, used as a partition filter
+    days = [r.day for r in shared.select("day").distinct().collect()]
+    single = live.join(shared, ["day", "_h"], "left_anti")
     cols = [c for c in READING_COLUMNS if c != TS] + ["day"]
-    win = F.struct("_ing", "source_file")
-    best = multi.groupBy(TS).agg(*[F.max_by(c, win).alias(c) for c in cols])
-    return single.select(*READING_COLUMNS, "day").unionByName(best.select(*READING_COLUMNS, "day"))
+    out = single.select(*READING_COLUMNS, "day")
+    if days:
+        multi = live.filter(F.col("day").isin(days)).join(shared, ["day", "_h"], "left_semi")
+        win = F.struct("_ing", "source_file")
+        best = multi.groupBy(TS).agg(*[F.max_by(c, win).alias(c) for c in cols])
+        out = out.unionByName(best.select(*READING_COLUMNS, "day"))
+    return out
 
 
 def ingest_sources(spark: SparkSession, store_root: str, sources: list[tuple[str, int, int]],
@@ -92,6 +106,13 @@ def ingest_sources(spark: SparkSession, store_root: str, sources: list[tuple[str
         .withColumn("day", F.to_date(TS))
     # one task per (batch, day) folder keeps files few and day pruning effective
     wide.repartition("day").write.mode("append").partitionBy("batch_id", "day").parquet(_raw_path(store_root))
+    batch_path = f"{_raw_path(store_root)}/batch_id={batch_id}"
+    if path_exists(spark, batch_path):
+        # hour index of the batch, from the files just written (one row per source and hour)
+        (spark.read.parquet(batch_path)
+         .select("source_file", "day", bucket_of(micros(TS), HOUR_US).alias("_h")).distinct()
+         .withColumn("batch_id", F.lit(batch_id)).coalesce(1)
+         .write.mode("append").parquet(_hours_path(store_root)))
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     rows = [(p, int(s), int(m), now, batch_id) for p, s, m in sources]
     spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(_manifest_path(store_root))
