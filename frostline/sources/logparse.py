@@ -57,12 +57,16 @@ def parse_ts(d: Column, t: Column) -> Column:
 def split_csv(line: Column) -> Column:
     """Quote-aware field split; surrounding quotes removed, ``""`` -> ``"``.
 
-    Lines without a quote (the normal case) take a plain split.
+    Lines without a quote (the normal case) take a plain split.  Quoted lines
+    use regex rewrites only (no higher-order function, so the stage stays in
+    generated code): commas outside quotes become NUL, quoted fields are
+    bracketed with SOH marks, doubled quotes are unescaped inside marked fields
+    only, the marks are dropped, and the line is split on NUL.
     """
-    quoted = F.transform(F.split(line, _CSV_SPLIT, -1),
-                         lambda f: F.when(f.rlike(r'^".*"$') & (F.length(f) >= 2),
-                                          F.regexp_replace(F.substring(f, 2, F.length(f) - 2), '""', '"'))
-                         .otherwise(f))
+    seps = F.regexp_replace(line, _CSV_SPLIT, "\u0000")
+    marked = F.regexp_replace(seps, r'(^|\x00)"((?:[^"]|"")*)"(?=\x00|$)', "$1\u0001$2\u0001")
+    unescaped = F.regexp_replace(marked, r'""(?=[^\x00\x01]*\x01)', '"')
+    quoted = F.split(F.regexp_replace(unescaped, r"\x01", ""), "\u0000", -1)
     return F.when(F.instr(line, '"') == 0, F.split(line, ",", -1)).otherwise(quoted)
 
 
