@@ -145,3 +145,17 @@ def test_cross_source_pk_later_ingest_wins(spark):
     ST.ingest_sources(spark, store, [(os.path.join(root, "b"), 1, 1)], batch_id="b2")
     rows = ST.readings(spark, store).collect()
     assert len(rows) == 1 and rows[0].T_MXC == 0.02
+
+
+def test_split_csv_matches_python_csv(spark):
+    import csv
+    import io
+
+    from pyspark.sql import functions as F
+
+    from frostline.sources.logparse import split_csv
+    cases = ['a,b,c', '"a,b",c', 'x,"he said ""hi""",z', 'a""b,c', '"",x', 'a,"",', '"q"', ',,',
+             'a,"b""c,d",e', '11-09-24,00:00:05,0,"turbo1",1', ' a , b ']
+    df = spark.createDataFrame([(c,) for c in cases], "line string")
+    got = [r.f for r in df.select(split_csv(F.col("line")).alias("f")).collect()]
+    assert got == [next(csv.reader(io.StringIO(c))) for c in cases]
