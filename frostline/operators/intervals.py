@@ -239,6 +239,16 @@ def window_minmax(readings: DataFrame, *, as_of=None, hours: int = 24, keys=(),
 # Latest row
 # ---------------------------------------------------------------------------
 
+def latest_time_bounds(readings: DataFrame, *, keys=()):
+    """``(latest, floor)`` in one aggregate job: the latest timestamp overall
+    (the default ``as_of``) and the smallest per-key latest timestamp (the
+    pruning floor of :func:`latest_row`).  Both are NULL for an empty table."""
+    k = keys_list(keys)
+    per_key = readings.groupBy(*k).agg(F.max(TS).alias("_mx"))
+    row = per_key.agg(F.max("_mx"), F.min("_mx")).first()
+    return row[0], row[1]
+
+
 def latest_row(readings: DataFrame, *, keys=(), columns=None, floor=None) -> DataFrame:
     """The row with the greatest timestamp, per key (NULLs kept as stored).
 

@@ -154,10 +154,15 @@ def q_labeled_last_values(spark, sf):
         .select("key", "label", "grp", "unit", "value", TS)
 
 
+def _bounds(r, keys=()):
+    latest, floor = I.latest_time_bounds(r, keys=keys)
+    return resolve_as_of(r, latest), floor
+
+
 def q_freshest_values(spark, sf):
     r = _r(spark, sf)
-    a = resolve_as_of(r)
-    snap = I.latest_row(r, columns=[TS, *DASHBOARD_KEYS])
+    a, floor = _bounds(r)
+    snap = I.latest_row(r, columns=[TS, *DASHBOARD_KEYS], floor=floor)
     hist = S.window_series(S.to_series(r), hours=24, as_of=a)
     return S.freshest_values(snap, hist)
 
@@ -200,16 +205,16 @@ def q_em_latest(spark, sf):
 
 def q_fridge_state(spark, sf):
     r = _r(spark, sf)
-    a = resolve_as_of(r)
-    snap = I.latest_row(r, columns=[TS, *DASHBOARD_KEYS])
+    a, floor = _bounds(r)
+    snap = I.latest_row(r, columns=[TS, *DASHBOARD_KEYS], floor=floor)
     hist = S.window_series(S.to_series(r), hours=24, as_of=a)
     return C.fridge_state(snap, hist).select("label", "detail", "tone")
 
 
 def q_fridge_state_by_device(spark, sf):
     r = _r(spark, sf)
-    a = resolve_as_of(r)
-    snap = I.latest_row(r, keys=DEV, columns=[TS, *DASHBOARD_KEYS])
+    a, floor = _bounds(r, DEV)
+    snap = I.latest_row(r, keys=DEV, columns=[TS, *DASHBOARD_KEYS], floor=floor)
     hist = S.window_series(S.to_series(r, keys=DEV), hours=72, as_of=a)
     return C.fridge_state(snap, hist, keys=DEV).select("device_id", "label", "detail", "tone")
 
@@ -228,8 +233,8 @@ def q_cold_summary(spark, sf):
 
 def q_snapshot(spark, sf):
     r = _r(spark, sf).drop("event_id", "device_id")
-    a = resolve_as_of(r)
-    latest = I.latest_row(r, columns=[TS, *DASHBOARD_KEYS])
+    a, floor = _bounds(r)
+    latest = I.latest_row(r, columns=[TS, *DASHBOARD_KEYS], floor=floor)
     m = Q.metrics(r, as_of=a)
     hist = S.window_series(S.to_series(r), hours=24, as_of=a)
     return Q.synthesize_snapshot(latest, m, hist, Q.health(r))

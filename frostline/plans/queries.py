@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.functions.columns import keys_list, resolve_as_of, scrub_frame
+from frostline.functions.columns import keys_list, resolve_as_of, scrub_frame, ts_literal
 from frostline.functions.fmt import fmt_state
 from frostline.operators import intervals as I
 from frostline.operators import series as S
@@ -28,6 +28,14 @@ METRICS_COLUMNS = (
 )
 
 
+def _as_of_and_floor(readings: DataFrame, as_of, k: list[str]):
+    """Default ``as_of`` and the latest-row floor from one aggregate job."""
+    if as_of is None:
+        latest, floor = I.latest_time_bounds(readings, keys=k)
+        return (ts_literal(latest) if latest is not None else F.lit(None).cast("timestamp_ntz")), floor
+    return resolve_as_of(readings, as_of), None
+
+
 def metrics(readings: DataFrame, *, as_of=None, keys=(), bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
     """Q3: latest row + 24 h min/max + cold hours + cold streak + starts + runtime hours.
 
@@ -37,8 +45,8 @@ def metrics(readings: DataFrame, *, as_of=None, keys=(), bucket_us: int = DEFAUL
     columns read only from recent row groups) and the pushed-down 24 h window.
     """
     k = keys_list(keys)
-    a = resolve_as_of(readings, as_of)
-    latest = I.latest_row(readings, keys=k,
+    a, floor = _as_of_and_floor(readings, as_of, k)
+    latest = I.latest_row(readings, keys=k, floor=floor,
                           columns=[c for c in METRICS_LATEST_COLUMNS if c not in RUNTIME_COLUMNS])
     win = I.window_stats(readings, as_of=a, hours=24, keys=k, bucket_us=bucket_us).drop("rows_in_window")
     # the full-history pass reads only ts, the pump states and T_MXC
@@ -113,8 +121,8 @@ def ops_summary(readings: DataFrame, *, hours: int = 24, as_of=None, keys=(),
     ``(keys, key, state, hours, duty_pct, starts_24h)``.
     """
     k = keys_list(keys)
-    a = resolve_as_of(readings, as_of)
-    cur = I.latest_row(readings, keys=k, columns=[TS, *STATE_KEYS]).drop(TS) \
+    a, floor = _as_of_and_floor(readings, as_of, k)
+    cur = I.latest_row(readings, keys=k, floor=floor, columns=[TS, *STATE_KEYS]).drop(TS) \
         .unpivot(k, STATE_KEYS, "key", "current")
     hrs = I.runtime_hours(readings, keys=k, bucket_us=bucket_us) \
         .unpivot(k, RUNTIME_COLUMNS, "key", "hours") \
