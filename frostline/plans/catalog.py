@@ -282,6 +282,17 @@ def q_changed_sources(spark, sf):
                       (F.col("size_bytes") > 0).alias("has_bytes"), (F.col("mtime_ns") > 0).alias("has_mtime"))
 
 
+def q_path_check(spark, sf):
+    """S7 over rendered logs: root exists, number of source folders, first five in path order."""
+    from frostline.session import scratch_path
+    from frostline.sources.logfiles import path_check
+    from frostline.sources.render import write_logs
+    logs = write_logs(spark, _r(spark, sf), scratch_path(spark, "pathcheck"))
+    chk = path_check(spark, logs)
+    days = F.transform("sample_sources", lambda p: F.regexp_extract(p, r"([^/]+)$", 1))
+    return chk.select("logs_root_exists", "source_count", F.array_join(days, ", ").alias("sample_sources"))
+
+
 def q_em_latest_by_device(spark, sf):
     r = _r(spark, sf)
     snap = I.latest_row(r, keys=DEV, columns=[TS, *DASHBOARD_KEYS])
@@ -356,6 +367,7 @@ QUERIES = {
     "formatted_metrics": q_formatted_metrics,
     "ingest_roundtrip": q_ingest_roundtrip,
     "changed_sources": q_changed_sources,
+    "path_check": q_path_check,
     "stream_minutes": q_stream_minutes,
     "stream_counters": q_stream_counters,
     "stream_minmax": q_stream_minmax,

@@ -427,6 +427,10 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
         [f"SELECT DISTINCT CAST(ts_eastern AS DATE) AS d, '{c}' AS kind FROM readings WHERE {c} IS NOT NULL"
          for c in ("T_50K", "T_4K", "T_Still", "T_MXC", "Flow")]
         + [f"SELECT DISTINCT CAST(ts_eastern AS DATE) AS d, '{k}' AS kind FROM readings" for k in ("channels", "maxigauge")])
+    q["path_check"] = (
+        f"{R}, d AS (SELECT DISTINCT strftime(CAST(ts_eastern AS DATE), '%y-%m-%d') AS day FROM readings)\n"
+        "SELECT true AS logs_root_exists, (SELECT count(*) FROM d) AS source_count, "
+        "(SELECT string_agg(day, ', ' ORDER BY day) FROM (SELECT day FROM d ORDER BY day LIMIT 5)) AS sample_sources")
     q["changed_sources"] = (
         f"{R}, k AS ({kinds})\nSELECT strftime(d, '%y-%m-%d') AS source_day, count(*) AS n_files, "
         f"true AS has_bytes, true AS has_mtime FROM k GROUP BY d")
