@@ -293,6 +293,25 @@ def q_path_check(spark, sf):
     return chk.select("logs_root_exists", "source_count", F.array_join(days, ", ").alias("sample_sources"))
 
 
+def q_sync_summary(spark, sf):
+    """Two incremental passes over the rendered logs; the second one's summary
+    (nothing changed, so nothing is rebuilt: the pass is idempotent)."""
+    import datetime as dt
+    from frostline.session import scratch_path
+    from frostline.sources.render import write_logs
+    from frostline.sources.store import sync_once
+    root = scratch_path(spark, "sync")
+    logs = write_logs(spark, _r(spark, sf), root)
+    sync_once(spark, logs, f"{root}/store")
+    s2 = sync_once(spark, logs, f"{root}/store")
+    latest = dt.datetime.fromisoformat(s2["latest_ts_eastern"]) if s2["latest_ts_eastern"] else None
+    row = (s2["status"], s2["sources_seen"], s2["sources_changed"], s2["sources_synced"], s2["tracked_sources"],
+           s2["rows_total"], latest)
+    return spark.createDataFrame([row], "status string, sources_seen long, sources_changed long, "
+                                        "sources_synced long, tracked_sources long, rows_total long, "
+                                        "latest_ts_eastern timestamp_ntz")
+
+
 def q_em_latest_by_device(spark, sf):
     r = _r(spark, sf)
     snap = I.latest_row(r, keys=DEV, columns=[TS, *DASHBOARD_KEYS])
@@ -368,6 +387,7 @@ QUERIES = {
     "ingest_roundtrip": q_ingest_roundtrip,
     "changed_sources": q_changed_sources,
     "path_check": q_path_check,
+    "sync_summary": q_sync_summary,
     "stream_minutes": q_stream_minutes,
     "stream_counters": q_stream_counters,
     "stream_minmax": q_stream_minmax,

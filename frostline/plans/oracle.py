@@ -431,6 +431,12 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
         f"{R}, d AS (SELECT DISTINCT strftime(CAST(ts_eastern AS DATE), '%y-%m-%d') AS day FROM readings)\n"
         "SELECT true AS logs_root_exists, (SELECT count(*) FROM d) AS source_count, "
         "(SELECT string_agg(day, ', ' ORDER BY day) FROM (SELECT day FROM d ORDER BY day LIMIT 5)) AS sample_sources")
+    q["sync_summary"] = (
+        f"{R}, d AS (SELECT DISTINCT CAST(ts_eastern AS DATE) AS day FROM readings), "
+        "s AS (SELECT DISTINCT date_trunc('second', ts_eastern) AS sec FROM readings)\n"
+        "SELECT 'ok' AS status, (SELECT count(*) FROM d) AS sources_seen, CAST(0 AS BIGINT) AS sources_changed, "
+        "CAST(0 AS BIGINT) AS sources_synced, (SELECT count(*) FROM d) AS tracked_sources, "
+        "(SELECT count(*) FROM s) AS rows_total, (SELECT max(sec) FROM s) AS latest_ts_eastern")
     q["changed_sources"] = (
         f"{R}, k AS ({kinds})\nSELECT strftime(d, '%y-%m-%d') AS source_day, count(*) AS n_files, "
         f"true AS has_bytes, true AS has_mtime FROM k GROUP BY d")
