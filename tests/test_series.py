@@ -96,3 +96,18 @@ def test_dashboard_series_keeps_infinite_points_as_null(spark):
     out = sorted((r.key, str(r.ts_eastern), r.value) for r in
                  S.dashboard_series(df, hours=1, max_points=100, series_keys=["T_MXC", "T_4K"]).collect())
     assert out == [("T_4K", "2024-01-01 00:01:00", 2.0), ("T_MXC", "2024-01-01 00:00:00", None)]
+
+
+def test_coerce_points(spark):
+    pts = spark.createDataFrame([("2024-01-01T00:00:05", "0.5"), ("not a time", "1"), ("2024-01-01 00:00:06", "abc"),
+                                 ("2024-01-01T00:00:07.250000", None)], "ts_eastern string, value string")
+    out = [(str(r.ts_eastern), r.value) for r in S.coerce_points(pts).orderBy("ts_eastern").collect()]
+    assert out == [("2024-01-01 00:00:05", 0.5), ("2024-01-01 00:00:06", None), ("2024-01-01 00:00:07.250000", None)]
+
+
+def test_suggest_bucket_us(spark):
+    from frostline.operators.intervals import suggest_bucket_us
+    df = spark.range(3600).selectExpr("timestampadd(SECOND, id, TIMESTAMP_NTZ'2024-01-01 00:00:00') AS ts_eastern")
+    assert suggest_bucket_us(df) == 24 * 3_600_000_000          # 3600 rows in the densest hour
+    assert suggest_bucket_us(df, target_rows=1000) == 600_000_000   # 10 min buckets hold 600 rows
+    assert suggest_bucket_us(df, target_rows=100) == 60_000_000     # 1 min buckets hold 60 rows
