@@ -27,8 +27,13 @@ def col(c) -> Column:
 
 
 def micros(ts="ts_eastern") -> Column:
-    """Integer microseconds since 1970 of a TIMESTAMP_NTZ; DST-free (F2)."""
-    return F.timestamp_diff("MICROSECOND", _epoch(), col(ts))
+    """Integer microseconds since 1970 of a TIMESTAMP_NTZ, from its naive date and
+    time fields, so the result never depends on the session time zone (F2)."""
+    t = col(ts)
+    day_us = F.unix_date(F.to_date(t)).cast("long") * F.lit(86_400_000_000)
+    hm_us = F.hour(t).cast("long") * F.lit(3_600_000_000) + F.minute(t).cast("long") * F.lit(60_000_000)
+    sec_us = (F.date_part(F.lit("SECOND"), t) * F.lit(1_000_000)).cast("long")
+    return day_us + hm_us + sec_us
 
 
 def from_micros(us) -> Column:

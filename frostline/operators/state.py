@@ -103,8 +103,7 @@ def fridge_state(snapshot: DataFrame, series: DataFrame, *, keys=(), mode: str =
     snap = snapshot.select(*k, F.col(TS).alias("_snap_ts"), nan_to_null(F.col("T_MXC")).alias("_snap_mxc"))
     allin = combine([fresh, sl, lv, lts, snap], keys=k)
     cur = F.greatest("_snap_ts", "_hist_ts")
-    age = F.greatest(F.lit(0.0), F.timestamp_diff("MICROSECOND", F.col("last_valid_mxc_ts"), cur)
-                     .cast("double") / F.lit(float(HOUR_US)))
+    age = F.greatest(F.lit(0.0), (micros(cur) - micros("last_valid_mxc_ts")).cast("double") / F.lit(float(HOUR_US)))
     mxc = F.col("T_MXC") if mode == "reference" else F.col("_snap_mxc")
     pumps_on = F.greatest(*[F.coalesce(F.col(p) >= 0.5, F.lit(False)) for p in STATE_KEYS])
     cls = classify(mxc, F.col("T_Still"), pumps_on, F.col("slope_per_h"), F.col("last_valid_mxc"), age)

@@ -22,9 +22,9 @@ def get_session(master: str | None = None, app: str = "frostline",
                 conf: dict[str, str] | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings every operator assumes.
 
-    Time columns are TIMESTAMP_NTZ and durations are integer microseconds, so
-    results do not depend on the session time zone; UTC is still pinned so that
-    casts done by users stay DST-free.
+    Time columns are TIMESTAMP_NTZ and durations are integer microseconds taken
+    from the naive fields, so results do not depend on the session time zone;
+    UTC is still the default so that casts done by users stay DST-free.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -32,7 +32,7 @@ def get_session(master: str | None = None, app: str = "frostline",
     for k, v in {**DEFAULT_CONF, **(conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.session.timeZone", (conf or {}).get("spark.sql.session.timeZone", "UTC"))
     ensure_checkpoint_dir(spark)
     return spark
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from frostline.functions.columns import keys_list, micros
+from frostline.functions.columns import from_micros, keys_list, micros
 from frostline.operators.series import to_series
 from frostline.schema import DASHBOARD_KEYS, HOUR_US, TS
 from frostline.sources.events import events_to_readings
@@ -34,8 +34,13 @@ def events_stream(spark: SparkSession, sf_dir: str, *, max_files_per_trigger: in
 
 
 def _event_time(df: DataFrame, delay: str) -> DataFrame:
-    # watermarks need TIMESTAMP (LTZ); with the session pinned to UTC the cast is exact
-    return df.withColumn("_t", F.col(TS).cast("timestamp")).withWatermark("_t", delay)
+    # watermarks need TIMESTAMP (LTZ): the naive time read as UTC, independent of the session zone
+    return df.withColumn("_t", F.timestamp_micros(micros(TS))).withWatermark("_t", delay)
+
+
+def _naive(instant) -> F.Column:
+    """Back from the UTC instant of :func:`_event_time` to TIMESTAMP_NTZ."""
+    return from_micros(F.unix_micros(instant))
 
 
 def minute_last_values(stream: DataFrame, *, keys=(), series_keys=tuple(DASHBOARD_KEYS),
@@ -46,7 +51,7 @@ def minute_last_values(stream: DataFrame, *, keys=(), series_keys=tuple(DASHBOAR
     long = to_series(stream, keys=k, series_keys=series_keys)
     w = _event_time(long, delay).groupBy(*k, "key", F.window("_t", "1 minute").alias("w")) \
         .agg(F.max_by("value", TS).alias("value"))
-    return w.select(*k, "key", F.col("w.start").cast("timestamp_ntz").alias(TS), "value")
+    return w.select(*k, "key", _naive(F.col("w.start")).alias(TS), "value")
 
 
 def sliding_minmax(stream: DataFrame, *, keys=(), columns=("T_Still", "T_MXC", "P1", "Flow"),
@@ -56,7 +61,7 @@ def sliding_minmax(stream: DataFrame, *, keys=(), columns=("T_Still", "T_MXC", "
     k = keys_list(keys)
     aggs = [f(c).alias(f"{c}_{n}_24h") for c in columns for f, n in ((F.min, "min"), (F.max, "max"))]
     w = _event_time(stream, delay).groupBy(*k, F.window("_t", length, slide).alias("w")).agg(*aggs)
-    return w.select(*k, F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+    return w.select(*k, _naive(F.col("w.end")).alias("window_end"),
                     *[a for c in columns for a in (f"{c}_min_24h", f"{c}_max_24h")])
 
 
