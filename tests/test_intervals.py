@@ -124,3 +124,22 @@ def test_per_device_metrics_plan_has_no_single_partition(spark):
     assert len(scans) == 3
     assert sum("GreaterThanOrEqual(ts," in line for line in scans) == 2
     assert "GreaterThanOrEqual(ts,2024-01-29T23:57:12)" in plan
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    from frostline.functions.columns import from_micros, micros
+    from frostline.operators import series as S
+    r = readings_from_events(spark, SF001)
+    gap = spark.createDataFrame([("2024-03-10 02:30:00",)], "t string").selectExpr(
+        "CAST(t AS TIMESTAMP_NTZ) AS ts_eastern")
+    out = {}
+    for tz in ("UTC", "America/New_York", "Asia/Kolkata"):
+        spark.conf.set("spark.sql.session.timeZone", tz)
+        try:
+            out[tz] = (I.history_stats(r, keys=["device_id"]).orderBy("device_id").collect(),
+                       S.downsample(r.select("ts_eastern", "event_id"), 100).orderBy("event_id").collect(),
+                       gap.select(micros("ts_eastern").alias("us"), from_micros(micros("ts_eastern")).alias("b")).first())
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert out["UTC"] == out["America/New_York"] == out["Asia/Kolkata"]
+    assert str(out["America/New_York"][2].b) == "2024-03-10 02:30:00"   # a DST-gap time survives
