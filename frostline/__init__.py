@@ -7,3 +7,5 @@ whole history of one device in one task.
 """
 
 from frostline.session import get_session, scratch_path  # noqa: F401
+
+__all__ = ["get_session", "scratch_path"]
