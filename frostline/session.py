@@ -18,6 +18,10 @@ DEFAULT_CONF = {
 }
 
 
+# local-mode fallback folders, per SparkContext, when the setting cannot be stored
+_LOCAL_DIRS: dict[int, str] = {}
+
+
 def get_session(master: str | None = None, app: str = "frostline",
                 conf: dict[str, str] | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings every operator assumes.
@@ -46,13 +50,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir:
+        conf_dir = _LOCAL_DIRS.get(id(spark.sparkContext))
     if not conf_dir:
         master = spark.sparkContext.master or ""
         if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster "
                                "(scratch output and stream checkpoints are written below it)")
         conf_dir = tempfile.mkdtemp(prefix="frostline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
+        _LOCAL_DIRS[id(spark.sparkContext)] = conf_dir
+        try:
+            spark.conf.set("spark.checkpoint.dir", conf_dir)
+        except Exception:  # noqa: BLE001 - some sessions refuse core settings at runtime
+            pass
     spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
 
