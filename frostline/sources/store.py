@@ -104,8 +104,10 @@ def ingest_sources(spark: SparkSession, store_root: str, sources: list[tuple[str
     paths = [p for p, _, _ in sources]
     wide = build_readings(spark, paths).withColumn("batch_id", F.lit(batch_id)) \
         .withColumn("day", F.to_date(TS))
-    # one task per (batch, day) folder keeps files few and day pruning effective
-    wide.repartition("day").write.mode("append").partitionBy("batch_id", "day").parquet(_raw_path(store_root))
+    # rebalance by day: few files per (batch, day) folder, and AQE splits a day that holds a
+    # large share of the rows into several tasks instead of sending it to one
+    wide.hint("rebalance", "day").write.mode("append").partitionBy("batch_id", "day") \
+        .parquet(_raw_path(store_root))
     batch_path = f"{_raw_path(store_root)}/batch_id={batch_id}"
     if path_exists(spark, batch_path):
         # hour index of the batch, from the files just written (one row per source and hour)
