@@ -50,6 +50,7 @@ def write_logs(spark: SparkSession, readings: DataFrame, out_root: str) -> str:
     staging = f"{out_root.rstrip('/')}/staging"
     logs_root = f"{out_root.rstrip('/')}/logs"
     lines = render_lines(readings)
+    # a log is one file per (day, kind) by format, so each such file is written by one task
     (lines.repartition("day", "kind").sortWithinPartitions("day", "kind", TS)
      .select("day", "kind", "line").write.partitionBy("day", "kind").text(staging))
     jvm = spark.sparkContext._jvm
