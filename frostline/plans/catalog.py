@@ -342,6 +342,11 @@ def q_stream_minmax(spark, sf):
     return _drain(spark, "stream-minmax", T.sliding_minmax(T.events_stream(spark, sf)))
 
 
+def q_stream_minmax_by_device(spark, sf):
+    from frostline.streaming import streams as T
+    return _drain(spark, "stream-minmax-dev", T.sliding_minmax(T.events_stream(spark, sf), keys=DEV))
+
+
 QUERIES = {
     "runtime_hours": q_runtime_hours,
     "runtime_hours_by_device": q_runtime_hours_by_device,
@@ -391,4 +396,5 @@ QUERIES = {
     "stream_minutes": q_stream_minutes,
     "stream_counters": q_stream_counters,
     "stream_minmax": q_stream_minmax,
+    "stream_minmax_by_device": q_stream_minmax_by_device,
 }

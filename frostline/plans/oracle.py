@@ -462,6 +462,10 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
         f"SELECT rh.*, {', '.join('st.' + p + '_starts' for p in RUNTIME_PUMPS)}, CAST(0 AS BIGINT) AS late_rows "
         f"FROM rh JOIN st USING (device_id)")
     mm24 = ", ".join(f"{f}({c}) AS {c}_{f}_24h" for c in MINMAX_24H_COLUMNS for f in ("min", "max"))
+    q["stream_minmax_by_device"] = (
+        f"{R}, w AS (SELECT r.*, date_trunc('hour', ts_eastern) - to_hours(k) AS ws FROM readings r, "
+        f"range(0, 24) t(k))\nSELECT device_id, ws + INTERVAL 24 HOUR AS window_end, {mm24} FROM w "
+        f"GROUP BY device_id, ws HAVING ws + INTERVAL 24 HOUR <= {AS_OF}")
     q["stream_minmax"] = (
         f"{R}, w AS (SELECT r.*, date_trunc('hour', ts_eastern) - to_hours(k) AS ws FROM readings r, "
         f"range(0, 24) t(k))\nSELECT ws + INTERVAL 24 HOUR AS window_end, {mm24} FROM w GROUP BY ws "
