@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frostline.llm import importance, mixing, packing, quality_rules
+from frostline.llm import importance, jaccard, mixing, packing, quality_rules
 from frostline.llm.common import materialize, table
 
 
@@ -22,6 +22,10 @@ def line_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
@@ -30,7 +34,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality_classifier", quality_classifier), ("quality_rules", line_rules), ("mix", mix), ("pack", pack)]
+STAGES = [("quality_classifier", quality_classifier), ("quality_rules", line_rules),
+          ("ngram_jaccard_join", ngram_jaccard_join), ("mix_sources", mix), ("best_fit_packing", pack)]
 
 # sampling by hash, tokenizer ids and best-fit are beyond SQL; tests/llm/test_pipeline.py checks every stage
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from frostline.llm import chat, importance, mixing, packing, quality_rules, token_count, token_files, url_filter
+from frostline.llm import chat, importance, jaccard, mixing, packing, quality_rules, token_count, token_files, url_filter
 from frostline.llm.common import table
 from frostline.session import scratch_path
 
@@ -34,6 +34,10 @@ def op5_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard.link_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op7_quality_classifier(spark, sf_dir):
     return importance.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_chat_format": op4_chat_format,
     "op5_quality_rules": op5_quality_rules,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_token_counts": op8_token_counts,
     "op9_mix_sources": op9_mix_sources,
