@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from frostline.llm import chat, importance, jaccard, mixing, packing, quality_rules, token_count, token_files, url_filter
+from frostline.llm import ann, chat, importance, jaccard, mixing, packing, quality_rules, token_count, token_files, url_filter
 from frostline.llm.common import table
 from frostline.session import scratch_path
 
@@ -18,6 +18,10 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     # the extra conversation of the contract: texts that look like control strings
@@ -59,6 +63,7 @@ def op10_token_files(spark, sf_dir):
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_chat_format": op4_chat_format,
     "op5_quality_rules": op5_quality_rules,
     "op6_jaccard_join": op6_jaccard_join,
