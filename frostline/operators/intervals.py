@@ -174,6 +174,17 @@ def health(readings: DataFrame, *, keys=(), manifest: DataFrame | None = None) -
 # Trailing-window statistics: W4 pump starts, A1 min/max
 # ---------------------------------------------------------------------------
 
+def _every_key(readings: DataFrame, k: list[str], stats: DataFrame) -> DataFrame:
+    """``stats`` with a row for every key of the readings, NULL statistics where
+    the window is empty.  One row per key meets here; the keys come from a scan
+    of the key columns alone."""
+    if not k:
+        return stats
+    named = stats.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(k)], *[c for c in stats.columns if c not in k])
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(k)]
+    return readings.select(*k).distinct().join(named, same, "left").select(*stats.columns)
+
+
 def window_stats(readings: DataFrame, *, as_of=None, hours: int = 24, keys=(),
                  pumps=tuple(STARTS_PUMPS), minmax=tuple(MINMAX_24H_COLUMNS),
                  bucket_us: int = DEFAULT_BUCKET_US, suffix: str = "_24h") -> DataFrame:
@@ -181,7 +192,8 @@ def window_stats(readings: DataFrame, *, as_of=None, hours: int = 24, keys=(),
 
     The filter is applied before the lag, so the first row of the window has
     no predecessor: a pump already on there counts as one start.  The time
-    predicate is a literal, so it is pushed into the Parquet scan.
+    predicate is a literal, so it is pushed into the Parquet scan.  Every key
+    of the readings has a row; an empty window has NULL statistics.
     """
     k = keys_list(keys)
     pumps, minmax = list(pumps), list(minmax)
@@ -210,7 +222,7 @@ def window_stats(readings: DataFrame, *, as_of=None, hours: int = 24, keys=(),
     for j, c in enumerate(minmax):
         out += [F.min(f"_mn{j}").alias(f"{c}_min{suffix}"), F.max(f"_mx{j}").alias(f"{c}_max{suffix}")]
     out.append(F.sum("_n").alias("rows_in_window"))
-    res = st.groupBy(*k).agg(*out)
+    res = _every_key(readings, k, st.groupBy(*k).agg(*out))
     mm = [n for c in minmax for n in (f"{c}_min{suffix}", f"{c}_max{suffix}")]
     return res.select(*k, *mm, *[f"{p}_starts{suffix}" for p in pumps], "rows_in_window")
 
@@ -225,14 +237,15 @@ def pump_starts(readings: DataFrame, *, as_of=None, hours: int = 24, keys=(),
 
 def window_minmax(readings: DataFrame, *, as_of=None, hours: int = 24, keys=(),
                   columns=tuple(MINMAX_24H_COLUMNS)) -> DataFrame:
-    """A1: min and max per column in the trailing window; NULLs skipped.
+    """A1: min and max per column in the trailing window; NULLs skipped, and an
+    empty window gives NULLs (every key of the readings has a row).
 
     Plain partial aggregation: no window, no sort.
     """
     k = keys_list(keys)
     start = window_start(resolve_as_of(readings, as_of), hours)
     aggs = [f(c).alias(f"{c}_{n}_24h") for c in columns for f, n in ((F.min, "min"), (F.max, "max"))]
-    return since(readings, start).groupBy(*k).agg(*aggs)
+    return _every_key(readings, k, since(readings, start).groupBy(*k).agg(*aggs))
 
 
 # ---------------------------------------------------------------------------

@@ -61,6 +61,10 @@ def q_minmax_24h(spark, sf):
     return I.window_minmax(_r(spark, sf))
 
 
+def q_minmax_24h_by_device(spark, sf):
+    return I.window_minmax(_r(spark, sf), keys=DEV)
+
+
 def q_latest_reading(spark, sf):
     from frostline.schema import METRICS_LATEST_COLUMNS
     return I.latest_row(_r(spark, sf), columns=METRICS_LATEST_COLUMNS)
@@ -319,7 +323,25 @@ def q_em_latest_by_device(spark, sf):
     return out.select(*[F.round(c, 6).alias(c) if c.startswith("teff_") else F.col(c) for c in out.columns])
 
 
-def _drain(spark, name, df, mode="append"):
+STREAM_DELAY = "3650 days"      # the shuffled files reach back over the whole table
+STREAM_FILES = 5
+
+
+def _shuffled_stream(spark, sf):
+    """The events table as several files whose times interleave, one per batch."""
+    from frostline.functions.columns import bucket_of, micros
+    from frostline.session import scratch_path
+    from frostline.streaming import streams as T
+    root = scratch_path(spark, "stream-in")
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    # quarter days, dealt out over the files by hash: each file reaches from the first day to the last
+    part = F.pmod(F.hash(bucket_of(micros("ts"), 21_600_000_000)), F.lit(STREAM_FILES))
+    for i in range(STREAM_FILES):
+        ev.filter(part == i).coalesce(1).write.mode("append").parquet(root)
+    return T.events_stream(spark, root, max_files_per_trigger=1, files="part-*.parquet")
+
+
+def _drain(spark, name, df, mode="update"):
     from frostline.session import scratch_path
     from frostline.streaming.streams import run_available_now
     root = scratch_path(spark, name)
@@ -328,23 +350,28 @@ def _drain(spark, name, df, mode="append"):
 
 def q_stream_minutes(spark, sf):
     from frostline.streaming import streams as T
-    return _drain(spark, "stream-minutes", T.minute_last_values(T.events_stream(spark, sf)))
+    out = _drain(spark, "stream-minutes", T.minute_last_values(_shuffled_stream(spark, sf), delay=STREAM_DELAY))
+    return T.minute_points(T.final_rows(out, [TS]))
 
 
 def q_stream_counters(spark, sf):
     from frostline.streaming import streams as T
-    rows = _drain(spark, "stream-counters", T.runtime_counters(T.events_stream(spark, sf)))
+    rows = _drain(spark, "stream-counters", T.runtime_counters(_shuffled_stream(spark, sf), delay=STREAM_DELAY), mode="append")
     return T.latest_counters(rows)
 
 
-def q_stream_minmax(spark, sf):
+def _stream_minmax(spark, sf, keys):
     from frostline.streaming import streams as T
-    return _drain(spark, "stream-minmax", T.sliding_minmax(T.events_stream(spark, sf)))
+    out = _drain(spark, "stream-minmax", T.hour_minmax(_shuffled_stream(spark, sf), keys=keys, delay=STREAM_DELAY))
+    return T.sliding_minmax(T.final_rows(out, [*keys, "hour"]), keys=keys)
+
+
+def q_stream_minmax(spark, sf):
+    return _stream_minmax(spark, sf, ())
 
 
 def q_stream_minmax_by_device(spark, sf):
-    from frostline.streaming import streams as T
-    return _drain(spark, "stream-minmax-dev", T.sliding_minmax(T.events_stream(spark, sf), keys=DEV))
+    return _stream_minmax(spark, sf, DEV)
 
 
 QUERIES = {
@@ -356,6 +383,7 @@ QUERIES = {
     "pump_starts_24h": q_pump_starts_24h,
     "pump_starts_24h_by_device": q_pump_starts_24h_by_device,
     "minmax_24h": q_minmax_24h,
+    "minmax_24h_by_device": q_minmax_24h_by_device,
     "latest_reading": q_latest_reading,
     "latest_per_device": q_latest_per_device,
     "latest_overlay": q_latest_overlay,

@@ -275,9 +275,12 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
     q["cold_streak_by_device"] = f"{R}\n{_streak(True)}"
     sp = ", ".join(f"{p}_starts_24h" for p in STARTS_PUMPS)
     q["pump_starts_24h"] = f"{R}\nSELECT {sp} FROM ({_window(False)})"
-    q["pump_starts_24h_by_device"] = f"{R}\nSELECT device_id, {sp} FROM ({_window(True)})"
+    every = "(SELECT DISTINCT device_id FROM readings)"
+    q["pump_starts_24h_by_device"] = f"{R}\nSELECT device_id, {sp} FROM {every} LEFT JOIN ({_window(True)}) USING (device_id)"
     mm = ", ".join(f"{f}({c}) AS {c}_{f}_24h" for c in MINMAX_24H_COLUMNS for f in ("min", "max"))
     q["minmax_24h"] = f"{R}\nSELECT {mm} FROM readings {_in_window(24)}"
+    q["minmax_24h_by_device"] = (f"{R}\nSELECT device_id, {mm.replace('min(', 'min(w.').replace('max(', 'max(w.')} FROM {every} d "
+                                 f"LEFT JOIN (SELECT * FROM readings {_in_window(24)}) w USING (device_id) GROUP BY device_id")
     q["latest_reading"] = f"{R}\n{_latest(False, METRICS_LATEST_COLUMNS)}"
     q["latest_per_device"] = f"{R}\n{_latest(True, METRICS_LATEST_COLUMNS)}"
     sel = ", ".join(f"rh.{c}" if c in RUNTIME_COLS else f"l.{c}" for c in READING_COLUMNS)
@@ -450,26 +453,24 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
         + ", strftime(sec, '%y-%m-%d') AS source_day FROM r GROUP BY sec")
     q["stream_minutes"] = (
         f"{R}\nSELECT key, m AS ts_eastern, value FROM (SELECT key, date_trunc('minute', ts_eastern) AS m, "
-        f"arg_max(value, ts_eastern) AS value FROM {_unpivot(DASHBOARD_KEYS)} GROUP BY key, m) "
-        f"WHERE m + INTERVAL 1 MINUTE <= {AS_OF}")
+        f"arg_max(value, ts_eastern) AS value FROM {_unpivot(DASHBOARD_KEYS)} GROUP BY key, m)")
     starts_all = ", ".join(
         f"CAST(SUM(CASE WHEN COALESCE(pv_{p}, 0) < 0.5 AND COALESCE({p}, 0) >= 0.5 THEN 1 ELSE 0 END) AS BIGINT)"
         f" AS {p}_starts" for p in RUNTIME_PUMPS)
     lag_all = ", ".join(f"LAG({p}) OVER (PARTITION BY device_id ORDER BY ts_eastern) AS pv_{p}" for p in RUNTIME_PUMPS)
     q["stream_counters"] = (
-        f"{R}, rh AS ({_runtime(True)}), st AS (SELECT device_id, {starts_all} FROM (SELECT device_id, "
+        f"{R}, rh AS ({_runtime(True)}), st AS (SELECT device_id, {starts_all}, count(*) AS n FROM (SELECT device_id, "
         f"{', '.join(RUNTIME_PUMPS)}, {lag_all} FROM readings) GROUP BY device_id)\n"
-        f"SELECT rh.*, {', '.join('st.' + p + '_starts' for p in RUNTIME_PUMPS)}, CAST(0 AS BIGINT) AS late_rows "
+        f"SELECT rh.*, {', '.join('st.' + p + '_starts' for p in RUNTIME_PUMPS)}, n AS rows "
         f"FROM rh JOIN st USING (device_id)")
     mm24 = ", ".join(f"{f}({c}) AS {c}_{f}_24h" for c in MINMAX_24H_COLUMNS for f in ("min", "max"))
     q["stream_minmax_by_device"] = (
         f"{R}, w AS (SELECT r.*, date_trunc('hour', ts_eastern) - to_hours(k) AS ws FROM readings r, "
         f"range(0, 24) t(k))\nSELECT device_id, ws + INTERVAL 24 HOUR AS window_end, {mm24} FROM w "
-        f"GROUP BY device_id, ws HAVING ws + INTERVAL 24 HOUR <= {AS_OF}")
+        f"GROUP BY device_id, ws")
     q["stream_minmax"] = (
         f"{R}, w AS (SELECT r.*, date_trunc('hour', ts_eastern) - to_hours(k) AS ws FROM readings r, "
-        f"range(0, 24) t(k))\nSELECT ws + INTERVAL 24 HOUR AS window_end, {mm24} FROM w GROUP BY ws "
-        f"HAVING ws + INTERVAL 24 HOUR <= {AS_OF}")
+        f"range(0, 24) t(k))\nSELECT ws + INTERVAL 24 HOUR AS window_end, {mm24} FROM w GROUP BY ws")
     return q
 
 

@@ -4,6 +4,15 @@ Streams read an append-only source (``events`` parquet files or readings
 batches), never the growing raw logs (a file source does not re-read a file
 that grew).  Sinks are parquet folders with a checkpoint in the shared
 scratch folder, so a restarted query resumes exactly once.
+
+Files may arrive in any time order.  Every operator takes a ``delay``: a row at
+most that much older than the newest row of an earlier batch is never lost;
+older ones Spark drops and counts in the query's progress
+(``numRowsDroppedByWatermark``).  State covers (keys, time bucket) cells, so no
+state and no pandas frame holds a whole device.  In update mode the sink gets a
+row of each cell that a batch changed, and :func:`final_rows` keeps the last
+version of each; in append mode it gets a cell once, when the watermark closes
+it, so the newest cells are still missing there.
 """
 
 from __future__ import annotations
@@ -12,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from frostline.functions.columns import from_micros, keys_list, micros
+from frostline.functions.columns import bucket_of, from_micros, keys_list, micros
 from frostline.operators.series import to_series
 from frostline.schema import DASHBOARD_KEYS, HOUR_US, TS
 from frostline.sources.events import events_to_readings
@@ -24,10 +33,11 @@ from frostline.sources.events import events_to_readings
 COUNTER_PUMPS = ["scroll_1", "scroll_2", "turbo_1", "pulse_tube"]
 
 
-def events_stream(spark: SparkSession, sf_dir: str, *, max_files_per_trigger: int | None = None) -> DataFrame:
+def events_stream(spark: SparkSession, sf_dir: str, *, max_files_per_trigger: int | None = None,
+                  files: str = "events*.parquet") -> DataFrame:
     """Streaming readings from the ``events`` table files (adapter applied)."""
-    schema = spark.read.option("pathGlobFilter", "events*.parquet").parquet(sf_dir).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
+    schema = spark.read.option("pathGlobFilter", files).parquet(sf_dir).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return events_to_readings(reader.parquet(sf_dir))
@@ -43,108 +53,126 @@ def _naive(instant) -> F.Column:
     return from_micros(F.unix_micros(instant))
 
 
-def minute_last_values(stream: DataFrame, *, keys=(), series_keys=tuple(DASHBOARD_KEYS),
-                       delay: str = "0 seconds") -> DataFrame:
-    """Last point per series and minute (NULL values kept), emitted when the
-    minute is closed by the watermark (append mode)."""
+def minute_last_values(stream: DataFrame, *, delay: str, keys=(), series_keys=tuple(DASHBOARD_KEYS)) -> DataFrame:
+    """Last point of every series in a minute (a NULL is no point), one wide
+    row per minute; :func:`minute_points` makes the points of it."""
     k = keys_list(keys)
-    long = to_series(stream, keys=k, series_keys=series_keys)
-    w = _event_time(long, delay).groupBy(*k, "key", F.window("_t", "1 minute").alias("w")) \
-        .agg(F.max_by("value", TS).alias("value"))
-    return w.select(*k, "key", _naive(F.col("w.start")).alias(TS), "value")
+    w = _event_time(stream, delay).groupBy(*k, F.window("_t", "1 minute").alias("w")) \
+        .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(TS))).alias(c) for c in series_keys])
+    return w.select(*k, _naive(F.col("w.start")).alias(TS), *series_keys)
 
 
-def sliding_minmax(stream: DataFrame, *, keys=(), columns=("T_Still", "T_MXC", "P1", "Flow"),
-                   length: str = "24 hours", slide: str = "1 hour", delay: str = "0 seconds") -> DataFrame:
-    """T4: min/max per column over sliding windows; at each window end equals A1
-    with ``as_of`` = that end restricted to earlier rows."""
+def minute_points(minutes: DataFrame, *, keys=(), series_keys=tuple(DASHBOARD_KEYS)) -> DataFrame:
+    """Wide minutes -> points (keys, key, ts_eastern, value)."""
     k = keys_list(keys)
-    aggs = [f(c).alias(f"{c}_{n}_24h") for c in columns for f, n in ((F.min, "min"), (F.max, "max"))]
-    w = _event_time(stream, delay).groupBy(*k, F.window("_t", length, slide).alias("w")).agg(*aggs)
-    return w.select(*k, _naive(F.col("w.end")).alias("window_end"),
-                    *[a for c in columns for a in (f"{c}_min_24h", f"{c}_max_24h")])
+    return to_series(minutes, keys=k, series_keys=series_keys).select(*k, "key", TS, "value")
+
 
+def hour_minmax(stream: DataFrame, *, delay: str, keys=(), columns=("T_Still", "T_MXC", "P1", "Flow")) -> DataFrame:
+    """T4, streaming part: min/max per column, key and hour."""
+    k = keys_list(keys)
+    aggs = [f(c).alias(f"{c}_{n}") for c in columns for f, n in ((F.min, "min"), (F.max, "max"))]
+    w = _event_time(stream, delay).groupBy(*k, F.window("_t", "1 hour").alias("w")).agg(*aggs)
+    return w.select(*k, _naive(F.col("w.start")).alias("hour"), *[f"{c}_{n}" for c in columns for n in ("min", "max")])
 
-def _counter_schema(k_fields: str, pumps) -> tuple[str, str]:
-    out = (k_fields + ", " + ", ".join(f"total_hours_{p} double" for p in pumps) + ", "
-           + ", ".join(f"{p}_starts long" for p in pumps) + ", late_rows long, seq long")
-    state = ("last_us long, " + ", ".join(f"on_{p} boolean" for p in pumps) + ", "
-             + ", ".join(f"run_{p} long" for p in pumps) + ", "
-             + ", ".join(f"st_{p} long" for p in pumps) + ", late long, seq long")
-    return out, state
+
+def sliding_minmax(hours: DataFrame, *, keys=(), columns=("T_Still", "T_MXC", "P1", "Flow"), length: int = 24) -> DataFrame:
+    """T4: min/max over every window of ``length`` hours that holds a row, from
+    the hour rows; at each window end equals A1 with ``as_of`` = that end
+    restricted to earlier rows."""
+    k = keys_list(keys)
+    ends = hours.withColumn("_ahead", F.explode(F.sequence(F.lit(1), F.lit(length))))
+    ends = ends.withColumn("window_end", from_micros(micros("hour") + F.col("_ahead") * F.lit(HOUR_US)))
+    aggs = [f(f"{c}_{n}").alias(f"{c}_{n}_{length}h") for c in columns for f, n in ((F.min, "min"), (F.max, "max"))]
+    return ends.groupBy(*k, "window_end").agg(*aggs)
 
 
-def runtime_counters(stream: DataFrame, *, keys=("device_id",), pumps=tuple(COUNTER_PUMPS)) -> DataFrame:
-    """Running on-hours and start counts per key, carried across micro-batches.
+def runtime_counters(stream: DataFrame, *, delay: str, keys=("device_id",), pumps=tuple(COUNTER_PUMPS),
+                     bucket_us: int = HOUR_US) -> DataFrame:
+    """T3, streaming part: on-time and starts inside a (key, time bucket) cell.
 
-    State per key: last timestamp, last on/off per pump, sums.  Inside a batch
-    the key's rows are sorted by time; rows not newer than the stored last
-    timestamp are dropped and counted (``late_rows``).  Output: one row per key
-    and batch with the totals so far (append); take the highest ``seq`` per key.
-    Per-batch group size is bounded by the trigger size (``maxFilesPerTrigger``).
+    State of a cell: its rows so far (time, on/off bits), sorted; a row may come
+    in any order and is merged in.  Every batch that touches a cell emits its
+    partial with the next ``seq``; the state goes when the watermark passes the
+    cell.  :func:`latest_counters` stitches the partials.  ``bucket_us`` bounds
+    what one state and one pandas frame hold.
     """
-    k = keys_list(keys)
-    pumps = list(pumps)
-    key_types = dict(stream.dtypes)
-    k_fields = ", ".join(f"{c} {key_types[c]}" for c in k)
-    out_schema, state_schema = _counter_schema(k_fields, pumps)
-    src = stream.select(*k, micros(TS).alias("_us"),
-                        *[F.coalesce(F.col(p) >= 0.5, F.lit(False)).alias(f"_on_{p}") for p in pumps])
+    k, pumps = keys_list(keys), list(pumps)
+    types = dict(stream.dtypes)
+    fields = [("first_us", "long"), ("last_us", "long"), ("first_on", "long"), ("last_on", "long"),
+              *[(f"run_{p}", "long") for p in pumps], *[(f"st_{p}", "long") for p in pumps], ("rows", "long"), ("seq", "long")]
+    out_schema = ", ".join([*(f"{c} {types[c]}" for c in k), "bucket long", *(f"{n} {t}" for n, t in fields)])
+    us = micros(TS)
+    bits = sum((F.when(F.col(p) >= 0.5, F.lit(1 << i)).otherwise(F.lit(0)) for i, p in enumerate(pumps)), F.lit(0))
+    src = _event_time(stream, delay).select(*k, bucket_of(us, bucket_us).alias("bucket"), us.alias("_us"),
+                                            bits.cast("long").alias("_on"), "_t")
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("_us", kind="stable")
-        if state.exists:
-            s = state.get
-            last_us, seq, late = s[0], s[-1], s[-2]
-            on0 = {p: bool(s[1 + i]) for i, p in enumerate(pumps)}
-            run = {p: int(s[1 + len(pumps) + i]) for i, p in enumerate(pumps)}
-            st = {p: int(s[1 + 2 * len(pumps) + i]) for i, p in enumerate(pumps)}
-        else:
-            last_us, seq, late = None, 0, 0
-            on0 = {p: False for p in pumps}
-            run = {p: 0 for p in pumps}
-            st = {p: 0 for p in pumps}
-        us = pdf["_us"].to_numpy(dtype=np.int64)
-        if last_us is not None:
-            keep = us > last_us
-            late += int((~keep).sum())
-            pdf, us = pdf[keep], us[keep]
-        if len(us):
-            prev = np.concatenate([[last_us if last_us is not None else -1], us[:-1]])
-            has_prev = np.ones(len(us), dtype=bool)
-            if last_us is None:
-                has_prev[0] = False
-            gaps = np.where(has_prev, us - prev, 0)
-            for p in pumps:
-                on = pdf[f"_on_{p}"].to_numpy(dtype=bool)
-                prev_on = np.concatenate([[on0[p]], on[:-1]])
-                run[p] += int(gaps[on].sum())
-                st[p] += int((on & ~prev_on).sum())
-                on0[p] = bool(on[-1])
-            last_us = int(us[-1])
-        seq += 1
-        state.update((last_us, *[on0[p] for p in pumps], *[run[p] for p in pumps], *[st[p] for p in pumps],
-                      late, seq))
-        row = {c: [v] for c, v in zip(k, key)}
-        row.update({f"total_hours_{p}": [run[p] / float(HOUR_US)] for p in pumps})
-        row.update({f"{p}_starts": [st[p]] for p in pumps})
-        row.update({"late_rows": [late], "seq": [seq]})
-        yield pd.DataFrame(row)
-
-    return src.groupBy(*k).applyInPandasWithState(step, out_schema, state_schema, "append",
-                                                  GroupStateTimeout.NoTimeout)
-
-
-def latest_counters(counter_rows: DataFrame, *, keys=("device_id",)) -> DataFrame:
-    """Final totals from the append-only counter output: the highest ``seq`` per key."""
-    k = keys_list(keys)
-    cols = [c for c in counter_rows.columns if c not in k and c != "seq"]
-    return counter_rows.groupBy(*k).agg(*[F.max_by(c, "seq").alias(c) for c in cols])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = pd.concat(list(pdfs), ignore_index=True)
+        seq, at, on = state.get if state.exists else (0, [], [])
+        at = np.concatenate([np.array(at, np.int64), new["_us"].to_numpy(np.int64)])
+        on = np.concatenate([np.array(on, np.int64), new["_on"].to_numpy(np.int64)])
+        order = np.argsort(at, kind="stable")
+        at, on = at[order], on[order]
+        state.update((seq + 1, at.tolist(), on.tolist()))
+        closes = (int(key[-1]) + bucket_us) // 1000
+        if closes > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(closes)
+        gap = np.diff(at)
+        row = dict(zip([*k, "bucket"], key, strict=True))
+        row |= {"first_us": int(at[0]), "last_us": int(at[-1]), "first_on": int(on[0]), "last_on": int(on[-1]), "rows": len(at), "seq": seq + 1}
+        for i, p in enumerate(pumps):
+            lit = (on >> i & 1).astype(bool)
+            row[f"run_{p}"] = int(gap[lit[1:]].sum())
+            row[f"st_{p}"] = int((lit[1:] & ~lit[:-1]).sum())
+        yield pd.DataFrame([row])[[*k, "bucket", *(n for n, _ in fields)]]
+
+    return src.groupBy(*k, "bucket").applyInPandasWithState(
+        step, out_schema, "seq long, at array<long>, on array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def latest_counters(counter_rows: DataFrame, *, keys=("device_id",), pumps=tuple(COUNTER_PUMPS)) -> DataFrame:
+    """Running on-hours, start counts and rows per key, from the last partial
+    of every cell; the gaps and starts between neighbouring cells are added here
+    (one row per key and cell)."""
+    k, pumps = keys_list(keys), list(pumps)
+    cells = [c for c in counter_rows.columns if c not in (*k, "bucket", "seq")]
+    last = counter_rows.groupBy(*k, "bucket").agg(*[F.max_by(c, "seq").alias(c) for c in cells])
+    w = Window.partitionBy(*k).orderBy("bucket")
+    st = last.withColumn("_before", F.lag("last_us").over(w)).withColumn("_was", F.coalesce(F.lag("last_on").over(w), F.lit(0)))
+    aggs = []
+    for i, p in enumerate(pumps):
+        on, was = F.getbit("first_on", F.lit(i)) == 1, F.getbit("_was", F.lit(i)) == 1
+        gap = F.when(on, F.coalesce(F.col("first_us") - F.col("_before"), F.lit(0))).otherwise(0)
+        aggs.append((F.sum(F.col(f"run_{p}") + gap).cast("double") / F.lit(float(HOUR_US))).alias(f"total_hours_{p}"))
+        aggs.append(F.sum(F.col(f"st_{p}") + (on & ~was).cast("long")).cast("long").alias(f"{p}_starts"))
+    got = st.groupBy(*k).agg(*aggs, F.sum("rows").alias("rows"))
+    return got.select(*k, *[f"total_hours_{p}" for p in pumps], *[f"{p}_starts" for p in pumps], "rows")
 
 
 def run_available_now(df: DataFrame, out_path: str, checkpoint: str, *, mode: str = "append") -> DataFrame:
-    """Drain the source once (``availableNow``) into a parquet sink; return the sink as a batch DataFrame."""
-    q = (df.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint)
-         .outputMode(mode).trigger(availableNow=True).start())
+    """Drain the source once (``availableNow``) into a parquet sink and return the
+    sink as a batch DataFrame.  In update mode each row has the number of its
+    batch (``_batch``), and a batch that is run again replaces its own folder."""
+    writer = df.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
+    if mode == "update":
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out_path}/_batch={number}")
+        q = writer.foreachBatch(keep).start()
+    else:
+        q = writer.format("parquet").option("path", out_path).start()
     q.awaitTermination()
-    return df.sparkSession.read.parquet(out_path)
+    spark = df.sparkSession
+    if mode == "update":
+        schema = df.schema.add("_batch", "long")
+        return spark.read.schema(schema).parquet(out_path)
+    return spark.read.parquet(out_path)
+
+
+def final_rows(updates: DataFrame, cell: list[str]) -> DataFrame:
+    """The last version of every cell of an update-mode sink."""
+    cols = [c for c in updates.columns if c not in (*cell, "_batch")]
+    return updates.groupBy(*cell).agg(*[F.max_by(c, "_batch").alias(c) for c in cols]).select(*cell, *cols)

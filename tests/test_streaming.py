@@ -1,67 +1,94 @@
-"""Stream = batch: state across several micro-batches, late rows."""
+"""Stream = batch: files in any time order, state across micro-batches."""
 
 import tempfile
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
 from frostline.operators import intervals as I
+from frostline.operators.series import to_series
+from frostline.schema import TS
 from frostline.sources.events import events_to_readings
 from frostline.streaming import streams as T
 
+LONG = "3650 days"
 
-def _split_events(spark, folder, order_desc_last=False):
-    ev = spark.read.parquet(f"{SF001}/events.parquet")
-    bounds = ["2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01"]
-    for i in range(3):
-        part = ev.filter((F.col("ts") >= F.lit(bounds[i]).cast("timestamp_ntz"))
-                         & (F.col("ts") < F.lit(bounds[i + 1]).cast("timestamp_ntz")))
-        part.coalesce(1).write.parquet(f"{folder}/tmp{i}")
-        # one file per micro-batch, in time order (file streams list by modification time)
-        src = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/tmp{i}")
-        fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        f = [s.getPath() for s in fs.listStatus(src) if s.getPath().getName().endswith(".parquet")][0]
-        fs.rename(f, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/in/events-{i}.parquet"))
-        time.sleep(1.1)
-    return ev
-
-
-def test_counters_across_batches_equal_batch(spark):
+
+def _move_one(spark, df, folder, name):
+    """Write one file and move it into the source folder (listed by modification time)."""
+    df.coalesce(1).write.parquet(f"{folder}/tmp-{name}")
+    jvm = spark.sparkContext._jvm
+    src = jvm.org.apache.hadoop.fs.Path(f"{folder}/tmp-{name}")
+    fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    f = [s.getPath() for s in fs.listStatus(src) if s.getPath().getName().endswith(".parquet")][0]
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{folder}/in"))
+    fs.rename(f, jvm.org.apache.hadoop.fs.Path(f"{folder}/in/events-{name}.parquet"))
+    time.sleep(1.1)
+
+
+@pytest.fixture(scope="module")
+def shuffled(spark):
+    """The events in four files: the last days first, and rows of one day in two files."""
     folder = tempfile.mkdtemp(prefix="frostline-stream-")
-    ev = _split_events(spark, folder)
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")
+    odd = F.col("event_id") % 2 == 1
+    for i, cond in enumerate([late & odd, ~late & odd, late & ~odd, ~late & ~odd]):
+        _move_one(spark, ev.filter(cond), folder, i)
+    return folder, events_to_readings(ev)
+
+
+def _drain(spark, folder, make, mode):
+    run = tempfile.mkdtemp(prefix="frostline-drain-")
     stream = T.events_stream(spark, f"{folder}/in", max_files_per_trigger=1)
-    rows = T.run_available_now(T.runtime_counters(stream), f"{folder}/out", f"{folder}/ck")
-    assert rows.agg(F.max("seq")).first()[0] >= 2          # several batches carried state
+    return T.run_available_now(make(stream), f"{run}/out", f"{run}/ck", mode=mode)
+
+
+def test_counters_equal_batch(spark, shuffled):
+    folder, readings = shuffled
+    rows = _drain(spark, folder, lambda s: T.runtime_counters(s, delay=LONG), "append")
+    assert rows.agg(F.max("seq")).first()[0] >= 2          # cells were touched by several batches
     got = {r.device_id: r for r in T.latest_counters(rows).collect()}
-    readings = events_to_readings(ev)
     exp = {r.device_id: r for r in I.runtime_hours(readings, keys=["device_id"]).collect()}
     starts = {r.device_id: r for r in I.window_stats(readings, hours=24 * 365, keys=["device_id"],
                                                        pumps=T.COUNTER_PUMPS, minmax=()).collect()}
-    assert set(got) == set(exp)
+    assert set(got) == set(exp) and sum(r.rows for r in got.values()) == readings.count()
     for d, e in exp.items():
         for p in T.COUNTER_PUMPS:
             assert got[d][f"total_hours_{p}"] == e[f"total_hours_{p}"]
             assert got[d][f"{p}_starts"] == starts[d][f"{p}_starts_24h"]
-        assert got[d].late_rows == 0
 
 
-def test_late_rows_are_dropped_and_counted(spark):
+def test_minutes_lose_nothing(spark, shuffled):
+    folder, readings = shuffled
+    out = T.final_rows(_drain(spark, folder, lambda s: T.minute_last_values(s, keys=["device_id"], delay=LONG), "update"), ["device_id", TS])
+    got = sorted(map(tuple, T.minute_points(out, keys=["device_id"]).collect()))
+    points = to_series(readings, keys=["device_id"]).withColumn("m", F.date_trunc("minute", TS).cast("timestamp_ntz"))
+    want = points.groupBy("device_id", "key", "m").agg(F.max_by("value", TS))
+    assert got == sorted(map(tuple, want.collect()))
+
+
+def test_sliding_windows_lose_nothing(spark, shuffled):
+    folder, readings = shuffled
+    hours = T.final_rows(_drain(spark, folder, lambda s: T.hour_minmax(s, delay=LONG), "update"), ["hour"])
+    got = {r.window_end: r for r in T.sliding_minmax(hours).collect()}
+    for end in sorted(got)[::97]:
+        before = readings.filter(F.col(TS) < F.lit(end))
+        want = I.window_minmax(before, as_of=end).first()
+        assert all(got[end][c] == want[c] for c in want.asDict())
+
+
+def test_rows_inside_the_delay_are_kept(spark):
     folder = tempfile.mkdtemp(prefix="frostline-late-")
     rows = [(1, "2024-01-01 00:00:00", 7, "click", 1.0, "{}"), (3, "2024-01-01 02:00:00", 7, "click", 1.0, "{}")]
     late = [(2, "2024-01-01 01:00:00", 7, "click", 1.0, "{}")]
     schema = "event_id long, ts string, user_id long, event_type string, value double, props string"
     for i, chunk in enumerate([rows, late]):
-        df = spark.createDataFrame(chunk, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-        df.coalesce(1).write.parquet(f"{folder}/tmp{i}")
-        jvm = spark.sparkContext._jvm
-        src = jvm.org.apache.hadoop.fs.Path(f"{folder}/tmp{i}")
-        fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        f = [s.getPath() for s in fs.listStatus(src) if s.getPath().getName().endswith(".parquet")][0]
-        fs.rename(f, jvm.org.apache.hadoop.fs.Path(f"{folder}/in/events-{i}.parquet"))
-        time.sleep(1.1)
-    stream = T.events_stream(spark, f"{folder}/in", max_files_per_trigger=1)
-    out = T.latest_counters(T.run_available_now(T.runtime_counters(stream), f"{folder}/o", f"{folder}/c")).first()
-    assert out.late_rows == 1
-    # event 3 has event_id % 3 == 0 -> turbo on: the 2 h gap before it counts
-    assert out.total_hours_turbo_1 == 2.0 and out.turbo_1_starts == 1
+        _move_one(spark, spark.createDataFrame(chunk, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz")), folder, i)
+    out = T.latest_counters(_drain(spark, folder, lambda s: T.runtime_counters(s, delay="3 hours"), "append")).first()
+    # event 3 has event_id % 3 == 0 -> turbo on: the hour since the late row counts
+    assert out.rows == 3 and out.total_hours_turbo_1 == 1.0 and out.turbo_1_starts == 1
+    with pytest.raises(TypeError):
+        T.runtime_counters(spark.range(1))          # a delay must be named
