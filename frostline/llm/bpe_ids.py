@@ -95,6 +95,7 @@ def encoder(vocabulary: str) -> IdEncoder:
     """The worker's encoder for a vocabulary file; it outlives a task."""
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = IdEncoder(vocabulary)
-    # millions of small objects and no cycles: the collector only costs time here
-    gc.disable()
+        # the collector need not walk through the remembered chunks again and again
+        gc.collect()
+        gc.freeze()
     return _ENCODERS[vocabulary]

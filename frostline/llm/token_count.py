@@ -121,7 +121,9 @@ _COUNTERS: dict[str, TokenCounter] = {}
 def counter(vocabulary: str) -> TokenCounter:
     if vocabulary not in _COUNTERS:
         _COUNTERS[vocabulary] = TokenCounter(vocabulary)
-    gc.disable()
+        # the collector need not walk through the remembered chunks again and again
+        gc.collect()
+        gc.freeze()
     return _COUNTERS[vocabulary]
 
 
