@@ -22,6 +22,12 @@ def _epoch() -> Column:
 US_PER_HOUR = 3_600_000_000.0
 
 
+# what a text strip removes: all white space, not only blanks
+WHITE_SPACE = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                       0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)$"
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -69,6 +75,18 @@ def nan_to_null(c) -> Column:
     return F.when(~F.isnan(col(c)), col(c))
 
 
+def strip(text) -> Column:
+    """Text without white space at its ends."""
+    return F.btrim(col(text), F.lit(WHITE_SPACE))
+
+
+def lenient_float(text) -> Column:
+    """L2: stripped text -> double; empty or unparsable -> NULL; 'nan' -> NaN.
+    The pattern keeps out what a cast takes besides: ``1.5d``, ``0x1p3``."""
+    t = strip(text)
+    return F.when(t.rlike(_NUMBER), t.try_cast("double"))
+
+
 def scrub(c) -> Column:
     """NaN and +-inf become NULL (P7 output edge)."""
     x = col(c)

@@ -265,16 +265,13 @@ def latest_time_bounds(readings: DataFrame, *, keys=()):
 def latest_row(readings: DataFrame, *, keys=(), columns=None, floor=None) -> DataFrame:
     """The row with the greatest timestamp, per key (NULLs kept as stored).
 
-    Two phases: the per-key latest time reads only ``(keys, ts)``; the smallest
-    of those (``floor``, one scalar) is a literal lower bound that every key's
-    latest row satisfies, so the value columns are read only from row groups
-    and ``day`` partitions at or after it.  Then ``max_by`` per column: a
-    partial (map-side) aggregate, no sort, no window.
+    One pass of ``max_by`` per column: a partial (map-side) aggregate, no sort,
+    no window, no job of its own.  ``floor`` (a time that no key's latest row
+    lies before, e.g. from :func:`latest_time_bounds`) prunes row groups and
+    ``day`` partitions.
     """
     k = keys_list(keys)
     cols = list(columns) if columns is not None else [c for c in readings.columns if c not in k]
-    if floor is None:
-        floor = readings.groupBy(*k).agg(F.max(TS).alias("_mx")).agg(F.min("_mx")).first()[0]
     recent = readings if floor is None else since(readings, ts_literal(floor))
     aggs = [F.max(TS).alias(TS) if c == TS else F.max_by(F.col(c), F.col(TS)).alias(c) for c in cols]
     if TS not in cols:

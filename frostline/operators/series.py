@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline.functions.columns import (
-    bucket_of, check_hours, check_points, is_on, keys_list, micros, missing, nan_to_null,
+    bucket_of, check_hours, check_points, is_on, keys_list, lenient_float, micros, missing, nan_to_null,
     resolve_as_of, scrub, since, window_start,
 )
 from frostline.operators import intervals as I
@@ -116,7 +116,7 @@ def coerce_points(points: DataFrame, *, keys=(), ts_col: str = TS, value_col: st
     k = keys_list(keys)
     ts_text = F.regexp_replace(F.col(ts_col).cast("string"), "T", " ")
     ts = ts_text.try_cast("timestamp_ntz")
-    val = F.col(value_col).cast("string").try_cast("double")
+    val = lenient_float(F.col(value_col).cast("string"))
     return points.select(*k, ts.alias(TS), val.alias("value")).filter(F.col(TS).isNotNull())
 
 

@@ -93,8 +93,6 @@ def synthesize_snapshot(latest_row: DataFrame, metrics_row: DataFrame, series: D
     lv = lv.select(*k, *[F.col(c).alias(f"_lv_{c}") for c in DASHBOARD_KEYS])
     lts = S.latest_series_ts(series, keys=k).withColumnRenamed("latest_ts", "_hist_ts")
     parts = [snap, lv, lts]
-    if health_row is not None:
-        parts.append(health_row.select(F.col("latest_ts_eastern").alias("_health_ts")))
     allin = S.combine(parts, keys=k)
     cols = [c for c in snap.columns if c not in k]
     out = []
@@ -102,7 +100,10 @@ def synthesize_snapshot(latest_row: DataFrame, metrics_row: DataFrame, series: D
         if c in DASHBOARD_KEYS:
             out.append(F.coalesce(F.when(~F.isnan(c), F.col(c)), F.col(f"_lv_{c}")).alias(c))
         elif c == TS:
-            ts_fill = [F.col(TS), F.col("_hist_ts")] + ([F.col("_health_ts")] if health_row is not None else [])
+            # one health time for all keys: a scalar, no row of its own
+            ts_fill = [F.col(TS), F.col("_hist_ts")]
+            if health_row is not None:
+                ts_fill.append(health_row.agg(F.max("latest_ts_eastern")).scalar())
             out.append(F.coalesce(*ts_fill).alias(TS))
         else:
             out.append(F.col(c))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frostline.functions.columns import strip
+
 # File-name prefixes (lower-cased stem) of the known logs.
 SIMPLE_PREFIXES = {"ch1 t": "T_50K", "ch2 t": "T_4K", "ch5 t": "T_Still", "ch6 t": "T_MXC", "flowmeter": "Flow"}
 CHANNELS_PREFIX = "channels "
@@ -24,7 +26,7 @@ KNOWN_PREFIXES = [*SIMPLE_PREFIXES, CHANNELS_PREFIX, MAXIGAUGE_PREFIX, STATUS_PR
 def stem_lower(name: Column) -> Column:
     """lower-cased, trimmed file stem (name without its last suffix)."""
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    return F.lower(F.trim(stem))
+    return F.lower(strip(stem))
 
 
 def is_known_log(name: Column) -> Column:

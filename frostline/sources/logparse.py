@@ -15,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frostline.functions.columns import lenient_float, strip
 from frostline.schema import READING_COLUMNS, TS
-from frostline.sources.logfiles import SIMPLE_PREFIXES, log_kind
+from frostline.sources.logfiles import CHANNELS_PREFIX, MAXIGAUGE_PREFIX, SIMPLE_PREFIXES, STATUS_PREFIX, log_kind
 
 PRESSURE_COLUMNS = ["P1", "P2", "P3", "P4", "P5", "P6"]
 # Key names inside the channel, status and gauge logs.
@@ -26,26 +27,24 @@ STATUS_TURBO_KEY = "tc400pumpstatn"
 GAUGE_CHANNELS = {"P1": "CH1", "P2": "CH2", "P3": "CH3", "P4": "CH4", "P5": "CH5", "P6": "CH6"}
 # End of fixed values.
 
-_NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)$"
+# the keys that a line of each kind is searched for, in slots
+KIND_KEYS = {"channels": [*CHANNEL_KEYS.values(), PULSE_TUBE_FALLBACK_KEY], "maxigauge": list(GAUGE_CHANNELS.values()),
+             "status": [STATUS_TURBO_KEY]}
+SLOTS = max(map(len, KIND_KEYS.values()))
 _CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 VALUE_COLUMNS = [c for c in READING_COLUMNS[1:-1] if not c.startswith("total_hours_")]
 
 
-def lenient_float(text: Column) -> Column:
-    """L2: stripped text -> double; empty or unparsable -> NULL; 'nan' -> NaN."""
-    t = F.trim(text)
-    return F.when(t.rlike(_NUMBER), t.try_cast("double"))
-
-
 def parse_ts(d: Column, t: Column) -> Column:
     """L1: ``dd-mm-yy`` + ``HH:MM:SS`` (one-digit fields allowed) -> TIMESTAMP_NTZ.
 
     Invalid dates give NULL (the row is dropped).  Two-digit years pivot like
     C ``strptime``: 69-99 -> 19xx, 00-68 -> 20xx.
     """
-    dparts = F.split(F.trim(d), "-")
-    tparts = F.split(F.trim(t), ":")
-    ok = F.trim(d).rlike(r"^\d{1,2}-\d{1,2}-\d{1,2}$") & F.trim(t).rlike(r"^\d{1,2}:\d{1,2}:\d{1,2}$")
+    d, t = strip(d), strip(t)
+    dparts = F.split(d, "-")
+    tparts = F.split(t, ":")
+    ok = d.rlike(r"^\d{1,2}-\d{1,2}-\d{1,2}$") & t.rlike(r"^\d{1,2}:\d{1,2}:\d{1,2}$")
     yy = dparts.getItem(2).cast("int")
     year = F.when(yy < 69, yy + 2000).otherwise(yy + 1900)
     ts = F.try_make_timestamp_ntz(year, dparts.getItem(1).cast("int"), dparts.getItem(0).cast("int"),
@@ -80,82 +79,72 @@ _CHUNK = (r"\s*([^\x00]*?)\s*\x00[^\x00]*\x00[^\x00]*\x00([^\x00]*)"
           r"(?:\x00[^\x00]*)?(?:\x00[^\x00]*)?(?:\x00|$)")
 
 
-def _kv(items: Column, pattern: str, case) -> tuple[Column, Column]:
-    """Keys and values of a field array as two aligned arrays (built-in regex, codegen)."""
-    text = case(F.array_join(items, _SEP))
-    return F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 2)
-
-
-def _last_of(keys: Column, vals: Column, key: str) -> Column:
-    """Raw value of the last occurrence of ``key`` (duplicate keys: last wins); NULL if absent."""
-    pos = F.array_position(F.reverse(keys), F.lit(key)).cast("int")
-    return F.when(pos > 0, F.element_at(F.reverse(vals), pos))
+def _first_of(keys: Column, vals: Column, key: Column) -> Column:
+    """Raw value of the first occurrence of ``key``; NULL if absent."""
+    pos = F.array_position(keys, key).cast("int")
+    return F.when(pos > 0, F.element_at(vals, pos))
 
 
 def file_lines(lines: DataFrame) -> DataFrame:
-    """``(path, name, parent, kind, _blk, line_no, f)``: blank lines dropped,
+    """``(path, name, parent, kind, _blk, f)``: blank lines dropped,
     fields split (the text reader already strips a leading BOM and CR/LF)."""
-    return lines.filter(F.col("line") != "").select("path", "name", "parent", "kind", "_blk", "line_no",
+    return lines.filter(F.col("line") != "").select("path", "name", "parent", "kind", "_blk",
                                                    split_csv(F.col("line")).alias("f"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """One output row per accepted line with every value column (NULL
-    where the kind has no such channel).
+    """One output row per accepted line with its values in slots (which
+    slot is which column depends on the kind, see ``_slot``).
 
     Per line, only for its own kind, the key and value arrays are extracted
-    once (own projection), then each wanted key is looked up; no
-    higher-order functions, so the whole stage stays in generated code.
+    once (own projection), then each wanted key is looked up; no higher-order
+    functions, and few number parsers, so the whole stage is generated code
+    (a test runs it with the fall-back to interpretation switched off).
     """
-    f, kind = F.col("f"), F.col("kind")
-    n = F.size(f)
-    simple_cols = list(SIMPLE_PREFIXES.values())
-    payload = F.slice(f, 3, F.greatest(n - 2, F.lit(0)))
-    np_ = F.size(payload)
-    # L4 channels: odd payload drops its first item
-    ch_payload = F.when(np_ % 2 == 1, F.slice(payload, 2, F.greatest(np_ - 1, F.lit(0)))).otherwise(payload)
-    ch_k, ch_v = _kv(ch_payload, _PAIR, F.lower)
-    st_k, st_v = _kv(payload, _PAIR, F.lower)
-    ga_k, ga_v = _kv(payload, _CHUNK, F.upper)
-    min_width = (F.when(kind.isin(simple_cols), 3).when(kind == "channels", 4).when(kind == "status", 4)
-                 .when(kind == "maxigauge", 8))
-    ts = parse_ts(F.element_at(f, 1), F.element_at(f, 2))
-    accepted = (n >= min_width) & ts.isNotNull() & ((kind != "status") | (np_ % 2 == 0))
-    is_ch, is_st, is_ga = kind == "channels", kind == "status", kind == "maxigauge"
-    staged = lines.select(
-        "path", "name", "parent", "kind", "_blk", "line_no", ts.alias(TS),
-        F.when(kind.isin(simple_cols), F.element_at(f, 3)).alias("_v"),
-        F.when(is_ch, ch_k).when(is_st, st_k).when(is_ga, ga_k).alias("_k"),
-        F.when(is_ch, ch_v).when(is_st, st_v).when(is_ga, ga_v).alias("_kv"),
-        F.coalesce(accepted, F.lit(False)).alias("_ok"),
-    ).filter("_ok")
-
-    keys, vals = F.col("_k"), F.col("_kv")
-    values: dict[str, Column] = {c: F.lit(None).cast("double") for c in VALUE_COLUMNS}
-    for c in simple_cols:
-        values[c] = F.when(kind == c, lenient_float(F.col("_v")))
-    for c, key in CHANNEL_KEYS.items():
-        values[c] = F.when(kind == "channels", lenient_float(_last_of(keys, vals, key)))
-    # the fallback is decided on the parsed value before NaN -> NULL
-    values["pulse_tube"] = F.when(kind == "channels", F.coalesce(
-        lenient_float(_last_of(keys, vals, CHANNEL_KEYS["pulse_tube"])),
-        lenient_float(_last_of(keys, vals, PULSE_TUBE_FALLBACK_KEY))))
-    for c, ch in GAUGE_CHANNELS.items():
-        values[c] = F.when(kind == "maxigauge", lenient_float(_last_of(keys, vals, ch)))
-    turbo_status = F.when(kind == "status", lenient_float(_last_of(keys, vals, STATUS_TURBO_KEY)))
-    return staged.select("path", "name", "parent", "kind", "_blk", "line_no", TS,
-                         *[values[c].alias(c) for c in VALUE_COLUMNS], turbo_status.alias("turbo_1_status"))
-
-
-def _present(c: str) -> Column:
-    kind = F.col("kind")
+    kind, simple_cols = F.col("kind"), list(SIMPLE_PREFIXES.values())
+    line = ["path", "name", "parent", "kind", "_blk", "line_no"]
+    is_simple, is_ch, is_st, is_ga = kind.isin(simple_cols), kind == "channels", kind == "status", kind == "maxigauge"
+    # one projection per step: an expression used twice is computed once
+    f, n = F.col("f"), F.col("_n")
+    # the line number is drawn here: a filter is not pushed (and its inputs are
+    # not computed twice) below a projection that is not deterministic
+    head = lines.select(*line[:-1], F.monotonically_increasing_id().alias("line_no"), F.size("f").alias("_n"), parse_ts(F.element_at("f", 1), F.element_at("f", 2)).alias(TS), "f")
+    min_width = F.when(is_simple, 3).when(is_ch | is_st, 4).when(is_ga, 8)
+    items = head.filter((n >= min_width) & F.col(TS).isNotNull() & (~is_st | (n % 2 == 0))).select(
+        *line, TS, F.when(is_simple, F.element_at(f, 3)).alias("_v"),
+        # L4 channels: an odd payload drops its first item
+        F.when(is_ch & (n % 2 == 1), F.slice(f, 4, n - 3)).when(~is_simple, F.slice(f, 3, n - 2)).alias("_items"))
+    joined = F.array_join("_items", _SEP)
+    texts = items.select(*line, TS, "_v", F.when(is_ga, F.upper(joined)).otherwise(F.lower(joined)).alias("_text"))
+    part = lambda g: F.reverse(F.when(is_ga, F.regexp_extract_all("_text", F.lit(_CHUNK), g))
+                               .otherwise(F.regexp_extract_all("_text", F.lit(_PAIR), g)))
+    # turned around: of a key that occurs twice the last one holds
+    staged = texts.select(*line, TS, "_v", part(1).alias("_k"), part(2).alias("_kv"))
+
+    # a line has values for its own kind only: they go to shared slots as raw
+    # text, so every number is parsed by one expression per slot
+    raw = []
+    for i in range(SLOTS):
+        key = None
+        for name, wanted in KIND_KEYS.items():
+            if i < len(wanted):
+                key = F.when(kind == name, wanted[i]) if key is None else key.when(kind == name, wanted[i])
+        slot = _first_of(F.col("_k"), F.col("_kv"), key)
+        raw.append((F.when(is_simple, F.col("_v")).otherwise(slot) if i == 0 else slot).alias(f"_r{i}"))
+    return staged.select(*line, TS, *raw).select(*line, TS, *[lenient_float(f"_r{i}").alias(f"_s{i}") for i in range(SLOTS)])
+
+
+def _slot(c: str) -> tuple[str, Column]:
+    """(kind, value) of a target column in the parsed rows."""
     if c in SIMPLE_PREFIXES.values():
-        return kind == c
-    if c in CHANNEL_KEYS:
-        return kind == "channels"
-    if c in GAUGE_CHANNELS:
-        return kind == "maxigauge"
-    return F.lit(False)
+        return c, F.col("_s0")
+    for name, wanted in (("channels", CHANNEL_KEYS), ("maxigauge", GAUGE_CHANNELS)):
+        if c in wanted:
+            value = F.col(f"_s{KIND_KEYS[name].index(wanted[c])}")
+            if c == "pulse_tube":   # the fallback is decided on the parsed value before NaN -> NULL
+                value = F.coalesce(value, F.col(f"_s{KIND_KEYS[name].index(PULSE_TUBE_FALLBACK_KEY)}"))
+            return name, value
+    return "status", F.col("_s0")
 
 
 def assemble(parsed: DataFrame) -> DataFrame:
@@ -164,9 +153,13 @@ def assemble(parsed: DataFrame) -> DataFrame:
     ``turbo_1`` falls back to the status log; NaN -> NULL; fixed column order.
     """
     order = F.struct("name", "_blk", "line_no")
-    aggs = [F.max_by(F.col(c), F.when(_present(c), order)).alias(c) for c in VALUE_COLUMNS]
-    aggs.append(F.max_by(F.col("turbo_1_status"), F.when(F.col("kind") == "status", order)).alias("turbo_1_status"))
-    wide = parsed.groupBy(F.col("parent").alias("source_file"), TS).agg(*aggs)
+
+    def last(c):
+        kind, value = _slot(c)
+        return F.max_by(value, F.when(F.col("kind") == kind, order)).alias(c)
+
+    wide = parsed.groupBy(F.col("parent").alias("source_file"), TS) \
+        .agg(*[last(c) for c in VALUE_COLUMNS], last("turbo_1_status"))
 
     def nn(c):
         x = F.col(c)
@@ -185,19 +178,27 @@ def assemble(parsed: DataFrame) -> DataFrame:
     return wide.select(*cols)
 
 
+def wanted_files() -> str:
+    """Glob of the log files that are parsed: their prefixes in any case (other
+    logs of a folder are not read at all)."""
+    prefixes = [*SIMPLE_PREFIXES, CHANNELS_PREFIX, MAXIGAUGE_PREFIX, STATUS_PREFIX]
+    any_case = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in p.rstrip()) for p in prefixes]
+    return "*{" + ",".join(any_case) + "}*.log"
+
+
 def read_source_lines(spark: SparkSession, source_paths: list[str]) -> DataFrame:
     """Lines of the ``*.log`` files directly inside each source folder.
 
     ``_metadata.file_path`` is percent-encoded; ``+`` is protected before
     decoding so that it does not turn into a space.
     """
-    df = spark.read.option("pathGlobFilter", "*.log").text(source_paths)
+    df = spark.read.option("pathGlobFilter", wanted_files()).text(source_paths)
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     lines = df.select(path.alias("path"), F.col("_metadata.file_block_start").alias("_blk"),
-                      F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+                      F.col("value").alias("line"))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     parent = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
-    return lines.select("path", name.alias("name"), parent.alias("parent"), "_blk", "line_no", "line") \
+    return lines.select("path", name.alias("name"), parent.alias("parent"), "_blk", "line") \
         .withColumn("kind", log_kind(F.col("name")))
 
 

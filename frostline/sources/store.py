@@ -21,6 +21,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from frostline.functions.columns import bucket_of, micros
 from frostline.schema import HOUR_US, MANIFEST_SCHEMA, READING_COLUMNS, TS, readings_schema
@@ -30,6 +31,12 @@ from frostline.sources.logfiles import (
 from frostline.sources.logparse import build_readings
 
 
+RAW_SCHEMA = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in readings_schema().fields),
+                           T.StructField("batch_id", T.StringType()), T.StructField("day", T.DateType())])
+HOURS_SCHEMA = T.StructType([T.StructField("source_file", T.StringType()), T.StructField("day", T.DateType()),
+                             T.StructField("_h", T.LongType()), T.StructField("batch_id", T.StringType())])
+
+
 def _raw_path(root: str) -> str:
     return f"{root.rstrip('/')}/raw"
 
@@ -53,7 +60,20 @@ def read_raw(spark: SparkSession, store_root: str) -> DataFrame | None:
     p = _raw_path(store_root)
     if not path_exists(spark, p):
         return None
-    return spark.read.parquet(p)
+    # explicit schema: a store whose passes had no accepted line has no data file
+    return spark.read.schema(RAW_SCHEMA).parquet(p)
+
+
+def _live_raw(spark: SparkSession, store_root: str, live: DataFrame) -> DataFrame:
+    """The raw rows in the folders of live batches alone (replaced copies of a
+    source lie in other folders and are not listed).  The list is store
+    metadata: at most one batch per source."""
+    p = _raw_path(store_root)
+    folders = [f"{p}/batch_id={r.batch_id}" for r in live.select("batch_id").distinct().collect()]
+    folders = [f for f in folders if path_exists(spark, f)]
+    if not folders:
+        return spark.createDataFrame([], RAW_SCHEMA)
+    return spark.read.schema(RAW_SCHEMA).option("basePath", p).parquet(*folders)
 
 
 def readings(spark: SparkSession, store_root: str, *, dedupe: bool = True) -> DataFrame:
@@ -67,33 +87,45 @@ def readings(spark: SparkSession, store_root: str, *, dedupe: bool = True) -> Da
     the pass-through rows and only the ``day`` partitions with overlaps are
     read again and shuffled by timestamp.  ``day`` stays available for pruning.
     """
-    raw, man = read_raw(spark, store_root), read_manifest(spark, store_root)
-    if raw is None or man is None:
+    man = read_manifest(spark, store_root)
+    if man is None or not path_exists(spark, _raw_path(store_root)):
         return spark.createDataFrame([], readings_schema()).withColumn("day", F.lit(None).cast("date"))
     cur = current_manifest(man).select(F.col("path").alias("source_file"), "batch_id",
                                        F.col("ingested_at").alias("_ing"))
-    live = raw.join(cur, ["source_file", "batch_id"], "inner") \
+    live = _live_raw(spark, store_root, cur).join(cur, ["source_file", "batch_id"], "inner") \
         .withColumn("_h", bucket_of(micros(TS), HOUR_US))
     if not dedupe:
         return live.select(*READING_COLUMNS, "day")
     hp = _hours_path(store_root)
     if path_exists(spark, hp):
-        covered = spark.read.parquet(hp).join(cur.select("source_file", "batch_id"), ["source_file", "batch_id"])
+        covered = spark.read.schema(HOURS_SCHEMA).parquet(hp).join(cur.select("source_file", "batch_id"), ["source_file", "batch_id"])
     else:  # stores written before the index existed
         covered = live.select("source_file", "day", "_h").distinct()
     shared = covered.groupBy("day", "_h").agg(F.count_distinct("source_file").alias("_ns")) \
         .filter(F.col("_ns") > 1).select("day", "_h")
-    # days with overlaps: one row per day at most, used as a partition filter
-    days = [r.day for r in shared.select("day").distinct().collect()]
     single = live.join(shared, ["day", "_h"], "left_anti")
     cols = [c for c in READING_COLUMNS if c != TS] + ["day"]
-    out = single.select(*READING_COLUMNS, "day")
-    if days:
-        multi = live.filter(F.col("day").isin(days)).join(shared, ["day", "_h"], "left_semi")
-        win = F.struct("_ing", "source_file")
-        best = multi.groupBy(TS).agg(*[F.max_by(c, win).alias(c) for c in cols])
-        out = out.unionByName(best.select(*READING_COLUMNS, "day"))
-    return out
+    multi = live.join(shared, ["day", "_h"], "left_semi")
+    best = multi.groupBy(TS).agg(*[F.max_by(c, F.struct("_ing", "source_file")).alias(c) for c in cols])
+    return single.select(*READING_COLUMNS, "day").unionByName(best.select(*READING_COLUMNS, "day"))
+
+
+def vacuum(spark: SparkSession, store_root: str) -> int:
+    """Delete the folders of batches that hold no source's current rows; returns
+    their number.  Like any clean-up of replaced files it must not run while an
+    older reader still uses them, so a pass does it only when asked."""
+    man = read_manifest(spark, store_root)
+    if man is None:
+        return 0
+    live = {r.batch_id for r in current_manifest(man).select("batch_id").distinct().collect()}
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(_raw_path(store_root))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    dead = [st.getPath() for st in (fs.listStatus(root) if fs.exists(root) else [])
+            if st.getPath().getName().startswith("batch_id=") and st.getPath().getName()[len("batch_id="):] not in live]
+    for path in dead:
+        fs.delete(path, True)
+    return len(dead)
 
 
 def ingest_sources(spark: SparkSession, store_root: str, sources: list[tuple[str, int, int]],
@@ -111,21 +143,22 @@ def ingest_sources(spark: SparkSession, store_root: str, sources: list[tuple[str
     batch_path = f"{_raw_path(store_root)}/batch_id={batch_id}"
     if path_exists(spark, batch_path):
         # hour index of the batch, from the files just written (one row per source and hour)
-        (spark.read.parquet(batch_path)
+        (spark.read.schema(RAW_SCHEMA).parquet(batch_path)
          .select("source_file", "day", bucket_of(micros(TS), HOUR_US).alias("_h")).distinct()
-         .withColumn("batch_id", F.lit(batch_id)).coalesce(1)
+         .withColumn("batch_id", F.lit(batch_id))
          .write.mode("append").parquet(_hours_path(store_root)))
-    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    now = dt.datetime.now(dt.timezone.utc)      # aware: no detour over the driver's local zone
     rows = [(p, int(s), int(m), now, batch_id) for p, s, m in sources]
     spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(_manifest_path(store_root))
     return batch_id
 
 
-def sync_once(spark: SparkSession, logs_root: str, store_root: str) -> dict:
+def sync_once(spark: SparkSession, logs_root: str, store_root: str, *, clean: bool = False) -> dict:
     """Discover -> diff -> rebuild every changed source in one job -> commit -> summary.
 
     The signature is taken before parsing, so files growing during the pass
     trigger another rebuild next time.  Sources that vanished keep their rows.
+    With ``clean`` replaced batches are deleted at the end (see :func:`vacuum`).
     """
     if not path_exists(spark, logs_root):
         raise FileNotFoundError(f"logs root not found: {logs_root}")
@@ -140,6 +173,8 @@ def sync_once(spark: SparkSession, logs_root: str, store_root: str) -> dict:
         batch = ingest_sources(spark, store_root, [(r.path, r.size_bytes, r.mtime_ns) for r in changed])
     summary = readings(spark, store_root).agg(F.count(F.lit(1)).alias("rows_total"),
                                               F.max(TS).alias("latest_ts_eastern")).first()
+    if clean:
+        vacuum(spark, store_root)
     man2 = read_manifest(spark, store_root)
     tracked = 0 if man2 is None else man2.select("path").distinct().count()
     return {

@@ -159,3 +159,45 @@ def test_split_csv_matches_python_csv(spark):
     df = spark.createDataFrame([(c,) for c in cases], "line string")
     got = [r.f for r in df.select(split_csv(F.col("line")).alias("f")).collect()]
     assert got == [next(csv.reader(io.StringIO(c))) for c in cases]
+
+
+def test_first_pass_without_an_accepted_line(spark):
+    root = tempfile.mkdtemp(prefix="frostline-none-")
+    write(root, "24-09-11/Heaters 24-09-11.log", "11-09-24,00:00:05,1\n")
+    store = tempfile.mkdtemp(prefix="frostline-store-")
+    for _ in range(2):
+        assert ST.sync_once(spark, root, store)["rows_total"] == 0
+    time.sleep(1.1)
+    write(root, "24-09-11/CH6 T 24-09-11.log", "11-09-24,00:00:05,0.01\n")
+    assert ST.sync_once(spark, root, store)["rows_total"] == 1
+
+
+def test_replaced_batches_are_not_read_and_can_be_deleted(spark):
+    root, store = (tempfile.mkdtemp(prefix=f"frostline-{n}-") for n in ("grow", "store"))
+    text = ""
+    for i in range(3):
+        text += f"11-09-24,00:00:0{i},0.0{i + 1}\n"
+        write(root, "d/CH6 T x.log", text)
+        assert ST.sync_once(spark, root, store, clean=i == 2)["rows_total"] == i + 1
+        files = ST.readings(spark, store).inputFiles()
+        assert len({f.split("batch_id=")[1].split("/")[0] for f in files if "batch_id=" in f}) == 1
+        batches = [f for f in os.listdir(f"{store}/raw") if f.startswith("batch_id=")]
+        assert len(batches) == (1 if i == 2 else i + 1)
+        time.sleep(1.1)
+
+
+def test_white_space_is_stripped_like_text(spark):
+    root, store = (tempfile.mkdtemp(prefix=f"frostline-{n}-") for n in ("space", "store"))
+    write(root, "d/ CH6 T x.log", "\t11-09-24 , 00:00:05 ,\t0.25 \n11-09-24,00:00:06,\x0b0x1p3\n11-09-24,00:00:07,1.5d\n")
+    ST.sync_once(spark, root, store)
+    assert {k: v["T_MXC"] for k, v in _rows(spark, store).items()} == {"11 00:00:05": 0.25, "11 00:00:06": None, "11 00:00:07": None}
+
+
+def test_parse_stage_is_generated_code(spark, tree):
+    store = tempfile.mkdtemp(prefix="frostline-store-")
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")       # a stage that does not compile is an error now
+    try:
+        assert ST.sync_once(spark, tree, store)["rows_total"] > 0
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
