@@ -244,6 +244,15 @@ def q_snapshot(spark, sf):
     return Q.synthesize_snapshot(latest, m, hist, Q.health(r))
 
 
+def q_snapshot_by_device(spark, sf):
+    r = _r(spark, sf)
+    a, floor = _bounds(r, DEV)
+    latest = I.latest_row(r, keys=DEV, columns=[TS, *DASHBOARD_KEYS], floor=floor)
+    m = Q.metrics(r, as_of=a, keys=DEV)
+    hist = S.window_series(S.to_series(r, keys=DEV), hours=24, as_of=a)
+    return Q.synthesize_snapshot(latest, m, hist, Q.health(r), keys=DEV)
+
+
 def q_formatted_metrics(spark, sf):
     m = Q.metrics(_r(spark, sf), keys=DEV)
     return m.select(
@@ -416,6 +425,7 @@ QUERIES = {
     "ops_summary": q_ops_summary,
     "cold_summary": q_cold_summary,
     "snapshot": q_snapshot,
+    "snapshot_by_device": q_snapshot_by_device,
     "formatted_metrics": q_formatted_metrics,
     "ingest_roundtrip": q_ingest_roundtrip,
     "changed_sources": q_changed_sources,

@@ -403,6 +403,13 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
         + _pivot("(SELECT key, arg_max(value, ts_eastern) AS value FROM hist GROUP BY key)", DASHBOARD_KEYS, False)
         + "), lt AS (SELECT max(ts_eastern) AS hts FROM hist), h AS (SELECT max(ts_eastern) AS lts FROM readings)\n"
         f"SELECT {', '.join(snap_sel)} FROM m, lv, lt, h")
+    keyed = _metrics(True).rsplit("\nSELECT ", 1)
+    q["snapshot_by_device"] = (
+        f"{keyed[0]}, m AS (SELECT {keyed[1]}), hist AS (SELECT * FROM "
+        f"{_unpivot(DASHBOARD_KEYS, _in_window(24), True)}), lv AS ("
+        + _pivot("(SELECT device_id, key, arg_max(value, ts_eastern) AS value FROM hist GROUP BY device_id, key)", DASHBOARD_KEYS, True)
+        + "), lt AS (SELECT device_id, max(ts_eastern) AS hts FROM hist GROUP BY device_id), h AS (SELECT max(ts_eastern) AS lts FROM readings)\n"
+        f"SELECT m.device_id, {', '.join(snap_sel)} FROM m LEFT JOIN lv USING (device_id) LEFT JOIN lt USING (device_id), h")
     def miss(x, body):
         return f"CASE WHEN {x} IS NULL OR isnan({x}) THEN '—' ELSE {body} END"
 

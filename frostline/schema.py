@@ -42,8 +42,8 @@ ALLOWED_HISTORY_KEYS = [
     "total_hours_turbo_1", "total_hours_pulse_tube",
     "scroll_1", "scroll_2", "turbo_1", "pulse_tube",
 ]
-# Columns of the latest-row part of the metrics record.
-METRICS_LATEST_COLUMNS = READING_COLUMNS[:-1]
+# Columns of the latest-row part of the metrics record, in its order (not the store's).
+METRICS_LATEST_COLUMNS = [TS, *ALLOWED_HISTORY_KEYS]
 MINMAX_24H_COLUMNS = ["T_Still", "T_MXC", "P1", "Flow"]
 # Human labels and units per key (channel dimension).
 PRETTY_NAMES = {
