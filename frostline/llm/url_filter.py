@@ -32,7 +32,7 @@ RULES = [  # (host, path, action)
     ("net", "/es/", "block"), ("net", "/fr/", "block"),
 ]
 DEFAULT_VERDICT = "allow"
-SAMPLE = 20_000         # keys sampled to cut the ranges, at most about so many
+SAMPLE = 10_000         # keys sampled to cut the ranges, about so many
 _SEP = "\x00"
 
 _OUT = "page_id long, host string, path string, rule string, verdict string"
@@ -97,9 +97,11 @@ def apply_rules(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]]
     urls = (pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
             .withColumn("key", F.concat(reversed_key(F.col("host")), F.lit(_SEP),
                                         F.hex(F.xxhash64("path", "page_id")))))
-    # the cuts between the ranges: a bounded sample of keys, drawn by the row's hash
-    keys = urls.select(F.xxhash64("key").alias("h"), "key")
-    sample = sorted(r.key for r in keys.orderBy("h").limit(min(SAMPLE, 200 * ranges)).collect())
+    # the cuts between the ranges: about SAMPLE keys, drawn by the row's hash,
+    # however many tasks there are
+    share = min(1.0, SAMPLE / max(1, pages.count()))
+    drawn = F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    sample = sorted(r.key for r in urls.filter(drawn).select("key").collect())
     cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
     @F.udf("int", useArrow=True)
