@@ -11,8 +11,10 @@ smallest id it can reach by links.  The join is exact.
    be the same everywhere, not exact: it comes from the counted frequencies in
    two structures of fixed size (a bit filter of repeated fingerprints, and the
    ``MAX_FREQUENT`` most frequent ones), broadcast whole.
-3. The posted index lists tie sets into candidate clusters (an edge between
-   neighbours of a list by size, none where the sizes alone rule a link out).
+3. The posted index lists tie sets into candidate clusters.  Two sets of a list
+   are tied unless their sizes or their sketches rule a link out: a sketch is the
+   parity of the shingles in each of some thousand cells, and two sets differ in
+   at least as many shingles as their sketches do in cells.
 4. Set-relation skipping inside a cluster: index lists are sorted by set size
    and cut into blocks, and blocks whose positions rule out enough overlap are
    skipped; and a set that is close to one already answered takes over its
@@ -49,6 +51,9 @@ MAX_FREQUENT = 1 << 20      # fingerprints whose frequency is known (16 MB at mo
 FREQUENT = 4                # from this frequency on
 SETS_IN_TASK = 2_048        # a larger cluster is dealt into blocks
 SHINGLES_IN_TASK = 4_000_000
+SKETCH_BITS = 1 << 10       # cells of a sketch; sets over so many shingles have
+LONG_SKETCH_BITS = 1 << 13  # ... so many, which fold to the shorter ones
+LONGEST_LIST = 1 << 16      # the sets of a longer list are tied without looking
 PIVOTS = 16                 # answered sets whose overlaps are kept
 LIST_BLOCK = 64             # entries of an index list that are skipped together
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -293,17 +298,93 @@ def _edge_batches(edges: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         yield _arrow(list(zip(*edges, strict=True)), [pa.int64(), pa.int64()], ["a", "b"])
 
 
-def _list_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted posts (token, size, sig) -> a spanning forest of the lists.
+def sketch(tokens: np.ndarray) -> bytes:
+    bits = SKETCH_BITS if len(tokens) <= SKETCH_BITS else LONG_SKETCH_BITS
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield _arrow([b.column(0), [sketch(np.frombuffer(t, np.uint64)) for t in b.column(1).to_pylist()]],
+                     [pa.int64(), pa.binary()], ["sig", "sketch"])
+
 
-    In a list sorted by size, a gap that rules its two neighbours out rules out
-    every pair across it."""
-    forest, last = Forest(), None
+def _shared_posts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted posts (token, size, sig) -> those of lists with two sets at least."""
+    last = None                     # the post before, and whether it has gone out
     for b in batches:
-        for post in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if last is not None and last[0] == post[0] and last[2] != post[2] and 100 * last[1] >= PERCENT * post[1]:
-                forest.join(last[2], post[2])
-            last = post
+        t, n, g = (b.column(c).to_numpy() for c in ("token", "size", "sig"))
+        if not len(t):
+            continue
+        same = np.zeros(len(t), bool)       # shares its list with the post before it
+        same[1:] = t[1:] == t[:-1]
+        if last is not None:
+            same[0] = t[0] == last[0]
+            if same[0] and not last[3]:
+                yield _arrow([[last[0]], [last[1]], [last[2]]], [pa.int64(), pa.int32(), pa.int64()], ["token", "size", "sig"])
+        out = same.copy()
+        out[:-1] |= same[1:]
+        yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(n[out]), pa.array(g[out])], names=["token", "size", "sig"])
+        last = (int(t[-1]), int(n[-1]), int(g[-1]), bool(out[-1]))
+
+
+def _folded(raw: list[bytes]) -> np.ndarray:
+    """Sketches of the short length, as rows of 64-bit words."""
+    width = SKETCH_BITS // 64
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), axis=0) for x in raw])
+
+
+def possible_links(sizes: np.ndarray, raw: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """For sets in ascending size: the later ones that neither size nor sketch
+    rules out.  A link means 100 i >= P (a + b - i), so at most
+    (100 - P) / (100 + P) of a + b shingles are in one set only."""
+    words = _folded(raw)
+    for x in range(len(raw) - 1):
+        end = np.searchsorted(sizes, 100 * sizes[x] // PERCENT, "right")
+        most = (100 - PERCENT) * (sizes[x] + sizes[x + 1:end])
+        apart = np.bitwise_count(words[x] ^ words[x + 1:end]).sum(axis=1, dtype=np.int64)
+        y = np.flatnonzero((100 + PERCENT) * apart <= most) + x + 1
+        if len(y) and len(raw[x]) * 8 == LONG_SKETCH_BITS:      # then the larger ones have long sketches too
+            own = np.frombuffer(raw[x], np.uint64)
+            y = np.array([k for k in y if (100 + PERCENT) * int(np.bitwise_count(own ^ np.frombuffer(raw[k], np.uint64)).sum(dtype=np.int64))
+                          <= (100 - PERCENT) * (sizes[x] + sizes[k])], np.int64)
+        if len(y):
+            yield x, y
+
+
+def _list_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted lists (token, size, sig, sketch) -> a spanning forest of the pairs
+    that may be links."""
+    forest = Forest()
+
+    def settle(rows):
+        tied = lambda: len({forest.root(r[1]) for r in rows}) == 1
+        if len(rows) < 2 or tied():
+            return
+        if len(rows) > 64:          # most neighbours of a long list are close: often they tie it all
+            words = _folded([r[2] for r in rows])
+            apart = np.bitwise_count(words[1:] ^ words[:-1]).sum(axis=1, dtype=np.int64)
+            n = np.array([r[0] for r in rows], np.int64)
+            for x in np.flatnonzero(((100 + PERCENT) * apart <= (100 - PERCENT) * (n[1:] + n[:-1])) & (100 * n[:-1] >= PERCENT * n[1:])).tolist():
+                forest.join(rows[x][1], rows[x + 1][1])
+            if tied():
+                return
+        for x, ys in possible_links(np.array([r[0] for r in rows], np.int64), [r[2] for r in rows]):
+            for y in ys.tolist():
+                forest.join(rows[x][1], rows[y][1])
+
+    token, rows = None, []
+    for b in batches:
+        for t, *row in zip(*(b.column(c).to_pylist() for c in ("token", "size", "sig", "sketch")), strict=True):
+            if t != token:
+                settle(rows)
+                token, rows = t, []
+            rows.append(row)
+            if len(rows) > LONGEST_LIST:        # no pair is lost: the join looks at every tied pair
+                for a, c in zip(rows, rows[1:]):
+                    forest.join(a[1], c[1])
+                del rows[:-1]
+    settle(rows)
     yield from _edge_batches(forest.edges())
 
 
@@ -466,7 +547,10 @@ def link_documents(docs: DataFrame, filter_bits: int = FILTER_BITS, max_frequent
     # a copy in another task posts the same set again
     sets = materialize(posted.dropDuplicates(["sig"]), "posted-sets")
     posts = sets.select("sig", "size", "tokens", "skip", "posted").mapInArrow(_explode_posts, "token long, size int, sig long")
-    lists = posts.repartition("token").sortWithinPartitions("token", "size", "sig")
+    in_lists = lambda p: p.repartition("token").sortWithinPartitions("token", "size", "sig")
+    shared = in_lists(posts).mapInArrow(_shared_posts, "token long, size int, sig long")
+    sketches = sets.select("sig", "tokens").mapInArrow(_sketches, "sig long, sketch binary")
+    lists = in_lists(shared.join(sketches, "sig").select("token", "size", "sig", "sketch"))
     clusters = connected(lists.mapInArrow(_list_edges, "a long, b long"), "clusters")
 
     members = (sets.select("sig", "size", "tokens").join(clusters.withColumnRenamed("node", "sig"), "sig")

@@ -138,3 +138,17 @@ def test_join_cluster_derives_answers_of_close_sets():
     want = {frozenset((i, j)) for i in range(120) for j in range(i)
             if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - n)}
     assert got == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3000), st.integers(0, 2000), st.integers(0, 400)), min_size=2, max_size=8))
+def test_sketches_rule_out_no_link(spec):
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 2**63, 6000).astype(np.uint64)
+    sets = sorted((np.unique(np.concatenate([pool[s:s + n], rng.integers(0, 2**63, k).astype(np.uint64)])) for n, s, k in spec), key=len)
+    tied = {(x, int(y)) for x, ys in jaccard.possible_links(np.array([len(s) for s in sets]), [jaccard.sketch(s) for s in sets]) for y in ys}
+    for y in range(len(sets)):
+        for x in range(y):
+            n = len(np.intersect1d(sets[x], sets[y]))
+            if 100 * n >= 75 * (len(sets[x]) + len(sets[y]) - n):
+                assert (x, y) in tied
