@@ -187,13 +187,14 @@ def _every_key(readings: DataFrame, k: list[str], stats: DataFrame) -> DataFrame
 
 def window_stats(readings: DataFrame, *, as_of=None, hours: int = 24, keys=(),
                  pumps=tuple(STARTS_PUMPS), minmax=tuple(MINMAX_24H_COLUMNS),
-                 bucket_us: int = DEFAULT_BUCKET_US, suffix: str = "_24h") -> DataFrame:
+                 bucket_us: int = DEFAULT_BUCKET_US, suffix: str = "_24h", every_key: bool = True) -> DataFrame:
     """W4 + A1 over ``ts >= as_of - hours`` (inclusive, no upper bound).
 
     The filter is applied before the lag, so the first row of the window has
     no predecessor: a pump already on there counts as one start.  The time
     predicate is a literal, so it is pushed into the Parquet scan.  Every key
-    of the readings has a row; an empty window has NULL statistics.
+    of the readings has a row; an empty window has NULL statistics
+    (``every_key=False`` leaves it out, for callers that have the keys anyway).
     """
     k = keys_list(keys)
     pumps, minmax = list(pumps), list(minmax)
@@ -222,7 +223,9 @@ def window_stats(readings: DataFrame, *, as_of=None, hours: int = 24, keys=(),
     for j, c in enumerate(minmax):
         out += [F.min(f"_mn{j}").alias(f"{c}_min{suffix}"), F.max(f"_mx{j}").alias(f"{c}_max{suffix}")]
     out.append(F.sum("_n").alias("rows_in_window"))
-    res = _every_key(readings, k, st.groupBy(*k).agg(*out))
+    res = st.groupBy(*k).agg(*out)
+    if every_key:
+        res = _every_key(readings, k, res)
     mm = [n for c in minmax for n in (f"{c}_min{suffix}", f"{c}_max{suffix}")]
     return res.select(*k, *mm, *[f"{p}_starts{suffix}" for p in pumps], "rows_in_window")
 

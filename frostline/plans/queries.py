@@ -48,7 +48,7 @@ def metrics(readings: DataFrame, *, as_of=None, keys=(), bucket_us: int = DEFAUL
     a, floor = _as_of_and_floor(readings, as_of, k)
     latest = I.latest_row(readings, keys=k, floor=floor,
                           columns=[c for c in METRICS_LATEST_COLUMNS if c not in RUNTIME_COLUMNS])
-    win = I.window_stats(readings, as_of=a, hours=24, keys=k, bucket_us=bucket_us).drop("rows_in_window")
+    win = I.window_stats(readings, as_of=a, hours=24, keys=k, every_key=False, bucket_us=bucket_us).drop("rows_in_window")
     # the full-history pass reads only ts, the pump states and T_MXC
     hist = I.history_stats(readings, keys=k, bucket_us=bucket_us) \
         .select(*k, *RUNTIME_COLUMNS, "hours_below_20mK_total", "hours_below_20mK_current")
