@@ -357,7 +357,13 @@ def _list_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     that may be links."""
     forest = Forest()
 
-    def settle(rows):
+    def chain(rows):
+        for a, c in zip(rows, rows[1:]):
+            forest.join(a[1], c[1])
+
+    def settle(rows, long):
+        if long:                    # the rest of a list whose other sets are tied already
+            return chain(rows)
         tied = lambda: len({forest.root(r[1]) for r in rows}) == 1
         if len(rows) < 2 or tied():
             return
@@ -373,18 +379,18 @@ def _list_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for y in ys.tolist():
                 forest.join(rows[x][1], rows[y][1])
 
-    token, rows = None, []
+    token, rows, long = None, [], False
     for b in batches:
         for t, *row in zip(*(b.column(c).to_pylist() for c in ("token", "size", "sig", "sketch")), strict=True):
             if t != token:
-                settle(rows)
-                token, rows = t, []
+                settle(rows, long)
+                token, rows, long = t, [], False
             rows.append(row)
-            if len(rows) > LONGEST_LIST:        # no pair is lost: the join looks at every tied pair
-                for a, c in zip(rows, rows[1:]):
-                    forest.join(a[1], c[1])
+            if len(rows) > LONGEST_LIST:        # no pair is lost: the whole list is tied, and the join looks at every tied pair
+                chain(rows)
                 del rows[:-1]
-    settle(rows)
+                long = True
+    settle(rows, long)
     yield from _edge_batches(forest.edges())
 
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -152,3 +153,23 @@ def test_sketches_rule_out_no_link(spec):
             n = len(np.intersect1d(sets[x], sets[y]))
             if 100 * n >= 75 * (len(sets[x]) + len(sets[y]) - n):
                 assert (x, y) in tied
+
+
+@pytest.mark.parametrize("n", [15, 21, 45, 64])
+def test_lists_longer_than_the_longest_lose_no_link(monkeypatch, n):
+    """Groups of near copies in one posted list, before and after the place where it overflows."""
+    monkeypatch.setattr(jaccard, "LONGEST_LIST", 20)
+    rng = np.random.default_rng(n)
+    bases = [rng.integers(1, 2**62, 200).astype(np.uint64) for _ in range(6)]
+    sets = [np.unique(np.concatenate([bases[i % 6][rng.integers(0, 12):], rng.integers(1, 2**62, rng.integers(0, 8)).astype(np.uint64), [np.uint64(7)]])) for i in range(n)]
+    sets += [np.unique(np.concatenate([bases[0], [np.uint64(9 + i)]])) for i in range(2)]     # the next, short list
+    posts = sorted([(7, len(s), i, jaccard.sketch(s)) for i, s in enumerate(sets[:n])] + [(8, len(s), n + i, jaccard.sketch(s)) for i, s in enumerate(sets[n:])])
+    table = pa.table(dict(zip(("token", "size", "sig", "sketch"), zip(*posts, strict=True), strict=True)))
+    forest = jaccard.Forest()
+    for batch in jaccard._list_edges(table.to_batches(max_chunksize=7)):
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            forest.join(a, b)
+    linked = [(i, j) for i in range(n) for j in range(i)
+              if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - both)]
+    assert linked and all(forest.root(i) == forest.root(j) for i, j in linked)
+    assert forest.root(n) == forest.root(n + 1) and all(forest.root(n) != forest.root(i) for i in range(n))
