@@ -37,6 +37,7 @@ from frostline.llm.common import materialize
 
 K = 32              # neighbours of a node in the graph
 MEMBERS = 64        # neighbours that meet at a node in a round
+BACK = 2 * MEMBERS  # nodes listing a node that the search goes to from it, beside its own neighbours
 PARTNERS = 12       # the best partners that a member takes from a meeting
 PROJECTIONS = 8     # sort orders for the first graph
 BLOCK = 256         # vectors compared with each other in a sort order
@@ -311,12 +312,21 @@ def _into_beam(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["query", "unit", "peers", "scores", "opened"])
 
 
+def search_ways(graph: DataFrame) -> DataFrame:
+    """(center, member): what opening a node leads to.  All neighbours that it
+    lists itself, and of the nodes that list it the ``BACK`` closest."""
+    e = graph.select("node", F.explode(F.arrays_zip("peers", "scores")).alias("e")).select("node", "e.peers", "e.scores")
+    # ties are dealt by hash: many equal scores lead to different nodes
+    rank = F.row_number().over(Window.partitionBy("peers").orderBy(F.desc("scores"), F.xxhash64("peers", "node")))
+    back = e.withColumn("n", rank).filter(F.col("n") <= BACK)
+    return (e.select(F.col("node").alias("center"), F.col("peers").alias("member"))
+            .union(back.select(F.col("peers").alias("center"), F.col("node").alias("member"))).distinct())
+
+
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
     """Greedy search for the query nodes: (query, peer) for every node of the
     final beams."""
-    ways = both_ways(graph)
-    rank = F.row_number().over(Window.partitionBy("center").orderBy(F.xxhash64("center", "member")))
-    ways = materialize(ways.withColumn("n", rank).filter(F.col("n") <= 2 * MEMBERS).select("center", "member"), "ways")
+    ways = materialize(search_ways(graph), "ways")
     units = nodes.select(F.col("node").alias("member"), F.col("unit").alias("member_unit"))
     empty = lambda kind: F.lit([]).cast(f"array<{kind}>")
     state = queries.join(nodes, "node").select(F.col("node").alias("query"), "unit", empty("long").alias("peers"),

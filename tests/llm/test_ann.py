@@ -74,3 +74,17 @@ def test_different_norms(spark):
     rows = [(i, (rng.standard_normal(8) * rng.uniform(0.1, 5)).tolist()) for i in range(400)]
     want = brute(rows, lambda i: i % 20 == 0)
     assert check(ann.nearest(make(spark, rows), F.col("vec_id") % 20 == 0).collect(), want, exact=False) >= 0.9
+
+
+def test_hub_keeps_its_own_neighbours(spark):
+    """A node that 2,000 list: its own neighbours, which nobody else lists, are found, and the closest of the 2,000."""
+    rng = np.random.default_rng(5)
+    n, own, listing = 2033, list(range(1, 33)), list(range(33, 2033))
+    vec = np.concatenate([np.ones((33, 8)) + rng.uniform(-0.01, 0.01, (33, 8)), rng.uniform(-0.5, 0.5, (2000, 8))])
+    vec[33:38] = 0.9
+    unit = np.concatenate([vec, np.zeros((n, 1))], axis=1).astype(np.float16)
+    nodes = spark.createDataFrame([(i, v.tobytes(), u.tobytes()) for i, (v, u) in enumerate(zip(vec, unit, strict=True))], "node long, vec binary, unit binary")
+    score = (vec @ vec[0]).tolist()
+    graph = spark.createDataFrame([(0, own, [score[i] for i in own], [False] * 32)] + [(i, [0], [score[i]], [False]) for i in listing], ann._GRAPH)
+    beam = {r.peer for r in ann.search(spark.createDataFrame([(0,)], "node long"), nodes, graph).collect()}
+    assert {*own, *range(33, 38)} <= beam
