@@ -8,8 +8,9 @@ members; rounds end when few entries change.  The first graph comes from sorted
 random projections: neighbours in the sort order are compared in blocks.
 
 A query starts at its own place in the graph and opens the best unopened nodes
-of its beam, ``OPENED`` at a time; the nodes behind them join the beam.  The beam
-is scored exactly in double precision at the end.
+of its beam, ``OPENED`` at a time; the nodes behind them join the beam, ranked by
+products of the vectors as the table has them (no 16-bit floats).  A query ends
+when its beam has no unopened node; a node is scored once and opened once a query.
 
 Equal vectors are one node, so a vector with a third of all rows is one node; a
 node stands for its ``top`` + 1 smallest ids, which is all an answer can show.
@@ -45,7 +46,6 @@ ROUNDS = 7          # rounds at most
 SETTLED = 0.02      # share of entries changing in a round at which it ends
 BEAM = 96
 OPENED = 32         # nodes that a query opens in a round
-SEARCH_ROUNDS = 3
 CHUNK = 100_000     # rows handled at a time in a task
 
 _GRAPH = "node long, peers array<long>, scores array<float>, fresh array<boolean>"
@@ -95,10 +95,15 @@ def usable_vectors(rows: DataFrame) -> DataFrame:
                     & F.forall("vec", fine) & F.exists("vec", lambda x: x != 0))
 
 
+def _kind(rows: DataFrame):
+    """What holds the table's components without loss."""
+    return np.float32 if rows.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+
+
 def _nodes(rows: DataFrame, top: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes (node, vec, unit), members (node, vec_id: the smallest ids of each
     node), and all usable rows (node, vec_id)."""
-    v = usable_vectors(rows)
+    v, kind = usable_vectors(rows), _kind(rows)
     dim = v.agg(F.max(F.size("vec"))).first()[0] or 0
     zero = F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("vec"))
     # + 0.0 makes a negative zero the same as zero
@@ -116,7 +121,7 @@ def _nodes(rows: DataFrame, top: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         for b in batches:
             if b.num_rows:
                 unit = np.array(b.column("unit").to_pylist(), np.float16)     # for the graph; answers are scored on vec
-                vec = np.array(b.column("vec").to_pylist(), np.float64)
+                vec = np.array(b.column("vec").to_pylist(), np.float64).astype(kind)
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.tobytes() for x in vec], pa.binary()),
                                                   pa.array([x.tobytes() for x in unit], pa.binary())], names=["node", "vec", "unit"])
 
@@ -279,37 +284,35 @@ def build_graph(nodes: DataFrame, k: int = K) -> DataFrame:
 
 
 # --- the search ----------------------------------------------------------------
-_STATE = "query long, unit binary, peers array<long>, scores array<float>, opened array<boolean>"
+_STATE = "query long, vec binary, peers array<long>, scores array<double>, opened array<boolean>, seen array<long>"
 
 
-def _into_beam(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _into_beam(kind):
     """Rows of a query, its state first, then the nodes met -> its new state.
-    Scores are inner products of the vectors themselves (up to a common factor)."""
-    for t in whole_groups(batches, "query"):
-        query, node = t.column("query").to_numpy(), t.column("node").to_pylist()
-        start = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
-        states, units = t.column("state").to_pylist(), t.column("unit").to_pylist()
-        out = []
-        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(query)], strict=True):
-            state = states[a]
-            own = _vectors([units[a]])[0, :-1]
-            beam = np.array(state["peers"], np.int64)
-            score, opened = np.array(state["scores"], np.float32), np.array(state["opened"], bool)
-            new = np.array(node[a + 1:b], np.int64)
-            if len(new):
-                m = _vectors(units[a + 1:b])[:, :-1]
-                got = m @ own
-                fresh = (new != query[a]) & ~np.isin(new, beam)
-                beam = np.concatenate([beam, new[fresh]])
-                score = np.concatenate([score, got[fresh]])
-                opened = np.concatenate([opened, np.zeros(int(fresh.sum()), bool)])
-                best = np.lexsort((beam, -score))[:BEAM]
-                beam, score, opened = beam[best], score[best], opened[best]
-            out.append((int(query[a]), units[a], beam, score, opened))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()),
-             *(pa.array([o[i].tolist() for o in out], pa.list_(kind)) for i, kind in ((2, pa.int64()), (3, pa.float32()), (4, pa.bool_())))],
-            names=["query", "unit", "peers", "scores", "opened"])
+    Scores are inner products of the vectors themselves, of the given kind."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "query"):
+            query, node = t.column("query").to_numpy(), t.column("node").to_pylist()
+            start = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+            states, vecs = t.column("state").to_pylist(), t.column("vec").to_pylist()
+            out = []
+            for a, b in zip(start.tolist(), [*start[1:].tolist(), len(query)], strict=True):
+                state = states[a]
+                beam, seen = np.array(state["peers"], np.int64), state["seen"]
+                score, opened = np.array(state["scores"], np.float64), np.array(state["opened"], bool)
+                if b > a + 1:
+                    new = np.array(node[a + 1:b], np.int64)
+                    m = np.frombuffer(b"".join(vecs[a + 1:b]), kind).reshape(len(new), -1).astype(np.float64)
+                    beam, seen = np.concatenate([beam, new]), seen + new.tolist()
+                    score = np.concatenate([score, m @ np.frombuffer(vecs[a], kind).astype(np.float64)])
+                    opened = np.concatenate([opened, np.zeros(len(new), bool)])
+                    best = np.lexsort((beam, -score))[:BEAM]
+                    beam, score, opened = beam[best], score[best], opened[best]
+                out.append((int(query[a]), vecs[a], beam.tolist(), score.tolist(), opened.tolist(), seen))
+            kinds = [pa.int64(), pa.binary(), *map(pa.list_, (pa.int64(), pa.float64(), pa.bool_(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
+                                             names=["query", "vec", "peers", "scores", "opened", "seen"])
+    return run
 
 
 def search_ways(graph: DataFrame) -> DataFrame:
@@ -323,35 +326,42 @@ def search_ways(graph: DataFrame) -> DataFrame:
             .union(back.select(F.col("peers").alias("center"), F.col("node").alias("member"))).distinct())
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kind=np.float64) -> DataFrame:
     """Greedy search for the query nodes: (query, peer) for every node of the
-    final beams."""
+    final beams.  ``kind`` is what the nodes' ``vec`` holds."""
     ways = materialize(search_ways(graph), "ways")
-    units = nodes.select(F.col("node").alias("member"), F.col("unit").alias("member_unit"))
+    vecs = nodes.select(F.col("node").alias("member"), F.col("vec").alias("member_vec"))
     empty = lambda kind: F.lit([]).cast(f"array<{kind}>")
-    state = queries.join(nodes, "node").select(F.col("node").alias("query"), "unit", empty("long").alias("peers"),
-                                               empty("float").alias("scores"), empty("boolean").alias("opened"))
+    state = queries.join(nodes, "node").select(F.col("node").alias("query"), "vec", empty("long").alias("peers"), empty("double").alias("scores"),
+                                               empty("boolean").alias("opened"), F.array("node").alias("seen"))
     state = materialize(state, "beam-0")
-    for i in range(1, SEARCH_ROUNDS + 2):
-        if i == 1:      # a query's own node is the first to open
-            opening = state.select("query", F.col("query").alias("center"))
-            rest = state
+    unopened = F.exists("opened", lambda x: ~x)
+    ended, i = [], 0
+    while True:
+        if i == 0:      # a query's own node is the first to open
+            marked = state.withColumn("todo", F.array("query"))
         else:
+            ended.append(state.filter(~unopened).select("query", "peers"))
             # the beam is sorted: the first unopened ones are the best
-            marked = state.withColumn("todo", F.slice(F.filter(F.transform(
-                F.arrays_zip("peers", "opened"), lambda x: F.when(~x["opened"], x["peers"])), lambda x: x.isNotNull()), 1, OPENED))
-            opening = marked.select("query", F.explode("todo").alias("center"))
-            rest = marked.withColumn("opened", F.transform(F.arrays_zip("peers", "opened"),
-                                                           lambda x: x["opened"] | F.array_contains("todo", x["peers"]))).drop("todo")
-        met = opening.join(ways, "center").select("query", "member").distinct()
-        met = met.join(units, "member").select("query", F.lit(1).alias("kind"), F.col("member").alias("node"),
-                                               F.col("member_unit").alias("unit"),
-                                               F.lit(None).cast("struct<peers:array<long>,scores:array<float>,opened:array<boolean>>").alias("state"))
-        own = rest.select("query", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("node"), "unit",
-                          F.struct("peers", "scores", "opened").alias("state"))
+            marked = state.filter(unopened).withColumn("todo", F.slice(F.transform(F.filter(
+                F.arrays_zip("peers", "opened"), lambda x: ~x["opened"]), lambda x: x["peers"]), 1, OPENED))
+        rest = marked.withColumn("opened", F.transform(F.arrays_zip("peers", "opened"), lambda x: x["opened"] | F.array_contains("todo", x["peers"])))
+        met = (marked.select("query", F.explode("todo").alias("center")).join(ways, "center").groupBy("query")
+               .agg(F.collect_set("member").alias("met")).join(marked.select("query", "seen"), "query")
+               .select("query", F.explode(F.array_except("met", "seen")).alias("member")))
+        met = met.join(vecs, "member").select("query", F.lit(1).alias("kind"), F.col("member").alias("node"), F.col("member_vec").alias("vec"),
+                                              F.lit(None).cast("struct<peers:array<long>,scores:array<double>,opened:array<boolean>,seen:array<long>>").alias("state"))
+        own = rest.select("query", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("node"), "vec",
+                          F.struct("peers", "scores", "opened", "seen").alias("state"))
+        i += 1
         state = materialize(own.union(met).repartition("query").sortWithinPartitions("query", "kind")
-                            .mapInArrow(_into_beam, _STATE), f"beam-{i}")
-    return state.select("query", F.explode("peers").alias("peer"))
+                            .mapInArrow(_into_beam(kind), _STATE), f"beam-{i}")
+        if not state.filter(unopened).limit(1).count():
+            break
+    every = state.select("query", "peers")
+    for e in ended:
+        every = every.union(e)
+    return every.select("query", F.explode("peers").alias("peer"))
 
 
 def nearest(rows: DataFrame, is_query, top: int = 20, k: int = K) -> DataFrame:
@@ -361,7 +371,8 @@ def nearest(rows: DataFrame, is_query, top: int = 20, k: int = K) -> DataFrame:
     graph = build_graph(nodes, k)
     asked = materialize(every.filter(is_query).withColumnRenamed("vec_id", "query_id"), "queries")
     queries = asked.select("node").distinct()
-    beams = search(queries, nodes, graph)
+    kind = _kind(rows)
+    beams = search(queries, nodes, graph, kind)
     # the node itself is a candidate too: its other rows are
     found = beams.union(queries.select(F.col("node").alias("query"), F.col("node").alias("peer")))
     vec = nodes.select("node", "vec")
@@ -369,7 +380,7 @@ def nearest(rows: DataFrame, is_query, top: int = 20, k: int = K) -> DataFrame:
     def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                q, p = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.float64).reshape(b.num_rows, -1) for c in ("q_vec", "p_vec"))
+                q, p = (np.frombuffer(b"".join(b.column(c).to_pylist()), kind).reshape(b.num_rows, -1).astype(np.float64) for c in ("q_vec", "p_vec"))
                 yield pa.RecordBatch.from_arrays([b.column("query"), b.column("peer"), pa.array(np.einsum("ij,ij->i", q, p))],
                                                  names=["query", "peer", "score"])
 

@@ -88,3 +88,15 @@ def test_hub_keeps_its_own_neighbours(spark):
     graph = spark.createDataFrame([(0, own, [score[i] for i in own], [False] * 32)] + [(i, [0], [score[i]], [False]) for i in listing], ann._GRAPH)
     beam = {r.peer for r in ann.search(spark.createDataFrame([(0,)], "node long"), nodes, graph).collect()}
     assert {*own, *range(33, 38)} <= beam
+
+
+def test_large_group_of_close_vectors(spark):
+    """A thousand vectors that differ by less than 16-bit floats can tell."""
+    rng = np.random.default_rng(7)
+    v = rng.standard_normal((1500, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[1:1000] = v[0] + 2e-5 * rng.standard_normal((999, 64))
+    rows = [(i, x.tolist()) for i, x in enumerate(v.astype(np.float32))]
+    wanted = lambda i: i % 20 == 0 and i < 1000
+    got = ann.nearest(make(spark, rows), (F.col("vec_id") % 20 == 0) & (F.col("vec_id") < 1000)).collect()
+    assert check(got, brute(rows, wanted), exact=False) >= 0.9
