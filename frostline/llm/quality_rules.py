@@ -13,7 +13,8 @@ twice).
 
 Defined cases: a null text is empty (no words, base_failed); ids may be null or
 repeated, each row is judged by itself; an empty table gives an empty result;
-other columns are ignored by ``judge`` and passed through by ``keep_good``.
+other columns are ignored by ``judge`` and passed through by ``keep_good``, but
+for ``n_chars``, which is the length of the cleaned text there.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ BOILERPLATE = (
     "accept all cookies", "accept cookies", "all rights reserved", "click here", "enable javascript",
     "log in", "privacy policy", "sign up", "skip to content", "subscribe to our newsletter", "terms of use",
 )
+ROWS_CLEANED = 500      # documents cleaned at a time in a task
 BOILERPLATE_WORDS = 12  # longer lines are text that mentions the phrase
 _ASCII_SPACE = " \t\n\r\x0b\x0c"
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -118,28 +120,41 @@ def clean_text(text: str) -> str:
     return "\n".join(x for x in text.split("\n") if not (w := _WORDS(x)) or not line_fails(x, w))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Figures and verdict for every row of ``docs(doc_id, text)``."""
+def judge(docs: DataFrame, cleaned: bool = False) -> DataFrame:
+    """Figures and verdict for every row of ``docs(doc_id, text)``; with
+    ``cleaned`` also the text without its failing lines, as ``cleaned_text``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.bool_()]
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept"]
         for b in batches:
             if b.num_rows:
-                out = zip(*map(judge_text, b.column(1).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", *names])
+                texts = b.column(1).to_pylist()
+                cols = [pa.array(c, k) for c, k in zip(zip(*map(judge_text, texts), strict=True), kinds, strict=True)]
+                more = [pa.array([clean_text(t or "") for t in texts], pa.string())] if cleaned else []
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols, *more], names=["doc_id", *names, *["cleaned_text"][:len(more)]])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _OUT)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _OUT + ", cleaned_text string" * cleaned)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns as they were."""
+    """The rows of ``docs`` that are kept, with their failing lines removed from
+    ``text`` and ``n_chars`` (if there is one) in line; other columns as they were."""
     at = docs.columns.index("text")
+    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array([judge_text(t)[-1] for t in b.column(at).to_pylist()]))
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_CLEANED):
+                b = whole.slice(start, ROWS_CLEANED)
+                texts = b.column(at).to_pylist()
+                good = [judge_text(t)[-1] for t in texts]
+                texts = [clean_text(t) for t, g in zip(texts, good, strict=True) if g]      # a null text is never kept
+                b = b.filter(pa.array(good))
+                cols = list(b.columns)
+                cols[at] = pa.array(texts, b.schema.field(at).type)
+                if size is not None:
+                    cols[size] = pa.array(map(len, texts), b.schema.field(size).type)
+                yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
     return docs.mapInArrow(run, docs.schema)

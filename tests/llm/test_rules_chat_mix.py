@@ -125,6 +125,19 @@ def test_line_rules(make_docs):
     assert quality_rules.judge(docs.limit(0)).count() == 0
 
 
+def test_failing_lines_are_removed(make_docs, spark):
+    nav = "Home | News | Sports | Weather | Contact | About | Login | More"
+    prose = [" ".join(f"plain{i}x{j}" for j in range(15)) + " é." for i in range(4)]
+    docs = make_docs([(1, "\n".join([nav, *prose[:2], "", "Accept cookies", *prose[2:], "Share | Mail | Print"])), (2, "\n".join(prose)), (3, nav), (4, None)])
+    want = {1: "\n".join([*prose[:2], "", *prose[2:]]), 2: "\n".join(prose)}
+    kept = quality_rules.keep_good(docs).collect()
+    assert {r.doc_id: (r.text, r.n_chars, r.lang, r.key) for r in kept} == {i: (t, len(t), "en", "y") for i, t in want.items()}
+    assert [r.text for r in quality_rules.keep_good(docs.select("text")).sort("text").collect()] == sorted(want.values())
+    judged = quality_rules.judge(docs, cleaned=True)
+    assert judged.drop("cleaned_text").schema == quality_rules.judge(docs).schema
+    assert {r.doc_id: r.cleaned_text for r in judged.collect()} == {**want, 3: "", 4: ""}
+
+
 def test_rules_agree_with_labels(spark):
     sf = "/root/testdata/sf0.01"
     j = quality_rules.judge(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
