@@ -40,3 +40,16 @@ FROM sized GROUP BY conv_id
 """
 
 ORACLE = {"op1_url_filter": _OP1, "op4_chat_format": _OP4}
+
+# Queries without SQL, with the reason; tests/llm checks them against brute force.
+NO_ORACLE = {
+    "op2_best_fit_packing": "tokenizer ids and best-fit bins are beyond SQL",
+    "op3_nearest_neighbours": "approximate graph search; recall is measured against brute force",
+    "op5_quality_rules": "repeated word windows and line rules of whole texts are too slow in SQL",
+    "op6_jaccard_join": "connected components of a similarity join are too slow in SQL on whole tables",
+    "op7_quality_classifier": "hashed n-gram models and sampling by hash are beyond SQL",
+    "op8_token_counts": "byte-pair merges are beyond SQL",
+    "op9_mix_sources": "exponential keys come from a hash that SQL does not have",
+    "op10_token_files": "tokenizer ids and files are beyond SQL",
+    "pipeline": "chains the above",
+}
