@@ -5,10 +5,7 @@ import tempfile
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
-
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 
 @pytest.fixture(scope="session")
@@ -20,11 +17,3 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-def rows_df(spark, rows, cols):
-    """Readings-like DataFrame from (ts_text, value...) tuples."""
-    from pyspark.sql import functions as F
-    schema = ", ".join(["ts string"] + [f"{c} double" for c in cols])
-    df = spark.createDataFrame(rows, schema)
-    return df.select(F.col("ts").cast("timestamp_ntz").alias("ts_eastern"), *cols)

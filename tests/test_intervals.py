@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01, rows_df
+from helpers import SF001, SF01, rows_df
 from frostline.operators import intervals as I
 from frostline.sources.events import readings_from_events
 

@@ -1,51 +1,27 @@
-"""Every registered query against its SQL oracle in DuckDB (sf0.001)."""
+"""Every registered telemetry query against its SQL oracle in DuckDB (sf0.001)."""
 
-import math
-
-import duckdb
 import pytest
+from helpers import SF001, assert_equals_sql, duck
 
 import __spark_entry__ as E
-from conftest import SF001
-
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
-
-
-def _norm(v):
-    if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 9)
-    if hasattr(v, "isoformat"):
-        return v.isoformat()
-    return v
-
-
-def _rows(cols, recs):
-    order = sorted(range(len(cols)), key=lambda i: cols[i])
-    return sorted((tuple(_norm(r[i]) for i in order) for r in recs),
-                  key=lambda t: tuple((x is None, str(x)) for x in t))
+from frostline.plans.catalog import QUERIES
+from frostline.plans.oracle import ORACLE
 
 
 @pytest.fixture(scope="module")
 def con():
-    c = duckdb.connect()
-    c.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF001}/events.parquet')")
-    return c
+    return duck(SF001, "events")
 
 
 def test_every_query_has_oracle_or_reason():
-    missing = set(QUERIES) - set(ORACLE)
+    assert set(ORACLE) <= set(E.oracle_sql()) and set(QUERIES) <= set(ORACLE)
+    missing = set(E.queries()) - set(E.oracle_sql())
     assert missing == set(E.NO_ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    df = QUERIES[name](spark, SF001)
-    got = _rows(df.columns, [tuple(r) for r in df.collect()])
-    cur = con.execute(ORACLE[name])
-    exp = _rows([d[0] for d in cur.description], cur.fetchall())
-    assert sorted(df.columns) == sorted(d[0] for d in cur.description)
-    assert got == exp
+    assert_equals_sql(QUERIES[name](spark, SF001), con, ORACLE[name])
 
 
 def test_entry_smoke(spark):

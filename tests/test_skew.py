@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from helpers import SF01
 from frostline.functions.columns import bucket_of, micros
 from frostline.operators import intervals as I
 from frostline.sources.events import events_to_readings, oracle_readings_cte

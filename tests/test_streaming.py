@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from helpers import SF001
 from frostline.operators import intervals as I
 from frostline.operators.series import to_series
 from frostline.schema import TS

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows_df
+from helpers import rows_df
 from frostline.functions import fmt
 from frostline.operators import state as C
 from frostline.operators import thermal as E
