@@ -39,7 +39,39 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-ORACLE = {"op1_url_filter": _OP1, "op4_chat_format": _OP4}
+
+
+def _op12(rounds: int = 4) -> str:
+    """The rounds written out, each a table; plain squared distances."""
+    def assign(i: int) -> str:
+        return (f"near{i} AS MATERIALIZED (SELECT n, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM ("
+                f"SELECT c.n, c.part, b.entry, list_sum(list_transform(list_zip(c.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d "
+                f"FROM cut c JOIN book{i} b USING (part)) GROUP BY n, part)")
+
+    def refit(i: int) -> str:
+        return (f"mean{i} AS (SELECT part, entry, list(m ORDER BY pos) AS v FROM (SELECT part, entry, pos, "
+                f"CASE WHEN sum(x) % count(*) < 0 THEN sum(x) // count(*) - 1 ELSE sum(x) // count(*) END::BIGINT AS m FROM ("
+                f"SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM cut JOIN near{i - 1} USING (n, part)) "
+                f"GROUP BY part, entry, pos) GROUP BY part, entry), "
+                f"book{i} AS MATERIALIZED (SELECT part, entry, coalesce(m.v, b.v) AS v FROM book{i - 1} b LEFT JOIN mean{i} m USING (part, entry))")
+
+    steps = ", ".join(s for i in range(rounds) for s in (assign(i), refit(i + 1)))
+    return f"""
+WITH x AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS n, vec_id, label,
+         list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+cut AS MATERIALIZED (SELECT n, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS v FROM x, range(4) p(part)),
+book0 AS MATERIALIZED (SELECT part, n AS entry, v FROM cut WHERE n < 256), {steps}, {assign(rounds)},
+digest AS (SELECT sha256(string_agg(CAST(e AS VARCHAR), ',' ORDER BY part, entry, pos)) AS h FROM (
+  SELECT part, entry, unnest(v) AS e, generate_subscripts(v, 1) AS pos FROM book{rounds})),
+coded AS (SELECT n, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY n)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT h FROM digest) AS codebooks_sha256
+FROM x JOIN coded USING (n)
+"""
+
+
+ORACLE = {"op1_url_filter": _OP1, "op4_chat_format": _OP4, "op12_vector_codes": _op12()}
 
 # Queries without SQL, with the reason; tests/llm checks them against brute force.
 NO_ORACLE = {
@@ -51,5 +83,6 @@ NO_ORACLE = {
     "op8_token_counts": "byte-pair merges are beyond SQL",
     "op9_mix_sources": "exponential keys come from a hash that SQL does not have",
     "op10_token_files": "tokenizer ids and files are beyond SQL",
+    "op11_embedding_whitening": "eigenvectors are beyond SQL",
     "pipeline": "chains the above",
 }

@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from frostline.llm import ann, chat, importance, jaccard, mixing, packing, quality_rules, token_count, token_files, url_filter
+from frostline.llm import (
+    ann, chat, codes, importance, jaccard, mixing, packing, quality_rules, token_count, token_files, url_filter, whitening,
+)
 from frostline.llm.common import table
 from frostline.session import scratch_path
 
@@ -60,6 +62,18 @@ def op10_token_files(spark, sf_dir):
     return token_files.digests(token_files.read_documents(spark, folder))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"), scale=256.0, components=4)
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024.0)
+    return codes.with_label_errors(coded).select(
+        "vec_id", "code", F.col("error").cast("long"), F.col("label_error").cast("long"),
+        F.lit(codes.books_digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -71,4 +85,6 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_files": op10_token_files,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_vector_codes": op12_vector_codes,
 }
