@@ -84,5 +84,6 @@ NO_ORACLE = {
     "op9_mix_sources": "exponential keys come from a hash that SQL does not have",
     "op10_token_files": "tokenizer ids and files are beyond SQL",
     "op11_embedding_whitening": "eigenvectors are beyond SQL",
+    "op13_license_scan": "hundreds of patterns with suppression are beyond SQL",
     "pipeline": "chains the above",
 }

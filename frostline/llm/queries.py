@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from frostline.llm import (
-    ann, chat, codes, importance, jaccard, mixing, packing, quality_rules, token_count, token_files, url_filter, whitening,
+    ann, chat, codes, importance, jaccard, licenses, mixing, packing, quality_rules, token_count, token_files, url_filter,
+    whitening,
 )
 from frostline.llm.common import table
 from frostline.session import scratch_path
@@ -74,6 +75,10 @@ def op12_vector_codes(spark, sf_dir):
         F.lit(codes.books_digest(books)).alias("codebooks_sha256"))
 
 
+def op13_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -87,4 +92,5 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_vector_codes": op12_vector_codes,
+    "op13_license_scan": op13_license_scan,
 }
