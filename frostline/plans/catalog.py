@@ -9,6 +9,8 @@ SQL oracle (which lacks ``expm1``/``log1p``) can be compared exactly.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -309,7 +311,6 @@ def q_path_check(spark, sf):
 def q_sync_summary(spark, sf):
     """Two incremental passes over the rendered logs; the second one's summary
     (nothing changed, so nothing is rebuilt: the pass is idempotent)."""
-    import datetime as dt
     from frostline.session import scratch_path
     from frostline.sources.render import write_logs
     from frostline.sources.store import sync_once
@@ -332,22 +333,37 @@ def q_em_latest_by_device(spark, sf):
     return out.select(*[F.round(c, 6).alias(c) if c.startswith("teff_") else F.col(c) for c in out.columns])
 
 
-STREAM_DELAY = "3650 days"      # the shuffled files reach back over the whole table
-STREAM_FILES = 5
+# The events arrive in slices of this many days; a third of a slice's rows comes one slice late.
+STREAM_SLICE_DAYS = 10
+# a row is never older than two slices: files of one slice may come in any order
+STREAM_DELAY = f"{2 * STREAM_SLICE_DAYS} days"
+
 
+def _arriving_stream(spark, sf):
+    """The events table as files that arrive slice by slice, with late rows.
 
-def _shuffled_stream(spark, sf):
-    """The events table as several files whose times interleave, one per batch."""
-    from frostline.functions.columns import bucket_of, micros
+    Every slice is a job over the row groups of its days alone (a literal range,
+    pushed to the scan), written with as many tasks as the scan has; a batch
+    takes about the files of one slice."""
+    from frostline.functions.columns import ts_literal
     from frostline.session import scratch_path
     from frostline.streaming import streams as T
     root = scratch_path(spark, "stream-in")
     ev = spark.read.parquet(f"{sf}/events.parquet")
-    # quarter days, dealt out over the files by hash: each file reaches from the first day to the last
-    part = F.pmod(F.hash(bucket_of(micros("ts"), 21_600_000_000)), F.lit(STREAM_FILES))
-    for i in range(STREAM_FILES):
-        ev.filter(part == i).coalesce(1).write.mode("append").parquet(root)
-    return T.events_stream(spark, root, max_files_per_trigger=1, files="part-*.parquet")
+    first, last = ev.agg(F.min("ts"), F.max("ts")).first()
+    width = dt.timedelta(days=STREAM_SLICE_DAYS)
+    late = F.pmod(F.hash("event_id"), F.lit(3)) == 0
+    start = dt.datetime.combine(first.date(), dt.time()) if first else dt.datetime(2000, 1, 1)
+    n = (last - start) // width + 1 if first else 0
+    if not n:
+        ev.write.parquet(root)
+    for i in range(n + 1 if n else 0):
+        at = start + i * width
+        days = (F.col("ts") >= ts_literal(at - width)) & (F.col("ts") < ts_literal(at + width))
+        own = F.col("ts") >= ts_literal(at)
+        ev.filter(days & F.when(own, ~late).otherwise(late)).write.mode("append").parquet(root)
+    files = len(spark.read.parquet(root).inputFiles())
+    return T.events_stream(spark, root, max_files_per_trigger=-(-files // (n + 1)) or 1, files="part-*.parquet")
 
 
 def _drain(spark, name, df, mode="update"):
@@ -359,19 +375,19 @@ def _drain(spark, name, df, mode="update"):
 
 def q_stream_minutes(spark, sf):
     from frostline.streaming import streams as T
-    out = _drain(spark, "stream-minutes", T.minute_last_values(_shuffled_stream(spark, sf), delay=STREAM_DELAY))
+    out = _drain(spark, "stream-minutes", T.minute_last_values(_arriving_stream(spark, sf), delay=STREAM_DELAY))
     return T.minute_points(T.final_rows(out, [TS]))
 
 
 def q_stream_counters(spark, sf):
     from frostline.streaming import streams as T
-    rows = _drain(spark, "stream-counters", T.runtime_counters(_shuffled_stream(spark, sf), delay=STREAM_DELAY), mode="append")
-    return T.latest_counters(rows)
+    out = _drain(spark, "stream-counters", T.runtime_counters(_arriving_stream(spark, sf), delay=STREAM_DELAY))
+    return T.latest_counters(T.final_rows(out, ["device_id", "bucket"]))
 
 
 def _stream_minmax(spark, sf, keys):
     from frostline.streaming import streams as T
-    out = _drain(spark, "stream-minmax", T.hour_minmax(_shuffled_stream(spark, sf), keys=keys, delay=STREAM_DELAY))
+    out = _drain(spark, "stream-minmax", T.hour_minmax(_arriving_stream(spark, sf), keys=keys, delay=STREAM_DELAY))
     return T.sliding_minmax(T.final_rows(out, [*keys, "hour"]), keys=keys)
 
 
@@ -383,6 +399,13 @@ def q_stream_minmax_by_device(spark, sf):
     return _stream_minmax(spark, sf, DEV)
 
 
+def q_stream_hours_closed(spark, sf):
+    """T4, streaming part, in append mode: every hour once, when the watermark has
+    passed its end (the newest hours, inside the delay, are still open)."""
+    from frostline.streaming import streams as T
+    return _drain(spark, "stream-hours", T.hour_minmax(_arriving_stream(spark, sf), delay=STREAM_DELAY), mode="append")
+
+
 QUERIES = {
     "runtime_hours": q_runtime_hours,
     "runtime_hours_by_device": q_runtime_hours_by_device,
@@ -435,4 +458,5 @@ QUERIES = {
     "stream_counters": q_stream_counters,
     "stream_minmax": q_stream_minmax,
     "stream_minmax_by_device": q_stream_minmax_by_device,
+    "stream_hours_closed": q_stream_hours_closed,
 }

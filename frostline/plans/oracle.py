@@ -478,6 +478,10 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
     q["stream_minmax"] = (
         f"{R}, w AS (SELECT r.*, date_trunc('hour', ts_eastern) - to_hours(k) AS ws FROM readings r, "
         f"range(0, 24) t(k))\nSELECT ws + INTERVAL 24 HOUR AS window_end, {mm24} FROM w GROUP BY ws")
+    mmh = ", ".join(f"{f}({c}) AS {c}_{f}" for c in MINMAX_24H_COLUMNS for f in ("min", "max"))
+    q["stream_hours_closed"] = (
+        f"{R}, h AS (SELECT *, date_trunc('hour', ts_eastern) AS hour FROM readings)\nSELECT hour, {mmh} FROM h "
+        f"WHERE hour + INTERVAL 1 HOUR <= {AS_OF} - INTERVAL 20 DAY GROUP BY hour")
     return q
 
 

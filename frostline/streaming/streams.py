@@ -9,7 +9,8 @@ Files may arrive in any time order.  Every operator takes a ``delay``: a row at
 most that much older than the newest row of an earlier batch is never lost;
 older ones Spark drops and counts in the query's progress
 (``numRowsDroppedByWatermark``).  State covers (keys, time bucket) cells, so no
-state and no pandas frame holds a whole device.  In update mode the sink gets a
+state holds a whole device, and all of it is native: no Python runs in a task.
+In update mode the sink gets a
 row of each cell that a batch changed, and :func:`final_rows` keeps the last
 version of each; in append mode it gets a cell once, when the watermark closes
 it, so the newest cells are still missing there.
@@ -17,20 +18,15 @@ it, so the newest cells are still missing there.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from frostline.functions.columns import bucket_of, from_micros, keys_list, micros
 from frostline.operators.series import to_series
-from frostline.schema import DASHBOARD_KEYS, HOUR_US, TS
+from frostline.schema import DASHBOARD_KEYS, HOUR_US, RUNTIME_PUMPS, TS
 from frostline.sources.events import events_to_readings
 
-COUNTER_PUMPS = ["scroll_1", "scroll_2", "turbo_1", "pulse_tube"]
+COUNTER_PUMPS = RUNTIME_PUMPS
 
 
 def events_stream(spark: SparkSession, sf_dir: str, *, max_files_per_trigger: int | None = None,
@@ -79,70 +75,94 @@ def hour_minmax(stream: DataFrame, *, delay: str, keys=(), columns=("T_Still", "
 def sliding_minmax(hours: DataFrame, *, keys=(), columns=("T_Still", "T_MXC", "P1", "Flow"), length: int = 24) -> DataFrame:
     """T4: min/max over every window of ``length`` hours that holds a row, from
     the hour rows; at each window end equals A1 with ``as_of`` = that end
-    restricted to earlier rows."""
+    restricted to earlier rows.
+
+    Two passes over blocks of ``length`` hours: a window is the rest of one block
+    and the beginning of the next, so its extremes are those of a suffix and of a
+    prefix, each a running extreme inside one block.  Every window end is made
+    once, by the last hour row before it.
+    """
     k = keys_list(keys)
-    ends = hours.withColumn("_ahead", F.explode(F.sequence(F.lit(1), F.lit(length))))
-    ends = ends.withColumn("window_end", from_micros(micros("hour") + F.col("_ahead") * F.lit(HOUR_US)))
-    aggs = [f(f"{c}_{n}").alias(f"{c}_{n}_{length}h") for c in columns for f, n in ((F.min, "min"), (F.max, "max"))]
-    return ends.groupBy(*k, "window_end").agg(*aggs)
+    names = [(f, f"{c}_{n}") for c in columns for f, n in ((F.min, "min"), (F.max, "max"))]
+    stats = [n for _, n in names]
+    h = F.floor(micros("hour") / F.lit(HOUR_US)).cast("long")
+    hour_rows = hours.select(*k, h.alias("_h"), F.floor(h / F.lit(length)).cast("long").alias("_blk"), *stats)
+    in_block = Window.partitionBy(*k, "_blk").orderBy("_h")
+    up_to = in_block.rowsBetween(Window.unboundedPreceding, 0)
+    onward = in_block.rowsBetween(0, Window.unboundedFollowing)
+    runs = hour_rows.select(*k, "_h", "_blk", *[f(n).over(up_to).alias(f"_pre_{n}") for f, n in names],
+                            *[f(n).over(onward).alias(f"_suf_{n}") for f, n in names],
+                            F.lead("_h").over(Window.partitionBy(*k).orderBy("_h")).alias("_next"))
+    # the ends after this hour row, up to the next one; the beginning of the last block of a window
+    last_end = F.least(F.coalesce(F.col("_next"), F.col("_h") + length), F.col("_h") + length)
+    ends = runs.select(*k, "_h", "_blk", *[f"_pre_{n}" for n in stats], F.explode(F.sequence(F.col("_h") + 1, last_end)).alias("_end"))
+    same = F.floor((F.col("_end") - 1) / F.lit(length)) == F.col("_blk")
+    probes = ends.select(*k, (F.col("_end") - length).alias("_at"), F.lit(0).alias("_kind"), "_end",
+                         *[F.when(same, F.col(f"_pre_{n}")).alias(f"_pre_{n}") for n in stats], *[F.lit(None).cast("double").alias(f"_suf_{n}") for n in stats])
+    marks = runs.select(*k, F.col("_h").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_end"),
+                        *[F.lit(None).cast("double").alias(f"_pre_{n}") for n in stats], *[f"_suf_{n}" for n in stats])
+    # the suffix of a window's first block: that of the first hour row at or after the window's start in that block
+    both = probes.unionByName(marks).withColumn("_blk", F.floor(F.col("_at") / F.lit(length)).cast("long"))
+    after = Window.partitionBy(*k, "_blk").orderBy("_at", "_kind").rowsBetween(0, Window.unboundedFollowing)
+    found = both.select(*k, "_end", *[f"_pre_{n}" for n in stats],
+                        F.first(F.when(F.col("_kind") == 1, F.struct(*[f"_suf_{n}" for n in stats])), ignorenulls=True).over(after).alias("_s")) \
+        .filter(F.col("_end").isNotNull())
+    pick = {"min": F.least, "max": F.greatest}      # both skip NULLs
+    return found.select(*k, from_micros(F.col("_end") * F.lit(HOUR_US)).alias("window_end"),
+                        *[pick[n[-3:]](f"_pre_{n}", F.col(f"_s._suf_{n}")).alias(f"{n}_{length}h") for n in stats])
 
 
 def runtime_counters(stream: DataFrame, *, delay: str, keys=("device_id",), pumps=tuple(COUNTER_PUMPS),
                      bucket_us: int = HOUR_US) -> DataFrame:
     """T3, streaming part: on-time and starts inside a (key, time bucket) cell.
 
-    State of a cell: its rows so far (time, on/off bits), sorted; a row may come
-    in any order and is merged in.  Every batch that touches a cell emits its
-    partial with the next ``seq``; the state goes when the watermark passes the
-    cell.  :func:`latest_counters` stitches the partials.  ``bucket_us`` bounds
-    what one state and one pandas frame hold.
+    State of a cell: a native list of its rows, each packed into one long (time
+    and on/off bits), so a row may come in any order.  Use update mode: every
+    batch that touches a cell emits its partial again (:func:`final_rows` keeps
+    the last); the state goes when the watermark passes the cell.
+    :func:`latest_counters` stitches the partials.  ``bucket_us`` bounds what one
+    state holds; it must divide an hour or be a whole number of them.
     """
     k, pumps = keys_list(keys), list(pumps)
-    types = dict(stream.dtypes)
-    fields = [("first_us", "long"), ("last_us", "long"), ("first_on", "long"), ("last_on", "long"),
-              *[(f"run_{p}", "long") for p in pumps], *[(f"st_{p}", "long") for p in pumps], ("rows", "long"), ("seq", "long")]
-    out_schema = ", ".join([*(f"{c} {types[c]}" for c in k), "bucket long", *(f"{n} {t}" for n, t in fields)])
-    us = micros(TS)
+    shift = 1 << len(pumps)
     bits = sum((F.when(F.col(p) >= 0.5, F.lit(1 << i)).otherwise(F.lit(0)) for i, p in enumerate(pumps)), F.lit(0))
-    src = _event_time(stream, delay).select(*k, bucket_of(us, bucket_us).alias("bucket"), us.alias("_us"),
-                                            bits.cast("long").alias("_on"), "_t")
-
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        new = pd.concat(list(pdfs), ignore_index=True)
-        seq, at, on = state.get if state.exists else (0, [], [])
-        at = np.concatenate([np.array(at, np.int64), new["_us"].to_numpy(np.int64)])
-        on = np.concatenate([np.array(on, np.int64), new["_on"].to_numpy(np.int64)])
-        order = np.argsort(at, kind="stable")
-        at, on = at[order], on[order]
-        state.update((seq + 1, at.tolist(), on.tolist()))
-        closes = (int(key[-1]) + bucket_us) // 1000
-        if closes > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(closes)
-        gap = np.diff(at)
-        row = dict(zip([*k, "bucket"], key, strict=True))
-        row |= {"first_us": int(at[0]), "last_us": int(at[-1]), "first_on": int(on[0]), "last_on": int(on[-1]), "rows": len(at), "seq": seq + 1}
-        for i, p in enumerate(pumps):
-            lit = (on >> i & 1).astype(bool)
-            row[f"run_{p}"] = int(gap[lit[1:]].sum())
-            row[f"st_{p}"] = int((lit[1:] & ~lit[:-1]).sum())
-        yield pd.DataFrame([row])[[*k, "bucket", *(n for n, _ in fields)]]
+    packed = micros(TS) * F.lit(shift) + bits.cast("long")
+    cells = _event_time(stream, delay).groupBy(*k, F.window("_t", f"{int(bucket_us)} microseconds").alias("w")) \
+        .agg(F.sort_array(F.collect_list(packed)).alias("_rows"))
+
+    def us(x):
+        return F.shiftright(x, len(pumps))
 
-    return src.groupBy(*k, "bucket").applyInPandasWithState(
-        step, out_schema, "seq long, at array<long>, on array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    def on(x, i):
+        return F.shiftright(x, i).bitwiseAND(F.lit(1))
 
+    first, last = F.element_at("_rows", 1), F.element_at("_rows", -1)
+    zero = F.struct(first.alias("was"), *[F.lit(0).cast("long").alias(f"{n}_{p}") for p in pumps for n in ("run", "st")])
 
-def latest_counters(counter_rows: DataFrame, *, keys=("device_id",), pumps=tuple(COUNTER_PUMPS)) -> DataFrame:
-    """Running on-hours, start counts and rows per key, from the last partial
-    of every cell; the gaps and starts between neighbouring cells are added here
-    (one row per key and cell)."""
+    def step(acc, x):
+        parts = [x.alias("was")]
+        for i, p in enumerate(pumps):
+            lit = on(x, i)
+            parts.append((acc[f"run_{p}"] + (us(x) - us(acc["was"])) * lit).alias(f"run_{p}"))
+            parts.append((acc[f"st_{p}"] + lit * (F.lit(1).cast("long") - on(acc["was"], i))).alias(f"st_{p}"))
+        return F.struct(*parts)
+
+    # from the second row on: the first one's gap and start belong to the stitch
+    folded = F.aggregate(F.slice("_rows", F.lit(2), F.size("_rows")), zero, step)
+    mask = F.lit(shift - 1).cast("long")
+    return cells.select(*k, F.unix_micros("w.start").alias("bucket"), us(first).alias("first_us"), us(last).alias("last_us"),
+                        first.bitwiseAND(mask).alias("first_on"), last.bitwiseAND(mask).alias("last_on"),
+                        F.size("_rows").cast("long").alias("rows"), folded.alias("_f")) \
+        .select("*", *[f"_f.{n}_{p}" for n in ("run", "st") for p in pumps]).drop("_f")
+
+
+def latest_counters(cells: DataFrame, *, keys=("device_id",), pumps=tuple(COUNTER_PUMPS)) -> DataFrame:
+    """Running on-hours, start counts and rows per key, from one partial per
+    cell; the gaps and starts between neighbouring cells are added here (one row
+    per key and cell)."""
     k, pumps = keys_list(keys), list(pumps)
-    cells = [c for c in counter_rows.columns if c not in (*k, "bucket", "seq")]
-    last = counter_rows.groupBy(*k, "bucket").agg(*[F.max_by(c, "seq").alias(c) for c in cells])
     w = Window.partitionBy(*k).orderBy("bucket")
-    st = last.withColumn("_before", F.lag("last_us").over(w)).withColumn("_was", F.coalesce(F.lag("last_on").over(w), F.lit(0)))
+    st = cells.withColumn("_before", F.lag("last_us").over(w)).withColumn("_was", F.coalesce(F.lag("last_on").over(w), F.lit(0)))
     aggs = []
     for i, p in enumerate(pumps):
         on, was = F.getbit("first_on", F.lit(i)) == 1, F.getbit("_was", F.lit(i)) == 1
@@ -175,4 +195,5 @@ def run_available_now(df: DataFrame, out_path: str, checkpoint: str, *, mode: st
 def final_rows(updates: DataFrame, cell: list[str]) -> DataFrame:
     """The last version of every cell of an update-mode sink."""
     cols = [c for c in updates.columns if c not in (*cell, "_batch")]
-    return updates.groupBy(*cell).agg(*[F.max_by(c, "_batch").alias(c) for c in cols]).select(*cell, *cols)
+    last = updates.groupBy(*cell).agg(F.max_by(F.struct(*cols), "_batch").alias("_v"))
+    return last.select(*cell, *[f"_v.{c}" for c in cols])

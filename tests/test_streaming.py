@@ -48,9 +48,10 @@ def _drain(spark, folder, make, mode):
 
 def test_counters_equal_batch(spark, shuffled):
     folder, readings = shuffled
-    rows = _drain(spark, folder, lambda s: T.runtime_counters(s, delay=LONG), "append")
-    assert rows.agg(F.max("seq")).first()[0] >= 2          # cells were touched by several batches
-    got = {r.device_id: r for r in T.latest_counters(rows).collect()}
+    rows = _drain(spark, folder, lambda s: T.runtime_counters(s, delay=LONG), "update")
+    cell = ["device_id", "bucket"]
+    assert rows.groupBy(*cell).count().agg(F.max("count")).first()[0] >= 2          # cells were touched by several batches
+    got = {r.device_id: r for r in T.latest_counters(T.final_rows(rows, cell)).collect()}
     exp = {r.device_id: r for r in I.runtime_hours(readings, keys=["device_id"]).collect()}
     starts = {r.device_id: r for r in I.window_stats(readings, hours=24 * 365, keys=["device_id"],
                                                        pumps=T.COUNTER_PUMPS, minmax=()).collect()}
@@ -87,8 +88,55 @@ def test_rows_inside_the_delay_are_kept(spark):
     schema = "event_id long, ts string, user_id long, event_type string, value double, props string"
     for i, chunk in enumerate([rows, late]):
         _move_one(spark, spark.createDataFrame(chunk, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz")), folder, i)
-    out = T.latest_counters(_drain(spark, folder, lambda s: T.runtime_counters(s, delay="3 hours"), "append")).first()
+    rows = _drain(spark, folder, lambda s: T.runtime_counters(s, delay="3 hours"), "update")
+    out = T.latest_counters(T.final_rows(rows, ["device_id", "bucket"])).first()
     # event 3 has event_id % 3 == 0 -> turbo on: the hour since the late row counts
     assert out.rows == 3 and out.total_hours_turbo_1 == 1.0 and out.turbo_1_starts == 1
     with pytest.raises(TypeError):
         T.runtime_counters(spark.range(1))          # a delay must be named
+
+
+def test_rows_beyond_the_delay_are_dropped_and_cells_close(spark):
+    folder = tempfile.mkdtemp(prefix="frostline-drop-")
+    schema = "event_id long, ts string, user_id long, event_type string, value double, props string"
+    chunks = [[(1, "2024-01-01 00:00:00", 7, "click", 1.0, "{}"), (2, "2024-01-02 00:00:00", 7, "click", 2.0, "{}")],
+              [(4, "2024-01-02 00:10:00", 7, "click", 3.0, "{}")],
+              [(3, "2024-01-01 00:30:00", 7, "click", 9.0, "{}"), (5, "2024-01-02 00:20:00", 7, "click", 3.0, "{}")]]
+    for i, chunk in enumerate(chunks):
+        _move_one(spark, spark.createDataFrame(chunk, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz")), folder, i)
+    closed = _drain(spark, folder, lambda s: T.hour_minmax(s, columns=["P1"], delay="3 hours"), "append").collect()
+    # the first hour came out once, without the row that was a day late; the newest hour is still open
+    assert [(str(r.hour), r.P1_min, r.P1_max) for r in closed] == [("2024-01-01 00:00:00", 0.1, 0.1)]
+
+
+def test_no_python_in_the_counters_plan(spark, shuffled):
+    stream = T.events_stream(spark, f"{shuffled[0]}/in")
+    plan = T.runtime_counters(stream, delay="1 day")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_counters_of_any_cell_size(spark, shuffled):
+    folder, readings = shuffled
+    for size in (60_000_000, 21_600_000_000):
+        rows = _drain(spark, folder, lambda s, b=size: T.runtime_counters(s, keys=(), bucket_us=b, delay=LONG), "update")
+        got = T.latest_counters(T.final_rows(rows, ["bucket"]), keys=()).first()
+        want = I.runtime_hours(readings).first()
+        assert all(got[c] == want[c] for c in want.asDict())
+
+
+def test_sliding_windows_over_gaps_equal_plain(spark):
+    """Every window that holds an hour row, over gaps longer and shorter than a window, before and after 1970."""
+    import datetime as dt
+    hours = [-50, -3, 0, 1, 5, 23, 24, 47, 49, 200, 225, 226, 300]
+    rows = [(d, dt.datetime(1970, 1, 1) + dt.timedelta(hours=h), None if h % 5 == 0 else float(h * 7 % 11), float(h)) for d in (1, 2) for h in hours[d - 1:]]
+    df = spark.createDataFrame(rows, "device_id int, hour timestamp_ntz, P1_min double, P1_max double")
+    got = {(r.device_id, r.window_end): (r.P1_min_24h, r.P1_max_24h) for r in T.sliding_minmax(df, keys=["device_id"], columns=["P1"]).collect()}
+    want = {}
+    for d, h, lo, hi in rows:
+        for j in range(1, 25):
+            at = (d, h + dt.timedelta(hours=j))
+            a, b = want.get(at, (None, None))
+            want[at] = (lo if a is None else a if lo is None else min(a, lo), hi if b is None else max(b, hi))
+    assert got == want
+    plan = T.sliding_minmax(df, keys=["device_id"], columns=["P1"])._jdf.queryExecution().toString()
+    assert "HashAggregate" not in plan          # no copies to aggregate: every window end is made once
