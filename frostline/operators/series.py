@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline.functions.columns import (
-    bucket_of, check_hours, check_points, is_on, keys_list, lenient_float, micros, missing, nan_to_null,
+    bucket_of, check_hours, check_points, keys_list, lenient_float, micros, missing, nan_to_null,
     resolve_as_of, scrub, since, window_start,
 )
 from frostline.operators import intervals as I
+from frostline.operators.anchored import Slope, Starts, anchored, sampled_on
 from frostline.schema import (
     ALLOWED_HISTORY_KEYS, COLD_THRESHOLD_K, DASHBOARD_KEYS, DEFAULT_BUCKET_US, HOUR_US, TS,
 )
@@ -161,37 +162,15 @@ def series_starts(series: DataFrame, *, lookback_hours: int = 24, keys=(),
     """Off->on transitions in the window anchored at each series' own last time.
 
     Non-null samples only; the first sample in the window has previous 0.
-    Fewer than 2 samples -> 0.
+    Fewer than 2 samples -> 0.  See :mod:`anchored`: one scan, one shuffle of the
+    rows by (series, cell).
     """
     g = _group(keys)
     valid = series.filter(~missing("value"))
-    ends = valid.groupBy(*g).agg(F.max(TS).alias("_end"))
-    recent = valid.join(ends, g, "inner") \
-        .filter(F.col(TS) >= F.col("_end") - F.expr(f"INTERVAL {int(lookback_hours)} HOURS"))
-    core = _starts_core(recent, g, ["value"], bucket_us)
-    return core.select(*g, F.when(F.col("_rows") < 2, F.lit(0).cast("long"))
-                       .otherwise(F.col("_starts0")).alias("starts"))
-
-
-def _starts_core(df: DataFrame, k: list[str], cols: list[str], bucket_us: int) -> DataFrame:
     us = micros(TS)
-    base = df.select(*k, us.alias("_us"), bucket_of(us, bucket_us).alias("_b"),
-                     *[is_on(c).alias(f"_on{i}") for i, c in enumerate(cols)])
-    w = Window.partitionBy(*k, "_b").orderBy("_us")
-    rows = base.select("*", *[F.lag(f"_on{i}").over(w).alias(f"_pon{i}") for i in range(len(cols))])
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i in range(len(cols)):
-        on, pon = F.col(f"_on{i}"), F.col(f"_pon{i}")
-        aggs += [F.count_if(~pon & on).alias(f"_st{i}"), F.min_by(on, "_us").alias(f"_fon{i}"),
-                 F.max_by(on, "_us").alias(f"_lon{i}")]
-    part = rows.groupBy(*k, "_b").agg(*aggs)
-    ws = Window.partitionBy(*k).orderBy("_b")
-    st = part.select("*", *[F.lag(f"_lon{i}").over(ws).alias(f"_pl{i}") for i in range(len(cols))])
-    out = [F.sum("_n").alias("_rows")]
-    for i in range(len(cols)):
-        edge = F.when(~F.coalesce(F.col(f"_pl{i}"), F.lit(False)) & F.col(f"_fon{i}"), 1).otherwise(0)
-        out.append(F.sum(F.col(f"_st{i}") + edge).cast("long").alias(f"_starts{i}"))
-    return st.groupBy(*k).agg(*out)
+    out = anchored(valid, us, bucket_of(us, bucket_us), keys=g,
+                   starts=[Starts("value", sampled_on("value"), int(lookback_hours) * HOUR_US)])
+    return out.select(*g, F.col("starts_value").alias("starts"))
 
 
 def time_below(series: DataFrame, *, threshold: float = COLD_THRESHOLD_K, keys=(),
@@ -208,48 +187,16 @@ def slope(series: DataFrame, *, lookback_hours: int = 3, tail_rows: int = 12, ke
     """Endpoint slope (value units per hour) over the last ``lookback_hours``.
 
     When fewer than 2 points fall in that window the last ``tail_rows`` points
-    are used instead.  NULL points are dropped after choosing the rows; fewer
-    than 2 or a non-positive time span gives NULL.  Not a regression.
-
-    The tail is found without a whole-series sort: bucket counts locate the
-    bucket holding the ``tail_rows``-th newest row, and only rows from there on
-    are ranked.
+    are used instead (R4, merged from the newest points of the newest cells).
+    NULL points are dropped after choosing the rows; fewer than 2 or a
+    non-positive time span gives NULL.  Not a regression.  See :mod:`anchored`:
+    one scan, one shuffle of the rows by (series, cell).
     """
     g = _group(keys)
     us = micros(TS)
-    rows = series.select(*g, us.alias("_us"), bucket_of(us, bucket_us).alias("_b"),
-                         nan_to_null("value").alias("_v"))
-    ends = rows.groupBy(*g).agg(F.max("_us").alias("_end"), F.count(F.lit(1)).alias("_n"))
-    lb = int(lookback_hours) * HOUR_US
-    tagged = rows.join(ends, g, "inner").withColumn("_in", F.col("_us") >= F.col("_end") - F.lit(lb))
-
-    # tail candidates: buckets from the one holding the tail_rows-th newest row
-    counts = rows.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_nb"))
-    wdesc = Window.partitionBy(*g).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.select(*g, "_b", F.sum("_nb").over(wdesc).alias("_cum"))
-    cut = cum.filter(F.col("_cum") >= tail_rows).groupBy(*g).agg(F.max("_b").alias("_cut"))
-    cand = rows.join(cut, g, "left").filter(F.col("_cut").isNull() | (F.col("_b") >= F.col("_cut")))
-    wr = Window.partitionBy(*g).orderBy(F.col("_us").desc())
-    tail = cand.select(*g, "_us", "_v", F.row_number().over(wr).alias("_r")).filter(F.col("_r") <= tail_rows)
-
-    def endpoint_aggs(prefix: str, sel):
-        ok = sel & F.col("_v").isNotNull()
-        t = F.when(ok, F.col("_us"))
-        return [F.count_if(sel).alias(f"{prefix}rows"), F.count_if(ok).alias(f"{prefix}cnt"),
-                F.min_by("_v", t).alias(f"{prefix}v0"), F.max_by("_v", t).alias(f"{prefix}v1"),
-                F.min(t).alias(f"{prefix}t0"), F.max(t).alias(f"{prefix}t1")]
-
-    win = tagged.groupBy(*g).agg(F.max("_n").alias("_n"), *endpoint_aggs("w_", F.col("_in")))
-    tl = tail.groupBy(*g).agg(*endpoint_aggs("t_", F.lit(True)))
-    both = win.join(tl, g, "left")
-    use_w = F.col("w_rows") >= 2
-
-    def pick(name):
-        return F.when(use_w, F.col(f"w_{name}")).otherwise(F.col(f"t_{name}"))
-
-    dt_h = (pick("t1") - pick("t0")).cast("double") / F.lit(float(HOUR_US))
-    val = F.when((F.col("_n") >= 2) & (pick("cnt") >= 2) & (dt_h > 0), (pick("v1") - pick("v0")) / dt_h)
-    return both.select(*g, val.alias("slope_per_h"))
+    out = anchored(series, us, bucket_of(us, bucket_us), keys=g,
+                   slopes=[Slope("value", F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))), int(lookback_hours) * HOUR_US, tail_rows)])
+    return out.select(*g, F.col("slope_value").alias("slope_per_h"))
 
 
 # ---------------------------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from frostline.functions import fmt
 from frostline.functions.columns import resolve_as_of, window_start
+from frostline.operators import anchored as A
 from frostline.operators import intervals as I
 from frostline.operators import series as S
 from frostline.operators import state as C
@@ -124,11 +125,11 @@ def q_duty_cycle(spark, sf):
 
 
 def q_series_starts(spark, sf):
-    return S.series_starts(_series(spark, sf, series_keys=STATE_KEYS))
+    return A.column_starts(_r(spark, sf))
 
 
 def q_series_starts_by_device(spark, sf):
-    return S.series_starts(_series(spark, sf, keys=DEV, series_keys=STATE_KEYS), keys=DEV)
+    return A.column_starts(_r(spark, sf), keys=DEV)
 
 
 def q_hours_below(spark, sf):
@@ -140,11 +141,11 @@ def q_hours_below_by_device(spark, sf):
 
 
 def q_mxc_slope(spark, sf):
-    return S.slope(_series(spark, sf, series_keys=["T_MXC"]), lookback_hours=3)
+    return A.column_slope(_r(spark, sf))
 
 
 def q_mxc_slope_by_device(spark, sf):
-    return S.slope(_series(spark, sf, keys=DEV, series_keys=["T_MXC"]), lookback_hours=3, keys=DEV)
+    return A.column_slope(_r(spark, sf), keys=DEV)
 
 
 def q_last_valid_point(spark, sf):
