@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline.functions.columns import (
-    US_PER_HOUR, bucket_of, from_micros, is_on, keys_list, micros, resolve_as_of, since, ts_literal,
+    US_PER_HOUR, bucket_of, from_micros, is_on, keys_list, micros, nan_to_null, resolve_as_of, since, ts_literal,
     window_start,
 )
 from frostline.schema import (
@@ -53,7 +53,7 @@ def _hours(us_col) -> F.Column:
 
 def history_stats(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS),
                   cold_column: str = "T_MXC", threshold: float = COLD_THRESHOLD_K,
-                  bucket_us: int = DEFAULT_BUCKET_US, latest_columns=()) -> DataFrame:
+                  bucket_us: int = DEFAULT_BUCKET_US, latest_columns=(), window=None) -> DataFrame:
     """One scan, one shuffle on ``(keys, bucket)``: every full-history statistic.
 
     Columns: ``total_hours_<pump>`` (W1, backward attribution: the gap before
@@ -62,7 +62,9 @@ def history_stats(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS),
     threshold), ``hours_below_20mK_current`` (W3), ``rows``, ``latest_ts``,
     ``first_ts``, and the values of the latest row for ``latest_columns`` (R1
     fused into the same pass: ``max_by`` per bucket, then over buckets).
-    Unused outputs are pruned by Catalyst.
+    ``window=(starts_from, duty_from)`` adds, per pump, ``<pump>_starts`` (W4 over
+    rows from the first time on; NULL without one) and ``duty_<pump>`` (A3 over
+    rows from the second time on).  Unused outputs are pruned by Catalyst.
     """
     k = keys_list(keys)
     pumps = list(pumps)
@@ -71,11 +73,17 @@ def history_stats(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS),
     cv_col = (F.col(cold_column).cast("double") if cold_column and cold_column in readings.columns
               else F.lit(None).cast("double"))
     lcols = [c for c in latest_columns if c != TS]
+    extra = []
+    if window is not None:
+        in_w = F.coalesce(F.col(TS) >= window[0], F.lit(False))
+        in_d = F.coalesce(F.col(TS) >= window[1], F.lit(False))
+        extra = [c for i, p in enumerate(pumps) for c in (F.when(in_w, is_on(p)).alias(f"_won{i}"), F.when(in_d, nan_to_null(p) >= 0.5).alias(f"_d{i}"))]
     base = _bucketed(readings, k, [*on_cols, cv_col.alias("_cv"),
-                                   *[F.col(c).alias(f"_lc{j}") for j, c in enumerate(lcols)]], bucket_us)
+                                   *[F.col(c).alias(f"_lc{j}") for j, c in enumerate(lcols)], *extra], bucket_us)
 
     w = Window.partitionBy(*k, "_b").orderBy("_us")
-    rows = base.select("*", F.lag("_us").over(w).alias("_prev"), F.lead("_us").over(w).alias("_next"))
+    rows = base.select("*", F.lag("_us").over(w).alias("_prev"), F.lead("_us").over(w).alias("_next"),
+                       *[F.lag(f"_won{i}").over(w).alias(f"_wpo{i}") for i in range(len(pumps)) if window is not None])
 
     us, prev, nxt, cv = F.col("_us"), F.col("_prev"), F.col("_next"), F.col("_cv")
     cold = F.coalesce(cv < thr, F.lit(False))
@@ -94,10 +102,16 @@ def history_stats(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS),
         F.max_by(nxt, F.when(warm, us)).alias("_after"),
         *[F.max_by(f"_lc{j}", us).alias(f"_lc{j}") for j in range(len(lcols))],
     ]
+    if window is not None:
+        for i in range(len(pumps)):
+            won, at = F.col(f"_won{i}"), F.when(F.col(f"_won{i}").isNotNull(), us)
+            aggs += [F.count(won).alias(f"_wn{i}"), F.count_if(~F.col(f"_wpo{i}") & won).alias(f"_wst{i}"), F.min_by(won, at).alias(f"_wf{i}"),
+                     F.max_by(won, at).alias(f"_wl{i}"), F.count(f"_d{i}").alias(f"_dn{i}"), F.count_if(f"_d{i}").alias(f"_do{i}")]
     part = rows.groupBy(*k, "_b").agg(*aggs)
 
     ws = Window.partitionBy(*k).orderBy("_b")
-    st = part.select("*", F.lag("_last").over(ws).alias("_pl"), F.lead("_first").over(ws).alias("_nf"))
+    st = part.select("*", F.lag("_last").over(ws).alias("_pl"), F.lead("_first").over(ws).alias("_nf"),
+                     *[F.lag(f"_wl{i}").over(ws).alias(f"_wpl{i}") for i in range(len(pumps)) if window is not None])
     first, last, pl, nf = F.col("_first"), F.col("_last"), F.col("_pl"), F.col("_nf")
     warm_b = F.col("_warm").isNotNull()
     out = []
@@ -114,6 +128,13 @@ def history_stats(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS),
         F.sum("_n").alias("rows"),
         *[F.max_by(f"_lc{j}", "_b").alias(c) for j, c in enumerate(lcols)],
     ]
+    in_window = []
+    if window is not None:
+        for i, p in enumerate(pumps):
+            edge = F.when(~F.coalesce(F.col(f"_wpl{i}"), F.lit(False)) & F.col(f"_wf{i}"), 1).otherwise(0)
+            out += [F.when(F.sum(f"_wn{i}") > 0, F.sum(F.col(f"_wst{i}") + edge)).cast("long").alias(f"{p}_starts"),
+                    (F.try_divide(F.sum(f"_do{i}").cast("double"), F.sum(f"_dn{i}").cast("double")) * F.lit(100.0)).alias(f"duty_{p}")]
+            in_window += [f"{p}_starts", f"duty_{p}"]
     res = st.groupBy(*k).agg(*out)
     streak = F.when(F.col("_latest_v") < thr,
                     _hours(F.col("_latest_us") - F.coalesce(F.col("_start"), F.col("_min_us")))
@@ -121,7 +142,7 @@ def history_stats(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS),
     return res.select(
         *k, *[f"total_hours_{p}" for p in pumps], "hours_below_20mK_total",
         streak.alias("hours_below_20mK_current"), "rows",
-        from_micros("_latest_us").alias("latest_ts"), from_micros("_min_us").alias("first_ts"), *lcols,
+        from_micros("_latest_us").alias("latest_ts"), from_micros("_min_us").alias("first_ts"), *lcols, *in_window,
     )
 
 
@@ -187,47 +208,71 @@ def _every_key(readings: DataFrame, k: list[str], stats: DataFrame) -> DataFrame
 
 def window_stats(readings: DataFrame, *, as_of=None, hours: int = 24, keys=(),
                  pumps=tuple(STARTS_PUMPS), minmax=tuple(MINMAX_24H_COLUMNS),
-                 bucket_us: int = DEFAULT_BUCKET_US, suffix: str = "_24h", every_key: bool = True) -> DataFrame:
+                 bucket_us: int = DEFAULT_BUCKET_US, suffix: str = "_24h", every_key: bool = True,
+                 newest=(), floor=None, points=(), points_start=None) -> DataFrame:
     """W4 + A1 over ``ts >= as_of - hours`` (inclusive, no upper bound).
 
-    The filter is applied before the lag, so the first row of the window has
+    Rows before the window have no say, so the first row of the window has
     no predecessor: a pump already on there counts as one start.  The time
     predicate is a literal, so it is pushed into the Parquet scan.  Every key
     of the readings has a row; an empty window has NULL statistics
     (``every_key=False`` leaves it out, for callers that have the keys anyway).
+
+    In the same pass: ``newest`` adds the latest row (``ts_eastern`` and these
+    columns, all of one row; ``floor`` is a time that no key's latest row lies
+    before), ``points`` the last valid value ``lv_<c>`` of these columns from
+    ``points_start`` on (W8).
     """
     k = keys_list(keys)
-    pumps, minmax = list(pumps), list(minmax)
+    pumps, minmax, newest, points = list(pumps), list(minmax), list(newest), list(points)
     start = window_start(resolve_as_of(readings, as_of), hours)
-    recent = since(readings, start)
-    base = _bucketed(recent, k, [*[is_on(p).alias(f"_on{i}") for i, p in enumerate(pumps)],
-                                 *[F.col(c).alias(f"_m{j}") for j, c in enumerate(minmax)]], bucket_us)
+    recent, inside = since(readings, start), F.lit(True)
+    if newest or points:
+        inside = F.coalesce(F.col(TS) >= start, F.lit(False))
+        starts = [start, *([points_start] if points else []), *([ts_literal(floor)] if newest and floor is not None else [])]
+        recent = readings if newest and floor is None else since(readings, F.least(*starts) if len(starts) > 1 else start)
+    of_points = F.lit(True) if points_start is None else F.coalesce(F.col(TS) >= points_start, F.lit(False))
+    base = _bucketed(recent, k, [inside.alias("_in"), *[F.when(inside, is_on(p)).alias(f"_on{i}") for i, p in enumerate(pumps)],
+                                 *[F.when(inside, F.col(c)).alias(f"_m{j}") for j, c in enumerate(minmax)],
+                                 *[F.col(c).alias(f"_nw{j}") for j, c in enumerate(newest)],
+                                 *[F.when(of_points, nan_to_null(F.col(c).cast("double"))).alias(f"_pt{j}") for j, c in enumerate(points)]], bucket_us)
     w = Window.partitionBy(*k, "_b").orderBy("_us")
     rows = base.select("*", *[F.lag(f"_on{i}").over(w).alias(f"_pon{i}") for i in range(len(pumps))])
     us = F.col("_us")
+    at = F.when(F.col("_in"), us)
     aggs = []
     for i in range(len(pumps)):
         on, pon = F.col(f"_on{i}"), F.col(f"_pon{i}")
-        aggs += [F.count_if(~pon & on).alias(f"_st{i}"), F.min_by(on, us).alias(f"_fon{i}"),
-                 F.max_by(on, us).alias(f"_lon{i}")]
+        aggs += [F.count_if(~pon & on).alias(f"_st{i}"), F.min_by(on, at).alias(f"_fon{i}"),
+                 F.max_by(on, at).alias(f"_lon{i}")]
     for j in range(len(minmax)):
         aggs += [F.min(f"_m{j}").alias(f"_mn{j}"), F.max(f"_m{j}").alias(f"_mx{j}")]
-    aggs.append(F.count(F.lit(1)).alias("_n"))
+    for j in range(len(points)):
+        valid = F.when(F.col(f"_pt{j}").isNotNull(), us)
+        aggs += [F.max_by(f"_pt{j}", valid).alias(f"_lv{j}"), F.max(valid).alias(f"_lt{j}")]
+    if newest:
+        aggs.append(F.max(F.struct("_us", *[f"_nw{j}" for j in range(len(newest))])).alias("_row"))
+    aggs.append(F.count_if("_in").alias("_n"))
     part = rows.groupBy(*k, "_b").agg(*aggs)
     ws = Window.partitionBy(*k).orderBy("_b")
     st = part.select("*", *[F.lag(f"_lon{i}").over(ws).alias(f"_plon{i}") for i in range(len(pumps))])
     out = []
     for i, p in enumerate(pumps):
         edge = F.when(~F.coalesce(F.col(f"_plon{i}"), F.lit(False)) & F.col(f"_fon{i}"), 1).otherwise(0)
-        out.append(F.sum(F.col(f"_st{i}") + edge).cast("long").alias(f"{p}_starts{suffix}"))
+        out.append(F.when(F.sum("_n") > 0, F.sum(F.col(f"_st{i}") + edge)).cast("long").alias(f"{p}_starts{suffix}"))
     for j, c in enumerate(minmax):
         out += [F.min(f"_mn{j}").alias(f"{c}_min{suffix}"), F.max(f"_mx{j}").alias(f"{c}_max{suffix}")]
+    out += [F.max_by(f"_lv{j}", f"_lt{j}").alias(f"lv_{c}") for j, c in enumerate(points)]
+    if newest:
+        out.append(F.max("_row").alias("_row"))
     out.append(F.sum("_n").alias("rows_in_window"))
     res = st.groupBy(*k).agg(*out)
+    if newest:
+        res = res.select("*", from_micros("_row._us").alias(TS), *[F.col(f"_row._nw{j}").alias(c) for j, c in enumerate(newest)])
     if every_key:
         res = _every_key(readings, k, res)
     mm = [n for c in minmax for n in (f"{c}_min{suffix}", f"{c}_max{suffix}")]
-    return res.select(*k, *mm, *[f"{p}_starts{suffix}" for p in pumps], "rows_in_window")
+    return res.select(*k, *([TS] if newest else []), *newest, *[f"lv_{c}" for c in points], *mm, *[f"{p}_starts{suffix}" for p in pumps], "rows_in_window")
 
 
 def pump_starts(readings: DataFrame, *, as_of=None, hours: int = 24, keys=(),
@@ -268,20 +313,20 @@ def latest_time_bounds(readings: DataFrame, *, keys=()):
 def latest_row(readings: DataFrame, *, keys=(), columns=None, floor=None) -> DataFrame:
     """The row with the greatest timestamp, per key (NULLs kept as stored).
 
-    One pass of ``max_by`` per column: a partial (map-side) aggregate, no sort,
-    no window, no job of its own.  ``floor`` (a time that no key's latest row
-    lies before, e.g. from :func:`latest_time_bounds`) prunes row groups and
-    ``day`` partitions.
+    One ``max`` over a struct that begins with the time, so all columns come from
+    one row; of rows with the same time it is the one with the greatest values,
+    column by column in the order given (NULL is the least).  A partial (map-side)
+    aggregate, no window, no job of its own.  ``floor`` (a time that no key's
+    latest row lies before, e.g. from :func:`latest_time_bounds`) prunes row
+    groups and ``day`` partitions.
     """
     k = keys_list(keys)
     cols = list(columns) if columns is not None else [c for c in readings.columns if c not in k]
     recent = readings if floor is None else since(readings, ts_literal(floor))
-    aggs = [F.max(TS).alias(TS) if c == TS else F.max_by(F.col(c), F.col(TS)).alias(c) for c in cols]
-    if TS not in cols:
-        aggs.append(F.max(TS).alias("_ts"))
-    res = recent.groupBy(*k).agg(*aggs)
+    values = [c for c in cols if c != TS]
+    res = recent.groupBy(*k).agg(F.max(F.struct(F.col(TS).alias("_ts"), *values)).alias("_row"))
     # an empty table has no latest row (a global aggregate would give a NULL row)
-    return res.filter(F.col(TS if TS in cols else "_ts").isNotNull()).select(*k, *cols)
+    return res.filter(F.col("_row._ts").isNotNull()).select(*k, *[F.col("_row._ts").alias(TS) if c == TS else F.col(f"_row.{c}").alias(c) for c in cols])
 
 
 def suggest_bucket_us(readings: DataFrame, *, keys=(), target_rows: int = 2_000_000) -> int:

@@ -12,6 +12,7 @@ from frostline.functions.fmt import fmt_temp
 from frostline.operators.series import (
     combine, freshest_values, last_valid_point, latest_series_ts, pivot_series, slope,
 )
+from frostline.operators.vector import state_inputs
 from frostline.schema import DEFAULT_BUCKET_US, HOUR_US, STATE_KEYS, TS
 
 # Thresholds and texts of the decision list.
@@ -102,14 +103,28 @@ def fridge_state(snapshot: DataFrame, series: DataFrame, *, keys=(), mode: str =
     lts = latest_series_ts(series, keys=k).select(*k, F.col("latest_ts").alias("_hist_ts"))
     snap = snapshot.select(*k, F.col(TS).alias("_snap_ts"), nan_to_null(F.col("T_MXC")).alias("_snap_mxc"))
     allin = combine([fresh, sl, lv, lts, snap], keys=k)
-    cur = F.greatest("_snap_ts", "_hist_ts")
+    return _decide(allin.withColumnRenamed("_hist_ts", "series_ts").withColumnRenamed("_snap_ts", "snap_ts")
+                   .withColumnRenamed("_snap_mxc", "snap_mxc"), k, mode)
+
+
+def _decide(inputs: DataFrame, k: list[str], mode: str) -> DataFrame:
+    cur = F.greatest("snap_ts", "series_ts")
     age = F.greatest(F.lit(0.0), (micros(cur) - micros("last_valid_mxc_ts")).cast("double") / F.lit(float(HOUR_US)))
-    mxc = F.col("T_MXC") if mode == "reference" else F.col("_snap_mxc")
+    mxc = F.col("T_MXC") if mode == "reference" else F.col("snap_mxc")
     pumps_on = F.greatest(*[F.coalesce(F.col(p) >= 0.5, F.lit(False)) for p in STATE_KEYS])
     cls = classify(mxc, F.col("T_Still"), pumps_on, F.col("slope_per_h"), F.col("last_valid_mxc"), age)
-    return allin.select(*k, cls.label.alias("label"), cls.detail.alias("detail"), cls.tone.alias("tone"),
-                        mxc.alias("mxc"), F.col("T_Still").alias("still"), F.col("slope_per_h"),
-                        pumps_on.alias("pumps_on"))
+    return inputs.select(*k, cls.label.alias("label"), cls.detail.alias("detail"), cls.tone.alias("tone"),
+                         mxc.alias("mxc"), F.col("T_Still").alias("still"), F.col("slope_per_h"),
+                         pumps_on.alias("pumps_on"))
+
+
+def current_state(readings: DataFrame, *, hours: int = 24, as_of=None, keys=(), mode: str = "reference",
+                  lookback_hours: int = 3, bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+    """C1 straight from wide readings: :func:`fridge_state` of the latest row and
+    the history of the trailing ``hours``, from at most three scans (see
+    :func:`frostline.operators.vector.state_inputs`)."""
+    k = keys_list(keys)
+    return _decide(state_inputs(readings, hours=hours, as_of=as_of, keys=k, lookback_hours=lookback_hours, bucket_us=bucket_us), k, mode)
 
 
 def state_timeline(readings: DataFrame, *, keys=(), bucket_us: int = DEFAULT_BUCKET_US,
@@ -183,4 +198,4 @@ def state_hours(readings: DataFrame, *, keys=(), bucket_us: int = DEFAULT_BUCKET
     return tl.groupBy(*k, "label").agg(hours.alias("hours"), F.count(F.lit(1)).alias("buckets"))
 
 
-__all__ = ["classify", "fridge_state", "state_timeline", "state_hours"]
+__all__ = ["classify", "current_state", "fridge_state", "state_timeline", "state_hours"]

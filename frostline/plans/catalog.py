@@ -21,6 +21,7 @@ from frostline.operators import intervals as I
 from frostline.operators import series as S
 from frostline.operators import state as C
 from frostline.operators import thermal as E
+from frostline.operators import vector as V
 from frostline.plans import queries as Q
 from frostline.schema import DASHBOARD_KEYS, STATE_KEYS, TS
 from frostline.sources.events import readings_from_events
@@ -149,29 +150,20 @@ def q_mxc_slope_by_device(spark, sf):
 
 
 def q_last_valid_point(spark, sf):
-    return S.last_valid_point(_series(spark, sf))
+    return V.last_valid(_r(spark, sf))
 
 
 def q_labeled_last_values(spark, sf):
     """W8 per series labelled through the channel dimension (F13); the dimension
     has a fixed 19 rows, so broadcasting it is size-bounded by construction."""
     from frostline.schema import channels_dimension
-    lv = S.last_valid_point(_series(spark, sf))
+    lv = V.last_valid(_r(spark, sf))
     return lv.join(F.broadcast(channels_dimension(spark)), "key", "left") \
         .select("key", "label", "grp", "unit", "value", TS)
 
 
-def _bounds(r, keys=()):
-    latest, floor = I.latest_time_bounds(r, keys=keys)
-    return resolve_as_of(r, latest), floor
-
-
 def q_freshest_values(spark, sf):
-    r = _r(spark, sf)
-    a, floor = _bounds(r)
-    snap = I.latest_row(r, columns=[TS, *DASHBOARD_KEYS], floor=floor)
-    hist = S.window_series(S.to_series(r), hours=24, as_of=a)
-    return S.freshest_values(snap, hist)
+    return V.freshest_columns(_r(spark, sf), hours=24)
 
 
 def _latest_before(r, keys, hours):
@@ -195,35 +187,29 @@ def q_overlay_series(spark, sf):
 
 
 def q_stage_minutes(spark, sf):
-    return E.stage_minutes(_series(spark, sf))
+    return E.stage_minutes_of(_r(spark, sf))
 
 
 def q_em_history(spark, sf):
-    h = E.em_history(_series(spark, sf))
+    h = E.em_history_of(_r(spark, sf))
     return h.select("key", TS, F.round("value", 6).alias("value"))
 
 
-def q_em_latest(spark, sf):
-    r = _r(spark, sf)
-    snap = I.latest_row(r, columns=[TS, *DASHBOARD_KEYS])
-    out = E.em_latest(snap, S.to_series(r))
+def _em_latest(spark, sf, keys):
+    out = E.em_now(_r(spark, sf), keys=keys)
     return out.select(*[F.round(c, 6).alias(c) if c.startswith("teff_") else F.col(c) for c in out.columns])
 
 
+def q_em_latest(spark, sf):
+    return _em_latest(spark, sf, ())
+
+
 def q_fridge_state(spark, sf):
-    r = _r(spark, sf)
-    a, floor = _bounds(r)
-    snap = I.latest_row(r, columns=[TS, *DASHBOARD_KEYS], floor=floor)
-    hist = S.window_series(S.to_series(r), hours=24, as_of=a)
-    return C.fridge_state(snap, hist).select("label", "detail", "tone")
+    return C.current_state(_r(spark, sf), hours=24).select("label", "detail", "tone")
 
 
 def q_fridge_state_by_device(spark, sf):
-    r = _r(spark, sf)
-    a, floor = _bounds(r, DEV)
-    snap = I.latest_row(r, keys=DEV, columns=[TS, *DASHBOARD_KEYS], floor=floor)
-    hist = S.window_series(S.to_series(r, keys=DEV), hours=72, as_of=a)
-    return C.fridge_state(snap, hist, keys=DEV).select("device_id", "label", "detail", "tone")
+    return C.current_state(_r(spark, sf), hours=72, keys=DEV).select("device_id", "label", "detail", "tone")
 
 
 def q_state_hours(spark, sf):
@@ -239,21 +225,11 @@ def q_cold_summary(spark, sf):
 
 
 def q_snapshot(spark, sf):
-    r = _r(spark, sf).drop("event_id", "device_id")
-    a, floor = _bounds(r)
-    latest = I.latest_row(r, columns=[TS, *DASHBOARD_KEYS], floor=floor)
-    m = Q.metrics(r, as_of=a)
-    hist = S.window_series(S.to_series(r), hours=24, as_of=a)
-    return Q.synthesize_snapshot(latest, m, hist, Q.health(r))
+    return Q.snapshot(_r(spark, sf), hours=24)
 
 
 def q_snapshot_by_device(spark, sf):
-    r = _r(spark, sf)
-    a, floor = _bounds(r, DEV)
-    latest = I.latest_row(r, keys=DEV, columns=[TS, *DASHBOARD_KEYS], floor=floor)
-    m = Q.metrics(r, as_of=a, keys=DEV)
-    hist = S.window_series(S.to_series(r, keys=DEV), hours=24, as_of=a)
-    return Q.synthesize_snapshot(latest, m, hist, Q.health(r), keys=DEV)
+    return Q.snapshot(_r(spark, sf), hours=24, keys=DEV)
 
 
 def q_formatted_metrics(spark, sf):
@@ -328,16 +304,7 @@ def q_sync_summary(spark, sf):
 
 
 def q_em_latest_by_device(spark, sf):
-    r = _r(spark, sf)
-    snap = I.latest_row(r, keys=DEV, columns=[TS, *DASHBOARD_KEYS])
-    out = E.em_latest(snap, S.to_series(r, keys=DEV), keys=DEV)
-    return out.select(*[F.round(c, 6).alias(c) if c.startswith("teff_") else F.col(c) for c in out.columns])
-
-
-# The events arrive in slices of this many days; a third of a slice's rows comes one slice late.
-STREAM_SLICE_DAYS = 10
-# a row is never older than two slices: files of one slice may come in any order
-STREAM_DELAY = f"{2 * STREAM_SLICE_DAYS} days"
+    return _em_latest(spark, sf, DEV)
 
 
 def _arriving_stream(spark, sf):

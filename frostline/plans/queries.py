@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.functions.columns import keys_list, resolve_as_of, scrub_frame, ts_literal
+from frostline.functions.columns import bucket_of, keys_list, micros, resolve_as_of, scrub, scrub_frame, since, window_start
 from frostline.functions.fmt import fmt_state
 from frostline.operators import intervals as I
 from frostline.operators import series as S
+from frostline.operators.anchored import Starts, anchored, sampled_on
+from frostline.operators.vector import bounds
 from frostline.schema import (
     DASHBOARD_KEYS, DEFAULT_BUCKET_US, METRICS_LATEST_COLUMNS, MINMAX_24H_COLUMNS, RUNTIME_PUMPS,
     STATE_KEYS, TS,
@@ -27,13 +29,7 @@ METRICS_COLUMNS = (
     + [f"{p}_starts_24h" for p in STARTS_PUMPS]
 )
 
-
-def _as_of_and_floor(readings: DataFrame, as_of, k: list[str]):
-    """Default ``as_of`` and the latest-row floor from one aggregate job."""
-    if as_of is None:
-        latest, floor = I.latest_time_bounds(readings, keys=k)
-        return (ts_literal(latest) if latest is not None else F.lit(None).cast("timestamp_ntz")), floor
-    return resolve_as_of(readings, as_of), None
+COUNTS = [f"{p}_starts_24h" for p in STARTS_PUMPS]
 
 
 def metrics(readings: DataFrame, *, as_of=None, keys=(), bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
@@ -45,7 +41,7 @@ def metrics(readings: DataFrame, *, as_of=None, keys=(), bucket_us: int = DEFAUL
     columns read only from recent row groups) and the pushed-down 24 h window.
     """
     k = keys_list(keys)
-    a, floor = _as_of_and_floor(readings, as_of, k)
+    a, floor = bounds(readings, as_of, k)
     latest = I.latest_row(readings, keys=k, floor=floor,
                           columns=[c for c in METRICS_LATEST_COLUMNS if c not in RUNTIME_COLUMNS])
     win = I.window_stats(readings, as_of=a, hours=24, keys=k, every_key=False, bucket_us=bucket_us).drop("rows_in_window")
@@ -113,30 +109,50 @@ def synthesize_snapshot(latest_row: DataFrame, metrics_row: DataFrame, series: D
     return allin.select(*k, *out)
 
 
+def snapshot(readings: DataFrame, *, hours: int = 24, as_of=None, keys=(), bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+    """Q6 straight from wide readings: :func:`synthesize_snapshot` of the latest
+    row, the metrics and the history of the trailing ``hours``.
+
+    Three scans: the bounds (``keys, ts``), the newest rows (latest row, last valid
+    points, 24 h extremes and starts) and the history's six columns.  The latest
+    row is also the metrics record's, so it is read once.
+    """
+    k = keys_list(keys)
+    a, floor = bounds(readings, as_of, k)
+    kept = [c for c in METRICS_LATEST_COLUMNS if c not in RUNTIME_COLUMNS and c != TS]
+    recent = I.window_stats(readings, as_of=a, hours=24, keys=k, every_key=False, bucket_us=bucket_us, newest=kept, floor=floor,
+                            points=DASHBOARD_KEYS, points_start=window_start(a, hours)).drop("rows_in_window")
+    hist = I.history_stats(readings, keys=k, bucket_us=bucket_us) \
+        .select(*k, *RUNTIME_COLUMNS, "hours_below_20mK_total", "hours_below_20mK_current")
+    allin = S.combine([recent, hist], keys=k).filter(F.col(TS).isNotNull())
+    fills = {c: F.coalesce(scrub(c), F.col(f"lv_{c}")) for c in DASHBOARD_KEYS}
+    return allin.select(*k, *[fills[c].alias(c) if c in fills else scrub(c).alias(c) if c not in (TS, *COUNTS) else F.col(c) for c in METRICS_COLUMNS])
+
+
 def ops_summary(readings: DataFrame, *, hours: int = 24, as_of=None, keys=(),
                 bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
     """O1: per pump: current state, runtime hours, duty % over the window, starts.
 
     Starts are the 24 h window count (W4), falling back to the series-anchored
     count (W5) when the window has no rows.  Long output
-    ``(keys, key, state, hours, duty_pct, starts_24h)``.
+    ``(keys, key, state, hours, duty_pct, starts_24h)``; the pumps become rows
+    after the aggregates.  Scans: the bounds, and the whole history of the four
+    state columns, whose cells carry every part but W5; that is read (from the
+    window's rows) only where the series window is longer than W4's, or begins
+    elsewhere.
     """
     k = keys_list(keys)
-    a, floor = _as_of_and_floor(readings, as_of, k)
-    cur = I.latest_row(readings, keys=k, floor=floor, columns=[TS, *STATE_KEYS]).drop(TS) \
-        .unpivot(k, STATE_KEYS, "key", "current")
-    hrs = I.runtime_hours(readings, keys=k, bucket_us=bucket_us) \
-        .unpivot(k, RUNTIME_COLUMNS, "key", "hours") \
-        .select(*k, F.substring("key", len("total_hours_") + 1, 64).alias("key"), "hours")
-    st = I.pump_starts(readings, as_of=a, keys=k, bucket_us=bucket_us) \
-        .unpivot(k, [f"{p}_starts_24h" for p in STARTS_PUMPS], "key", "w4") \
-        .select(*k, F.regexp_replace("key", "_starts_24h$", "").alias("key"), "w4")
-    win = S.window_series(S.to_series(readings, keys=k, series_keys=STATE_KEYS), hours=hours, as_of=a)
-    duty = S.duty_cycle(win, keys=k)
-    w5 = S.series_starts(win, keys=k, bucket_us=bucket_us).withColumnRenamed("starts", "w5")
-    allin = S.combine([cur, hrs, st, duty, w5], keys=[*k, "key"])
-    return allin.select(*k, "key", fmt_state("current").alias("state"), "hours", "duty_pct",
-                        F.coalesce(F.col("w4"), F.col("w5")).alias("starts_24h"))
+    a, _ = bounds(readings, as_of, k)
+    stats = I.history_stats(readings, keys=k, pumps=STATE_KEYS, cold_column=None, bucket_us=bucket_us, latest_columns=STATE_KEYS,
+                            window=(window_start(a, 24), window_start(a, hours)))
+    if hours > 24:      # a key without a row in the last 24 hours may have samples in the longer window
+        us = micros(TS)
+        w5 = anchored(since(readings, window_start(a, hours)), us, bucket_of(us, bucket_us), keys=k, starts=[Starts(p, sampled_on(p)) for p in STATE_KEYS])
+        stats = S.combine([stats, w5], keys=k)
+    starts = {p: F.coalesce(F.col(f"{p}_starts"), F.col(f"starts_{p}")) if hours > 24 else F.col(f"{p}_starts") for p in STATE_KEYS}
+    parts = F.array(*[F.struct(F.lit(p).alias("key"), fmt_state(p).alias("state"), F.col(f"total_hours_{p}").alias("hours"),
+                               F.col(f"duty_{p}").alias("duty_pct"), starts[p].alias("starts_24h")) for p in STATE_KEYS])
+    return stats.filter(F.col("latest_ts").isNotNull()).select(*k, F.inline(parts))
 
 
 def cold_summary(readings: DataFrame, *, hours: int = 24, as_of=None, keys=(),
@@ -155,5 +171,5 @@ def cold_summary(readings: DataFrame, *, hours: int = 24, as_of=None, keys=(),
                         F.col("hours_below_20mK_total").isNull().alias("total_is_window"))
 
 
-__all__ = ["metrics", "latest", "dashboard", "health", "synthesize_snapshot", "ops_summary",
+__all__ = ["metrics", "latest", "dashboard", "health", "snapshot", "synthesize_snapshot", "ops_summary",
            "cold_summary"]
