@@ -9,6 +9,7 @@ from frostline.functions.columns import (
     bucket_of, from_micros, keys_list, micros, nan_to_null,
 )
 from frostline.functions.fmt import fmt_temp
+from frostline.operators.anchored import newest, tail_slope
 from frostline.operators.series import (
     combine, freshest_values, last_valid_point, latest_series_ts, pivot_series, slope,
 )
@@ -16,17 +17,17 @@ from frostline.operators.vector import state_inputs
 from frostline.schema import DEFAULT_BUCKET_US, HOUR_US, STATE_KEYS, TS
 
 # Thresholds and texts of the decision list.
-MXC_BASE_TARGET_K = 0.010
-MXC_BASE_BAND_K = 0.005
-MXC_SENSOR_FLOOR_TRIGGER_K = 0.009
-MXC_SENSOR_FLOOR_LOOKBACK_H = 3.0
-MXC_BASE_TREND_TOL_KPH = 0.004
-MXC_COLD_TREND_KPH = 0.006
-MXC_WARM_TREND_KPH = 0.006
-MXC_PRECOOL_THRESHOLD_K = 1.0
-STILL_PRECOOL_THRESHOLD_K = 10.0
-MXC_WARM_STATE_THRESHOLD_K = 20.0
-STILL_WARM_STATE_THRESHOLD_K = 250.0
+BASE_K = 0.010
+BASE_MARGIN_K = 0.005
+FLOOR_BELOW_K = 0.009
+FLOOR_MAX_AGE_H = 3.0
+STEADY_KPH = 0.004
+FALLING_KPH = 0.006
+RISING_KPH = 0.006
+PRECOOL_MXC_K = 1.0
+PRECOOL_STILL_K = 10.0
+WARM_MXC_K = 20.0
+WARM_STILL_K = 250.0
 TEXT_SENSOR_FLOOR = ("Last valid MXC point was {}; the fridge appears colder than the "
                      "readable sensor floor.")
 TEXT_UNKNOWN = "MXC reading unavailable."
@@ -50,16 +51,16 @@ def _text(template: str, value: Column) -> Column:
 def classify(mxc: Column, still: Column, pumps_on: Column, slope_kph: Column,
              last_valid_mxc: Column, age_h: Column) -> Column:
     """C1 decision list, first match wins -> ``struct(label, detail, tone)``."""
-    warm_thr = F.when(mxc < 0.05, F.lit(MXC_WARM_TREND_KPH)).otherwise(F.lit(0.01))
-    cool_thr = F.when(mxc < 0.05, F.lit(MXC_COLD_TREND_KPH)).otherwise(F.lit(0.01))
+    warm_thr = F.when(mxc < 0.05, F.lit(RISING_KPH)).otherwise(F.lit(0.01))
+    cool_thr = F.when(mxc < 0.05, F.lit(FALLING_KPH)).otherwise(F.lit(0.01))
     has_slope = slope_kph.isNotNull()
     has_still = still.isNotNull()
-    in_base = (mxc <= MXC_BASE_TARGET_K) | (
-        (mxc <= F.lit(MXC_BASE_TARGET_K + MXC_BASE_BAND_K))
-        & (~has_slope | (F.abs(slope_kph) <= MXC_BASE_TREND_TOL_KPH)))
-    in_warm = (mxc >= MXC_WARM_STATE_THRESHOLD_K) | (has_still & (still >= STILL_WARM_STATE_THRESHOLD_K))
-    floor_arm = (last_valid_mxc.isNotNull() & age_h.isNotNull() & (age_h <= MXC_SENSOR_FLOOR_LOOKBACK_H)
-                 & (last_valid_mxc <= MXC_SENSOR_FLOOR_TRIGGER_K) & pumps_on)
+    in_base = (mxc <= BASE_K) | (
+        (mxc <= F.lit(BASE_K + BASE_MARGIN_K))
+        & (~has_slope | (F.abs(slope_kph) <= STEADY_KPH)))
+    in_warm = (mxc >= WARM_MXC_K) | (has_still & (still >= WARM_STILL_K))
+    floor_arm = (last_valid_mxc.isNotNull() & age_h.isNotNull() & (age_h <= FLOOR_MAX_AGE_H)
+                 & (last_valid_mxc <= FLOOR_BELOW_K) & pumps_on)
 
     def st(label, detail, tone):
         return F.struct(F.lit(label).alias("label"),
@@ -73,7 +74,7 @@ def classify(mxc: Column, still: Column, pumps_on: Column, slope_kph: Column,
         .when(in_warm, st("Warm", TEXT_WARM, "default"))
         .when(has_slope & (slope_kph >= warm_thr), st("Warming up", TEXT_WARMING_TREND, "warming"))
         .when(in_base, st("At base", _text(TEXT_AT_BASE_BAND, fmt_temp(mxc, True)), "base"))
-        .when(pumps_on & ((mxc >= MXC_PRECOOL_THRESHOLD_K) | (has_still & (still >= STILL_PRECOOL_THRESHOLD_K))),
+        .when(pumps_on & ((mxc >= PRECOOL_MXC_K) | (has_still & (still >= PRECOOL_STILL_K))),
               st("Precooling", TEXT_PRECOOLING, "cooling"))
         .when(has_slope & (slope_kph <= -cool_thr), st("Cooling down", TEXT_COOLING_TREND, "cooling"))
         .when(~pumps_on & ((mxc >= 0.02) | (has_still & (still > 1.0))),
@@ -128,63 +129,89 @@ def current_state(readings: DataFrame, *, hours: int = 24, as_of=None, keys=(),
 
 
 def state_timeline(readings: DataFrame, *, keys=(), bucket_us: int = DEFAULT_BUCKET_US,
-                   lookback_hours: int = 3) -> DataFrame:
+                   lookback_hours: int = 3, tail_rows: int = 12) -> DataFrame:
     """The C1 state of each key set as of the end of every non-empty time bucket.
 
     Inputs per bucket: the bucket's last MXC reading (its own value, so the
     sensor-floor arm works), last non-NULL Still and pump values carried
-    forward, the last valid MXC point carried forward, and the endpoint slope
-    of MXC over the buckets ending with this one (``lookback_hours`` must be a
-    whole number of buckets).  The state holds from the bucket's first
-    reading to the next bucket's first reading (the last bucket: to its last
-    reading), so durations add up to the covered span.  Only the bucket table
-    (one row per key set and bucket) is windowed.
+    forward, the last valid MXC point carried forward, and the endpoint slope W7
+    of the MXC points up to there: the window reaches back exactly
+    ``lookback_hours`` from the last point (a whole number of buckets), and with
+    fewer than two points in it the last ``tail_rows`` points count.  The state
+    holds from the bucket's first reading to the next bucket's first reading (the
+    last bucket: to its last reading), so durations add up to the covered span.
+
+    The rows are shuffled once, by (keys, bucket).  Windows run over the bucket
+    table alone; the newest points merge over the last ``tail_rows`` buckets that
+    have any, and the bucket that a window's border cuts meets its rows again
+    where the shuffle put them.
     """
     k = keys_list(keys)
     lb_us = int(lookback_hours) * HOUR_US
     if lb_us % bucket_us:
         raise ValueError("lookback_hours must be a whole number of buckets")
-    us = micros(TS)
-    base = readings.select(*k, us.alias("_us"), bucket_of(us, bucket_us).alias("_b"),
-                           nan_to_null(F.col("T_MXC")).alias("_mxc"), nan_to_null(F.col("T_Still")).alias("_still"),
-                           *[nan_to_null(F.col(p)).alias(p) for p in STATE_KEYS])
+    us = F.coalesce(micros(TS), F.lit(0).cast("long"))
+    g = ["_g"] if k else []
+    names = ["_mxc", "_still", *STATE_KEYS]
+    values = F.array(*[nan_to_null(F.col(c).cast("double")) for c in ("T_MXC", "T_Still", *STATE_KEYS)])
+    rows = readings.select(*[F.struct(*k).alias("_g") for _ in g], us.alias("_us"),
+                           F.coalesce(bucket_of(us, bucket_us), F.lit(0).cast("long")).alias("_b"), values.alias("_p")) \
+        .repartition(*g, "_b").select(*g, "_us", "_b", *[F.get("_p", F.lit(i)).alias(c) for i, c in enumerate(names)])
 
     def last_valid(c):
         return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_us")))
 
+    newer = Window.partitionBy(*g, "_b").orderBy(F.col("_us").desc()).rowsBetween(Window.unboundedPreceding, -1)
     vt = F.when(F.col("_mxc").isNotNull(), F.col("_us"))
-    part = base.groupBy(*k, "_b").agg(
+    is_new = F.col("_mxc").isNotNull() & (F.col("_r") < tail_rows)
+    part = rows.select("*", F.count("_mxc").over(newer).alias("_r")).groupBy(*g, "_b").agg(
         F.min("_us").alias("_first"), F.max("_us").alias("_last"),
         F.max_by("_mxc", "_us").alias("_own_mxc"),
-        last_valid("_mxc").alias("_lv_mxc"), F.max(vt).alias("_lv_ts"),
-        F.min_by("_mxc", vt).alias("_f_mxc"), F.min(vt).alias("_f_ts"), F.count(vt).alias("_cnt"),
+        F.max_by("_mxc", vt).alias("_v1"), F.max(vt).alias("_t1"),
+        F.min_by("_mxc", vt).alias("_v0"), F.min(vt).alias("_t0"), F.count(vt).alias("_cnt"),
+        F.collect_list(F.when(is_new, F.struct(F.col("_us").alias("us"), F.col("_mxc").alias("v")))).alias("_tail"),
         last_valid("_still").alias("_still"),
         *[last_valid(p).alias(p) for p in STATE_KEYS],
     )
-    w_ff = Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    w_lb = Window.partitionBy(*k).orderBy("_b").rangeBetween(-(lb_us - bucket_us), 0)
-    w_next = Window.partitionBy(*k).orderBy("_b")
+
+    # slope as of every bucket with a point
+    group = Window.partitionBy(*g).orderBy("_b")
+    whole = group.rangeBetween(-(lb_us - bucket_us), 0)
+    mx = part.filter(F.col("_cnt") > 0).select(
+        *g, "_b", "_t1", "_v1", F.sum("_cnt").over(whole).alias("_n"), F.min("_t0").over(whole).alias("_t0"),
+        F.min_by("_v0", "_t0").over(whole).alias("_v0"),
+        newest(F.flatten(F.collect_list("_tail").over(group.rowsBetween(-(tail_rows - 1), 0))), tail_rows).alias("_tail"))
+    borders = mx.select(*g, (F.col("_b") - F.lit(lb_us)).alias("_b"), (F.col("_t1") - F.lit(lb_us)).alias("_cut"))
+    # no filter of the rows: it would move below the shuffle, which could then not be the same one
+    at = F.when((F.col("_us") >= F.col("_cut")) & F.col("_mxc").isNotNull(), F.col("_us"))
+    half = rows.join(borders, [*g, "_b"]).groupBy(*g, "_b").agg(
+        F.count(at).alias("_hn"), F.min(at).alias("_ht0"), F.min_by("_mxc", at).alias("_hv0")) \
+        .withColumn("_b", F.col("_b") + F.lit(lb_us))
+    both = mx.join(half, [*g, "_b"], "left")
+    t0, v0 = F.coalesce("_ht0", "_t0"), F.coalesce("_hv0", "_v0")
+    dt_h = (F.col("_t1") - t0).cast("double") / F.lit(float(HOUR_US))
+    in_window = F.when(dt_h > 0, (F.col("_v1") - v0) / dt_h)
+    n = F.col("_n") + F.coalesce("_hn", F.lit(0))
+    slopes = both.select(*g, "_b", F.struct(F.when(n >= 2, in_window).otherwise(tail_slope(F.col("_tail"))).alias("v")).alias("_sl"))
+
+    w_ff = group.rowsBetween(Window.unboundedPreceding, 0)
 
     def ffill(c):
         return F.last(c, ignorenulls=True).over(w_ff)
 
-    t = part.select(
-        *k, "_b", "_first", "_last", "_own_mxc",
-        ffill("_lv_mxc").alias("_lv"), ffill("_lv_ts").alias("_lvts"), ffill("_still").alias("_still"),
-        *[ffill(p).alias(p) for p in STATE_KEYS],
-        F.min_by("_f_mxc", "_f_ts").over(w_lb).alias("_v0"), F.min("_f_ts").over(w_lb).alias("_t0"),
-        F.max_by("_lv_mxc", "_lv_ts").over(w_lb).alias("_v1"), F.max("_lv_ts").over(w_lb).alias("_t1"),
-        F.sum("_cnt").over(w_lb).alias("_cntw"),
-        F.lead("_first").over(w_next).alias("_next_first"),
+    t = part.join(slopes, [*g, "_b"], "left").select(
+        *g, "_b", "_first", "_last", "_own_mxc",
+        ffill("_v1").alias("_lv"), ffill("_t1").alias("_lvts"), ffill("_still").alias("_still"),
+        *[ffill(p).alias(p) for p in STATE_KEYS], ffill("_sl").alias("_sl"),
+        F.lead("_first").over(group).alias("_next_first"),
     )
-    dt_h = (F.col("_t1") - F.col("_t0")).cast("double") / F.lit(float(HOUR_US))
-    sl = F.when((F.col("_cntw") >= 2) & (dt_h > 0), (F.col("_v1") - F.col("_v0")) / dt_h)
+    sl = F.col("_sl.v")
     age = F.greatest(F.lit(0.0), (F.col("_last") - F.col("_lvts")).cast("double") / F.lit(float(HOUR_US)))
     pumps_on = F.greatest(*[F.coalesce(F.col(p) >= 0.5, F.lit(False)) for p in STATE_KEYS])
     cls = classify(F.col("_own_mxc"), F.col("_still"), pumps_on, sl, F.col("_lv"), age)
     end = F.coalesce(F.col("_next_first"), F.col("_last"))
     dur = end - F.col("_first")
-    return t.select(*k, from_micros("_b").alias("bucket_start"), cls.label.alias("label"),
+    return t.select(*[F.col(f"_g.{c}").alias(c) for c in k], from_micros("_b").alias("bucket_start"), cls.label.alias("label"),
                     cls.tone.alias("tone"), sl.alias("slope_per_h"), dur.alias("duration_us"),
                     (dur.cast("double") / F.lit(float(HOUR_US))).alias("hours"))
 

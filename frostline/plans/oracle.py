@@ -7,11 +7,7 @@ plans.  Each query starts from the same ``events`` adapter projection.
 
 from __future__ import annotations
 
-from frostline.functions.thermal import (
-    EM_DEFAULT_ATTEN_DB, EM_DEFAULT_FREQ_GHZ, EM_ROOM_TEMP_DEFAULT_K, EM_STAGE_KEYS, H_PLANCK, K_B,
-    db_to_linear, is_unity, thermal_n_scalar,
-)
-from frostline.operators import state as C
+from frostline.functions.thermal import EM_STAGE_KEYS
 from frostline.schema import (
     DASHBOARD_KEYS, METRICS_LATEST_COLUMNS, MINMAX_24H_COLUMNS, PRETTY_NAMES, READING_COLUMNS,
     RUNTIME_PUMPS, STATE_KEYS,
@@ -74,12 +70,11 @@ def _window(dev: bool, hours: int = 24) -> str:
             f"WHERE ts_eastern >= {AS_OF} - INTERVAL {hours} HOUR){_group(dev)}")
 
 
-def _latest(dev: bool, cols) -> str:
-    if not dev:
-        return f"SELECT {', '.join(cols)} FROM readings ORDER BY ts_eastern DESC LIMIT 1"
-    sel = ", ".join("max(ts_eastern) AS ts_eastern" if c == "ts_eastern"
-                    else f"arg_max_null({c}, ts_eastern) AS {c}" for c in cols)
-    return f"SELECT device_id, {sel} FROM readings GROUP BY device_id"
+def _latest(dev: bool, cols, where: str = "") -> str:
+    values = [c for c in cols if c != "ts_eastern"]
+    order = ", ".join(["ts_eastern DESC", *[f"{c} DESC NULLS LAST" for c in values]])
+    return (f"SELECT {_d(dev)}{', '.join(cols)} FROM (SELECT *, row_number() OVER ({_part(dev)}ORDER BY {order}) AS rn "
+            f"FROM readings {where}) WHERE rn = 1")
 
 
 def _metrics(dev: bool) -> str:
@@ -168,48 +163,56 @@ def _f(x: float) -> str:
 
 
 def _chain_sql(cols: dict) -> dict:
-    """E1 as SQL expressions over stage temperature expressions; returns teff per stage."""
-    hfk = H_PLANCK * EM_DEFAULT_FREQ_GHZ * 1e9 / K_B
+    """E1 as SQL expressions over stage temperature expressions; returns teff per
+    stage.  Constants written out: Planck, Boltzmann, 5 GHz, a room of 300 K, and
+    losses of 0, 20, 20 and 20 dB (factors 1, 100, 100, 100)."""
+    hfk = "(6.62607015e-34::DOUBLE * 5e9::DOUBLE / 1.380649e-23::DOUBLE)"
 
     def tn(t):
         return (f"(CASE WHEN {t} IS NULL OR isnan({t}) OR isinf({t}) OR {t} <= 0 THEN NULL ELSE "
-                f"1.0 / (exp({_f(hfk)} / greatest({t}, {_f(1e-9)})) - 1.0) END)")
+                f"1.0 / (exp({hfk} / greatest({t}, 1e-9::DOUBLE)) - 1.0) END)")
 
     def teff(n):
         return (f"(CASE WHEN {n} IS NULL OR isnan({n}) OR isinf({n}) OR {n} < 0 THEN NULL ELSE "
-                f"{_f(hfk)} / ln(1.0 + 1.0 / greatest({n}, {_f(1e-20)})) END)")
+                f"{hfk} / ln(1.0 + 1.0 / greatest({n}, 1e-20::DOUBLE)) END)")
 
-    n_in = _f(thermal_n_scalar(EM_ROOM_TEMP_DEFAULT_K, EM_DEFAULT_FREQ_GHZ))
+    n_in = tn("300.0::DOUBLE")
     out = {}
-    for s in EM_STAGE_KEYS:
-        loss = db_to_linear(EM_DEFAULT_ATTEN_DB[s])
-        if not is_unity(loss):
-            n_in = f"({n_in} / {_f(loss)} + {_f(1.0 - 1.0 / loss)} * {tn(cols[s])})"
+    for s, loss in zip(EM_STAGE_KEYS, (1, 100, 100, 100), strict=True):
+        if loss > 1:
+            n_in = f"({n_in} / {loss}.0::DOUBLE + (1.0::DOUBLE - 1.0::DOUBLE / {loss}.0::DOUBLE) * {tn(cols[s])})"
         out[s] = teff(n_in)
     return out
 
 
 def _classify_sql(mxc, still, pon, sl, lv, age) -> str:
-    warm = f"(CASE WHEN {mxc} < 0.05 THEN {_f(C.MXC_WARM_TREND_KPH)} ELSE {_f(0.01)} END)"
-    cool = f"(CASE WHEN {mxc} < 0.05 THEN {_f(C.MXC_COLD_TREND_KPH)} ELSE {_f(0.01)} END)"
-    band = C.MXC_BASE_TARGET_K + C.MXC_BASE_BAND_K
+    """The decision list, thresholds and texts written out (first match wins)."""
     mk = lambda v: f"printf('%.1f', {v} * 1000.0) || ' mK'"
-    pre, post = C.TEXT_SENSOR_FLOOR.split("{}")
-    pre2, post2 = C.TEXT_AT_BASE_BAND.split("{}")
-    return f"""CASE
- WHEN {mxc} IS NULL AND {lv} IS NOT NULL AND {age} IS NOT NULL AND {age} <= 3.0 AND {lv} <= {_f(C.MXC_SENSOR_FLOOR_TRIGGER_K)} AND {pon}
-   THEN struct_pack(label := 'Below sensor range', detail := '{pre}' || {mk(lv)} || '{post}', tone := 'sensor-floor')
- WHEN {mxc} IS NULL THEN struct_pack(label := 'Unknown', detail := '{C.TEXT_UNKNOWN}', tone := 'default')
- WHEN {mxc} >= 20.0 OR ({still} IS NOT NULL AND {still} >= 250.0) THEN struct_pack(label := 'Warm', detail := '{C.TEXT_WARM}', tone := 'default')
- WHEN {sl} IS NOT NULL AND {sl} >= {warm} THEN struct_pack(label := 'Warming up', detail := '{C.TEXT_WARMING_TREND}', tone := 'warming')
- WHEN {mxc} <= {_f(C.MXC_BASE_TARGET_K)} OR ({mxc} <= {_f(band)} AND ({sl} IS NULL OR abs({sl}) <= {_f(C.MXC_BASE_TREND_TOL_KPH)}))
-   THEN struct_pack(label := 'At base', detail := '{pre2}' || {mk(mxc)} || '{post2}', tone := 'base')
- WHEN {pon} AND ({mxc} >= 1.0 OR ({still} IS NOT NULL AND {still} >= 10.0)) THEN struct_pack(label := 'Precooling', detail := '{C.TEXT_PRECOOLING}', tone := 'cooling')
- WHEN {sl} IS NOT NULL AND {sl} <= -{cool} THEN struct_pack(label := 'Cooling down', detail := '{C.TEXT_COOLING_TREND}', tone := 'cooling')
- WHEN NOT {pon} AND ({mxc} >= 0.02 OR ({still} IS NOT NULL AND {still} > 1.0)) THEN struct_pack(label := 'Warming up', detail := '{C.TEXT_NOT_ENGAGED}', tone := 'warming')
- WHEN {pon} AND {mxc} >= 0.02 THEN struct_pack(label := 'Cooling down', detail := '{C.TEXT_COOLING_ACTIVE}', tone := 'cooling')
- WHEN {mxc} < 0.02 THEN struct_pack(label := 'At base', detail := '{C.TEXT_HOLDING_BASE}', tone := 'base')
- ELSE struct_pack(label := 'Cooling down', detail := '{C.TEXT_SETTLING}', tone := 'cooling') END"""
+
+    def arm(when, label, detail, tone):
+        return f" WHEN {when} THEN struct_pack(label := '{label}', detail := {detail}, tone := '{tone}')\n"
+
+    def text(t):
+        return f"'{t}'"
+
+    d = lambda x: f"CAST({x} AS DOUBLE)"
+    up = f"(CASE WHEN {mxc} < {d(0.05)} THEN {d(0.006)} ELSE {d(0.01)} END)"
+    has_still = f"{still} IS NOT NULL"
+    return "CASE" + "".join([
+        arm(f"{mxc} IS NULL AND {lv} IS NOT NULL AND {age} IS NOT NULL AND {age} <= 3.0 AND {lv} <= {d(0.009)} AND {pon}", "Below sensor range",
+            f"'Last valid MXC point was ' || {mk(lv)} || '; the fridge appears colder than the readable sensor floor.'", "sensor-floor"),
+        arm(f"{mxc} IS NULL", "Unknown", text("MXC reading unavailable."), "default"),
+        arm(f"{mxc} >= 20.0 OR ({has_still} AND {still} >= 250.0)", "Warm", text("Cryostat is still near ambient temperature and far from base."), "default"),
+        arm(f"{sl} IS NOT NULL AND {sl} >= {up}", "Warming up", text("MXC is trending warmer."), "warming"),
+        arm(f"{mxc} <= {d(0.01)} OR ({mxc} <= {d('0.01')} + {d('0.005')} AND ({sl} IS NULL OR abs({sl}) <= {d(0.004)}))", "At base",
+            f"'MXC is at ' || {mk(mxc)} || ' and within the base-temperature band.'", "base"),
+        arm(f"{pon} AND ({mxc} >= 1.0 OR ({has_still} AND {still} >= 10.0))", "Precooling",
+            text("Cryostat is far above base and still in the warm part of the cooldown."), "cooling"),
+        arm(f"{sl} IS NOT NULL AND {sl} <= -{up}", "Cooling down", text("MXC is still trending colder."), "cooling"),
+        arm(f"NOT {pon} AND ({mxc} >= {d(0.02)} OR ({has_still} AND {still} > 1.0))", "Warming up", text("Cooling hardware is not fully engaged."), "warming"),
+        arm(f"{pon} AND {mxc} >= {d(0.02)}", "Cooling down", text("Cooling hardware is active above base temperature."), "cooling"),
+        arm(f"{mxc} < {d(0.02)}", "At base", text("Cryostat is holding near its base temperature."), "base"),
+    ]) + " ELSE struct_pack(label := 'Cooling down', detail := 'Cryostat is settling toward a colder state.', tone := 'cooling') END"
 
 
 def _pumps_on(prefix: str = "") -> str:
@@ -236,28 +239,27 @@ def _fridge(dev: bool, hours: int) -> str:
 
 
 def _state_hours() -> str:
-    b = 3600000000
-    lb = 3 * b - b
+    """Every bucket end by itself: the points up to there, their last three hours, or else their last twelve."""
+    b, lb = 3600000000, 3 * 3600000000
     last = ", ".join(f"arg_max({p}, us) AS {p}" for p in STATE_KEYS)
     ff = ", ".join(f"last_value({p} IGNORE NULLS) OVER wf AS {p}" for p in STATE_KEYS)
-    pon = _pumps_on()
-    sl = (f"(CASE WHEN cntw >= 2 AND CAST(t1 - t0 AS DOUBLE) / {HOURS} > 0 THEN (v1 - v0) / "
-          f"(CAST(t1 - t0 AS DOUBLE) / {HOURS}) END)")
+    sl = f"(CASE WHEN cnt >= 2 AND dus > 0 THEN (v1 - v0) / (CAST(dus AS DOUBLE) / {HOURS}) END)"
     age = f"greatest(0.0, CAST(lst - lvts AS DOUBLE) / {HOURS})"
     return (
         f"{R}, b AS (SELECT epoch_us(ts_eastern) AS us, epoch_us(ts_eastern) - (epoch_us(ts_eastern) % {b}) AS b, "
         f"T_MXC AS mxc, T_Still AS still, {', '.join(STATE_KEYS)} FROM readings), "
-        f"p AS (SELECT b, min(us) AS fst, max(us) AS lst, arg_max_null(mxc, us) AS own, arg_max(mxc, us) AS lv_mxc, "
-        f"max(us) FILTER (WHERE mxc IS NOT NULL) AS lv_ts, arg_min(mxc, us) AS f_mxc, "
-        f"min(us) FILTER (WHERE mxc IS NOT NULL) AS f_ts, count(mxc) AS cnt, arg_max(still, us) AS still, {last} "
-        f"FROM b GROUP BY b), "
-        f"t AS (SELECT b, fst, lst, own, last_value(lv_mxc IGNORE NULLS) OVER wf AS lv, "
-        f"last_value(lv_ts IGNORE NULLS) OVER wf AS lvts, last_value(still IGNORE NULLS) OVER wf AS still, {ff}, "
-        f"arg_min(f_mxc, f_ts) OVER wl AS v0, min(f_ts) OVER wl AS t0, arg_max(lv_mxc, lv_ts) OVER wl AS v1, "
-        f"max(lv_ts) OVER wl AS t1, sum(cnt) OVER wl AS cntw, lead(fst) OVER (ORDER BY b) AS nfst FROM p "
-        f"WINDOW wf AS (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
-        f"wl AS (ORDER BY b RANGE BETWEEN {lb} PRECEDING AND CURRENT ROW)), "
-        f"c AS (SELECT ({_classify_sql('own', 'still', pon, sl, 'lv', age)}).label AS label, "
+        f"pts AS (SELECT us, mxc FROM b WHERE mxc IS NOT NULL), "
+        f"p AS (SELECT b, min(us) AS fst, max(us) AS lst, arg_max_null(mxc, us) AS own, arg_max(still, us) AS still, {last} FROM b GROUP BY b), "
+        f"ends AS (SELECT p.b, max(q.us) AS end_us FROM p JOIN pts q ON q.us <= p.lst GROUP BY p.b), "
+        f"w AS (SELECT e.b, q.us, q.mxc, q.us >= e.end_us - {lb} AS in_w, row_number() OVER (PARTITION BY e.b ORDER BY q.us DESC) AS rd "
+        f"FROM ends e JOIN pts q ON q.us <= e.end_us), "
+        f"wn AS (SELECT b, count(*) FILTER (WHERE in_w) AS n FROM w GROUP BY b), "
+        f"sl AS (SELECT b, count(*) AS cnt, max(us) - min(us) AS dus, arg_min(mxc, us) AS v0, arg_max(mxc, us) AS v1, max(us) AS lvts "
+        f"FROM w JOIN wn USING (b) WHERE (n >= 2 AND in_w) OR (n < 2 AND rd <= 12) GROUP BY b), "
+        f"t AS (SELECT p.b, fst, lst, own, v1 AS lv, lvts, cnt, dus, v0, v1, last_value(still IGNORE NULLS) OVER wf AS still, {ff}, "
+        f"lead(fst) OVER (ORDER BY p.b) AS nfst FROM p LEFT JOIN sl USING (b) "
+        f"WINDOW wf AS (ORDER BY p.b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), "
+        f"c AS (SELECT ({_classify_sql('own', 'still', _pumps_on(), sl, 'lv', age)}).label AS label, "
         f"COALESCE(nfst, lst) - fst AS dur FROM t)\n"
         f"SELECT label, CAST(SUM(dur) AS DOUBLE) / {HOURS} AS hours, count(*) AS buckets FROM c GROUP BY label")
 
@@ -332,7 +334,7 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
         f"hist AS (SELECT * FROM {_unpivot(DASHBOARD_KEYS, _in_window(24))})\n"
         f"{_fresh('snap', 'hist', DASHBOARD_KEYS, False)}")
     cols = ["ts_eastern", *DASHBOARD_KEYS]
-    fb = _latest(True, cols).replace("FROM readings", f"FROM readings WHERE ts_eastern < {AS_OF} - INTERVAL 24 HOUR")
+    fb = _latest(True, cols, f"WHERE ts_eastern < {AS_OF} - INTERVAL 24 HOUR")
     q["overlay_records"] = (
         f"{R}, p AS ({_latest(True, cols)}), f AS ({fb})\nSELECT device_id, "
         + ", ".join(f"COALESCE(p.{c}, f.{c}) AS {c}" for c in cols) + " FROM p FULL OUTER JOIN f USING (device_id)")
