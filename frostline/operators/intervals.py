@@ -26,6 +26,7 @@ from frostline.functions.columns import (
     US_PER_HOUR, bucket_of, from_micros, is_on, keys_list, micros, nan_to_null, resolve_as_of, since, ts_literal,
     window_start,
 )
+from frostline.operators.cells import TimeCells
 from frostline.schema import (
     COLD_THRESHOLD_K, DEFAULT_BUCKET_US, MINMAX_24H_COLUMNS,
     HOUR_US, MINUTE_US, RUNTIME_PUMPS, TS,
@@ -38,8 +39,13 @@ def _zero():
     return F.lit(0).cast("long")
 
 
-def _bucketed(df: DataFrame, k: list[str], cols: list, bucket_us: int) -> DataFrame:
+def _bucketed(df: DataFrame, k: list[str], cols: list, bucket_us) -> DataFrame:
+    """Rows with their time and cell; ``bucket_us`` is a width or :class:`TimeCells`."""
     us = micros(TS)
+    if isinstance(bucket_us, TimeCells):
+        if bucket_us.keys != tuple(k):
+            raise ValueError(f"cells were made for keys {bucket_us.keys}, not {tuple(k)}")
+        return bucket_us.assign(df.select(*k, us.alias("_us"), *cols))
     return df.select(*k, us.alias("_us"), bucket_of(us, bucket_us).alias("_b"), *cols)
 
 
@@ -66,6 +72,14 @@ def history_stats(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS),
     rows from the first time on; NULL without one) and ``duty_<pump>`` (A3 over
     rows from the second time on).  Unused outputs are pruned by Catalyst.
     """
+    part = history_cells(readings, keys=keys, pumps=pumps, cold_column=cold_column, threshold=threshold, bucket_us=bucket_us,
+                         latest_columns=latest_columns, window=window)
+    return stitch_history(part, keys=keys, pumps=pumps, threshold=threshold, latest_columns=latest_columns, window=window)
+
+
+def history_cells(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS), cold_column: str | None = "T_MXC",
+                  threshold: float = COLD_THRESHOLD_K, bucket_us=DEFAULT_BUCKET_US, latest_columns=(), window=None) -> DataFrame:
+    """Partials of :func:`history_stats`: one row per key set and time cell."""
     k = keys_list(keys)
     pumps = list(pumps)
     thr = F.lit(float(threshold))
@@ -107,8 +121,16 @@ def history_stats(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS),
             won, at = F.col(f"_won{i}"), F.when(F.col(f"_won{i}").isNotNull(), us)
             aggs += [F.count(won).alias(f"_wn{i}"), F.count_if(~F.col(f"_wpo{i}") & won).alias(f"_wst{i}"), F.min_by(won, at).alias(f"_wf{i}"),
                      F.max_by(won, at).alias(f"_wl{i}"), F.count(f"_d{i}").alias(f"_dn{i}"), F.count_if(f"_d{i}").alias(f"_do{i}")]
-    part = rows.groupBy(*k, "_b").agg(*aggs)
+    return rows.groupBy(*k, "_b").agg(*aggs)
+
 
+def stitch_history(part: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS), threshold: float = COLD_THRESHOLD_K,
+                   latest_columns=(), window=None) -> DataFrame:
+    """The statistics of :func:`history_stats` from the partials of all cells
+    (:func:`history_cells`, whichever jobs and borders they came from)."""
+    k, pumps = keys_list(keys), list(pumps)
+    thr = F.lit(float(threshold))
+    lcols = [c for c in latest_columns if c != TS]
     ws = Window.partitionBy(*k).orderBy("_b")
     st = part.select("*", F.lag("_last").over(ws).alias("_pl"), F.lead("_first").over(ws).alias("_nf"),
                      *[F.lag(f"_wl{i}").over(ws).alias(f"_wpl{i}") for i in range(len(pumps)) if window is not None])
@@ -254,6 +276,16 @@ def window_stats(readings: DataFrame, *, as_of=None, hours: int = 24, keys=(),
         aggs.append(F.max(F.struct("_us", *[f"_nw{j}" for j in range(len(newest))])).alias("_row"))
     aggs.append(F.count_if("_in").alias("_n"))
     part = rows.groupBy(*k, "_b").agg(*aggs)
+    res = stitch_window(part, keys=k, pumps=pumps, minmax=minmax, suffix=suffix, newest=newest, points=points)
+    if every_key:
+        res = _every_key(readings, k, res)
+    return res
+
+
+def stitch_window(part: DataFrame, *, keys=(), pumps=tuple(STARTS_PUMPS), minmax=tuple(MINMAX_24H_COLUMNS), suffix: str = "_24h",
+                  newest=(), points=()) -> DataFrame:
+    """The statistics of :func:`window_stats` from the partials of its cells."""
+    k = keys_list(keys)
     ws = Window.partitionBy(*k).orderBy("_b")
     st = part.select("*", *[F.lag(f"_lon{i}").over(ws).alias(f"_plon{i}") for i in range(len(pumps))])
     out = []
@@ -269,8 +301,6 @@ def window_stats(readings: DataFrame, *, as_of=None, hours: int = 24, keys=(),
     res = st.groupBy(*k).agg(*out)
     if newest:
         res = res.select("*", from_micros("_row._us").alias(TS), *[F.col(f"_row._nw{j}").alias(c) for j, c in enumerate(newest)])
-    if every_key:
-        res = _every_key(readings, k, res)
     mm = [n for c in minmax for n in (f"{c}_min{suffix}", f"{c}_max{suffix}")]
     return res.select(*k, *([TS] if newest else []), *newest, *[f"lv_{c}" for c in points], *mm, *[f"{p}_starts{suffix}" for p in pumps], "rows_in_window")
 

@@ -22,6 +22,7 @@ from frostline.operators import series as S
 from frostline.operators import state as C
 from frostline.operators import thermal as E
 from frostline.operators import vector as V
+from frostline.operators.cells import equi_depth
 from frostline.plans import queries as Q
 from frostline.schema import DASHBOARD_KEYS, STATE_KEYS, TS
 from frostline.sources.events import readings_from_events
@@ -41,6 +42,22 @@ def q_runtime_hours_by_device(spark, sf):
     return I.runtime_hours(_r(spark, sf), keys=DEV)
 
 
+def _equi_depth_stats(spark, sf, keys):
+    """W1-W3 over equi-depth cells: about 100,000 cells, of 64 to a million rows."""
+    r = _r(spark, sf)
+    rows = r.agg(F.count(F.lit(1))).first()[0]
+    cells = equi_depth(r, keys=keys, max_rows=min(1_000_000, max(64, rows // 100_000)))
+    return I.history_stats(r, keys=keys, bucket_us=cells).drop("first_ts")
+
+
+def q_equi_depth_stats(spark, sf):
+    return _equi_depth_stats(spark, sf, ())
+
+
+def q_equi_depth_stats_by_device(spark, sf):
+    return _equi_depth_stats(spark, sf, DEV)
+
+
 def q_cold_hours_total(spark, sf):
     return I.hours_below_total(_r(spark, sf))
 
@@ -377,6 +394,8 @@ def q_stream_hours_closed(spark, sf):
 QUERIES = {
     "runtime_hours": q_runtime_hours,
     "runtime_hours_by_device": q_runtime_hours_by_device,
+    "equi_depth_stats": q_equi_depth_stats,
+    "equi_depth_stats_by_device": q_equi_depth_stats_by_device,
     "cold_hours_total": q_cold_hours_total,
     "cold_streak": q_cold_streak,
     "cold_streak_by_device": q_cold_streak_by_device,

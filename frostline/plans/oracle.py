@@ -484,6 +484,13 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
     q["stream_hours_closed"] = (
         f"{R}, h AS (SELECT *, date_trunc('hour', ts_eastern) AS hour FROM readings)\nSELECT hour, {mmh} FROM h "
         f"WHERE hour + INTERVAL 1 HOUR <= {AS_OF} - INTERVAL 20 DAY GROUP BY hour")
+    for dev in (False, True):
+        n = f"SELECT {_d(dev)}count(*) AS rows, max(ts_eastern) AS latest_ts FROM readings{_group(dev)}"
+        joins = " JOIN ".join(f"({sub}) {t}" + (" USING (device_id)" if dev and t != "rh" else "" if t == "rh" else " ON true") for t, sub in (
+            ("rh", _runtime(dev)), ("c", _cold_total(dev)), ("s", _streak(dev)), ("n", n)))
+        q["equi_depth_stats" + ("_by_device" if dev else "")] = (
+            f"{R}\nSELECT {'rh.device_id, ' if dev else ''}{', '.join('rh.' + c for c in RUNTIME_COLS)}, c.hours_below_20mK_total, "
+            f"s.hours_below_20mK_current, n.rows, n.latest_ts FROM {joins}")
     return q
 
 
