@@ -78,8 +78,9 @@ def history_stats(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS),
 
 
 def history_cells(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS), cold_column: str | None = "T_MXC",
-                  threshold: float = COLD_THRESHOLD_K, bucket_us=DEFAULT_BUCKET_US, latest_columns=(), window=None) -> DataFrame:
-    """Partials of :func:`history_stats`: one row per key set and time cell."""
+                  threshold: float = COLD_THRESHOLD_K, bucket_us=DEFAULT_BUCKET_US, latest_columns=(), window=None, minmax=()) -> DataFrame:
+    """Partials of :func:`history_stats`: one row per key set and time cell; with
+    ``window`` and ``minmax`` also those of :func:`stitch_recent`."""
     k = keys_list(keys)
     pumps = list(pumps)
     thr = F.lit(float(threshold))
@@ -92,6 +93,7 @@ def history_cells(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS), c
         in_w = F.coalesce(F.col(TS) >= window[0], F.lit(False))
         in_d = F.coalesce(F.col(TS) >= window[1], F.lit(False))
         extra = [c for i, p in enumerate(pumps) for c in (F.when(in_w, is_on(p)).alias(f"_won{i}"), F.when(in_d, nan_to_null(p) >= 0.5).alias(f"_d{i}"))]
+        extra += [F.when(in_w, F.col(c)).alias(f"_m{j}") for j, c in enumerate(minmax)]
     base = _bucketed(readings, k, [*on_cols, cv_col.alias("_cv"),
                                    *[F.col(c).alias(f"_lc{j}") for j, c in enumerate(lcols)], *extra], bucket_us)
 
@@ -121,6 +123,7 @@ def history_cells(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS), c
             won, at = F.col(f"_won{i}"), F.when(F.col(f"_won{i}").isNotNull(), us)
             aggs += [F.count(won).alias(f"_wn{i}"), F.count_if(~F.col(f"_wpo{i}") & won).alias(f"_wst{i}"), F.min_by(won, at).alias(f"_wf{i}"),
                      F.max_by(won, at).alias(f"_wl{i}"), F.count(f"_d{i}").alias(f"_dn{i}"), F.count_if(f"_d{i}").alias(f"_do{i}")]
+        aggs += [a for j in range(len(minmax)) for a in (F.min(f"_m{j}").alias(f"_mn{j}"), F.max(f"_m{j}").alias(f"_mx{j}"))]
     return rows.groupBy(*k, "_b").agg(*aggs)
 
 
@@ -168,6 +171,21 @@ def stitch_history(part: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS), thre
     )
 
 
+def stitch_recent(part: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS), minmax=tuple(MINMAX_24H_COLUMNS), suffix: str = "_24h") -> DataFrame:
+    """W4 and A1 from those cells of :func:`history_cells` (with ``window`` and
+    ``minmax``) that make up the window: starts per pump, min and max per column."""
+    k, pumps, minmax = keys_list(keys), list(pumps), list(minmax)
+    ws = Window.partitionBy(*k).orderBy("_b")
+    st = part.select("*", *[F.lag(f"_wl{i}").over(ws).alias(f"_wpl{i}") for i in range(len(pumps))])
+    out = []
+    for i, p in enumerate(pumps):
+        edge = F.when(~F.coalesce(F.col(f"_wpl{i}"), F.lit(False)) & F.col(f"_wf{i}"), 1).otherwise(0)
+        out.append(F.when(F.sum(f"_wn{i}") > 0, F.sum(F.col(f"_wst{i}") + edge)).cast("long").alias(f"{p}_starts{suffix}"))
+    for j, c in enumerate(minmax):
+        out += [F.min(f"_mn{j}").alias(f"{c}_min{suffix}"), F.max(f"_mx{j}").alias(f"{c}_max{suffix}")]
+    return st.groupBy(*k).agg(*out)
+
+
 def runtime_hours(readings: DataFrame, *, keys=(), pumps=tuple(RUNTIME_PUMPS),
                   bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
     """Integrated on-time per pump in hours (``total_hours_<pump>``)."""

@@ -270,13 +270,84 @@ def q_ingest_roundtrip(spark, sf):
     them with the incremental pass, and read the store back."""
     from frostline.session import scratch_path
     from frostline.sources.render import write_logs
-    from frostline.sources.store import readings as store_readings
     from frostline.sources.store import sync_once
     root = scratch_path(spark, "roundtrip")
     logs = write_logs(spark, _r(spark, sf), root)
     sync_once(spark, logs, f"{root}/store")
-    out = store_readings(spark, f"{root}/store")
-    return out.select(TS, *ROUNDTRIP_COLUMNS, F.regexp_extract("source_file", r"([^/]+)$", 1).alias("source_day"))
+    return _store_rows(spark, f"{root}/store")
+
+
+def _store_rows(spark, store):
+    from frostline.sources.store import readings as store_readings
+    return store_readings(spark, store).select(TS, *ROUNDTRIP_COLUMNS, F.regexp_extract("source_file", r"([^/]+)$", 1).alias("source_day"))
+
+
+def q_ingest_second_pass(spark, sf):
+    """A first pass over the logs of which every second day holds the
+    morning only; then these days' logs are written anew, whole and in the less
+    common forms (even payload, quoted and repeated keys, second name of the pulse
+    tube, turbo in the status log), and a second pass replaces their rows."""
+    from frostline.session import scratch_path
+    from frostline.sources.render import write_logs
+    from frostline.sources.store import sync_once
+    root = scratch_path(spark, "second-pass")
+    r = _r(spark, sf)
+    grown = F.dayofmonth(TS) % 2 == 0
+    logs = write_logs(spark, r.filter(~grown | (F.hour(TS) < 12)), root)
+    sync_once(spark, logs, f"{root}/store")
+    write_logs(spark, r.filter(grown), root, odd_forms=True)
+    done = sync_once(spark, logs, f"{root}/store")
+    return _store_rows(spark, f"{root}/store").withColumn("sources_rebuilt", F.lit(done["sources_changed"]).cast("long"))
+
+
+def q_ingest_overlap(spark, sf):
+    """A second source per day, ingested later, covers the hours from 6 to 12
+    with other values; where both have a row the later source's whole row counts."""
+    from frostline.session import scratch_path
+    from frostline.sources.render import write_logs
+    from frostline.sources.store import sync_once
+    root = scratch_path(spark, "overlap")
+    r = _r(spark, sf)
+    logs = write_logs(spark, r, root)
+    sync_once(spark, logs, f"{root}/store")
+    again = r.filter((F.hour(TS) >= 6) & (F.hour(TS) < 12) & (F.col("event_id") % 2 == 0))
+    write_logs(spark, again.withColumn("P1", F.col("P1") * 2.0).withColumn("T_MXC", F.lit(None).cast("double")), root, suffix="b")
+    sync_once(spark, logs, f"{root}/store")
+    return _store_rows(spark, f"{root}/store")
+
+
+def q_store_metrics(spark, sf):
+    """Q3 from the store's hour partials, after two passes (the second one refreshed
+    the grown days alone)."""
+    from frostline.session import scratch_path
+    from frostline.sources.render import write_logs
+    from frostline.sources.store import store_metrics, sync_once
+    root = scratch_path(spark, "store-metrics")
+    r = _r(spark, sf)
+    last = F.dayofmonth(TS) >= 28
+    logs = write_logs(spark, r.filter(~last | (F.hour(TS) < 12)), root)
+    sync_once(spark, logs, f"{root}/store")
+    write_logs(spark, r.filter(last), root)
+    sync_once(spark, logs, f"{root}/store")
+    return store_metrics(spark, f"{root}/store")
+
+
+def q_changed_sources_grown(spark, sf):
+    """S4, S5 with exact sizes: the channels logs of a first listing, of which every
+    third day is missing and every other third holds the morning only, against a
+    second listing of all; each folder is new, grown or the same."""
+    from frostline.session import scratch_path
+    from frostline.sources.logfiles import list_log_files, signature_changes, source_folders
+    from frostline.sources.render import write_logs
+    from frostline.session import written
+    root = scratch_path(spark, "grown")
+    r = _r(spark, sf)
+    part = F.dayofmonth(TS) % 3
+    logs = write_logs(spark, r.filter((part == 2) | ((part == 1) & (F.hour(TS) < 12))), root, kinds=("channels",))
+    before = written(source_folders(list_log_files(spark, logs), logs), "listing")
+    write_logs(spark, r.filter(part != 2), root, kinds=("channels",))
+    out = signature_changes(source_folders(list_log_files(spark, logs), logs), before)
+    return out.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source_day"), "status", "size_before", "size_bytes")
 
 
 def q_changed_sources(spark, sf):
@@ -444,7 +515,11 @@ QUERIES = {
     "snapshot_by_device": q_snapshot_by_device,
     "formatted_metrics": q_formatted_metrics,
     "ingest_roundtrip": q_ingest_roundtrip,
+    "ingest_second_pass": q_ingest_second_pass,
+    "ingest_overlap": q_ingest_overlap,
+    "store_metrics": q_store_metrics,
     "changed_sources": q_changed_sources,
+    "changed_sources_grown": q_changed_sources_grown,
     "path_check": q_path_check,
     "sync_summary": q_sync_summary,
     "stream_minutes": q_stream_minutes,

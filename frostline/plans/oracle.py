@@ -460,6 +460,32 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
         + ", ".join(f"arg_max({c}, ts_eastern) AS {c}" for c in simple) + ", "
         + ", ".join(f"arg_max_null({c}, ts_eastern) AS {c}" for c in every)
         + ", strftime(sec, '%y-%m-%d') AS source_day FROM r GROUP BY sec")
+    def per_second(src, day="strftime(sec, '%y-%m-%d')"):
+        """The rows that the logs of ``src`` give: per second the last value of each column."""
+        return ("SELECT sec AS ts_eastern, " + ", ".join(f"arg_max({c}, ts_eastern) AS {c}" for c in simple) + ", "
+                + ", ".join(f"arg_max_null({c}, ts_eastern) AS {c}" for c in every)
+                + f", {day} AS source_day FROM (SELECT *, date_trunc('second', ts_eastern) AS sec FROM {src}) GROUP BY sec")
+
+    q["ingest_second_pass"] = (
+        f"{R}\nSELECT *, (SELECT count(DISTINCT CAST(ts_eastern AS DATE)) FROM readings WHERE day(ts_eastern) % 2 = 0) AS sources_rebuilt "
+        f"FROM ({per_second('readings')})")
+    q["ingest_overlap"] = (
+        f"{R}, b AS (SELECT * REPLACE (P1 * 2.0 AS P1, CAST(NULL AS DOUBLE) AS T_MXC) FROM readings "
+        f"WHERE hour(ts_eastern) >= 6 AND hour(ts_eastern) < 12 AND event_id % 2 = 0), first AS ({per_second('readings')}), "
+        f"later AS ({per_second('b', day=chr(39).join(['strftime(sec, ', '%y-%m-%d', ') || ', 'b', '']))})\n"
+        f"SELECT * FROM later UNION ALL SELECT * FROM first WHERE ts_eastern NOT IN (SELECT ts_eastern FROM later)")
+    from_logs = (R.replace("WITH readings AS", "WITH ev AS") + ", readings AS (SELECT *, "
+                 + ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in RUNTIME_COLS) + f" FROM ({per_second('ev')}))")
+    q["store_metrics"] = _metrics(False).replace(R, from_logs, 1)
+    mark = "coalesce(CAST({} AS VARCHAR), '')"
+    text = (" || ".join(["strftime(ts_eastern, '%d-%m-%y,%H:%M:%S')", "',0'"]
+                        + [f"',{k},' || {mark.format(c)}" for k, c in (("turbo1", "turbo_1"), ("scroll1", "scroll_1"), ("scroll2", "scroll_2"), ("pulsetube", "pulse_tube"))]))
+    q["changed_sources_grown"] = (
+        f"{R}, l AS (SELECT CAST(ts_eastern AS DATE) AS d, hour(ts_eastern) AS h, length({text}) + 1 AS n FROM readings), "
+        f"s AS (SELECT d, day(d) % 3 AS part, sum(n)::BIGINT AS size_bytes, "
+        f"(CASE WHEN day(d) % 3 = 2 THEN sum(n) WHEN day(d) % 3 = 1 THEN sum(n) FILTER (WHERE h < 12) END)::BIGINT AS size_before FROM l GROUP BY d)\n"
+        f"SELECT strftime(d, '%y-%m-%d') AS source_day, CASE WHEN size_before IS NULL THEN 'new' WHEN size_bytes > size_before THEN 'grown' "
+        f"WHEN part = 2 THEN 'same' ELSE 'rewritten' END AS status, size_before, size_bytes FROM s")
     q["stream_minutes"] = (
         f"{R}\nSELECT key, m AS ts_eastern, value FROM (SELECT key, date_trunc('minute', ts_eastern) AS m, "
         f"arg_max(value, ts_eastern) AS value FROM {_unpivot(DASHBOARD_KEYS)} GROUP BY key, m)")

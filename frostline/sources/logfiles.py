@@ -1,12 +1,16 @@
 """Log-file discovery, source signatures and change detection.
 
-The listing is file-system metadata (no file bytes are read); everything
-after it is DataFrame work.  Only the list of changed source folders is
+The listing is file-system metadata (no file bytes are read), taken by tasks;
+everything after it is DataFrame work.  Only the list of changed source folders is
 collected (it is the input path list of the next read).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,34 +66,49 @@ def qualify(spark: SparkSession, path: str) -> str:
     return str(fs.makeQualified(p).toString()).rstrip("/")
 
 
-def list_log_files(spark: SparkSession, root: str) -> DataFrame:
-    """S2 over the root and its child folders: ``(path, name, parent, depth, size_bytes, mtime_ms, known)``.
+_LISTED = "parent string, name string, is_dir boolean, size_bytes bigint, mtime_ns bigint"
+
+
+def _list_folders(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for folder in b.column(0).to_pylist():
+            fs, local = pafs.FileSystem.from_uri(folder)
+            infos = [i for i in fs.get_file_info(pafs.FileSelector(local))
+                     if i.type == pafs.FileType.Directory or i.base_name.endswith(".log")]
+            yield pa.RecordBatch.from_pydict({
+                "parent": [folder] * len(infos), "name": [i.base_name for i in infos], "is_dir": [i.type == pafs.FileType.Directory for i in infos],
+                "size_bytes": [i.size or 0 for i in infos], "mtime_ns": [i.mtime_ns or 0 for i in infos]},
+                schema=pa.schema([("parent", pa.string()), ("name", pa.string()), ("is_dir", pa.bool_()), ("size_bytes", pa.int64()), ("mtime_ns", pa.int64())]))
 
-    Listed with the Hadoop FileSystem API (the same metadata calls Spark's own
-    file index makes): Spark scans skip zero-length files, but a log rewritten
-    to empty must still change its folder's signature.  ``depth`` is 0 for files
-    directly in ``root`` and 1 for day folders; the layout is one level deep.
+
+def list_log_files(spark: SparkSession, root: str) -> DataFrame:
+    """S2 over the root and its child folders: ``(path, name, parent, depth, size_bytes, mtime_ns, known)``.
+
+    Folders are listed by tasks, spread over the cluster; the driver makes no call
+    per folder or file.  Files of no length count too (Spark's own file index
+    leaves them out): a log rewritten to empty must still change its folder's
+    signature.  ``depth`` is 0 for files directly in ``root`` and 1 for day
+    folders; the layout is one level deep.  A file system that only Spark's
+    readers know is listed by Spark's file index, without the empty logs.
     """
-    schema = "path string, name string, parent string, depth int, size_bytes bigint, mtime_ms bigint"
-    rows = []
-    if path_exists(spark, root):
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        top = jvm.org.apache.hadoop.fs.Path(root)
-        fs = top.getFileSystem(conf)
-        top = fs.makeQualified(top)
-        dirs = [(top, 0)]
-        for st in fs.listStatus(top):
-            if st.isDirectory():
-                dirs.append((st.getPath(), 1))
-        for d, depth in dirs:
-            for st in fs.listStatus(d):
-                name = st.getPath().getName()
-                if st.isFile() and name.endswith(".log"):
-                    rows.append((str(st.getPath().toString()), name, str(d.toString()).rstrip("/"), depth,
-                                 int(st.getLen()), int(st.getModificationTime())))
-    df = spark.createDataFrame(rows, schema)
-    return df.withColumn("known", is_known_log(F.col("name")))
+    schema = "parent string, name string, size_bytes bigint, mtime_ns bigint, depth int, path string, known boolean"
+    if not path_exists(spark, root):
+        return spark.createDataFrame([], schema)
+    top = qualify(spark, root)
+    try:
+        pafs.FileSystem.from_uri(top)
+    except (pa.ArrowInvalid, OSError):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").load(root)
+        parent = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
+        files = files.select(parent.alias("parent"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size_bytes"),
+                             (F.unix_millis("modificationTime") * F.lit(1_000_000)).alias("mtime_ns"),
+                             F.when(parent == top, 0).when(F.regexp_extract(parent, r"^(.*)/[^/]+$", 1) == top, 1).alias("depth"))
+    else:
+        at_top = spark.createDataFrame([(top,)], "path string").mapInArrow(_list_folders, _LISTED)
+        folders = at_top.filter("is_dir").select(F.concat_ws("/", "parent", "name")).repartition(spark.sparkContext.defaultParallelism)
+        files = at_top.withColumn("depth", F.lit(0)).unionByName(folders.mapInArrow(_list_folders, _LISTED).withColumn("depth", F.lit(1))) \
+            .filter("NOT is_dir").drop("is_dir")
+    return files.filter(F.col("depth").isNotNull()).withColumn("path", F.concat_ws("/", "parent", "name")).withColumn("known", is_known_log(F.col("name")))
 
 
 def source_folders(files: DataFrame, root: str) -> DataFrame:
@@ -104,7 +123,7 @@ def source_folders(files: DataFrame, root: str) -> DataFrame:
     chosen = known.filter(F.when(root_has > 0, F.col("depth") == 0).otherwise(F.col("depth") == 1))
     return chosen.groupBy(F.col("parent").alias("path")).agg(
         F.sum("size_bytes").alias("size_bytes"),
-        (F.max("mtime_ms") * F.lit(1_000_000)).alias("mtime_ns"),
+        F.max("mtime_ns").alias("mtime_ns"),
         F.count(F.lit(1)).alias("n_files"))
 
 
@@ -126,6 +145,17 @@ def changed_sources(sources: DataFrame, manifest: DataFrame | None) -> DataFrame
     return j.filter(~same).drop("_ms", "_mm")
 
 
+def signature_changes(sources: DataFrame, before: DataFrame) -> DataFrame:
+    """S5 with its reason: ``(path, status, size_before, size_bytes)`` of every source,
+    ``new``, ``grown``, ``shrunk``, ``rewritten`` (same size, other time) or ``same``
+    against an earlier listing or the current manifest."""
+    old = before.select("path", F.col("size_bytes").alias("size_before"), F.col("mtime_ns").alias("_mtime"), F.lit(True).alias("_known"))
+    j = sources.select("path", "size_bytes", "mtime_ns").join(old, "path", "left")
+    status = (F.when(F.col("_known").isNull(), "new").when(F.col("size_bytes") > F.col("size_before"), "grown")
+              .when(F.col("size_bytes") < F.col("size_before"), "shrunk").when(F.col("mtime_ns") != F.col("_mtime"), "rewritten").otherwise("same"))
+    return j.select("path", status.alias("status"), "size_before", "size_bytes")
+
+
 def path_check(spark: SparkSession, root: str, sample: int = 5) -> DataFrame:
     """Root exists, number of sources, first sources in path order."""
     exists = path_exists(spark, root)
