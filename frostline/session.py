@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,6 +82,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def jit_sized_methods(spark: SparkSession):
+    """Inside, stages whose generated method is beyond what the JVM's compiler takes
+    (8,000 bytes of bytecode) run as separate projections, which it does compile.
+    For row-wise work with very many expressions, which would else be interpreted."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def local_path(path: str) -> str | None:
     """Filesystem path for ``file:`` / plain paths, else None."""
     if path.startswith("file:"):

@@ -7,8 +7,6 @@ collected (it is the input path list of the next read).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,7 +40,12 @@ def is_known_log(name: Column) -> Column:
 def log_kind(name: Column) -> Column:
     """Parser kind of a file: a target column for single-value logs, or
     ``channels`` / ``maxigauge`` / ``status``; NULL for known-but-unparsed logs."""
-    s = stem_lower(name)
+    return stem_kind(stem_lower(name))
+
+
+def stem_kind(s: Column) -> Column:
+    """:func:`log_kind` of a file's :func:`stem_lower`; per line, give it a column
+    of its own, or it is worked out anew for every prefix."""
     expr = None
     for prefix, col in SIMPLE_PREFIXES.items():
         expr = F.when(s.startswith(prefix), F.lit(col)) if expr is None else expr.when(s.startswith(prefix), F.lit(col))
@@ -69,16 +72,23 @@ def qualify(spark: SparkSession, path: str) -> str:
 _LISTED = "parent string, name string, is_dir boolean, size_bytes bigint, mtime_ns bigint"
 
 
-def _list_folders(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for folder in b.column(0).to_pylist():
-            fs, local = pafs.FileSystem.from_uri(folder)
-            infos = [i for i in fs.get_file_info(pafs.FileSelector(local))
-                     if i.type == pafs.FileType.Directory or i.base_name.endswith(".log")]
-            yield pa.RecordBatch.from_pydict({
-                "parent": [folder] * len(infos), "name": [i.base_name for i in infos], "is_dir": [i.type == pafs.FileType.Directory for i in infos],
-                "size_bytes": [i.size or 0 for i in infos], "mtime_ns": [i.mtime_ns or 0 for i in infos]},
-                schema=pa.schema([("parent", pa.string()), ("name", pa.string()), ("is_dir", pa.bool_()), ("size_bytes", pa.int64()), ("mtime_ns", pa.int64())]))
+def _folder_lister():
+    """The listing as a function that workers run without this package."""
+    import pyarrow as pa
+    from pyarrow import fs as pafs
+    schema = pa.schema([("parent", pa.string()), ("name", pa.string()), ("is_dir", pa.bool_()), ("size_bytes", pa.int64()), ("mtime_ns", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                fs, local = pafs.FileSystem.from_uri(folder)
+                infos = [i for i in fs.get_file_info(pafs.FileSelector(local))
+                         if i.type == pafs.FileType.Directory or i.base_name.endswith(".log")]
+                yield pa.RecordBatch.from_pydict({
+                    "parent": [folder] * len(infos), "name": [i.base_name for i in infos], "is_dir": [i.type == pafs.FileType.Directory for i in infos],
+                    "size_bytes": [i.size or 0 for i in infos], "mtime_ns": [i.mtime_ns or 0 for i in infos]}, schema=schema)
+
+    return run
 
 
 def list_log_files(spark: SparkSession, root: str) -> DataFrame:
@@ -104,9 +114,10 @@ def list_log_files(spark: SparkSession, root: str) -> DataFrame:
                              (F.unix_millis("modificationTime") * F.lit(1_000_000)).alias("mtime_ns"),
                              F.when(parent == top, 0).when(F.regexp_extract(parent, r"^(.*)/[^/]+$", 1) == top, 1).alias("depth"))
     else:
-        at_top = spark.createDataFrame([(top,)], "path string").mapInArrow(_list_folders, _LISTED)
+        list_folders = _folder_lister()
+        at_top = spark.createDataFrame([(top,)], "path string").mapInArrow(list_folders, _LISTED)
         folders = at_top.filter("is_dir").select(F.concat_ws("/", "parent", "name")).repartition(spark.sparkContext.defaultParallelism)
-        files = at_top.withColumn("depth", F.lit(0)).unionByName(folders.mapInArrow(_list_folders, _LISTED).withColumn("depth", F.lit(1))) \
+        files = at_top.withColumn("depth", F.lit(0)).unionByName(folders.mapInArrow(list_folders, _LISTED).withColumn("depth", F.lit(1))) \
             .filter("NOT is_dir").drop("is_dir")
     return files.filter(F.col("depth").isNotNull()).withColumn("path", F.concat_ws("/", "parent", "name")).withColumn("known", is_known_log(F.col("name")))
 

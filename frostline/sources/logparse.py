@@ -15,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.functions.columns import lenient_float, strip
+from frostline.functions.columns import WHITE_CLASS, lenient_float, strip
 from frostline.schema import READING_COLUMNS, TS
-from frostline.sources.logfiles import CHANNELS_PREFIX, MAXIGAUGE_PREFIX, SIMPLE_PREFIXES, STATUS_PREFIX, log_kind
+from frostline.sources.logfiles import CHANNELS_PREFIX, MAXIGAUGE_PREFIX, SIMPLE_PREFIXES, STATUS_PREFIX, stem_kind, stem_lower
 
 PRESSURE_COLUMNS = ["P1", "P2", "P3", "P4", "P5", "P6"]
 # Key names inside the channel, status and gauge logs.
@@ -73,9 +73,9 @@ def split_csv(line: Column) -> Column:
 # rejects it), so it is a safe separator for re-joined fields.
 _SEP = "\u0000"
 # one match = one (key, value) pair, consumed from the start: alignment is kept
-_PAIR = r"\s*([^\x00]*?)\s*\x00([^\x00]*)(?:\x00|$)"
+_PAIR = r"([^\x00]*)\x00([^\x00]*)(?:\x00|$)"
 # one match = one gauge chunk of 4 to 6 items: channel (item 0) and value (item 3)
-_CHUNK = (r"\s*([^\x00]*?)\s*\x00[^\x00]*\x00[^\x00]*\x00([^\x00]*)"
+_CHUNK = (r"([^\x00]*)\x00[^\x00]*\x00[^\x00]*\x00([^\x00]*)"
           r"(?:\x00[^\x00]*)?(?:\x00[^\x00]*)?(?:\x00|$)")
 
 
@@ -114,8 +114,13 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         *line, TS, F.when(is_simple, F.element_at(f, 3)).alias("_v"),
         # L4 channels: an odd payload drops its first item
         F.when(is_ch & (n % 2 == 1), F.slice(f, 4, n - 3)).when(~is_simple, F.slice(f, 3, n - 2)).alias("_items"))
-    joined = F.array_join("_items", _SEP)
-    texts = items.select(*line, TS, "_v", F.when(is_ga, F.upper(joined)).otherwise(F.lower(joined)).alias("_text"))
+    # white space around a field goes, in the few lines that have any
+    joined = items.select(*line, TS, "_v", F.array_join("_items", _SEP).alias("_j"))
+    j = F.col("_j")
+    some = (F.octet_length(j) != F.length(j)) | j.rlike(r"[\x09-\x0d\x1c-\x20]")       # the full class is slow to look for
+    tight = F.when(some, strip(F.regexp_replace(j, f"{WHITE_CLASS}*\\x00{WHITE_CLASS}*", _SEP))).otherwise(j)
+    tightened = joined.select(*line, TS, "_v", tight.alias("_j"))
+    texts = tightened.select(*line, TS, "_v", F.when(is_ga, F.upper("_j")).otherwise(F.lower("_j")).alias("_text"))
     part = lambda g: F.reverse(F.when(is_ga, F.regexp_extract_all("_text", F.lit(_CHUNK), g))
                                .otherwise(F.regexp_extract_all("_text", F.lit(_PAIR), g)))
     # turned around: of a key that occurs twice the last one holds
@@ -194,12 +199,13 @@ def read_source_lines(spark: SparkSession, source_paths: list[str]) -> DataFrame
     """
     df = spark.read.option("pathGlobFilter", wanted_files()).text(source_paths)
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    # one step per column: what a later one uses several times is worked out once a line
     lines = df.select(path.alias("path"), F.col("_metadata.file_block_start").alias("_blk"),
                       F.col("value").alias("line"))
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    parent = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
-    return lines.select("path", name.alias("name"), parent.alias("parent"), "_blk", "line") \
-        .withColumn("kind", log_kind(F.col("name")))
+    named = lines.select("*", F.substring_index("path", "/", -1).alias("name"))
+    parent = F.substr("path", F.lit(1), F.length("path") - F.length("name") - 1)
+    stems = named.select("path", "name", parent.alias("parent"), "_blk", "line", stem_lower(F.col("name")).alias("_stem"))
+    return stems.select("path", "name", "parent", "_blk", "line", stem_kind(F.col("_stem")).alias("kind"))
 
 
 def build_readings(spark: SparkSession, source_paths: list[str]) -> DataFrame:

@@ -33,6 +33,7 @@ from frostline.schema import (
     DEFAULT_BUCKET_US, HOUR_US, MANIFEST_SCHEMA, METRICS_LATEST_COLUMNS, MINMAX_24H_COLUMNS, READING_COLUMNS, RUNTIME_PUMPS, TS,
     readings_schema,
 )
+from frostline.session import jit_sized_methods
 from frostline.sources.logfiles import (
     changed_sources, current_manifest, list_log_files, path_exists, qualify, source_folders,
 )
@@ -164,8 +165,9 @@ def refresh_partials(spark: SparkSession, store_root: str) -> list[dt.date]:
     pass_id = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
     folder = _path(store_root, f"partials/pass_id={pass_id}")
     if days:
-        cells = _hour_partials(readings(spark, store_root, days=days))
-        cells.withColumn("day", F.to_date(from_micros("_b"))).repartition("day").write.partitionBy("day").parquet(folder)
+        cells = _hour_partials(readings(spark, store_root, days=days)).withColumn("day", F.to_date(from_micros("_b")))
+        with jit_sized_methods(spark):
+            cells.repartition("day").write.partitionBy("day").parquet(folder)
         got = {r.day: (r.n, r.last) for r in spark.read.parquet(folder).groupBy("day").agg(F.sum("_n").alias("n"), F.max("_last").alias("last")).collect()} \
             if path_exists(spark, folder) and any(_day_folders(spark, folder)) else {}
     else:
@@ -279,8 +281,9 @@ def ingest_sources(spark: SparkSession, store_root: str, sources: list[tuple[str
         .withColumn("day", F.to_date(TS))
     # rebalance by day: few files per (batch, day) folder, and AQE splits a day that holds a
     # large share of the rows into several tasks instead of sending it to one
-    wide.hint("rebalance", "day").write.mode("append").partitionBy("batch_id", "day") \
-        .parquet(_path(store_root, "raw"))
+    with jit_sized_methods(spark):
+        wide.hint("rebalance", "day").write.mode("append").partitionBy("batch_id", "day") \
+            .parquet(_path(store_root, "raw"))
     batch_path = _path(store_root, f"raw/batch_id={batch_id}")
     if path_exists(spark, batch_path):
         # span index of the batch, from two columns of the files just written (one row per source and day)

@@ -201,3 +201,97 @@ def test_parse_stage_is_generated_code(spark, tree):
         assert ST.sync_once(spark, tree, store)["rows_total"] > 0
     finally:
         spark.conf.set("spark.sql.codegen.fallback", before)
+
+
+def test_emptied_folder_and_empty_logs_are_listed(spark, tree):
+    write(tree, "24-09-13/CH1 T 24-09-13.log", "")
+    listed = {r.name: (r.size_bytes, r.depth) for r in LF.list_log_files(spark, tree).collect()}
+    assert listed["CH1 T 24-09-13.log"] == (0, 1)
+    src = {r.path.rsplit("/", 1)[-1]: r for r in LF.source_folders(LF.list_log_files(spark, tree), tree).collect()}
+    assert src["24-09-13"].size_bytes == 0 and src["24-09-13"].mtime_ns == os.stat(f"{tree}/24-09-13/CH1 T 24-09-13.log").st_mtime_ns
+
+
+def test_overlap_sweep_finds_exactly_the_shared_stretches(spark):
+    import datetime as dt
+    import random
+    rng = random.Random(3)
+    d = dt.date(2024, 1, 1)
+    spans = [(f"s{i}", d, a, a + rng.randrange(0, 12), 1, "b") for i in range(25) for a in [rng.randrange(0, 150)]]
+    spans += [("t", d, 300, 310, 1, "b"), ("u", d, 310, 320, 1, "b"), ("v", dt.date(2024, 1, 2), 300, 310, 1, "b")]
+    got = {(r.day, t) for r in ST.overlaps(spark.createDataFrame(spans, ST.SPANS_SCHEMA)).collect() for t in range(r.from_us, r.to_us + 1)}
+    want = {(x, t) for x in {s[1] for s in spans} for t in range(400) if sum(s[1] == x and s[2] <= t <= s[3] for s in spans) > 1}
+    assert want <= got
+    # at an instant that only one span covers there is never a stretch, but for the ends of one
+    ends = {(s[1], t) for s in spans for t in s[2:4]}
+    assert got - want <= ends
+
+
+def _metrics_match(spark, store):
+    from frostline.plans import queries as Q
+    got = ST.store_metrics(spark, store).collect()
+    want = Q.metrics(ST.readings(spark, store)).collect()
+    assert [r.asDict() for r in got] == [r.asDict() for r in want]
+
+
+def test_partials_follow_the_changed_days_alone(spark):
+    root, store = (tempfile.mkdtemp(prefix=f"frostline-{n}-") for n in ("days", "store"))
+    for d in (1, 2, 3, 4):
+        write(root, f"24-09-0{d}/CH6 T x.log", "".join(f"0{d}-09-24,{h:02}:{m:02}:05,0.0{1 + (h + m) % 3}\n" for h in range(24) for m in (0, 20, 40)))
+        write(root, f"24-09-0{d}/Channels x.log", "".join(f"0{d}-09-24,{h:02}:20:05,0,turbo1,{h % 2},scroll1,1\n" for h in range(24)))
+    first = ST.sync_once(spark, root, store)
+    assert first["days_refreshed"] == 4 and first["rows_total"] == 4 * 72
+    _metrics_match(spark, store)
+    time.sleep(1.1)
+    write(root, "24-09-03/CH6 T x.log", "03-09-24,05:00:00,0.5\n03-09-24,05:30:00,0.01\n")
+    files, make = [], ST._hour_partials
+    ST._hour_partials = lambda rows, *a: files.append(rows.inputFiles()) or make(rows, *a)
+    try:
+        second = ST.sync_once(spark, root, store)
+    finally:
+        ST._hour_partials = make
+    assert second["days_refreshed"] == 1 and second["rows_total"] == 3 * 72 + 24 + 2
+    # of the raw rows only the changed day's were read, and only its current copy
+    raw = [f for f in files[0] if "/raw/" in f]
+    assert raw and all("day=2024-09-03" in f and second["batch_id"] in f for f in raw)
+    _metrics_match(spark, store)
+    assert ST.sync_once(spark, root, store)["days_refreshed"] == 0
+
+
+def test_a_pass_that_died_before_its_partials_is_made_up_for(spark, tree):
+    store = tempfile.mkdtemp(prefix="frostline-store-")
+    ST.sync_once(spark, tree, store)
+    time.sleep(1.1)
+    write(tree, "24-09-12/CH1 T 24-09-12.log", "12-09-24,00:00:01,45.0\n13-09-24,00:00:02,46.0\n")
+    refresh = ST.refresh_partials
+    ST.refresh_partials = lambda *a: []
+    try:
+        ST.sync_once(spark, tree, store)        # commits the batch, makes no partials
+    finally:
+        ST.refresh_partials = refresh
+    out = ST.sync_once(spark, tree, store)
+    assert out["sources_changed"] == 0 and out["days_refreshed"] == 2
+    assert out["rows_total"] == ST.readings(spark, store).count()
+    _metrics_match(spark, store)
+
+
+def test_vacuum_bounds_manifest_spans_and_days(spark):
+    root, store = (tempfile.mkdtemp(prefix=f"frostline-{n}-") for n in ("grow", "store"))
+    for i in range(4):
+        write(root, "d/CH6 T x.log", "".join(f"11-09-24,00:00:0{j},0.0{j + 1}\n" for j in range(i + 1)))
+        ST.sync_once(spark, root, store, clean=i == 3)
+        time.sleep(1.1)
+    for name in ("manifest", "spans", "partial_days"):
+        rows = spark.read.parquet(f"{store}/{name}")
+        assert rows.count() <= 2 and len([f for f in os.listdir(f"{store}/{name}") if f.endswith(".parquet")]) == 1
+    assert len(os.listdir(f"{store}/partials")) == 1
+    assert ST.sync_once(spark, root, store)["rows_total"] == 4 and ST.readings(spark, store).count() == 4
+    _metrics_match(spark, store)
+
+
+def test_keys_padded_with_any_white_space(spark):
+    root, store = (tempfile.mkdtemp(prefix=f"frostline-{n}-") for n in ("pad", "store"))
+    write(root, "d/Channels x.log", "11-09-24,00:00:05,0,\u00a0Turbo1\u2003,1, scroll1\t,\u00a01\n")
+    write(root, "d/maxigauge x.log", "11-09-24,00:00:05,\u00a0ch1 ,P1,1,2.5,0,1,CH2,P2,1, 3 ,0,1,\n")
+    ST.sync_once(spark, root, store)
+    row = ST.readings(spark, store).first()
+    assert (row.turbo_1, row.scroll_1, row.P1, row.P2) == (1.0, 1.0, 2.5, 3.0)
