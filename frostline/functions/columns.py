@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frostline.schema import ON_THRESHOLD, TS
+from frostline.schema import MAX_HOURS, MAX_POINTS, MIN_HOURS, MIN_POINTS, ON_THRESHOLD, TS
 
 
 
@@ -153,13 +153,13 @@ def window_start(as_of_col: Column, hours: int) -> Column:
     return as_of_col - F.expr(f"INTERVAL {int(hours)} HOURS")
 
 
-def check_hours(hours: int, lo: int = 1, hi: int = 24 * 365) -> int:
+def check_hours(hours: int, lo: int = MIN_HOURS, hi: int = MAX_HOURS) -> int:
     if not isinstance(hours, int) or hours < lo or hours > hi:
         raise ValueError(f"hours must be an integer in [{lo}, {hi}], got {hours!r}")
     return hours
 
 
-def check_points(max_points, lo: int = 100, hi: int = 10000, optional: bool = True):
+def check_points(max_points, lo: int = MIN_POINTS, hi: int = MAX_POINTS, optional: bool = True):
     if max_points is None and optional:
         return None
     if not isinstance(max_points, int) or max_points < lo or max_points > hi:
@@ -167,6 +167,15 @@ def check_points(max_points, lo: int = 100, hi: int = 10000, optional: bool = Tr
     return max_points
 
 
+def request_error(hours, max_points) -> Column:
+    """P2 as an expression: why a request's arguments are refused, NULL if they are
+    fine (``max_points`` may be NULL).  For checking many requests in one pass."""
+    h, m = col(hours), col(max_points)
+    return (F.when(h.isNull() | (h < MIN_HOURS) | (h > MAX_HOURS), F.concat(F.lit(f"hours must be an integer in [{MIN_HOURS}, {MAX_HOURS}], got "),
+                                                                      F.coalesce(h.cast("string"), F.lit("None"))))
+            .when((m < MIN_POINTS) | (m > MAX_POINTS), F.concat(F.lit(f"max_points must be an integer in [{MIN_POINTS}, {MAX_POINTS}], got "), m.cast("string"))))
+
+
 def keys_list(keys: Iterable[str] | str | None) -> list[str]:
     if keys is None:
         return []

@@ -29,10 +29,10 @@ from frostline.functions.columns import (
 from frostline.operators.cells import TimeCells
 from frostline.schema import (
     COLD_THRESHOLD_K, DEFAULT_BUCKET_US, MINMAX_24H_COLUMNS,
-    HOUR_US, MINUTE_US, RUNTIME_PUMPS, TS,
+    HOUR_US, MINUTE_US, RUNTIME_PUMPS, STATE_KEYS, TS,
 )
 
-STARTS_PUMPS = ["pulse_tube", "turbo_1", "scroll_1", "scroll_2"]
+STARTS_PUMPS = STATE_KEYS
 
 
 def _zero():

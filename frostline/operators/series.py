@@ -104,7 +104,8 @@ def dashboard_series(readings: DataFrame, *, hours: int = 24, max_points: int =
     win = downsample(win, max_points, keys=k, bucket_us=bucket_us)
     long = to_series(win, keys=k, series_keys=series_keys, drop_nulls=False)
     # missing points (NULL/NaN) are dropped first; +-inf points stay, with a NULL value
-    return long.filter(~missing("value")).select(*k, "key", TS, scrub("value").alias("value"))
+    # ordered at the output edge (R5): the sampling has bounded the rows of a key
+    return long.filter(~missing("value")).select(*k, "key", TS, scrub("value").alias("value")).orderBy(*k, "key", TS)
 
 
 def coerce_points(points: DataFrame, *, keys=(), ts_col: str = TS, value_col: str = "value") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.functions import fmt
-from frostline.functions.columns import resolve_as_of, window_start
+from frostline.functions.columns import request_error, resolve_as_of, ts_literal, window_start
 from frostline.operators import anchored as A
 from frostline.operators import intervals as I
 from frostline.operators import series as S
@@ -261,6 +261,28 @@ def q_formatted_metrics(spark, sf):
     )
 
 
+def q_formatted_ops(spark, sf):
+    """F7 percent and hours, F9 state and chip colour, per device and pump."""
+    st = I.history_stats(_r(spark, sf), keys=DEV, pumps=STATE_KEYS, cold_column=None, latest_columns=STATE_KEYS,
+                         window=(ts_literal("1970-01-01 00:00:00"), ts_literal("1970-01-01 00:00:00")))
+    parts = F.array(*[F.struct(F.lit(p).alias("key"), fmt.fmt_state(p).alias("state"), fmt.chip_color(p).alias("chip"),
+                               fmt.fmt_hours(f"total_hours_{p}").alias("hours"), fmt.fmt_percent(f"duty_{p}").alias("duty"),
+                               fmt.fmt_count(f"{p}_starts").alias("starts")) for p in STATE_KEYS])
+    return st.select("device_id", F.inline(parts))
+
+
+def q_request_errors(spark, sf):
+    """P2 over many requests (one per event): the refused ones with their error."""
+    r = spark.read.parquet(f"{sf}/events.parquet")
+    asked = r.select("event_id", (F.floor(F.col("value") * 100).cast("long") - 5).alias("hours"),
+                     F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 11000).alias("max_points"))
+    return asked.withColumn("error", request_error("hours", "max_points")).filter(F.col("error").isNotNull())
+
+
+def q_dashboard(spark, sf):
+    return Q.dashboard_points(_r(spark, sf), hours=168, max_points=100)
+
+
 ROUNDTRIP_COLUMNS = ["P1", "P2", "P3", "P4", "P5", "P6", "T_50K", "T_4K", "T_Still", "T_MXC", "Flow",
                      "scroll_1", "scroll_2", "turbo_1", "pulse_tube"]
 
@@ -407,7 +429,6 @@ def _arriving_stream(spark, sf):
     Every slice is a job over the row groups of its days alone (a literal range,
     pushed to the scan), written with as many tasks as the scan has; a batch
     takes about the files of one slice."""
-    from frostline.functions.columns import ts_literal
     from frostline.session import scratch_path
     from frostline.streaming import streams as T
     root = scratch_path(spark, "stream-in")
@@ -513,7 +534,10 @@ QUERIES = {
     "cold_summary": q_cold_summary,
     "snapshot": q_snapshot,
     "snapshot_by_device": q_snapshot_by_device,
+    "dashboard": q_dashboard,
     "formatted_metrics": q_formatted_metrics,
+    "formatted_ops": q_formatted_ops,
+    "request_errors": q_request_errors,
     "ingest_roundtrip": q_ingest_roundtrip,
     "ingest_second_pass": q_ingest_second_pass,
     "ingest_overlap": q_ingest_overlap,

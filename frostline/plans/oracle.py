@@ -435,6 +435,31 @@ SELECT CASE WHEN (SELECT T_MXC FROM latest) < 0.02 THEN CAST(epoch_us((SELECT ts
         f"{mb[0]}, m AS (SELECT {mb[1]})\nSELECT device_id, {ftemp('T_MXC', True)} AS mxc, "
         f"{ftemp('T_50K', False)} AS t50k, {fp} AS p1, {flow} AS flow, {hours} AS pt_hours, {count} AS pt_starts, "
         f"{state} AS pt_state, {fem} AS still_em FROM m")
+    d2 = " UNION ALL ".join(
+        f"SELECT device_id, '{p}' AS key, {p} AS cv FROM l" for p in STATE_KEYS)
+    h2 = " UNION ALL ".join(f"SELECT device_id, '{p}' AS key, total_hours_{p} AS h FROM rh" for p in STATE_KEYS)
+    prev = ", ".join(f"LAG({p}) OVER (PARTITION BY device_id ORDER BY ts_eastern) AS prev_{p}" for p in STATE_KEYS)
+    c2 = " UNION ALL ".join(
+        f"SELECT device_id, '{p}' AS key, 100.0 * (avg(CASE WHEN {p} >= 0.5 THEN 1.0::DOUBLE WHEN {p} IS NOT NULL THEN 0.0::DOUBLE END)) AS duty, "
+        f"sum(CASE WHEN coalesce(prev_{p}, 0) < 0.5 AND coalesce({p}, 0) >= 0.5 THEN 1 ELSE 0 END) AS n FROM lagged GROUP BY device_id" for p in STATE_KEYS)
+    q["formatted_ops"] = (
+        f"{R}, l AS ({_latest(True, ['ts_eastern', *STATE_KEYS])}), rh AS ({_runtime(True)}), lagged AS (SELECT *, {prev} FROM readings)\n"
+        f"SELECT device_id, key, CASE WHEN cv IS NULL THEN 'Unknown' WHEN cv >= 0.5 THEN 'On' ELSE 'Off' END AS state, "
+        f"CASE WHEN cv IS NULL THEN '#64748b' WHEN cv >= 0.5 THEN '#16a34a' ELSE '#dc2626' END AS chip, "
+        f"{miss('h', 'format(' + chr(39) + '{:,.1f} h' + chr(39) + ', h)')} AS hours, {miss('duty', 'printf(' + chr(39) + '%.1f%%' + chr(39) + ', duty)')} AS duty, "
+        f"CAST(n AS VARCHAR) AS starts FROM ({d2}) d JOIN ({h2}) h USING (device_id, key) JOIN ({c2}) c USING (device_id, key)")
+    q["request_errors"] = (
+        "WITH a AS (SELECT event_id, CAST(floor(value * 100) AS BIGINT) - 5 AS hours, "
+        "CASE WHEN event_id % 5 <> 0 THEN event_id % 11000 END AS max_points FROM events)\n"
+        "SELECT *, CASE WHEN hours IS NULL OR hours NOT BETWEEN 1 AND 8760 THEN 'hours must be an integer in [1, 8760], got ' || coalesce(CAST(hours AS VARCHAR), 'None') "
+        "ELSE 'max_points must be an integer in [100, 10000], got ' || CAST(max_points AS VARCHAR) END AS error FROM a "
+        "WHERE hours IS NULL OR hours NOT BETWEEN 1 AND 8760 OR max_points NOT BETWEEN 100 AND 10000")
+    record = _metrics(False).rsplit("\nSELECT ", 1)
+    points = q["dashboard_series"].rsplit("\nSELECT", 1)[0].replace(R, "", 1)
+    rec = " UNION ALL ".join(f"SELECT 'metrics' AS part, '{c}' AS key, ts_eastern, CAST({c} AS DOUBLE) AS value FROM m" for c in mcols if c != "ts_eastern")
+    q["dashboard"] = (
+        f"{record[0]}, m AS (SELECT {record[1]}){points.replace(' w AS (', ' ws AS (').replace('FROM w ', 'FROM ws ').replace(', s AS (', ', pts AS (')}\n{rec} UNION ALL "
+        f"SELECT 'series' AS part, key, ts_eastern, value FROM (UNPIVOT pts ON {dk} INTO NAME key VALUE value)")
     kinds = " UNION ALL ".join(
         [f"SELECT DISTINCT CAST(ts_eastern AS DATE) AS d, '{c}' AS kind FROM readings WHERE {c} IS NOT NULL"
          for c in ("T_50K", "T_4K", "T_Still", "T_MXC", "Flow")]

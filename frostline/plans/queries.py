@@ -72,6 +72,20 @@ def dashboard(readings: DataFrame, *, hours: int = 24, max_points: int = 1200, a
     return m, s
 
 
+def dashboard_points(readings: DataFrame, *, hours: int = 24, max_points: int = 1200, as_of=None, keys=(),
+                     bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+    """Q4 as one answer: ``(keys, part, key, ts_eastern, value)`` with the metrics
+    record (part ``metrics``, at the time of the latest row) and the sampled series
+    (part ``series``), ordered."""
+    k = keys_list(keys)
+    m, s = dashboard(readings, hours=hours, max_points=max_points, as_of=as_of, keys=keys, bucket_us=bucket_us)
+    named = [c for c in METRICS_COLUMNS if c != TS]
+    record = m.select(*k, TS, *[F.col(c).cast("double").alias(c) for c in named]).unpivot([*k, TS], named, "key", "value")
+    both = record.select(*k, F.lit("metrics").alias("part"), "key", TS, "value") \
+        .unionByName(s.select(*k, F.lit("series").alias("part"), "key", TS, "value"))
+    return both.orderBy(*k, "part", "key", TS)
+
+
 def health(readings: DataFrame, *, manifest: DataFrame | None = None) -> DataFrame:
     """Q5."""
     return I.health(readings, manifest=manifest)

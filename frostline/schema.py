@@ -33,15 +33,8 @@ DASHBOARD_KEYS = [
 ]
 # Pumps in the order of the runtime counters.
 RUNTIME_PUMPS = ["scroll_1", "scroll_2", "turbo_1", "pulse_tube"]
-# Keys accepted by the single-series history query.
-ALLOWED_HISTORY_KEYS = [
-    "T_50K", "T_4K", "T_Still", "T_MXC",
-    "P1", "P2", "P3", "P4", "P5", "P6",
-    "Flow",
-    "total_hours_scroll_1", "total_hours_scroll_2",
-    "total_hours_turbo_1", "total_hours_pulse_tube",
-    "scroll_1", "scroll_2", "turbo_1", "pulse_tube",
-]
+# Keys accepted by the single-series history query: the table's value columns, temperatures first.
+ALLOWED_HISTORY_KEYS = [*TEMPERATURE_KEYS, *PRESSURE_KEYS, *READING_COLUMNS[READING_COLUMNS.index("Flow"):-1]]
 # Columns of the latest-row part of the metrics record, in its order (not the store's).
 METRICS_LATEST_COLUMNS = [TS, *ALLOWED_HISTORY_KEYS]
 MINMAX_24H_COLUMNS = ["T_Still", "T_MXC", "P1", "Flow"]

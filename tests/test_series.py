@@ -111,3 +111,28 @@ def test_suggest_bucket_us(spark):
     assert suggest_bucket_us(df) == 24 * 3_600_000_000          # 3600 rows in the densest hour
     assert suggest_bucket_us(df, target_rows=1000) == 600_000_000   # 10 min buckets hold 600 rows
     assert suggest_bucket_us(df, target_rows=100) == 60_000_000     # 1 min buckets hold 60 rows
+
+
+def test_series_answers_are_ordered(spark):
+    from frostline.plans import queries as Q
+    r = readings_from_events(spark, SF001)
+    points = [(x.key, x.ts_eastern) for x in S.dashboard_series(r, hours=168, max_points=100).collect()]
+    assert points == sorted(points) and len({k for k, _ in points}) > 5
+    times = [x.ts_eastern for x in S.history(r, "T_MXC", hours=720, max_points=100).collect()]
+    assert times == sorted(times)
+    whole = [(x.part, x.key, x.ts_eastern) for x in Q.dashboard_points(r, hours=168, max_points=100).collect()]
+    assert whole == sorted(whole) and {p for p, _, _ in whole} == {"metrics", "series"}
+
+
+def test_request_errors_are_those_of_the_checks(spark):
+    from frostline.functions.columns import check_hours, check_points, request_error
+    asked = [(h, m) for h in (None, -3, 0, 1, 24, 8760, 8761) for m in (None, 99, 100, 10000, 10001)]
+    df = spark.createDataFrame(asked, "hours int, max_points int").select("*", request_error("hours", "max_points").alias("error"))
+    for r in df.collect():
+        want = None
+        try:
+            check_hours(r.hours)
+            check_points(r.max_points)
+        except ValueError as e:
+            want = str(e)
+        assert r.error == want
