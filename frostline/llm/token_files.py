@@ -134,8 +134,11 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_
                 names=["file_no", "path", "n_docs", "n_ids"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    d = d.withColumn("h", F.xxhash64("text"))
-    (d.repartitionByRange(files, F.asc_nulls_first("doc_id"), "h").sortWithinPartitions(F.asc_nulls_first("doc_id"), "h")
+    # the borders of the files come from a sample of the ids; only where one id has more rows than a
+    # file should hold do the texts' hashes (and so the texts) take part in it
+    total, most = d.groupBy("doc_id").count().agg(F.sum("count"), F.max("count")).first()
+    ties = [F.xxhash64("text")] if (most or 0) * files > (total or 0) else []
+    (d.repartitionByRange(files, F.asc_nulls_first("doc_id"), *ties).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
      .select("doc_id", "text").mapInArrow(run, _FILES).write.parquet(f"{folder}/_files"))
 
 
