@@ -34,10 +34,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from frostline.llm.common import materialize
+from frostline.llm.common import claim, materialize
 
 BUCKETS = 1 << 19       # of both tables together
 MAX_LABELLED = 200_000
@@ -49,7 +50,9 @@ CUTS = 4, 80        # cuts tried: so many per unit, and so many in all, from -1/
 WORDS_KEPT = 400_000
 RUN = 6
 _PARTS = 16
-_SCALE = 64         # classes of keys per unit when the k-th largest is looked for
+CLASSES = 1024      # classes of keys counted at a time when the k-th largest is looked for
+SORTED = 100_000    # ... until a class has no more rows
+ROWS = 1_000        # documents scored at a time in a task
 
 
 class _Words(dict):
@@ -113,10 +116,11 @@ def counts(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     labelled good ones.  What reaches the driver is two vectors of fixed size."""
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_WORDS)
         raw, target = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
         for b in batches:
-            for text, good in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                f = features(text)
+            for text, good in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                f = features(text.as_py())
                 raw[f] += 1
                 if good:
                     target[f] += 1
@@ -171,32 +175,42 @@ def gumbel(seed: int):
     return -F.log(-F.log(u))
 
 
-def _weights(docs: DataFrame, labels: DataFrame):
-    """(model, scored): the model as a broadcast of fixed size, and doc_id, h,
-    n_features, log_weight, key of every document."""
-    raw, target = counts(docs, labels)
+def _scored(docs: DataFrame, labels: DataFrame, seed: int, carried: bool) -> tuple[DataFrame, DataFrame, float]:
+    """(scored rows, labels, cut).  A scored row has doc_id, h (hash of the text),
+    n_features, log_weight, key and row (a number of its own), and with
+    ``carried`` all columns of ``docs``, as c0, c1, ..."""
+    known = materialize(bounded_labels(labels), "labels")
+    raw, target = counts(docs, known)
     model = docs.sparkSession.sparkContext.broadcast(log_ratios(raw, target))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text, own = F.col("text").cast("string"), [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)] if carried else []
+    given = docs.select(*own, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), *([] if carried else [text.alias("text")]))
+    at = docs.columns.index("text") if carried else 2
+    kept = [i for i, c in enumerate(given.columns) if carried or c != "text"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            f = [features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([x.shape[1] for x in f], pa.int64()),
-                 pa.array([weight(model.value, x) for x in f], pa.float64())],
-                names=["doc_id", "h", "n_features", "log_weight"])
-
-    scored = d.withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, n_features long, log_weight double")
-    return model, scored
+        claim(_WORDS)
+        names = [given_names[i] for i in kept] + ["n_features", "log_weight"]
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                b = whole.slice(start, ROWS)
+                f = [features(t) for t in b.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(i) for i in kept), pa.array([x.shape[1] for x in f], pa.int64()),
+                     pa.array([weight(model.value, x) for x in f], pa.float64())], names=names)
+
+    given_names = given.columns
+    schema = T.StructType([given.schema.fields[i] for i in kept]).add("n_features", "long").add("log_weight", "double")
+    rows = given.mapInArrow(run, schema).withColumn("key", SHARPNESS * F.col("log_weight") + gumbel(seed)).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows, "weights")
+    cut = best_cut(rows.select("doc_id", "log_weight").join(F.broadcast(known), F.col("doc_id") == F.col("label_id")))
+    model.unpersist()
+    return rows, known, cut
 
 
 def score(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, h (hash of the text), n_features, log_weight, key, kept."""
-    known = materialize(bounded_labels(labels), "labels")
-    _, scored = _weights(docs, known)
-    scored = materialize(scored.withColumn("key", SHARPNESS * F.col("log_weight") + gumbel(seed)), "weights")
-    cut = best_cut(scored.join(F.broadcast(known), F.col("doc_id") == F.col("label_id")))
-    return _top_k(scored, scored.filter(F.col("log_weight") >= F.lit(float(cut))).count())
+    rows, _, cut = _scored(docs, labels, seed, carried=False)
+    return _top_k(rows, rows.filter(F.col("log_weight") >= F.lit(float(cut))).count()).drop("row")
 
 
 def best_cut(labelled: DataFrame) -> float:
@@ -216,25 +230,39 @@ def best_cut(labelled: DataFrame) -> float:
 
 
 def _top_k(scored: DataFrame, k: int) -> DataFrame:
-    """Mark the k rows of largest key.  Class totals tell which class of keys
-    holds the k-th; only that class is sorted."""
-    cls = F.floor(F.col("key") * _SCALE)
-    sizes = scored.groupBy(cls.alias("c")).count()
-    # classes are counted above each other in one row per class: as many as the range of keys has
-    upto = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = (sizes.withColumn("end", F.sum("count").over(upto))
-           .filter((F.col("end") >= k) & (F.col("end") - F.col("count") < k)).first())
-    if cut is None:
+    """Mark the k rows of largest key; ties go by doc_id (nulls first), h and row.
+    The k-th key is closed in by counts of ``CLASSES`` classes of keys, again and
+    again inside the class that holds it, until that is small enough to sort."""
+    if "row" not in scored.columns:
+        scored = scored.withColumn("row", F.lit(0).cast("long"))
+    total, low, high = scored.agg(F.count(F.lit(1)), F.min("key"), F.max("key")).first()
+    if k <= 0 or k >= total:
         return scored.withColumn("kept", F.lit(k > 0))
-    left = k - (cut["end"] - cut["count"])
-    rank = F.row_number().over(Window.orderBy(F.desc("key"), "doc_id", "h"))
-    inside = scored.filter(cls == cut["c"]).withColumn("kept", rank <= left)
-    return scored.filter(cls != cut["c"]).withColumn("kept", cls > cut["c"]).unionByName(inside)
+    inside, left = scored, k
+    while low < high and inside.count() > SORTED:
+        width = (high - low) / CLASSES
+        cls = F.least(F.floor((F.col("key") - F.lit(low)) / F.lit(width)), F.lit(CLASSES - 1))
+        sizes = dict(inside.groupBy(cls.alias("c")).count().collect())     # at most CLASSES rows
+        for c in sorted(sizes, reverse=True):
+            if sizes[c] >= left:
+                break
+            left -= sizes[c]
+        inside = inside.filter(cls == c)
+        was = low, high
+        low, high = inside.agg(F.min("key"), F.max("key")).first()
+        if (low, high) == was:
+            break
+    tie = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "h", "row")
+    last = inside.select("key", tie.alias("tie")).orderBy(F.desc("key"), "tie").offset(left - 1).limit(1).first()
+    cut = F.struct(*[F.lit(int(v)).cast("long").alias(n) for n, v in zip(("d", "h", "row"), last.tie, strict=True)])
+    key = F.lit(float(last.key))
+    return scored.withColumn("kept", (F.col("key") > key) | ((F.col("key") == key) & (tie <= cut)))
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
-    """The rows of ``docs`` that the resampling keeps, all columns as they were."""
-    marked = score(docs, labels, seed)
-    drop = marked.filter("not kept").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__h"))
-    return docs.join(drop, same, "left_anti")
+    """The rows of ``docs`` that the resampling keeps, all columns as they were.
+    The rows carry their key through one written table, so no text is shuffled and
+    every repeated row is a row of its own."""
+    rows, _, cut = _scored(docs, labels, seed, carried=True)
+    marked = _top_k(rows, rows.filter(F.col("log_weight") >= F.lit(float(cut))).count())
+    return marked.filter("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

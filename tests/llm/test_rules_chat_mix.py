@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from frostline.llm import chat, importance, mixing, quality_rules, url_filter
 from frostline.llm.common import WORD_PATTERN
@@ -224,6 +225,29 @@ def test_importance_top_k_is_exact(spark):
         assert len(got) == 1000 and {r.doc_id for r in got if r.kept} == want
 
 
+def test_importance_top_k_of_repeated_rows_and_many_rounds(spark, monkeypatch):
+    """Of rows that are alike in everything exactly as many are kept as the cut leaves."""
+    alike = spark.range(600).selectExpr("cast(7 as long) as doc_id", "cast(9 as long) as h", "0.5 as key", "id as row")
+    others = spark.range(600, 1000).selectExpr("case when id % 7 > 0 then id end as doc_id", "xxhash64(id) as h",
+                                               "cast(pmod(xxhash64(id), 9973) as double) / 9973 as key", "id as row")
+    scored = alike.unionByName(others).withColumn("key", F.col("key").cast("double"))
+    monkeypatch.setattr(importance, "SORTED", 40)
+    monkeypatch.setattr(importance, "CLASSES", 4)
+    order = [(r.key, r.doc_id, r.h, r.row) for r in scored.collect()]
+    order.sort(key=lambda t: (-t[0], t[1] is not None, t[1] or 0, t[2], t[3]))
+    for k in (1, 150, 201, 500, 799, 999):
+        got = {r.row for r in importance._top_k(scored, k).filter("kept").collect()}
+        assert got == {t[3] for t in order[:k]}
+
+
+def test_sampled_rows_keep_their_columns_and_repeats(spark, make_docs):
+    docs = make_docs([(1, "good words here"), (1, "good words here"), (2, None), (None, "x " * 50_000), (3, "")])
+    docs = docs.withColumn("row", F.lit(5)).withColumn("h", F.lit("mine")).withColumn("c1", F.lit(2.5)).withColumn("key", F.array(F.lit(1)))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = importance.keep_sampled(docs, labels)
+    assert kept.schema.names == docs.schema.names and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+
+
 def test_importance_edges(spark, make_docs):
     docs = make_docs([(1, "good words here"), (1, "good words here"), (2, None), (None, "x"), (3, "")])
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
