@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.common import materialize
+from frostline.llm.common import claim, materialize
 
 WORDS = 5
 PERCENT = 75
@@ -50,7 +50,7 @@ FILTER_BITS = 1 << 27       # bit filter of fingerprints met twice or more (16 M
 MAX_FREQUENT = 1 << 20      # fingerprints whose frequency is known (16 MB at most)
 FREQUENT = 4                # from this frequency on
 SETS_IN_TASK = 2_048        # a larger cluster is dealt into blocks
-SHINGLES_IN_TASK = 4_000_000
+SHINGLES_IN_TASK = 2_000_000
 SKETCH_BITS = 1 << 10       # cells of a sketch; sets over so many shingles have
 LONG_SKETCH_BITS = 1 << 13  # ... so many, which fold to the shorter ones
 LONGEST_LIST = 1 << 16      # the sets of a longer list are tied without looking
@@ -127,6 +127,7 @@ def _hash_documents(bucket_bits: int):
     shift, edges = np.uint64(32 - bucket_bits), np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_WORDS)
         seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0
@@ -419,21 +420,24 @@ def join_cluster(tokens: list[np.ndarray], cross: np.ndarray | None = None) -> I
     """Links among sets given in the common order of shingles: for each set its
     linked partners among the sets before it, by size.  With ``cross`` only
     partners of the other side count."""
+    # 32-bit numbers, and arrays of all shingles go as soon as they are used
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     by_size = np.argsort(sizes, kind="stable")
     sizes = sizes[by_size]
-    sets = [tokens[i] for i in by_size]
-    flat = np.concatenate(sets)
+    n_sets = len(sizes)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    words, ids = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    place = np.arange(len(flat)) - starts[owner]
-    # index lists: entries sorted by size of their set, as sets are numbered
+    words, ids = np.unique(np.concatenate([tokens[i] for i in by_size]), return_inverse=True)
+    ids, n_words = ids.astype(np.int32), len(words)
+    del words
+    owner = np.repeat(np.arange(n_sets, dtype=np.int32), sizes)
+    # index lists: entries sorted by size of their set, as sets are numbered; what is left of the set from there on
+    left = np.repeat(starts[1:].astype(np.int32), sizes) - np.arange(len(ids), dtype=np.int32)
     order = np.argsort(ids, kind="stable")
-    entry_set, entry_left = owner[order], sizes[owner[order]] - place[order]
-    lists = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(words)))])
+    entry_set, entry_left = owner[order], left[order]
+    del owner, left, order
+    lists = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=n_words))])
     pivots: list[tuple[int, np.ndarray]] = []
-    mark = np.zeros(len(words), bool)
+    mark = np.zeros(n_words, bool)
 
     def own(x):
         return ids[starts[x]:starts[x + 1]]
@@ -478,8 +482,8 @@ def join_cluster(tokens: list[np.ndarray], cross: np.ndarray | None = None) -> I
             got[entry_set[lists[w]:lists[w + 1]]] -= 1
         return got
 
-    large = len(sets) > 32
-    for x in range(len(sets)):
+    large = n_sets > 32
+    for x in range(n_sets):
         close = max(((int(o[x]), p, o) for p, o in pivots), key=lambda t: t[0], default=None) if large else None
         if close and close[0] * 100 >= PERCENT * (sizes[x] + sizes[close[1]] - close[0]):
             inter, among = derived(x, close[1], close[2])[:x], np.arange(x)
@@ -593,8 +597,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # components of null ids have no number: their sets tell them apart
     group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("sig")).alias("own")]
     first = linked.filter("sig is not null").groupBy(*group).agg(F.min("place").alias("p"))
-    keep = first.select("p.doc_id", "p.h").union(linked.filter("sig is null").select("doc_id", "h")).distinct().toDF("__d", "__h")
-    keep = materialize(keep, "kept-documents")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__h"))
-    kept = docs.join(keep, same)
-    return kept.dropDuplicates(["__d", "__h"]).select(*docs.columns)
+    keep = first.select("p.doc_id", "p.h").union(linked.filter("sig is null").select("doc_id", "h")).distinct()
+    times = linked.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("times"))
+    keep = keep.join(times.withColumnsRenamed({"doc_id": "d", "h": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("t")))
+    keep = materialize(keep.select("doc_id", "h", "times"), "kept-documents")
+    # a row of docs as c0, c1, ...: no name of its own clashes
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("row_id"),
+                       F.xxhash64(F.col("text").cast("string")).alias("row_h"))
+    same = F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_h") == F.col("h"))
+    # the list is the side that a task holds: the texts meet it without a sort
+    kept = rows.join(keep.filter("times = 1").hint("shuffle_hash"), same)
+    if keep.filter("times > 1").limit(1).count():       # rows that the table has more than once become one
+        kept = kept.unionByName(rows.join(keep.filter("times > 1"), same).dropDuplicates(["row_id", "row_h"]))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
