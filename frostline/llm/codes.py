@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from frostline.llm.common import materialize
 from frostline.llm.vectors import integer_vectors, join_groups, matrix
 
-BLOCK = 1024            # parts compared at a time
-STEP = 4                # coefficients between two eliminations
+BLOCK = 256             # parts compared at a time
+STEP = 8                # coefficients between two eliminations
 SAFE = 2**62
 
 
