@@ -524,6 +524,7 @@ def _join_clusters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return ([e[0] for e in edges] + sigs[linked].tolist(), [e[1] for e in edges] + [None] * len(linked),
                 [None] * len(edges) + degree[linked].tolist())
 
+    claim({})           # no text is read any more: the words go
     task, rows = None, []
     for b in batches:
         cols = [b.column(c).to_pylist() for c in ("cluster", "i", "j", "sig", "copies", "block", "tokens")]
