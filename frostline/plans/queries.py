@@ -134,11 +134,13 @@ def snapshot(readings: DataFrame, *, hours: int = 24, as_of=None, keys=(), bucke
     k = keys_list(keys)
     a, floor = bounds(readings, as_of, k)
     kept = [c for c in METRICS_LATEST_COLUMNS if c not in RUNTIME_COLUMNS and c != TS]
-    recent = I.window_stats(readings, as_of=a, hours=24, keys=k, every_key=False, bucket_us=bucket_us, newest=kept, floor=floor,
+    # without a floor the latest row may lie anywhere: a map-side aggregate of its own, so that no old row is shuffled
+    newest, apart = (kept, []) if floor is not None else ([], [I.latest_row(readings, keys=k, columns=[TS, *kept])])
+    recent = I.window_stats(readings, as_of=a, hours=24, keys=k, every_key=False, bucket_us=bucket_us, newest=newest, floor=floor,
                             points=DASHBOARD_KEYS, points_start=window_start(a, hours)).drop("rows_in_window")
     hist = I.history_stats(readings, keys=k, bucket_us=bucket_us) \
         .select(*k, *RUNTIME_COLUMNS, "hours_below_20mK_total", "hours_below_20mK_current")
-    allin = S.combine([recent, hist], keys=k).filter(F.col(TS).isNotNull())
+    allin = S.combine([*apart, recent, hist], keys=k).filter(F.col(TS).isNotNull())
     fills = {c: F.coalesce(scrub(c), F.col(f"lv_{c}")) for c in DASHBOARD_KEYS}
     return allin.select(*k, *[fills[c].alias(c) if c in fills else scrub(c).alias(c) if c not in (TS, *COUNTS) else F.col(c) for c in METRICS_COLUMNS])
 

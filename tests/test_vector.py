@@ -65,6 +65,7 @@ def test_fused_equal_series_forms(spark, keys):
         assert _sorted(V.freshest_columns(r, hours=hours, keys=keys)) == _sorted(S.freshest_values(snap, hist, keys=keys))
         full = Q.synthesize_snapshot(snap, Q.metrics(r, keys=keys, as_of=a), hist, Q.health(r), keys=keys)
         assert _sorted(Q.snapshot(r, hours=hours, keys=keys)) == _sorted(full)
+        assert _sorted(Q.snapshot(r, hours=hours, keys=keys, as_of=a)) == _sorted(full)     # without the bounds' floor
         starts = S.series_starts(S.window_series(S.to_series(r, keys=keys, series_keys=STATE_KEYS), hours=hours, as_of=a), keys=keys)
         duty = S.duty_cycle(S.window_series(S.to_series(r, keys=keys, series_keys=STATE_KEYS), hours=hours, as_of=a), keys=keys)
         w4 = {tuple(x[c] for c in keys): x for x in I.pump_starts(r, keys=keys).collect()}
