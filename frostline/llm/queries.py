@@ -9,7 +9,7 @@ from frostline.llm import (
     ann, chat, codes, importance, jaccard, licenses, mixing, packing, quality_rules, token_count, token_files, url_filter,
     whitening,
 )
-from frostline.llm.common import table
+from frostline.llm.common import materialize, table
 from frostline.session import scratch_path
 
 
@@ -31,10 +31,12 @@ def op4_chat_format(spark, sf_dir):
     probe = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    path = scratch_path(spark, "chat")
-    formatted = chat.format_conversations(rows.unionByName(probe))
-    formatted.write.parquet(path)
-    return chat.conversation_digests(spark.read.schema(formatted.schema).parquet(path))
+    formatted = materialize(chat.format_conversations(rows.unionByName(probe)), "chat-turns")
+    path = scratch_path(spark, "chat-examples")
+    examples = chat.expand(formatted)
+    # a context begins as the one before it does: zstd's window sees that
+    examples.write.option("compression", "zstd").parquet(path)
+    return chat.example_digests(spark.read.schema(examples.schema).parquet(path))
 
 
 def op5_quality_rules(spark, sf_dir):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frostline.llm import chat, importance, mixing, quality_rules, url_filter
-from frostline.llm.common import WORD_PATTERN
+from frostline.llm.common import WORD_PATTERN, materialize
 
 
 # --- url rules -------------------------------------------------------------
@@ -85,6 +85,63 @@ def test_chat_plan_is_native(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+# rows (conv_id, turn, role, text): many turns, trailing turns, no assistant, repeated rows, nulls, one text longer than several parts
+CHATS = [(1, i, ("user", "assistant", "system", "to[ol]")[i % 4], f"<s>{i}</s> & [{'é😀' * (i % 7)}\n]") for i in range(60)] + [
+    (2, 0, "user", None), (2, 1, None, "lost"), (None, 0, "assistant", "n"), (None, 0, "assistant", "n"), (None, None, "user", "first"),
+    (3, 0, "assistant", ""), (4, 0, "user", "x" * 1000), (4, 1, "assistant", "y" * 500), (4, 2, "assistant", "z"), (4, 3, "user", "last")]
+
+
+@pytest.mark.parametrize("chars", [1 << 18, 100])
+def test_chat_examples_are_written_out(spark, monkeypatch, chars):
+    monkeypatch.setattr(chat, "CHARS_IN_PART", chars)
+    df = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string")
+    formatted = materialize(chat.format_conversations(df.repartition(5)), "test-chat")
+    stream, ends, masks = {}, {}, {}
+    for r in sorted(formatted.collect(), key=lambda r: r.char_start):
+        stream[r.conv_id] = stream.get(r.conv_id, "") + r.formatted
+        if r.context_end is not None:
+            ends[r.conv_id, r.context_end], masks[r.conv_id, r.context_end] = r.char_end, (r.loss_start, r.loss_end)
+    for conv, s in stream.items():      # what follows the last reply is an example without a target
+        if all(e != len(s) for (c, _), e in ends.items() if c == conv):
+            ends[conv, len(s)], masks[conv, len(s)] = len(s), None
+    assert len(ends) == sum(r[2] == "assistant" for r in CHATS) + 3     # 1, 2 and 4 go on after it
+    got = {}
+    for r in sorted(chat.expand(formatted).collect(), key=lambda r: r.part):
+        got.setdefault((r.conv_id, r.context_end), []).append(r)
+    assert set(got) == set(ends)
+    for key, parts in got.items():
+        assert "".join(p.text for p in parts) == stream[key[0]][:ends[key]]
+        assert {p.whole for p in parts} == {ends[key] == len(stream[key[0]])}
+        assert all(p.loss_start is None for p in parts[:-1])
+        before, last = sum(len(p.text) for p in parts[:-1]), parts[-1]
+        assert masks[key] == (None if last.loss_start is None else (before + last.loss_start, before + last.loss_end))
+    assert chars > 100 or max(map(len, got.values())) > 5
+    for r in chat.conversation_digests(formatted).collect():
+        own = sorted([c for c in CHATS if c[0] == r.conv_id], key=lambda c: (c[1] is not None, c[1] or 0, c[2] or "", c[3] or ""))
+        assert (r.n_turns, r.formatted_chars) == (len(own), len(stream[r.conv_id]))
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{c[2] or ''}\n{c[3] or ''}\n" for c in own).encode()).hexdigest()
+        assert r.loss_sha256 == hashlib.sha256("".join(c[3] or "" for c in own if c[2] == "assistant").encode()).hexdigest()
+
+
+def test_chat_query_writes_examples_and_reads_them_back(spark, monkeypatch):
+    """Every assistant turn of the table is the target of a written example, and
+    the digests come from these."""
+    from frostline.llm import queries
+    seen = []
+    digests = chat.example_digests
+    monkeypatch.setattr(chat, "example_digests", lambda e: seen.append(e) or digests(e))
+    sf = "/root/testdata/sf0.001"
+    answer = queries.op4_chat_format(spark, sf)
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    examples = seen[0].collect()
+    assert sum(r.loss_start is not None for r in examples) == rows.filter("role = 'assistant'").count() + 1
+    longest = {}
+    for r in examples:
+        longest[r.conv_id] = max(longest.get(r.conv_id, ""), r.text, key=len)
+    assert all(longest[r.conv_id].startswith(r.text) for r in examples)
+    assert {r.conv_id: r.formatted_chars for r in answer.collect()} == {c: len(t) for c, t in longest.items()}
+
+
 # --- quality rules ---------------------------------------------------------
 def brute_base(text):
     words = re.findall(WORD_PATTERN, text or "")
