@@ -13,6 +13,8 @@ import os
 import re
 from array import array
 
+from frostline.llm.common import claim
+
 # Unicode white space as the tokenizer's own pattern understands it (fixed values).
 SPACE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -92,7 +94,9 @@ _ENCODERS: dict[str, IdEncoder] = {}
 
 
 def encoder(vocabulary: str) -> IdEncoder:
-    """The worker's encoder for a vocabulary file; it outlives a task."""
+    """The worker's encoder for a vocabulary file; it outlives a task, until an
+    operator of another kind claims the worker's memory."""
+    claim(_ENCODERS)
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = IdEncoder(vocabulary)
         # the collector need not walk through the remembered chunks again and again

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +25,22 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+TEXTS = 1_000       # rows of an Arrow batch that holds whole texts
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Write ``df`` to a new folder under the shared scratch folder and read it
-    back: cuts the lineage, and survives lost executors."""
+    back: cuts the lineage, and survives lost executors.  ``batch``: rows that
+    Python workers get at a time (both they and the JVM hold such a batch)."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
+    path, before = scratch_path(spark, name), spark.conf.get(_BATCH)
+    if batch:
+        spark.conf.set(_BATCH, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,9 +49,11 @@ _HELD: list[dict] = []
 
 def claim(memory: dict) -> dict:
     """``memory``, and what other operators' tasks have left in this worker is
-    dropped: a worker outlives the stages that it serves."""
+    dropped: a worker outlives the stages that it serves.  Arrow keeps freed
+    batches for itself; what it does not use goes back to the system."""
     for other in _HELD:
         if other is not memory:
             other.clear()
     _HELD[:] = [memory]
+    pa.default_memory_pool().release_unused()
     return memory

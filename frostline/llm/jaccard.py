@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.common import claim, materialize
+from frostline.llm.common import TEXTS, claim, materialize
 
 WORDS = 5
 PERCENT = 75
@@ -234,6 +234,7 @@ def _frequencies(marked: DataFrame, bucket_bits: int, per_slice: int, most: int)
 # --- 2. posted sets ----------------------------------------------------------
 def _post(frequencies):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_WORDS)
         seen: set[int] = set()
         for b in batches:
             out = []
@@ -548,7 +549,7 @@ def link_documents(docs: DataFrame, filter_bits: int = FILTER_BITS, max_frequent
     per_slice = max(8, filter_bits >> bucket_bits)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = d.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_hash_documents(bucket_bits), _MARKED)
-    marked = materialize(marked.repartition("bucket").mapInArrow(_count_prints(per_slice), _MARKED), "shingle-sets")
+    marked = materialize(marked.repartition("bucket").mapInArrow(_count_prints(per_slice), _MARKED), "shingle-sets", batch=TEXTS)
     frequencies = spark.sparkContext.broadcast(_frequencies(marked, bucket_bits, per_slice, max_frequent))
     own = marked.filter("prints is null").select("doc_id", "h", "n_shingles", "sig")
     classes = materialize(own.filter("sig is not null").groupBy("sig")
@@ -556,7 +557,7 @@ def link_documents(docs: DataFrame, filter_bits: int = FILTER_BITS, max_frequent
 
     posted = d.select("text").mapInArrow(_post(frequencies), "sig long, size int, tokens binary, skip int, posted int")
     # a copy in another task posts the same set again
-    sets = materialize(posted.dropDuplicates(["sig"]), "posted-sets")
+    sets = materialize(posted.dropDuplicates(["sig"]), "posted-sets", batch=TEXTS)
     posts = sets.select("sig", "size", "tokens", "skip", "posted").mapInArrow(_explode_posts, "token long, size int, sig long")
     in_lists = lambda p: p.repartition("token").sortWithinPartitions("token", "size", "sig")
     shared = in_lists(posts).mapInArrow(_shared_posts, "token long, size int, sig long")

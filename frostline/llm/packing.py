@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frostline.llm.bpe_ids import encoder
-from frostline.llm.common import materialize
+from frostline.llm.common import TEXTS, materialize
 
 END_ID = 2
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -206,4 +206,4 @@ def pack(items: DataFrame, capacity: int, fan_in: int = 8) -> DataFrame:
 def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = 1024,
                    end_id: int = END_ID) -> DataFrame:
     """Tokenize, cut and pack ``docs(doc_id, text)``; one row per piece."""
-    return pack(materialize(pieces(docs, vocabulary, capacity, end_id), "pieces"), capacity)
+    return pack(materialize(pieces(docs, vocabulary, capacity, end_id), "pieces", batch=TEXTS), capacity)

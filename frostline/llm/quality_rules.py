@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frostline.llm.common import claim
+
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
@@ -144,6 +146,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim({})
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS_CLEANED):
                 b = whole.slice(start, ROWS_CLEANED)

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from frostline.llm import packing, token_count, token_files
+from frostline.llm import bpe_ids, common, jaccard, packing, token_count, token_files
 from frostline.llm.bpe_ids import IdEncoder
 from frostline.session import scratch_path
 
@@ -108,6 +108,37 @@ def test_packing_edges(make_docs):
     assert packing.pack_documents(make_docs([]).limit(0)).count() == 0
 
 
+def test_worker_drops_what_other_operators_left():
+    words = {"a": 1}
+    common.claim(words)
+    enc = bpe_ids.encoder("byte_bpe_50k.json")
+    assert not words and bpe_ids.encoder("byte_bpe_50k.json") is enc
+    common.claim({})
+    assert not bpe_ids._ENCODERS
+
+
+def test_texts_reach_tasks_in_bounded_batches(spark, make_docs, monkeypatch):
+    def sizes(batches):
+        for b in batches:
+            yield b.from_arrays([[b.num_rows]], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), {}
+    n = [r.n for r in common.materialize(spark.range(0, 5000, numPartitions=1).mapInArrow(sizes, "n long"), "batches", batch=700).collect()]
+    assert sum(n) == 5000 and max(n) == 700 and spark.conf.get(key) == before
+    plain = common.materialize
+
+    def noted(df, name, batch=None):
+        seen[name] = batch
+        return plain(df, name, batch)
+
+    monkeypatch.setattr(packing, "materialize", noted)
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    docs = make_docs([(i, f"{i} a b c d e f g") for i in range(9)])
+    assert packing.pack_documents(docs).count() == jaccard.link_documents(docs).count() == 9
+    assert seen["pieces"] == seen["shingle-sets"] == seen["posted-sets"] == common.TEXTS
+
+
 def test_packing_of_items_that_never_fit_together(spark):
     items = spark.range(0, 3000, numPartitions=16).selectExpr("id as doc_id", "0 as piece", "0L as start", "600 as length", "0L as ids_crc32")
     assert packing.pack(items, 1024).select("sequence_id").distinct().count() == 3000
