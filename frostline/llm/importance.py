@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frostline.llm.common import claim, materialize
+from frostline.llm.common import TEXTS, batches_of, claim, materialize
 
 BUCKETS = 1 << 19       # of both tables together
 MAX_LABELLED = 200_000
@@ -141,7 +141,9 @@ def counts(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     # at most MAX_LABELLED pairs of a long and a flag: a few MB
     known = (docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
              .join(F.broadcast(labels), F.col("doc_id") == F.col("label_id"), "left"))
-    parts = known.select("text", "good").mapInArrow(local, kind).repartition(_PARTS, "part").mapInArrow(add, kind).collect()
+    parts = known.select("text", "good").mapInArrow(local, kind).repartition(_PARTS, "part").mapInArrow(add, kind)
+    with batches_of(docs.sparkSession, TEXTS):
+        parts = parts.collect()
     raw, target = np.zeros((_PARTS, BUCKETS // _PARTS), np.int64), np.zeros((_PARTS, BUCKETS // _PARTS), np.int64)
     for r in parts:
         raw[r.part], target[r.part] = np.frombuffer(r.raw, np.int64), np.frombuffer(r.target, np.int64)
@@ -201,7 +203,7 @@ def _scored(docs: DataFrame, labels: DataFrame, seed: int, carried: bool) -> tup
     given_names = given.columns
     schema = T.StructType([given.schema.fields[i] for i in kept]).add("n_features", "long").add("log_weight", "double")
     rows = given.mapInArrow(run, schema).withColumn("key", SHARPNESS * F.col("log_weight") + gumbel(seed)).withColumn("row", F.monotonically_increasing_id())
-    rows = materialize(rows, "weights")
+    rows = materialize(rows, "weights", batch=TEXTS)
     cut = best_cut(rows.select("doc_id", "log_weight").join(F.broadcast(known), F.col("doc_id") == F.col("label_id")))
     model.unpersist()
     return rows, known, cut

@@ -257,6 +257,7 @@ def _post(frequencies):
 
 
 def _explode_posts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim({})           # no text is read from here on: the words go
     for b in batches:
         sigs, sizes, tokens = [], [], []
         for sig, size, raw, skip, posted in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -525,7 +526,7 @@ def _join_clusters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return ([e[0] for e in edges] + sigs[linked].tolist(), [e[1] for e in edges] + [None] * len(linked),
                 [None] * len(edges) + degree[linked].tolist())
 
-    claim({})           # no text is read any more: the words go
+    claim({})
     task, rows = None, []
     for b in batches:
         cols = [b.column(c).to_pylist() for c in ("cluster", "i", "j", "sig", "copies", "block", "tokens")]
