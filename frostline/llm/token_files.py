@@ -23,6 +23,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frostline.llm.bpe_ids import encoder
+from frostline.llm.bpe_ids import batch_encoder, text_slices
 
 END_ID = 2
 LEVEL = 3
@@ -112,15 +113,16 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open_fs(folder)
-        enc, end, no = encoder(vocabulary), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId()
+        enc, end, no = batch_encoder(vocabulary), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId()
         name, own = f"{root}/part-{no:06d}.zst", f"{root}/.part-{no:06d}-{uuid.uuid4().hex}"
         ids, total, out, writer = [], 0, None, None
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for b in text_slices(batches, 1):
+            found, begins = enc.encode(b.column(1))
+            for doc_id, (first, last) in zip(b.column(0).to_pylist(), pairwise(begins.tolist()), strict=True):
                 if writer is None:
                     out = store.open_output_stream(own)
                     writer = SeekableWriter(out, level)
-                content = enc.encode(text) + end
+                content = found[first:last].tobytes() + end
                 writer.frame(content)
                 ids.append(doc_id)
                 total += len(content) // 4

@@ -3,9 +3,11 @@ import random
 import zlib
 from array import array
 from collections import defaultdict
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,6 +19,7 @@ from frostline.session import scratch_path
 
 BYTE, WORD = (Tokenizer.from_file(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 ENC, COUNT = IdEncoder("byte_bpe_50k.json"), token_count.TokenCounter("word_bpe_49k.json")
+BATCH = bpe_ids.BatchEncoder("byte_bpe_50k.json")
 ODD = ["", " ", "\n\n  x", "a<|endoftext|>b", "<|startoftext|><|endoftext|> it's", "ΣΑΣ ΟΔΟΣ", "İx e\u0301 \u1e9b\u0323", "\x1cq\x85r\xa0s\u2003t\u3000",
        "don't DON'T 'll x'll 12345 ½ \u0660", "日本語 テキスト", "a\u0301\u0301 \U0001f600\u200d\U0001f525", "x" * 3000, " \t \n", "tab\tsep\r\n\x0b\x0c", "it 's"]
 
@@ -160,6 +163,57 @@ def test_best_fit_uses_every_item_once(sizes):
     assert all(sum(sizes[i] for i in b) <= 50 for b in bins)
 
 
+def check_columns(enc, texts, kind=pa.string()):
+    ids, begins = enc.encode(pa.array([None, *texts], kind)[1:])
+    assert [ids[a:b].tolist() for a, b in pairwise(begins)] == [lib_ids(t or "") for t in texts]
+    assert begins[0] == 0 and begins[-1] == len(ids)
+
+
+def test_columns_of_texts_equal_library(sf001_docs, monkeypatch):
+    enc = bpe_ids.BatchEncoder("byte_bpe_50k.json")
+    check_columns(enc, [r.text for r in sf001_docs.select("text").collect()])
+    monkeypatch.setattr(bpe_ids, "KNOWN", 50)       # far fewer than the texts have
+    monkeypatch.setattr(bpe_ids, "JOINED", 3)
+    for texts in (ODD, [], [None, ""], [*ODD, None, *ODD[::-1], "end ", " \u2003", "\u2003", "  "], [s + t for s in ODD for t in ODD]):
+        check_columns(enc, texts, pa.large_string())
+        assert len(enc.keys) == len(enc.starts) == len(enc.sizes) == len(enc.used) <= 50
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t\x85\xa0\u2003\u3000'stΣé<|>")), max_size=40), max_size=6))
+def test_any_column_of_texts(texts):
+    check_columns(BATCH, texts)
+
+
+def test_library_gets_a_chunk_once_whatever_is_remembered(monkeypatch):
+    """One text at a time, a chunk beyond the memory went there at every place."""
+    monkeypatch.setattr(bpe_ids, "KNOWN", 0)
+    enc, given_out = bpe_ids.BatchEncoder("byte_bpe_50k.json"), []
+    plain = enc._library
+    monkeypatch.setattr(enc, "_library", lambda texts: given_out.extend(texts) or plain(texts))
+    check_columns(enc, ["some words, and some words again\n\nsome words"] * 500)
+    words = [w for lines in given_out for w in lines.split("\n") if w]
+    assert not len(enc.keys) and sorted(words) == [" again", " and", " some", " words", " words,", "some"]
+
+
+def test_worker_encodes_token_files_by_columns():
+    common.claim({})
+    enc = bpe_ids.batch_encoder("byte_bpe_50k.json")
+    assert bpe_ids.batch_encoder("byte_bpe_50k.json") is enc and token_files.batch_encoder is bpe_ids.batch_encoder
+    common.claim({})
+    assert not bpe_ids._ENCODERS
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.none() | st.integers(0, 50), max_size=12), max_size=6))
+def test_text_slices_keep_rows_and_order(batches):
+    sizes = [n for b in batches for n in b]
+    got = list(bpe_ids.text_slices((pa.record_batch([pa.array([None if n is None else "x" * n for n in b], pa.string())], names=["text"]) for b in batches), 0, 40))
+    assert [None if t is None else len(t) for b in got for t in b.column(0).to_pylist()] == sizes
+    held = [[len(t or "") for t in b.column(0).to_pylist()] for b in got]
+    assert all(sum(b) <= 60 + 50 for b in held) and all(sum(b) >= 20 for b in held[:-1])
+
+
 def test_token_files_round_trip(spark, make_docs, sf001_docs):
     rng = random.Random(1)
     rows = [(i, "".join(rng.choice("abc de\n") for _ in range(rng.randrange(0, 400)))) for i in range(50)]
