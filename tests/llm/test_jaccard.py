@@ -7,9 +7,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 
 from frostline.llm import jaccard
-from frostline.llm.common import WORD_PATTERN
+from frostline.llm.common import WORD_PATTERN, materialize
 
 
 def brute_sets(text):
@@ -173,3 +174,94 @@ def test_lists_longer_than_the_longest_lose_no_link(monkeypatch, n):
               if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - both)]
     assert linked and all(forest.root(i) == forest.root(j) for i, j in linked)
     assert forest.root(n) == forest.root(n + 1) and all(forest.root(n) != forest.root(i) for i in range(n))
+
+
+def test_sets_of_texts_equal_sets_of_word_tuples(monkeypatch):
+    """Texts one after the other, in runs of a few bytes: words end with their text, long words count whole."""
+    texts = [None, "", " ", "a", "A", "a b", "b a", "a b c d", "a b c d e", "a b c d e f", "\x00a", "a\x00", "x" * 8, "x" * 9, "x" * 64, "x" * 65,
+             "X" * 64 + "y z", "é ü b c d e f", "a b c d e " * 3, "", "a  b\t\nc\x0b\x0cd\re", "z", None, "y" * 16 + " " + "y" * 17, "no-break\xa0space stays"]
+    for size in (1, 20, 10**6):
+        monkeypatch.setattr(jaccard, "BYTES", size)
+        got = []
+        for at, values, bounds in jaccard.shingle_sets(pa.array(["before", *texts]).slice(1)):
+            assert at == len(got)
+            got += [values[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+        assert [len(s) for s in got] == [len(brute_sets(t)) for t in texts]
+        assert all(s == sorted(s) for s in got)
+        for i, s in enumerate(got):
+            assert [s == other for other in got] == [brute_sets(texts[i]) == brute_sets(t) for t in texts]
+        assert [jaccard.shingles(t).tolist() for t in texts] == got
+
+
+def test_copies_in_other_tasks_are_not_posted(make_docs, monkeypatch):
+    """Copies alone make no shingle frequent: no set is posted; results are as before."""
+    written = {}
+
+    def watch(df, name, batch=None):
+        out = materialize(df, name, batch)
+        written[name] = out.count()
+        return out
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for i in range(60)]
+    rows += [(100 + i, t) for i, t in rows] + [(200 + i, t) for i, t in rows] + [(None, rows[0][1]), rows[1], (None, "of null ids alone " * 4), (None, "of null ids alone " * 4)]
+    monkeypatch.setattr(jaccard, "materialize", watch)
+    docs = make_docs(rows).repartition(5)
+    assert result(docs) == brute(rows)
+    assert written["posted-sets"] <= 2      # that of null ids, and that of a row that is there twice with its id
+    monkeypatch.setattr(jaccard, "MAX_REPEATED", 7)
+    assert result(docs) == brute(rows)
+
+
+def test_edges_are_found_once(spark):
+    found = spark.sparkContext.accumulator(0)
+
+    def edges(batches):
+        for b in batches:
+            found.add(b.num_rows)
+            yield b
+    rows = spark.createDataFrame([(i, i - i % 5) for i in range(40)], "a long, b long").repartition(3)
+    rows = jaccard.materialize(rows, "edges")
+    roots = jaccard.connected(rows.mapInArrow(edges, "a long, b long"), "once")
+    assert found.value == 40
+    assert sorted(map(tuple, roots.collect())) == [(i, i - i % 5) for i in range(40)]
+
+
+def test_long_sets_that_share_a_shingle_are_not_tied():
+    """Neighbours of a long list are compared by their long sketches."""
+    rng = np.random.default_rng(2)
+    sets = sorted((np.unique(np.append(rng.integers(1, 2**62, int(n)), 7)).astype(np.uint64) for n in rng.integers(2500, 4000, 100)), key=len)
+    sets.insert(50, sets[50][1:])
+    table = pa.table({"token": [7] * 101, "size": [len(s) for s in sets], "sig": list(range(101)), "sketch": [jaccard.sketch(s) for s in sets]})
+    edges = [(a, b) for batch in jaccard._list_edges(iter(table.to_batches(max_chunksize=30))) for a, b in zip(*(c.to_pylist() for c in batch.columns))]
+    assert edges == [(51, 50)]
+
+
+@pytest.mark.parametrize("crossed", [False, True])
+def test_join_cluster_of_many_sets(crossed):
+    """Close sets, sets that share rare shingles only, and loose ones, with and without sides."""
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 2**62, 300) for _ in range(6)]
+    sets = [np.unique(np.concatenate([rng.choice(base[i % 6], 300 - int(k), replace=False), rng.integers(0, 2**62, int(k))])).astype(np.uint64)
+            for i, k in enumerate(rng.integers(0, 70, 240))]
+    pairs = [rng.integers(0, 2**62, 80) for _ in range(60)]
+    sets += [np.unique(np.append(p[j:], rng.integers(0, 2**62, 3))).astype(np.uint64) for p in pairs for j in (0, 4, 30)]
+    side = rng.integers(0, 2, len(sets)) if crossed else None
+    got = [frozenset((x, int(y))) for x, ys in jaccard.join_cluster(sets, side) for y in ys]
+    want = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if side is None or side[i] != side[j]
+            if 100 * (n := len(np.intersect1d(sets[i], sets[j], assume_unique=True))) >= 75 * (len(sets[i]) + len(sets[j]) - n)}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
+def test_filter_grows_with_what_is_in_it():
+    """A slice has room for its fingerprints up to its limit; buckets without a slice say 1."""
+    rng = np.random.default_rng(6)
+    rows = [[rng.integers(0, 2**32, n).astype(np.uint32) for n in (10, 5000)], [rng.integers(0, 2**32, 300).astype(np.uint32) for _ in range(2)]]
+    packed = [(b, np.concatenate([rows[b][0], rows[b][1], rows[b][1]])) for b in (0, 1)]
+    batch = jaccard._arrow([[None] * 2] * 4 + [[2, 0], [packed[0][1].tobytes(), packed[1][1].tobytes()], [None] * 2, [None] * 2], jaccard._KINDS, jaccard._NAMES)
+    out = pa.Table.from_batches(jaccard._count_prints(1 << 20)(iter([batch]))).to_pylist()
+    assert [len(r["bits"]) * 8 for r in out] == [4096, 65536]
+    f = jaccard.Frequencies([Row(**r) for r in out], 2, 10)
+    shift = np.uint64(30)
+    of = lambda bucket, p: f.of((p.astype(np.uint64) | np.uint64(bucket) << np.uint64(32)) << shift)
+    assert (of(2, rows[0][1]) == 2).all() and (of(0, rows[1][1]) == 2).all()
+    assert (of(2, rows[0][0]) == 1).sum() >= 7 and (of(1, rows[0][1]) == 1).all() and (of(3, rows[0][1]) == 1).all()
